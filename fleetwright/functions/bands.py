@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Policy -> (critical above, warning above, under below or None).
 POLICIES = {
-    "standard": (95.0, 80.0, 50.0),
-    "fleet": (95.0, 80.0, 50.0),
-    "report": (90.0, 80.0, None),
-    "master": (90.0, 70.0, None),
-    "capacity": (95.0, 80.0, 40.0),
+    "standard": (95, 80, 50),
+    "fleet": (95, 80, 50),
+    "report": (90, 80, None),
+    "master": (90, 70, None),
+    "capacity": (95, 80, 40),
 }
 
 
-def band(policy: str, *percents: Column) -> Column:
+def band(policy: str, *percents: str) -> str:
     """Worst band over the percentages; "under" only when every percentage is low."""
     critical, warning, under = POLICIES[policy]
-    worst = F.greatest(*percents) if len(percents) > 1 else percents[0]
-    expr = F.when(worst > critical, "critical").when(worst > warning, "warning")
-    if under is not None:
-        expr = expr.when(worst < under, "under")
-    return expr.otherwise("optimal")
+    worst = f"greatest({', '.join(percents)})" if len(percents) > 1 else percents[0]
+    low = f" WHEN {worst} < {under} THEN 'under'" if under is not None else ""
+    return (f"CASE WHEN {worst} > {critical} THEN 'critical' WHEN {worst} > {warning}"
+            f" THEN 'warning'{low} ELSE 'optimal' END")

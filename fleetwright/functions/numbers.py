@@ -1,76 +1,83 @@
-"""Number rules of the reference model as column expressions."""
+"""Number rules of the reference model as SQL expression texts.
 
-from __future__ import annotations
+Operators state their formulas as SQL text and hand them to Spark in one call per layer,
+which keeps them readable and spares a driver round trip per operator sign.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 # Longest numeric prefix of a text, as a lenient number reader takes it.
-NUMBER_PREFIX = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+NUMBER_PREFIX = r"^\\s*([+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
 
-def dbl(value) -> Column:
-    return F.lit(float(value)) if isinstance(value, (int, float)) else value.cast("double")
+def half_up(x: str) -> str:
+    """Nearest whole number, ties towards plus infinity (also for negatives).
 
+    The fraction `x - floor(x)` is exact, unlike `floor(x + 0.5)`.
+    """
+    return f"CAST(floor({x}) + IF(({x}) - floor({x}) >= 0.5D, 1, 0) AS DOUBLE)"
 
-def half_up(x: Column) -> Column:
-    """Nearest whole number, ties towards plus infinity (also for negatives)."""
-    return F.when(x >= 0, F.round(x, 0)).otherwise(F.floor(x + 0.5).cast("double"))
 
+def one_decimal(x: str) -> str:
+    return f"{half_up(f'({x}) * 10')} / 10"
 
-def one_decimal(x: Column) -> Column:
-    return half_up(x * 10) / 10
 
+def floor_d(x: str) -> str:
+    return f"CAST(floor({x}) AS DOUBLE)"
 
-def floor_d(x: Column) -> Column:
-    return F.floor(x).cast("double")
 
+def ceil_d(x: str) -> str:
+    return f"CAST(ceil({x}) AS DOUBLE)"
 
-def ceil_d(x: Column) -> Column:
-    return F.ceil(x).cast("double")
 
+def at_least(low: float, x: str) -> str:
+    return f"greatest({float(low)}D, {x})"
 
-def percent(part: Column, whole: Column) -> Column:
-    """Whole percent of `whole`, 0 when there is nothing to divide by."""
-    return F.when(whole > 0, half_up(part / whole * 100)).otherwise(F.lit(0.0))
 
+def nonzero(x: str) -> str:
+    """A hand-set zero gives no quotient (floors apply) instead of failing the job."""
+    return f"nullif({x}, 0D)"
 
-def percent_floor1(part: Column, whole: Column) -> Column:
-    """Whole percent with the divisor floored at one."""
-    return half_up(part / F.greatest(F.lit(1.0), whole) * 100)
+
+def or_else(x: str, fallback: str) -> str:
+    """`x`, or the fallback when it is null or zero."""
+    return f"coalesce(nullif({x}, 0D), {fallback})"
+
+
+def percent(part: str, whole: str) -> str:
+    """Whole percent of `whole`, 0 when there is nothing to divide by."""
+    return f"IF({whole} > 0, {half_up(f'({part}) / ({whole}) * 100')}, 0D)"
 
 
-def parse_number(text: Column) -> Column:
+def parse_number(text: str) -> str:
     """Numeric prefix of a text; blank or unreadable gives 0."""
-    prefix = F.regexp_extract(text, NUMBER_PREFIX, 1)
-    return F.coalesce(prefix.try_cast("double"), F.lit(0.0))
+    return f"coalesce(try_cast(regexp_extract({text}, '{NUMBER_PREFIX}', 1) AS DOUBLE), 0D)"
 
 
-def num_text(x: Column) -> Column:
+def num_text(x: str) -> str:
     """Whole numbers without a fraction, others in shortest form."""
-    return F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(x.cast("string"))
+    return f"IF(({x}) = floor({x}), CAST(CAST({x} AS BIGINT) AS STRING), CAST({x} AS STRING))"
 
 
-def fixed_text(x: Column, digits: int) -> Column:
+def fixed_text(x: str, digits: int) -> str:
     """Text with a fixed number of decimals, rounded on the exact binary value, ties up.
 
     A binary fraction lies exactly between two decimals only when x * 2**(digits+1) is
     whole; `format_number` rounds every other value by its exact binary expansion.
     """
-    scaled = x * (2 ** (digits + 1))
-    tie_up = F.round(x * (10 ** digits), 0) / (10 ** digits)
-    value = F.when(scaled == F.floor(scaled), tie_up).otherwise(x)
-    return F.regexp_replace(F.format_number(value, digits), ",", "")
+    scaled, ten = f"({x}) * {2 ** (digits + 1)}", 10 ** digits
+    value = f"IF({scaled} = floor({scaled}), {half_up(f'({x}) * {ten}')} / {ten}, {x})"
+    return f"replace(format_number({value}, {digits}), ',', '')"
 
 
-def overhead_mb(heap_gb: Column, mode: str = "round") -> Column:
+def overhead_mb(heap_gb: str, mode: str = "round") -> str:
     """Off-heap megabytes for a heap: a tenth of it, at least 384.
 
     The cluster-wide figure takes the ceiling; job, reservation and driver figures round.
     """
-    tenth = heap_gb * 1024 * 0.1
-    return F.greatest(F.lit(384.0), ceil_d(tenth) if mode == "ceil" else half_up(tenth))
+    tenth = f"{heap_gb} * 1024 * 0.1D"
+    return f"greatest(384D, {ceil_d(tenth) if mode == 'ceil' else half_up(tenth)})"
 
 
-def pyspark_mb(pyspark: Column) -> Column:
-    return F.when(pyspark, F.lit(1024.0)).otherwise(F.lit(0.0))
+def pyspark_mb(flag: str = "pyspark") -> str:
+    return f"IF({flag}, 1024D, 0D)"

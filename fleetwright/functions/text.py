@@ -1,28 +1,46 @@
-"""Text helpers for property files and names."""
+"""Text rules for property files and names, as SQL expression texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from fleetwright.functions.numbers import num_text
 
 # Key widths in generated property files.
 CLUSTER_KEY_WIDTH = 45
 JOB_KEY_WIDTH = 42
 
 
-def pad_end(text: Column, width: int) -> Column:
+def quote(text: str) -> str:
+    """SQL string literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return f"'{escaped}'"
+
+
+def say(template: str, **texts: str) -> str:
+    """Concatenation from a template: `{name}` inserts an expression.
+
+    A name not given in `texts` is a number column and is written without needless decimals.
+    """
+    parts = []
+    for i, piece in enumerate(template.replace("}", "{").split("{")):
+        if i % 2:
+            parts.append(texts.get(piece) or num_text(piece))
+        elif piece:
+            parts.append(quote(piece))
+    return "concat(" + ", ".join(parts) + ")" if len(parts) > 1 else parts[0]
+
+
+def pad_end(text: str, width: int) -> str:
     """Pad with blanks up to `width`; longer texts stay whole (rpad would cut them)."""
-    missing = F.greatest(F.lit(0), F.lit(width) - F.length(text))
-    return F.concat(text, F.repeat(F.lit(" "), missing))
+    return f"concat({text}, repeat(' ', greatest(0, {width} - length({text}))))"
 
 
-def slug(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, r"\s+", "-"))
+def slug(name: str) -> str:
+    return f"lower(regexp_replace({name}, '\\\\s+', '-'))"
 
 
-def job_name(job_idx: Column) -> Column:
-    return F.concat(F.lit("Job "), (job_idx + 1).cast("string"))
+def job_name(job_idx: str = "job_idx") -> str:
+    return f"concat('Job ', {job_idx} + 1)"
 
 
-def reservation_name(res_idx: Column) -> Column:
-    return F.concat(F.lit("Reserved Job "), (res_idx + 1).cast("string"))
+def reservation_name(res_idx: str = "res_idx") -> str:
+    return f"concat('Reserved Job ', {res_idx} + 1)"

@@ -2,90 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetwright.functions.bands import POLICIES, band
+from fleetwright.functions.columns import derive, open_rows, records
 from fleetwright.functions.numbers import (
-    fixed_text, half_up, one_decimal, overhead_mb, percent,
+    at_least, fixed_text, half_up, nonzero, one_decimal, overhead_mb, percent,
 )
 from fleetwright.operators.rules import Rule, fired
+from fleetwright.operators.sizing import ON_CLIENT, ON_CLUSTER
 
-c = F.col
+STATUS = band("fleet", "core_util", "mem_util")
 
 
 def utilisation(sized: DataFrame) -> DataFrame:
     """Cores and memory in use against all installed capacity, with the overall status."""
-    return sized.select(
+    return sized.selectExpr(
         "cluster_id", "used_cores", "total_cores", "core_util", "unused_cores",
         "used_ram", "total_ram", "mem_util", "unused_ram",
         "usable_total_cores", "usable_total_ram",
-        band("standard", c("core_util")).alias("core_band"),
-        band("standard", c("mem_util")).alias("mem_band"),
-        band("fleet", c("core_util"), c("mem_util")).alias("status"),
-    )
+        f"{band('standard', 'core_util')} AS core_band",
+        f"{band('standard', 'mem_util')} AS mem_band", f"{STATUS} AS status")
 
 
 def classify(df: DataFrame, policy: str, metrics: list[str], out: str = "band") -> DataFrame:
     """Band of one or more percentage columns under a named policy."""
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy!r}; one of {sorted(POLICIES)}")
-    return df.withColumn(out, band(policy, *[c(m) for m in metrics]))
+    return derive(df, {out: band(policy, *metrics)})
 
 
 def classify_all(sized: DataFrame) -> DataFrame:
     """Every cluster under every policy that applies to it, one row per policy and metric."""
     def entry(policy, metric, *columns):
-        value = F.greatest(*columns) if len(columns) > 1 else columns[0]
-        return F.struct(F.lit(policy).alias("policy"), F.lit(metric).alias("metric"),
-                        value.alias("percent"), band(policy, *columns).alias("band"))
+        percent = f"greatest({', '.join(columns)})" if len(columns) > 1 else columns[0]
+        return {"policy": f"'{policy}'", "metric": f"'{metric}'", "percent": percent,
+                "band": band(policy, *columns)}
 
-    entries = [entry("fleet", "worst", c("core_util"), c("mem_util"))]
+    every = [entry("fleet", "worst", "core_util", "mem_util")]
     for policy in ("standard", "report", "capacity"):
-        entries += [entry(policy, "core", c("core_util")), entry(policy, "mem", c("mem_util"))]
-    client = F.array(entry("master", "core", c("master_core_util")),
-                     entry("master", "mem", c("master_ram_util")))
-    every = F.array(*entries)
-    rows = F.when(c("deploy_mode") == "client", F.concat(every, client)).otherwise(every)
-    return sized.select("cluster_id", F.inline(rows))
-
-
-def _lines(df: DataFrame, owner: list[str], entries: list[Column]) -> DataFrame:
-    return df.select(*owner, F.posexplode(F.array(*entries)).alias("pos", "_e")).select(
-        *owner, "pos", "_e.*")
-
-
-def ledger_shares() -> dict[str, Column]:
-    """GB of each part of the fleet's memory, rounded as the reference plots them."""
-    driver = F.when(c("deploy_mode") == "cluster", c("drv_m")).otherwise(F.lit(0.0))
-    return {
-        "executor_heap": half_up(c("total_exec") * c("exec_m")),
-        "overhead": half_up(c("total_exec") * c("exec_oh") / 1024),
-        "driver": driver,
-        "reserves": half_up(c("reserve_ram")),
-        "unused": F.greatest(F.lit(0.0), half_up(c("unused_ram"))),
-    }
+        every += [entry(policy, "core", "core_util"), entry(policy, "mem", "mem_util")]
+    client = [entry("master", "core", "master_core_util"),
+              entry("master", "mem", "master_ram_util")]
+    rows = f"IF({ON_CLIENT}, concat({records(every)}, {records(client)}), {records(every)})"
+    return sized.selectExpr("cluster_id", f"inline({rows})")
+
+
+# GB of each part of the fleet's memory, rounded as the reference plots them.
+LEDGER = {
+    "executor_heap": half_up("total_exec * exec_m"),
+    "overhead": half_up("total_exec * exec_oh / 1024"),
+    "driver": f"IF({ON_CLUSTER}, drv_m, 0D)",
+    "reserves": half_up("reserve_ram"),
+    "unused": at_least(0, half_up("unused_ram")),
+}
 
 
 def memory_ledger(sized: DataFrame) -> DataFrame:
     """Where the memory of each cluster goes."""
-    return _lines(sized, ["cluster_id"], [
-        F.struct(F.lit(name).alias("segment"), value.alias("gb"),
-                 half_up(value / c("total_ram") * 100).alias("pct"))
-        for name, value in ledger_shares().items()
-    ])
+    amounts = derive(sized, {f"_{name}": expr for name, expr in LEDGER.items()})
+    return open_rows(amounts, ["cluster_id"], records([
+        {"segment": f"'{name}'", "gb": f"_{name}", "pct": half_up(f"_{name} / total_ram * 100")}
+        for name in LEDGER]))
 
 
 def core_ledger(sized: DataFrame) -> DataFrame:
     """U4: where the cores of each cluster go."""
-    driver = F.when(c("deploy_mode") == "cluster", c("drv_c")).otherwise(F.lit(0.0))
-    parts = {"executor_cores": c("total_ec"), "driver": driver,
-             "os_reserve": c("nodes") * c("os_cr"), "unused": c("unused_cores")}
-    return _lines(sized, ["cluster_id"], [
-        F.struct(F.lit(name).alias("segment"), value.alias("cores"),
-                 half_up(value / c("total_cores") * 100).alias("pct"))
-        for name, value in parts.items()
-    ])
+    parts = {"executor_cores": "total_ec", "driver": f"IF({ON_CLUSTER}, drv_c, 0D)",
+             "os_reserve": "nodes * os_cr", "unused": "unused_cores"}
+    return open_rows(sized, ["cluster_id"], records([
+        {"segment": f"'{name}'", "cores": expr, "pct": half_up(f"{expr} / total_cores * 100")}
+        for name, expr in parts.items()]))
 
 
 def capacity_bars(sized: DataFrame) -> DataFrame:
@@ -93,104 +81,86 @@ def capacity_bars(sized: DataFrame) -> DataFrame:
 
     The driver figure here is heap plus overhead, unlike the one inside used memory.
     """
-    shares = ledger_shares()
-    driver = F.when(c("deploy_mode") == "cluster", one_decimal(c("drv_m") + c("drv_oh") / 1024))
+    df = derive(sized, {"_heap": LEDGER["executor_heap"], "_over": LEDGER["overhead"],
+                        "_res": LEDGER["reserves"], "_used": half_up("used_ram")})
+    driver = f"IF({ON_CLUSTER}, {one_decimal('drv_m + drv_oh / 1024')}, 0D)"
     lines = [
-        ("cores", c("used_cores"), c("total_cores"), "cores", c("unused_cores"), None),
-        ("memory", half_up(c("used_ram")), c("total_ram"), "GB", half_up(c("unused_ram")), driver),
+        ("cores", "used_cores", "total_cores", "cores", "unused_cores", "0D"),
+        ("memory", "_used", "total_ram", "GB", half_up("unused_ram"), driver),
+        ("executor_heap", "_heap", "total_ram", "GB", half_up("total_ram - _heap"), "0D"),
+        ("executor_overhead", "_over", "total_ram", "GB", half_up("total_ram - _over"), "0D"),
+        ("reserves", "_res", "total_ram", "GB", half_up("total_ram - reserve_ram"), "0D"),
     ]
-    for name, part in (("executor_heap", shares["executor_heap"]),
-                       ("executor_overhead", shares["overhead"])):
-        lines.append((name, part, c("total_ram"), "GB", half_up(c("total_ram") - part), None))
-    lines.append(("reserves", shares["reserves"], c("total_ram"), "GB",
-                  half_up(c("total_ram") - c("reserve_ram")), None))
+    rows = open_rows(df, ["cluster_id"], records([
+        {"line": f"'{name}'", "used": used, "total": total, "unit": f"'{unit}'",
+         "pct": f"least(100D, {half_up(f'{used} / {total} * 100')})", "available": available,
+         "driver_gb": driver_gb}
+        for name, used, total, unit, available, driver_gb in lines]))
+    return derive(rows, {"tag": "CASE WHEN pct > 95 THEN 'critical' WHEN pct > 80 THEN 'warning'"
+                                " ELSE 'normal' END"})
 
-    def line(name, used, total, unit, available, driver_gb):
-        pct = F.least(F.lit(100.0), half_up(used / total * 100))
-        return F.struct(
-            F.lit(name).alias("line"), used.alias("used"), total.alias("total"),
-            F.lit(unit).alias("unit"), pct.alias("pct"), available.alias("available"),
-            F.when(pct > 95, "critical").when(pct > 80, "warning").otherwise("normal").alias("tag"),
-            F.coalesce(driver_gb if driver_gb is not None else F.lit(None).cast("double"),
-                       F.lit(0.0)).alias("driver_gb"),
-        )
 
-    return _lines(sized, ["cluster_id"], [line(*spec) for spec in lines])
+def usage_summary(sized: DataFrame) -> DataFrame:
+    """Used and available amounts with whole percentages, as the stacked overview shows them."""
+    df = derive(sized, {"_used": half_up("used_ram"), "_free": half_up("unused_ram")})
+    lines = [("cores", "used_cores", "unused_cores", "total_cores"),
+             ("memory_gb", "_used", "_free", "total_ram")]
+    return open_rows(df, ["cluster_id"], records([
+        {"resource": f"'{name}'", "used": used, "available": free,
+         "used_pct": percent(used, total), "available_pct": percent(free, total)}
+        for name, used, free, total in lines]))
 
 
 def executor_memory_breakdown(sized: DataFrame) -> DataFrame:
     """Parts of one executor's memory; the rounded parts need not add up."""
-    heap, mf, sf = c("exec_m"), c("mf"), c("sf")
-    jvm = half_up(overhead_mb(heap) / 1024 * 100) / 100
-    total = heap + one_decimal(c("exec_oh") / 1024)
-    parts = [
-        ("execution", half_up(heap * mf * (1 - sf)), F.lit(True)),
-        ("storage", half_up(heap * mf * sf), F.lit(True)),
-        ("user", half_up(heap * (1 - mf)), F.lit(True)),
-        ("jvm_overhead", jvm, F.lit(True)),
-        ("pyspark_overhead", F.lit(1.0), c("pyspark")),
-    ]
-    rows = F.filter(F.array(*[
-        F.struct(F.lit(name).alias("part"), value.alias("gb"),
-                 half_up(value / total * 100).alias("pct"), keep.alias("keep"))
-        for name, value, keep in parts
-    ]), lambda r: r["keep"])
-    per_core = F.when(c("exec_c") > 0, fixed_text(heap / F.nullif(c("exec_c"), F.lit(0.0)), 1))
-    return sized.select(
-        "cluster_id", total.alias("jvm_total_gb"), per_core.alias("gb_per_core"),
-        half_up(heap * mf).alias("managed_gb"), F.posexplode(rows).alias("pos", "_r"),
-    ).select("cluster_id", "jvm_total_gb", "gb_per_core", "managed_gb", "pos",
-             "_r.part", "_r.gb", "_r.pct")
-
-
-def master_rules() -> list[Rule]:
-    ram, cores = c("master_ram_util"), c("master_core_util")
-    return [
-        Rule("M1", "error", ram > 90, ram, F.lit(90.0)),
-        Rule("M2", "warning", (ram > 70) & (ram <= 90), ram, F.lit(70.0)),
-        Rule("M3", "error", cores > 90, cores, F.lit(90.0)),
-        Rule("M4", "error", c("master_ram_used") > c("master_ram") * 0.85,
-             c("master_ram_used"), c("master_ram") * 0.85),
-        Rule("M5", "ok", (ram <= 70) & (cores <= 70), ram, F.lit(70.0)),
-        Rule("M6", "tip", c("master_ram") < 8, c("master_ram"), F.lit(8.0)),
-        Rule("M7", "tip", c("master_cores") < 4, c("master_cores"), F.lit(4.0)),
-        Rule("M8", "tip", c("drv_m") > c("master_ram") * 0.5, c("drv_m"), c("master_ram") * 0.5),
-    ]
+    parts = {
+        "execution": half_up("exec_m * mf * (1 - sf)"), "storage": half_up("exec_m * mf * sf"),
+        "user": half_up("exec_m * (1 - mf)"),
+        "jvm_overhead": f"{half_up(overhead_mb('exec_m') + ' / 1024 * 100')} / 100",
+        "pyspark_overhead": "1D",
+    }
+    df = derive(sized, {
+        "jvm_total_gb": f"exec_m + {one_decimal('exec_oh / 1024')}",
+        "gb_per_core": f"IF(exec_c > 0, {fixed_text('exec_m / ' + nonzero('exec_c'), 1)}, NULL)",
+        "managed_gb": half_up("exec_m * mf"),
+        **{f"_{name}": expr for name, expr in parts.items()},
+    })
+    rows = records([
+        {"part": f"'{name}'", "gb": f"_{name}", "pct": half_up(f"_{name} / jvm_total_gb * 100")}
+        for name in parts])
+    shown = f"IF(pyspark, {rows}, slice({rows}, 1, {len(parts) - 1}))"
+    return open_rows(df, ["cluster_id", "jvm_total_gb", "gb_per_core", "managed_gb"], shown)
+
+
+MASTER_REMARKS = [
+    Rule("M1", "error", "master_ram_util > 90", "master_ram_util", "90"),
+    Rule("M2", "warning", "master_ram_util > 70 AND master_ram_util <= 90", "master_ram_util", "70"),
+    Rule("M3", "error", "master_core_util > 90", "master_core_util", "90"),
+    Rule("M4", "error", "master_ram_used > master_ram * 0.85D", "master_ram_used",
+         "master_ram * 0.85D"),
+    Rule("M5", "ok", "master_ram_util <= 70 AND master_core_util <= 70", "master_ram_util", "70"),
+    Rule("M6", "tip", "master_ram < 8", "master_ram", "8"),
+    Rule("M7", "tip", "master_cores < 4", "master_cores", "4"),
+    Rule("M8", "tip", "drv_m > master_ram * 0.5D", "drv_m", "master_ram * 0.5D"),
+]
 
 
 def master_utilisation(sized: DataFrame) -> DataFrame:
     """Load of the submitting host in client mode, one row per remark on it."""
-    client = sized.filter(c("deploy_mode") == "client")
-    return client.select(
+    return sized.filter(ON_CLIENT).selectExpr(
         "cluster_id", "master_ram", "master_ram_used", "master_ram_free", "master_ram_util",
         "master_cores", "master_cores_used", "master_cores_free", "master_core_util",
-        F.posexplode_outer(fired(master_rules())).alias("pos", "_r"),
-    ).select("*", "_r.rule", "_r.severity", "_r.observed", "_r.threshold").drop("_r")
+        f"posexplode_outer({fired(MASTER_REMARKS)}) AS (pos, _r)",
+    ).selectExpr("* EXCEPT (_r)", "_r.rule", "_r.severity", "_r.observed", "_r.threshold")
 
 
-def fleet_rollup(sized: DataFrame, dims: tuple[str, ...] = ("workload", "rm", "deploy_mode")) -> DataFrame:
+def fleet_rollup(sized: DataFrame,
+                 dims: tuple[str, ...] = ("workload", "rm", "deploy_mode")) -> DataFrame:
     """U8: headline figures over the fleet and every prefix of the dimensions."""
-    status = band("fleet", c("core_util"), c("mem_util"))
     measures = ["nodes", "total_cores", "total_ram", "total_exec", "total_ec",
                 "exec_ram_gb", "used_cores", "used_ram"]
-    counts = [F.count_if(c("_status") == name).alias(f"n_{name}")
-              for name in ("critical", "warning", "under", "optimal")]
-    return (
-        sized.select(*dims, *measures, status.alias("_status"))
-        .rollup(*dims)
-        .agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("clusters"),
-             *[F.sum(m).alias(m) for m in measures], *counts)
-    )
-
-
-def usage_summary(sized: DataFrame) -> DataFrame:
-    """Used and available amounts with whole percentages, as the stacked overview shows them."""
-    def line(name, used, free, total):
-        return F.struct(F.lit(name).alias("resource"), used.alias("used"), free.alias("available"),
-                        percent(used, total).alias("used_pct"),
-                        percent(free, total).alias("available_pct"))
-
-    return _lines(sized, ["cluster_id"], [
-        line("cores", c("used_cores"), c("unused_cores"), c("total_cores")),
-        line("memory_gb", half_up(c("used_ram")), half_up(c("unused_ram")), c("total_ram")),
-    ])
+    return sized.selectExpr(*dims, *measures, f"{STATUS} AS _status").rollup(*dims).agg(
+        F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("clusters"),
+        *[F.sum(m).alias(m) for m in measures],
+        *[F.expr(f"count_if(_status = '{name}') AS n_{name}")
+          for name in ("critical", "warning", "under", "optimal")])

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetwright.functions.columns import derive
 from fleetwright.functions.numbers import (
-    ceil_d, floor_d, half_up, one_decimal, overhead_mb, percent, pyspark_mb,
+    at_least, ceil_d, floor_d, half_up, one_decimal, overhead_mb, percent, pyspark_mb,
 )
 from fleetwright.functions.text import job_name
 from fleetwright.operators.slices import SLICE_BITS, slice_of
 
-c = F.col
+# Share key of jobs that split what the manual shares leave.
 AUTO = -1
 
 
@@ -28,10 +29,17 @@ class JobOptions:
     enforce_tasks: bool = False
     min_tasks: float = 1.0
 
-    def cores(self) -> Column:
-        if self.cores_per_executor > 0:
-            return F.lit(float(self.cores_per_executor))
-        return c("exec_c")
+    @property
+    def cores(self) -> str:
+        return f"{float(self.cores_per_executor)}D" if self.cores_per_executor > 0 else "exec_c"
+
+    @property
+    def executor_floor(self) -> float:
+        return max(1.0, float(self.min_executors)) if self.enforce_executors else 1.0
+
+    @property
+    def task_floor(self) -> float:
+        return max(1.0, float(self.min_tasks))
 
 
 def materialise_jobs(clusters: DataFrame, jobs: DataFrame, bits: int = SLICE_BITS) -> DataFrame:
@@ -40,45 +48,46 @@ def materialise_jobs(clusters: DataFrame, jobs: DataFrame, bits: int = SLICE_BIT
     Positions are generated block by block, and the blocks are spread before they are
     opened, so one cluster with very many jobs is not generated by one task.
     """
-    n = F.floor(F.coalesce(F.nullif(c("num_jobs"), F.lit(0.0)), F.lit(2.0)))
-    wanted = clusters.select("cluster_id", n.alias("n_jobs"))
-    last_block = F.shiftright(c("n_jobs") - 1, bits)
-    blocks = wanted.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
-    blocks = blocks.repartition("cluster_id", "slice")
-    start = F.shiftleft(c("slice"), bits)
-    end = F.least(start + ((1 << bits) - 1), c("n_jobs") - 1)
-    slots = blocks.withColumn("job_idx", F.explode(F.sequence(start, end)))
-    present = jobs.select("cluster_id", "job_id", "job_idx", "manual_pct", F.lit(True).alias("_has"))
-    return slots.join(present, ["cluster_id", "job_idx"], "left").select(
-        "cluster_id", "job_idx", "job_id", "manual_pct",
-        c("_has").isNull().alias("created"),
-        F.when(c("_has").isNull(), half_up(F.lit(100.0) / c("n_jobs"))).alias("initial_pct"))
-
-
-def _pieces(jobs: DataFrame) -> DataFrame:
-    """Job counts per (cluster, block of positions, share), with per-cluster share totals.
+    wanted = clusters.selectExpr(
+        "cluster_id", "floor(coalesce(nullif(num_jobs, 0D), 2D)) AS n_jobs")
+    blocks = wanted.selectExpr(
+        "cluster_id", "n_jobs",
+        f"explode(sequence(0L, {slice_of('n_jobs - 1', bits)})) AS slice")
+    slots = blocks.repartition("cluster_id", "slice").selectExpr(
+        "cluster_id", "n_jobs",
+        f"explode(sequence(shiftleft(slice, {bits}),"
+        f" least(shiftleft(slice + 1, {bits}), n_jobs) - 1)) AS job_idx")
+    present = jobs.selectExpr("cluster_id", "job_id", "job_idx", "manual_pct", "true AS _present")
+    return slots.join(present, ["cluster_id", "job_idx"], "left").selectExpr(
+        "cluster_id", "job_idx", "job_id", "manual_pct", "_present IS NULL AS created",
+        f"IF(_present IS NULL, {half_up('100D / n_jobs')}, NULL) AS initial_pct")
+
+
+def _cut(jobs: DataFrame, bits: int) -> DataFrame:
+    return derive(jobs, {"slice": slice_of("job_idx", bits)})
+
+
+def _pieces(cut: DataFrame) -> DataFrame:
+    """Job counts per (cluster, block of positions, share), with the resulting percentages.
 
     Shares are whole percents, so a block has at most 102 pieces and every window over a
     cluster below works on pieces, never on jobs.
     """
-    share = F.coalesce("manual_pct", F.lit(AUTO)).alias("share")
-    pieces = jobs.groupBy("cluster_id", "slice", share).agg(F.count(F.lit(1)).alias("n"))
-    cluster = Window.partitionBy("cluster_id")
-    auto = c("share") == AUTO
-    return pieces.withColumns({
-        "n_jobs": F.sum("n").over(cluster),
-        "_manual": F.sum(F.when(auto, 0).otherwise(c("n") * c("share"))).over(cluster),
-        "_autos": F.sum(F.when(auto, c("n")).otherwise(0)).over(cluster),
-    }).withColumn(
-        "auto_pct",
-        F.when(c("_autos") > 0, half_up(F.greatest(F.lit(0), 100 - c("_manual")).cast("double")
-                                        / F.nullif(c("_autos"), F.lit(0)))).otherwise(F.lit(0.0)),
-    ).withColumn("pct", F.when(auto, c("auto_pct")).otherwise(c("share").cast("double"))
-                 ).drop("_manual", "_autos")
-
-
-def _pct() -> Column:
-    return F.coalesce(c("manual_pct").cast("double"), c("auto_pct"))
+    pieces = cut.selectExpr("cluster_id", "slice", f"coalesce(manual_pct, {AUTO}) AS share") \
+        .groupBy("cluster_id", "slice", "share").count().withColumnRenamed("count", "n")
+    over = "OVER (PARTITION BY cluster_id)"
+    totals = pieces.selectExpr(
+        "*", f"sum(n) {over} AS n_jobs",
+        f"sum(IF(share = {AUTO}, 0, n * share)) {over} AS _manual",
+        f"sum(IF(share = {AUTO}, n, 0)) {over} AS _autos")
+    even = half_up("CAST(greatest(0, 100 - _manual) AS DOUBLE) / nullif(_autos, 0)")
+    return derive(totals, {
+        "auto_pct": f"IF(_autos > 0, {even}, 0D)",
+        "pct": f"IF(share = {AUTO}, auto_pct, CAST(share AS DOUBLE))",
+    }).drop("_manual", "_autos")
+
+
+PCT = "coalesce(CAST(manual_pct AS DOUBLE), auto_pct)"
 
 
 def balance_shares(jobs: DataFrame, bits: int = SLICE_BITS) -> DataFrame:
@@ -86,25 +95,20 @@ def balance_shares(jobs: DataFrame, bits: int = SLICE_BITS) -> DataFrame:
 
     The rounded shares need not add up to 100.
     """
-    cut = jobs.withColumn("slice", slice_of("job_idx", bits))
+    cut = _cut(jobs, bits)
     totals = _pieces(cut).groupBy("cluster_id", "slice").agg(
         F.max("auto_pct").alias("auto_pct"), F.max("n_jobs").alias("n_jobs"))
-    return cut.join(totals, ["cluster_id", "slice"]).select(
-        "cluster_id", "job_id", "job_idx", "manual_pct", "n_jobs", _pct().alias("pct"))
+    return cut.join(totals, ["cluster_id", "slice"]).selectExpr(
+        "cluster_id", "job_id", "job_idx", "manual_pct", "n_jobs", f"{PCT} AS pct")
 
 
-def _base(pct: Column, basis: str, options: JobOptions) -> Column:
+def _base(basis: str, options: JobOptions) -> str:
     # The screen multiplies by pct/100, the export multiplies first: doubles can differ.
-    share = c("rem_exec") * (pct / 100) if basis == "screen" else c("rem_exec") * pct / 100
-    base = F.greatest(F.lit(1.0), floor_d(share))
-    if options.enforce_executors:
-        base = F.greatest(F.lit(max(1.0, float(options.min_executors))), base)
-    return base
+    share = "rem_exec * (pct / 100)" if basis == "screen" else "rem_exec * pct / 100"
+    return at_least(options.executor_floor, floor_d(share))
 
 
-def _fraction(pct: Column) -> Column:
-    share = c("rem_exec") * pct / 100
-    return share - floor_d(share)
+FRACTION = "rem_exec * pct / 100 - floor(rem_exec * pct / 100)"
 
 
 def apportion(jobs: DataFrame, pool: DataFrame, basis: str = "export",
@@ -122,61 +126,53 @@ def apportion(jobs: DataFrame, pool: DataFrame, basis: str = "export",
     """
     if basis not in ("screen", "export"):
         raise ValueError("basis is 'screen' or 'export'")
-    cut = jobs.withColumn("slice", slice_of("job_idx", bits))
-    cluster = Window.partitionBy("cluster_id")
-    upto = cluster.orderBy(c("frac").desc(), "slice")
-    peers = Window.partitionBy("cluster_id", "frac", "slice")
-
-    pieces = (
-        _pieces(cut).join(pool, "cluster_id")
-        .withColumns({"base": _base(c("pct"), basis, options), "frac": _fraction(c("pct"))})
-        .withColumn("leftover", F.greatest(
-            F.lit(0.0), c("rem_exec") - F.sum(c("n") * c("base")).over(cluster)))
-        .withColumn("room", c("leftover") - F.sum("n").over(upto) + F.sum("n").over(peers))
-    )
+    cut = _cut(jobs, bits)
+    pieces = derive(_pieces(cut).join(pool, "cluster_id"),
+                    {"base": _base(basis, options), "frac": FRACTION})
+    pieces = pieces.selectExpr(
+        "*", "greatest(0D, rem_exec - sum(n * base) OVER (PARTITION BY cluster_id)) AS leftover")
+    pieces = pieces.selectExpr(
+        "*", "leftover"
+        " - sum(n) OVER (PARTITION BY cluster_id ORDER BY frac DESC, slice)"
+        " + sum(n) OVER (PARTITION BY cluster_id, frac, slice) AS room")
     carried = [name for name in pool.columns if name != "cluster_id"]
+    once = [*carried, "auto_pct", "n_jobs", "leftover"]
     rooms = pieces.groupBy("cluster_id", "slice").agg(
-        F.map_from_entries(F.collect_list(F.struct("share", "room"))).alias("_room"),
-        *[F.any_value(name).alias(name) for name in (*carried, "auto_pct", "n_jobs", "leftover")],
-    )
+        F.expr("map_from_entries(collect_list(struct(share, room)))").alias("_room"),
+        *[F.any_value(name).alias(name) for name in once])
 
-    rank = F.row_number().over(Window.partitionBy("cluster_id", "slice", "frac").orderBy("job_idx"))
-    return (
-        cut.join(rooms, ["cluster_id", "slice"])
-        .withColumn("pct", _pct())
-        .withColumns({"base_exec": _base(c("pct"), basis, options), "frac": _fraction(c("pct")),
-                      "_left": c("_room")[F.coalesce("manual_pct", F.lit(AUTO))]})
-        .withColumn("extra", F.when(rank - 1 < c("_left"), F.lit(1.0)).otherwise(F.lit(0.0)))
-        .withColumn("assigned_exec", c("base_exec") + c("extra"))
-        .drop("slice", "_left", "_room", "frac", "auto_pct")
-    )
+    joined = derive(cut.join(rooms, ["cluster_id", "slice"]), {
+        "pct": PCT, "frac": FRACTION, "base_exec": _base(basis, options),
+        "_left": f"_room[coalesce(manual_pct, {AUTO})]"})
+    rank = "row_number() OVER (PARTITION BY cluster_id, slice, frac ORDER BY job_idx)"
+    ranked = joined.selectExpr("*", f"IF({rank} - 1 < _left, 1D, 0D) AS extra")
+    return ranked.selectExpr(
+        "* EXCEPT (slice, _left, _room, frac, auto_pct)", "base_exec + extra AS assigned_exec")
 
 
 def finalise_allocs(apportioned: DataFrame, options: JobOptions = JobOptions()) -> DataFrame:
     """Cores, heap, overhead and parallelism of each job's executors."""
-    cores = options.cores()
-    executors = c("assigned_exec")
+    executors, least = "assigned_exec", f"{options.task_floor}D"
     if options.enforce_tasks:
-        least = F.lit(max(1.0, float(options.min_tasks)))
-        executors = F.when(executors * cores < least, ceil_d(least / cores)).otherwise(executors)
-    heap = half_up(cores * options.gb_per_core) if options.gb_per_core > 0 else c("exec_m")
-    return (
-        apportioned.withColumns({
-            "job_name": job_name(c("job_idx")),
-            "job_exec": executors, "job_exec_c": cores, "job_heap": heap,
-            "raw_exec": floor_d(c("rem_exec") * (c("pct") / 100)),
-        })
-        .withColumns({
-            "job_cores": c("job_exec") * c("job_exec_c"),
-            "job_mem": c("job_exec") * c("job_heap"),
-            "job_oh": overhead_mb(c("job_heap")) + pyspark_mb(c("pyspark")),
-        })
-        .withColumns({
-            "job_jvm_gb": c("job_heap") + one_decimal(c("job_oh") / 1024),
-            "job_oh_gb": one_decimal(c("job_exec") * c("job_oh") / 1024),
-            "job_para": c("job_cores") * 2,
-        })
-    )
+        executors = (f"IF(assigned_exec * {options.cores} < {least},"
+                     f" {ceil_d(f'{least} / {options.cores}')}, assigned_exec)")
+    heap = "exec_m"
+    if options.gb_per_core > 0:
+        heap = half_up(f"{options.cores} * {float(options.gb_per_core)}D")
+    return derive(apportioned, {
+        "job_name": job_name(),
+        "job_exec": executors,
+        "job_exec_c": options.cores,
+        "job_heap": heap,
+        "raw_exec": floor_d("rem_exec * (pct / 100)"),
+        "job_cores": "job_exec * job_exec_c",
+        "job_mem": "job_exec * job_heap",
+        "job_oh": f"{overhead_mb('job_heap')} + {pyspark_mb()}",
+        "job_jvm_gb": f"job_heap + {one_decimal('job_oh / 1024')}",
+        "job_oh_gb": one_decimal("job_exec * job_oh / 1024"),
+        "job_total_gb": one_decimal("job_mem + job_exec * job_oh / 1024"),
+        "job_para": "job_cores * 2",
+    })
 
 
 def allocate(jobs: DataFrame, pool: DataFrame, basis: str = "export",
@@ -192,17 +188,16 @@ def allocation_diff(jobs: DataFrame, pool: DataFrame, options: JobOptions = JobO
     screen = apportion(jobs, pool, "screen", options, bits)
     export = apportion(jobs, pool, "export", options, bits)
     return (
-        screen.select(*key, "job_id", "pct", "rem_exec", c("assigned_exec").alias("screen_exec"))
-        .join(export.select(*key, c("assigned_exec").alias("export_exec")), key)
-        .filter(c("screen_exec") != c("export_exec"))
+        screen.selectExpr(*key, "job_id", "pct", "rem_exec", "assigned_exec AS screen_exec")
+        .join(export.selectExpr(*key, "assigned_exec AS export_exec"), key)
+        .filter("screen_exec <> export_exec")
     )
 
 
 def job_share(allocs: DataFrame) -> DataFrame:
     """Each job's percent of the remaining executors, cores and heap."""
-    return allocs.select(
+    return allocs.selectExpr(
         "cluster_id", "job_id", "job_idx", "pct", "job_exec", "job_cores", "job_mem",
-        percent(c("job_exec"), c("rem_exec")).alias("exec_pct"),
-        percent(c("job_cores"), c("rem_cores")).alias("core_pct"),
-        percent(c("job_mem"), c("rem_mem")).alias("mem_pct"),
-        one_decimal(c("job_mem") + c("job_exec") * c("job_oh") / 1024).alias("total_gb"))
+        f"{percent('job_exec', 'rem_exec')} AS exec_pct",
+        f"{percent('job_cores', 'rem_cores')} AS core_pct",
+        f"{percent('job_mem', 'rem_mem')} AS mem_pct", "job_total_gb AS total_gb")

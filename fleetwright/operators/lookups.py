@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetwright import schema
+from fleetwright.functions.columns import derive
 
 
 def apply_templates(clusters: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """A named template replaces node count, cores and memory; other names change nothing."""
     templates = templates if templates is not None else schema.template_dim(clusters.sparkSession)
     fields = ["nodes", "cpn", "rpn"]
-    dim = templates.select("template", *[F.col(f).cast("double").alias(f"_t_{f}") for f in fields])
-    joined = clusters.join(dim, "template", "left")
-    return joined.withColumns(
-        {f: F.coalesce(F.col(f"_t_{f}"), F.col(f).cast("double")) for f in fields}
-    ).drop(*[f"_t_{f}" for f in fields])
+    dim = templates.selectExpr("template", *[f"CAST({f} AS DOUBLE) AS _t_{f}" for f in fields])
+    joined = derive(clusters.join(dim, "template", "left"),
+                    {f: f"coalesce(_t_{f}, CAST({f} AS DOUBLE))" for f in fields})
+    return joined.drop(*[f"_t_{f}" for f in fields])
 
 
 def resolve_rm_reserve(clusters: DataFrame, rm_dim: DataFrame | None = None) -> DataFrame:
@@ -27,41 +27,35 @@ def resolve_rm_reserve(clusters: DataFrame, rm_dim: DataFrame | None = None) ->
     """
     rm_dim = rm_dim if rm_dim is not None else schema.rm_dim(clusters.sparkSession)
     yarn = next(reserve for name, reserve, _ in schema.RM_RESERVES if name == "yarn")
-    dim = rm_dim.select(F.col("rm").alias("_rm"), "default_reserve", "disabled")
-    clusters = clusters.withColumn("rm", F.coalesce(F.nullif("rm", F.lit("")), F.lit("yarn")))
-    joined = clusters.join(dim, F.col("rm") == F.col("_rm"), "left")
-    default = F.coalesce(F.col("default_reserve").cast("double"), F.lit(float(yarn)))
-    return joined.withColumn(
-        "rm_r",
-        F.when(F.coalesce(F.col("disabled"), F.lit(False)), F.lit(0.0))
-        .otherwise(F.coalesce(F.nullif(F.col("rm_r").cast("double"), F.lit(0.0)), default)),
-    ).drop("_rm", "default_reserve", "disabled")
+    dim = rm_dim.selectExpr("rm", "CAST(default_reserve AS DOUBLE) AS _default",
+                            "disabled AS _disabled")
+    named = derive(clusters, {"rm": "coalesce(nullif(rm, ''), 'yarn')"})
+    return derive(named.join(dim, "rm", "left"), {
+        "rm_r": "IF(coalesce(_disabled, false), 0D, coalesce(nullif(CAST(rm_r AS DOUBLE), 0D),"
+                f" _default, {float(yarn)}D))"}).drop("_default", "_disabled")
 
 
-def scheduler_label(scheduler: Column) -> Column:
-    known = F.lower(scheduler).isin("fair", "fifo", "capacity")
-    return F.when(known, F.upper(scheduler)).otherwise("FAIR")
+def scheduler_label(scheduler: str = "scheduler") -> str:
+    return f"IF(lower({scheduler}) IN ('fair', 'fifo', 'capacity'), upper({scheduler}), 'FAIR')"
 
 
 def label_dims(clusters: DataFrame, workload_dim: DataFrame | None = None) -> DataFrame:
     """Display labels; an unknown workload shows its own key."""
     dim = workload_dim if workload_dim is not None else schema.workload_dim(clusters.sparkSession)
-    dim = dim.select("workload", F.col("label").alias("_label"))
-    return clusters.join(dim, "workload", "left").withColumns({
-        "workload_label": F.coalesce(F.col("_label"), F.col("workload")),
-        "mode_label": F.upper("deploy_mode"),
-        "rm_label": F.upper("rm"),
-        "scheduler_label": scheduler_label(F.col("scheduler")),
-        "version_label": F.concat(F.lit("Spark "), F.col("sv")),
+    dim = dim.selectExpr("workload", "label AS _label")
+    return derive(clusters.join(dim, "workload", "left"), {
+        "workload_label": "coalesce(_label, workload)",
+        "mode_label": "upper(deploy_mode)",
+        "rm_label": "upper(rm)",
+        "scheduler_label": scheduler_label(),
+        "version_label": "concat('Spark ', sv)",
     }).drop("_label")
 
 
 def merge_custom_props(props: DataFrame, mode: str) -> DataFrame:
     """The cluster file keeps rows with key and value, a job file needs only the key."""
-    keep = F.length("key") > 0
-    if mode == "cluster":
-        keep = keep & (F.length("val") > 0)
-    return props.filter(keep).withColumn("val", F.coalesce("val", F.lit("")))
+    keep = "length(key) > 0" + (" AND length(val) > 0" if mode == "cluster" else "")
+    return derive(props.filter(keep), {"val": "coalesce(val, '')"})
 
 
 def apply_overrides(log: DataFrame) -> DataFrame:
@@ -70,13 +64,12 @@ def apply_overrides(log: DataFrame) -> DataFrame:
     One aggregation with nine filtered states instead of a pivot: one shuffle, combined
     on the map side, so a cluster with a very long log costs one row per input task.
     """
-    when = F.struct("ts", "seq")
-    entry = F.struct("is_reset", "value")
-    latest = log.groupBy("cluster_id").agg(*[
-        F.max_by(entry, F.when(F.col("field") == field, when)).alias(column)
+    latest = [
+        "max_by(struct(is_reset, coalesce(value, 0D) AS value), struct(ts, seq))"
+        f" FILTER (WHERE field = '{field}') AS {column}"
         for field, column in schema.OVERRIDE_FIELDS.items()
-    ])
-    return latest.select("cluster_id", *[
-        F.when(~F.col(f"{c}.is_reset"), F.coalesce(F.col(f"{c}.value"), F.lit(0.0))).alias(f"set_{c}")
-        for c in schema.OVERRIDE_FIELDS.values()
-    ])
+    ]
+    states = log.groupBy("cluster_id").agg(*[F.expr(state) for state in latest])
+    return states.selectExpr("cluster_id", *[
+        f"IF({c}.is_reset, NULL, {c}.value) AS set_{c}" for c in schema.OVERRIDE_FIELDS.values()])
+

@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetwright.functions.bands import band
-from fleetwright.functions.numbers import floor_d, half_up, one_decimal, percent
+from fleetwright.functions.columns import derive, open_rows, records
+from fleetwright.functions.numbers import at_least, floor_d, half_up, one_decimal, percent
 from fleetwright.operators.jobs import JobOptions
 
-c = F.col
-
 
 def _sums(allocs: DataFrame) -> DataFrame:
     # Overhead adds up figures rounded to a tenth; whole tenths keep the sum order-free.
-    return allocs.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).cast("double").alias("jobs"),
-        F.sum("job_exec").alias("used_exec"), F.sum("job_cores").alias("job_used_cores"),
-        F.sum("job_mem").alias("used_mem"),
-        (F.sum(half_up(c("job_oh_gb") * 10)) / 10).alias("used_oh"),
-    )
+    return allocs.groupBy("cluster_id").agg(*[F.expr(e) for e in (
+        "CAST(count(1) AS DOUBLE) AS jobs", "sum(job_exec) AS used_exec",
+        "sum(job_cores) AS job_used_cores", "sum(job_mem) AS used_mem",
+        f"sum({half_up('job_oh_gb * 10')}) / 10 AS used_oh")])
+
+
+def _with_sums(pool: DataFrame, allocs: DataFrame) -> DataFrame:
+    return derive(pool.join(_sums(allocs), "cluster_id", "left"), {
+        name: f"coalesce({name}, 0D)"
+        for name in ("jobs", "used_exec", "job_used_cores", "used_mem", "used_oh")})
 
 
 def plan_totals(allocs: DataFrame, pool: DataFrame) -> DataFrame:
@@ -27,85 +30,67 @@ def plan_totals(allocs: DataFrame, pool: DataFrame) -> DataFrame:
 
     The free percentage mixes two bases (pool and remaining pool) and is kept that way.
     """
-    totals = pool.join(_sums(allocs), "cluster_id", "left")
-    zero = F.lit(0.0)
-    sums = {name: F.coalesce(c(name), zero)
-            for name in ("jobs", "used_exec", "job_used_cores", "used_mem", "used_oh")}
-    return totals.withColumns(sums).withColumns({
-        "left_exec": c("rem_exec") - c("used_exec"),
-        "left_cores": c("rem_cores") - c("job_used_cores"),
-        "left_mem": c("rem_mem") - c("used_mem"),
-        "exec_used_pct": percent(c("used_exec"), c("rem_exec")),
-        "core_used_pct": percent(c("job_used_cores"), c("rem_cores")),
-        "mem_used_pct": percent(c("used_mem"), c("rem_mem")),
-        "core_reserved_pct": percent(c("res_cores"), c("pool_cores")),
-        "mem_reserved_pct": percent(c("res_mem"), c("pool_mem")),
-    }).withColumn("core_free_pct", F.greatest(
-        zero, 100 - c("core_reserved_pct") - c("core_used_pct"))).select(
+    return _with_sums(pool, allocs).selectExpr(
         "cluster_id", "jobs", "pool_exec", "pool_cores", "pool_mem", "pool_oh", "pool_total",
         "res_exec", "res_cores", "res_mem", "res_oh", "rem_exec", "rem_cores", "rem_mem",
-        "used_exec", "job_used_cores", "used_mem", "used_oh", "left_exec", "left_cores",
-        "left_mem", "exec_used_pct", "core_used_pct", "mem_used_pct", "core_reserved_pct",
-        "mem_reserved_pct", "core_free_pct")
+        "used_exec", "job_used_cores", "used_mem", "used_oh",
+        "rem_exec - used_exec AS left_exec", "rem_cores - job_used_cores AS left_cores",
+        "rem_mem - used_mem AS left_mem",
+        f"{percent('used_exec', 'rem_exec')} AS exec_used_pct",
+        f"{percent('job_used_cores', 'rem_cores')} AS core_used_pct",
+        f"{percent('used_mem', 'rem_mem')} AS mem_used_pct",
+        f"{percent('res_cores', 'pool_cores')} AS core_reserved_pct",
+        f"{percent('res_mem', 'pool_mem')} AS mem_reserved_pct",
+        f"{at_least(0, '100 - core_reserved_pct - core_used_pct')} AS core_free_pct")
 
 
 def capacity_summary(totals: DataFrame) -> DataFrame:
     """A5: headline figures and the split into jobs, reserved and free, per cluster."""
-    zero, none = F.lit(0.0), F.lit(None).cast("double")
-    free_exec = F.greatest(zero, c("left_exec"))
-    free_cores = F.greatest(zero, c("left_cores"))
-    free_mem = F.greatest(zero, c("left_mem"))
-
-    def row(section, item, value, of=none, pct=none, judged=False):
-        return F.struct(
-            F.lit(section).alias("section"), F.lit(item).alias("item"), value.alias("value"),
-            of.alias("of"), pct.alias("pct"),
-            (band("capacity", pct) if judged else F.lit(None).cast("string")).alias("band"))
-
-    def split(name, used, reserved, free, total):
-        return [row(name, item, value, total, percent(value, total))
-                for item, value in (("jobs", used), ("reserved", reserved), ("free", free))]
+    def row(section, item, value, of="NULL", pct="NULL"):
+        return {"section": f"'{section}'", "item": f"'{item}'", "value": value,
+                "of": f"CAST({of} AS DOUBLE)", "pct": f"CAST({pct} AS DOUBLE)",
+                "band": band("capacity", pct) if section == "headline" and pct != "NULL"
+                else "CAST(NULL AS STRING)"}
 
+    df = derive(totals, {f"free_{x}": at_least(0, f"left_{x}") for x in ("exec", "cores", "mem")})
     rows = [
-        row("headline", "executors", c("used_exec"), c("rem_exec"), c("exec_used_pct"), True),
-        row("headline", "tasks", c("job_used_cores"), c("rem_cores"), c("core_used_pct"), True),
-        row("headline", "heap_gb", c("used_mem"), c("rem_mem"), c("mem_used_pct"), True),
-        row("headline", "overhead_gb", c("used_oh")),
-        row("headline", "unallocated_tasks", free_cores),
-        row("headline", "reserved_executors", c("res_exec")),
-        *split("executors", c("used_exec"), c("res_exec"), free_exec, c("pool_exec")),
-        *split("tasks", c("job_used_cores"), c("res_cores"), free_cores, c("pool_cores")),
-        *split("heap_gb", c("used_mem"), c("res_mem"), free_mem, c("pool_mem")),
+        row("headline", "executors", "used_exec", "rem_exec", "exec_used_pct"),
+        row("headline", "tasks", "job_used_cores", "rem_cores", "core_used_pct"),
+        row("headline", "heap_gb", "used_mem", "rem_mem", "mem_used_pct"),
+        row("headline", "overhead_gb", "used_oh"),
+        row("headline", "unallocated_tasks", "free_cores"),
+        row("headline", "reserved_executors", "res_exec"),
     ]
-    return totals.select("cluster_id", F.posexplode(F.array(*rows)).alias("pos", "_r")).select(
-        "cluster_id", "pos", "_r.*")
+    splits = {
+        "executors": ("pool_exec", "used_exec", "res_exec", "free_exec"),
+        "tasks": ("pool_cores", "job_used_cores", "res_cores", "free_cores"),
+        "heap_gb": ("pool_mem", "used_mem", "res_mem", "free_mem"),
+    }
+    rows += [row(section, item, value, whole, percent(value, whole))
+             for section, (whole, *values) in splits.items()
+             for item, value in zip(("jobs", "reserved", "free"), values, strict=True)]
+    return open_rows(df, ["cluster_id"], records(rows))
 
 
 def job_plan_status(totals: DataFrame, options: JobOptions = JobOptions()) -> DataFrame:
     """R2: over-allocated, under-used or fine, with what to change."""
-    short = {name: c(f"left_{name}") < 0 for name in ("exec", "cores", "mem")}
-    over = short["exec"] | short["cores"] | short["mem"]
-    under = ~over & (c("left_exec") > c("rem_exec") * 0.25) & (c("rem_exec") > 0)
-    jobs = F.greatest(F.lit(1.0), c("jobs"))
-    lower = F.greatest(F.lit(1.0), floor_d(c("rem_exec") / jobs))
-    rules = F.filter(F.array(
-        F.when(short["exec"], "J1"), F.when(short["cores"], "J2"), F.when(short["mem"], "J3"),
-        F.when(over, "J4"), F.when(under, "J5"), F.when(~over & ~under, "J6"),
-    ), lambda r: r.isNotNull())
-    lacking = {f"short_{name}": F.when(hit, F.abs(f"left_{name}")).otherwise(F.lit(0.0))
-               for name, hit in short.items()}
-    return totals.filter("jobs > 0").select(
-        "cluster_id",
-        F.when(over, "over").when(under, "under").otherwise("ok").alias("status"),
-        F.array_join(rules, ",").alias("rules"),
-        *[value.alias(name) for name, value in lacking.items()],
-        F.when(short["exec"] & F.lit(options.enforce_executors), lower).alias("fix_min_executors"),
-        (over & short["cores"]).alias("fix_reduce_shares"),
-        over.alias("fix_drop_reservation"),
-        F.when(over, F.greatest(F.lit(1.0), c("jobs") - 1)).alias("fix_jobs"),
-        F.when(under, percent(c("left_exec"), c("rem_exec"))).alias("unused_pct"),
-        "core_used_pct",
-    )
+    df = derive(totals.filter("jobs > 0"), {
+        "_over": "left_exec < 0 OR left_cores < 0 OR left_mem < 0",
+        "_under": "NOT _over AND left_exec > rem_exec * 0.25D AND rem_exec > 0"})
+    hits = {"J1": "left_exec < 0", "J2": "left_cores < 0", "J3": "left_mem < 0", "J4": "_over",
+            "J5": "_under", "J6": "NOT _over AND NOT _under"}
+    rules = ", ".join(f"IF({cond}, '{rule}', NULL)" for rule, cond in hits.items())
+    lower = "NULL"
+    if options.enforce_executors:
+        lower = f"IF(left_exec < 0, {at_least(1, floor_d('rem_exec / jobs'))}, NULL)"
+    return df.selectExpr(
+        "cluster_id", "CASE WHEN _over THEN 'over' WHEN _under THEN 'under' ELSE 'ok' END AS status",
+        f"concat_ws(',', {rules}) AS rules",
+        *[f"IF(left_{x} < 0, -left_{x}, 0D) AS short_{x}" for x in ("exec", "cores", "mem")],
+        f"CAST({lower} AS DOUBLE) AS fix_min_executors",
+        "_over AND left_cores < 0 AS fix_reduce_shares", "_over AS fix_drop_reservation",
+        "IF(_over, greatest(1D, jobs - 1), NULL) AS fix_jobs",
+        f"IF(_under, {percent('left_exec', 'rem_exec')}, NULL) AS unused_pct", "core_used_pct")
 
 
 def job_floor_alerts(allocs: DataFrame, pool: DataFrame, options: JobOptions) -> DataFrame:
@@ -114,78 +99,69 @@ def job_floor_alerts(allocs: DataFrame, pool: DataFrame, options: JobOptions) ->
     J7 and J8 count jobs below a minimum; enforcement has already raised those, so both
     stay zero. The alert key is what `change_alerts` compares over time.
     """
-    je, jt = F.lit(options.enforce_executors), F.lit(options.enforce_tasks)
-    min_exec = F.lit(max(1.0, float(options.min_executors)))
-    min_tasks = F.lit(max(1.0, float(options.min_tasks)))
-    below = allocs.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).cast("double").alias("jobs"),
-        F.count_if(je & (c("job_exec") < min_exec)).alias("j7"),
-        F.count_if(jt & (c("job_cores") < min_tasks)).alias("j8"),
-    )
-    df = pool.select("cluster_id", "rem_exec", "rem_cores").join(below, "cluster_id").withColumns({
-        "need_exec": c("jobs") * min_exec, "need_tasks": c("jobs") * min_tasks,
-        "over_exec": je & (c("rem_exec") < c("jobs") * min_exec),
-        "over_tasks": jt & (c("rem_cores") < c("jobs") * min_tasks),
-    })
-    return df.withColumns({
-        "alert_key": F.concat(
-            F.when(c("j7") + c("j8") > 0, "BELOW").otherwise(""),
-            F.when(c("over_exec"), "OE").otherwise(""), F.when(c("over_tasks"), "OC").otherwise("")),
-        "fires": c("over_exec") | (c("j7") + c("j8") > 0),
-        "feasible_min": F.when(c("over_exec"), floor_d(c("rem_exec") / c("jobs"))),
-        "feasible_jobs": F.when(c("over_exec"), floor_d(c("rem_exec") / min_exec)),
+    min_exec, min_tasks = f"{max(1.0, float(options.min_executors))}D", f"{options.task_floor}D"
+    je, jt = str(options.enforce_executors).lower(), str(options.enforce_tasks).lower()
+    below = allocs.groupBy("cluster_id").agg(*[F.expr(e) for e in (
+        "CAST(count(1) AS DOUBLE) AS jobs", f"count_if({je} AND job_exec < {min_exec}) AS j7",
+        f"count_if({jt} AND job_cores < {min_tasks}) AS j8")])
+    joined = pool.select("cluster_id", "rem_exec", "rem_cores").join(below, "cluster_id")
+    return derive(joined, {
+        "need_exec": f"jobs * {min_exec}", "need_tasks": f"jobs * {min_tasks}",
+        "over_exec": f"{je} AND rem_exec < need_exec",
+        "over_tasks": f"{jt} AND rem_cores < need_tasks",
+        "alert_key": "concat(IF(j7 + j8 > 0, 'BELOW', ''), IF(over_exec, 'OE', ''),"
+                     " IF(over_tasks, 'OC', ''))",
+        "fires": "over_exec OR j7 + j8 > 0",
+        "feasible_min": f"IF(over_exec, {floor_d('rem_exec / jobs')}, NULL)",
+        "feasible_jobs": f"IF(over_exec, {floor_d(f'rem_exec / {min_exec}')}, NULL)",
     })
 
 
+def _series(df: DataFrame, pos: str, label: str, rows: list[dict[str, str]]) -> DataFrame:
+    return df.selectExpr("cluster_id", f"CAST({pos} AS BIGINT) AS pos", f"{label} AS label",
+                         f"inline({records(rows)})")
+
+
 def pool_segments(allocs: DataFrame, pool: DataFrame) -> DataFrame:
     """Reserved, each job and what is left, as parts of the pool's cores and heap."""
-    def parts(df, pos, label, cores, mem):
-        rows = F.array(
-            F.struct(F.lit("cores").alias("resource"), cores.alias("value"),
-                     c("pool_cores").alias("total")),
-            F.struct(F.lit("heap_gb").alias("resource"), mem.alias("value"),
-                     c("pool_mem").alias("total")))
-        return df.select("cluster_id", pos.cast("bigint").alias("pos"), label.alias("segment"),
-                         F.inline(rows))
-
-    reserved = parts(pool, F.lit(0), F.lit("reserved"), c("res_cores"), c("res_mem"))
-    jobs = parts(allocs, c("job_idx") + 1, c("job_name"), c("job_cores"), c("job_mem"))
-    taken = _sums(allocs).select("cluster_id", "jobs", "job_used_cores", "used_mem")
-    rest = pool.join(taken, "cluster_id")
-    zero = F.lit(0.0)
-    available = parts(
-        rest, c("jobs") + 1, F.lit("available"),
-        F.greatest(zero, c("pool_cores") - c("res_cores") - c("job_used_cores")),
-        F.greatest(zero, c("pool_mem") - c("res_mem") - c("used_mem")))
-    ends = reserved.unionByName(available).filter(c("value") > 0)
-    return ends.unionByName(jobs).withColumn("pct", percent(c("value"), c("total")))
+    def part(resource, value, total, keep="true"):
+        return {"resource": f"'{resource}'", "value": value, "total": total, "keep": keep}
+
+    jobs = _series(allocs, "job_idx + 1", "job_name", [
+        part("cores", "job_cores", "pool_cores"), part("heap_gb", "job_mem", "pool_mem")])
+    ends = _with_sums(pool, allocs)
+    reserved = [part("cores", "res_cores", "pool_cores", "res_cores > 0"),
+                part("heap_gb", "res_mem", "pool_mem", "res_mem > 0")]
+    free_cores = "pool_cores - res_cores - job_used_cores"
+    free_mem = "pool_mem - res_mem - used_mem"
+    free = [part("cores", free_cores, "pool_cores", f"jobs > 0 AND {free_cores} > 0"),
+            part("heap_gb", free_mem, "pool_mem", f"jobs > 0 AND {free_mem} > 0")]
+    rows = records(
+        [{"label": "'reserved'", "pos": "0L", **r} for r in reserved]
+        + [{"label": "'available'", "pos": "CAST(jobs + 1 AS BIGINT)", **r} for r in free])
+    both = ends.selectExpr("cluster_id", f"inline({rows})").unionByName(jobs).filter("keep")
+    return both.selectExpr("cluster_id", "pos", "label AS segment", "resource", "value", "total",
+                           f"{percent('value', 'total')} AS pct")
 
 
 def job_chart_series(allocs: DataFrame, pool: DataFrame) -> DataFrame:
     """Long series behind the job charts; reserved overhead includes the Python share."""
-    def series(df, pos, label, measures):
-        rows = F.array(*[
-            F.struct(F.lit(name).alias("measure"), value.cast("double").alias("value"),
-                     whole.alias("whole"))
-            for name, value, whole in measures])
-        return df.select("cluster_id", pos.cast("bigint").alias("pos"), label.alias("series"),
-                         F.inline(rows))
-
-    cores, mem = c("pool_cores"), c("pool_mem")
-    python = F.when(c("pyspark"), c("res_exec") * 1024).otherwise(F.lit(0.0))
-    reserved = series(pool, F.lit(0), F.lit("reserved"), [
-        ("tasks", c("res_cores"), cores), ("heap_gb", c("res_mem"), mem),
-        ("overhead_gb", one_decimal((c("res_oh_mb") + python) / 1024), mem)])
-    jobs = series(allocs, c("job_idx") + 1, c("job_name"), [
-        ("tasks", c("job_cores"), cores), ("heap_gb", c("job_mem"), mem),
-        ("overhead_gb", c("job_oh_gb"), mem),
-        ("executors", c("job_exec"), F.lit(None).cast("double"))])
-    rest = pool.join(_sums(allocs).select("cluster_id", "jobs", "job_used_cores", "used_mem"),
-                     "cluster_id")
-    zero = F.lit(0.0)
-    unused = series(rest, c("jobs") + 1, F.lit("unused"), [
-        ("tasks", F.greatest(zero, c("rem_cores") - c("job_used_cores")), cores),
-        ("heap_gb", F.greatest(zero, c("rem_mem") - c("used_mem")), mem),
-        ("overhead_gb", zero, mem)])
-    return reserved.unionByName(jobs).unionByName(unused).withColumn(
-        "pct", F.when(c("whole").isNotNull(), percent(c("value"), c("whole")))).drop("whole")
+    def points(tasks, heap, overhead):
+        return [{"measure": "'tasks'", "value": tasks, "whole": "pool_cores"},
+                {"measure": "'heap_gb'", "value": heap, "whole": "pool_mem"},
+                {"measure": "'overhead_gb'", "value": overhead, "whole": "pool_mem"}]
+
+    executors = {"measure": "'executors'", "value": "job_exec", "whole": "CAST(NULL AS DOUBLE)"}
+    jobs = _series(allocs, "job_idx + 1", "job_name",
+                   [*points("job_cores", "job_mem", "job_oh_gb"), executors])
+    ends = derive(_with_sums(pool, allocs), {
+        "_res_oh": one_decimal("(res_oh_mb + IF(pyspark, res_exec * 1024, 0D)) / 1024")})
+    reserved = points("res_cores", "res_mem", "_res_oh")
+    unused = points(at_least(0, "rem_cores - job_used_cores"), at_least(0, "rem_mem - used_mem"),
+                    "0D")
+    first = records([{"label": "'reserved'", "pos": "0L", **r} for r in reserved])
+    last = records([{"label": "'unused'", "pos": "CAST(jobs + 1 AS BIGINT)", **r} for r in unused])
+    rows = ends.selectExpr("cluster_id", f"inline(IF(jobs > 0, concat({first}, {last}), {first}))")
+    return rows.unionByName(jobs).selectExpr(
+        "cluster_id", "pos", "label AS series", "measure", "value",
+        f"IF(whole IS NULL, NULL, {percent('value', 'whole')}) AS pct")

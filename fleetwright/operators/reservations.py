@@ -5,30 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetwright.functions.columns import derive
 from fleetwright.functions.numbers import (
-    floor_d, half_up, one_decimal, overhead_mb, percent, pyspark_mb,
+    at_least, floor_d, half_up, one_decimal, or_else, overhead_mb, percent, pyspark_mb,
 )
 from fleetwright.functions.text import reservation_name
 from fleetwright.operators.slices import SLICE_BITS, slice_of, spread
 
-c = F.col
-
 
 def reservation_sums(res: DataFrame) -> DataFrame:
-    return res.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).cast("double").alias("res_n"),
-        F.sum("exec_count").alias("res_exec"),
-        F.sum(c("exec_count") * c("exec_cores")).alias("res_cores"),
-        F.sum(c("exec_count") * c("exec_mem_gb")).alias("res_mem"),
-        F.sum(c("exec_count") * overhead_mb(c("exec_mem_gb"))).alias("res_oh_mb"),
-    )
+    return res.groupBy("cluster_id").agg(*[F.expr(e) for e in (
+        "CAST(count(1) AS DOUBLE) AS res_n", "sum(exec_count) AS res_exec",
+        "sum(exec_count * exec_cores) AS res_cores", "sum(exec_count * exec_mem_gb) AS res_mem",
+        f"sum(exec_count * {overhead_mb('exec_mem_gb')}) AS res_oh_mb")])
 
 
 def reservation_totals(res: DataFrame, sized: DataFrame) -> DataFrame:
     """A1: reserved executors, cores and heap per cluster and their share of the executors."""
-    return reservation_sums(res).join(sized.select("cluster_id", "total_exec"), "cluster_id").select(
-        "cluster_id", "res_n", "res_exec", "res_cores", "res_mem",
-        percent(c("res_exec"), c("total_exec")).alias("res_pct"))
+    return reservation_sums(res).join(sized.select("cluster_id", "total_exec"), "cluster_id") \
+        .selectExpr("cluster_id", "res_n", "res_exec", "res_cores", "res_mem",
+                    f"{percent('res_exec', 'total_exec')} AS res_pct")
 
 
 def reservation_profile(res: DataFrame, sized: DataFrame, pyspark_overhead: bool = True,
@@ -38,22 +34,20 @@ def reservation_profile(res: DataFrame, sized: DataFrame, pyspark_overhead: bool
     The join meets on (cluster, block of positions), so a cluster with very many
     reservations is spread over many tasks.
     """
-    owners = reservation_sums(res).select("cluster_id", "res_n").join(sized, "cluster_id")
-    rows = res.withColumn("slice", slice_of("res_idx", bits))
-    joined = rows.join(spread(owners, c("res_n"), bits), ["cluster_id", "slice"])
-    pool = F.when(c("total_exec") != 0, c("total_exec")).otherwise(F.lit(1.0))
-    overhead = overhead_mb(c("exec_mem_gb"))
-    if pyspark_overhead:
-        overhead = overhead + pyspark_mb(c("pyspark"))
-    return joined.withColumns({
-        "res_name": reservation_name(c("res_idx")),
-        "res_cores": c("exec_count") * c("exec_cores"),
-        "res_mem": c("exec_count") * c("exec_mem_gb"),
-        "res_pct": half_up(c("exec_count") / pool * 100),
-        "res_para": c("exec_count") * c("exec_cores") * 2,
-        "res_oh": overhead,
-        "res_oh_gb": one_decimal(c("exec_count") * overhead / 1024),
-    }).drop("slice")
+    counts = res.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("res_n"))
+    owners = spread(counts.join(sized, "cluster_id"), "res_n", bits)
+    rows = derive(res, {"slice": slice_of("res_idx", bits)})
+    overhead = overhead_mb("exec_mem_gb")
+    joined = rows.join(owners, ["cluster_id", "slice"]).drop("slice")
+    return derive(joined, {
+        "res_name": reservation_name(),
+        "res_cores": "exec_count * exec_cores",
+        "res_mem": "exec_count * exec_mem_gb",
+        "res_pct": half_up(f"exec_count / {or_else('total_exec', '1D')} * 100"),
+        "res_para": "exec_count * exec_cores * 2",
+        "res_oh": f"{overhead} + {pyspark_mb()}" if pyspark_overhead else overhead,
+        "res_oh_gb": one_decimal("exec_count * res_oh / 1024"),
+    })
 
 
 def remaining_pool(sized: DataFrame, res: DataFrame) -> DataFrame:
@@ -61,46 +55,35 @@ def remaining_pool(sized: DataFrame, res: DataFrame) -> DataFrame:
 
     Overhead is kept apart from heap. All sized columns are carried along.
     """
-    sums = {name: F.coalesce(c(name), F.lit(0.0))
-            for name in ("res_n", "res_exec", "res_cores", "res_mem", "res_oh_mb")}
-    zero = F.lit(0.0)
-    return (
-        sized.join(reservation_sums(res), "cluster_id", "left").withColumns(sums)
-        .withColumns({
-            "pool_exec": c("total_exec"),
-            "pool_cores": c("total_ec"),
-            "pool_mem": half_up(c("total_exec") * c("exec_m")),
-            "pool_oh": half_up(c("total_exec") * c("exec_oh") / 1024),
-            "res_oh": half_up(c("res_exec") * c("exec_oh") / 1024),
-        })
-        .withColumns({
-            "pool_total": c("pool_mem") + c("pool_oh"),
-            "rem_exec": F.greatest(zero, c("pool_exec") - c("res_exec")),
-            "rem_cores": F.greatest(zero, c("pool_cores") - c("res_cores")),
-            "rem_mem": F.greatest(zero, c("pool_mem") - c("res_mem")),
-        })
-    )
+    joined = sized.join(reservation_sums(res), "cluster_id", "left")
+    joined = derive(joined, {name: f"coalesce({name}, 0D)" for name in (
+        "res_n", "res_exec", "res_cores", "res_mem", "res_oh_mb")})
+    return derive(joined, {
+        "pool_exec": "total_exec",
+        "pool_cores": "total_ec",
+        "pool_mem": half_up("total_exec * exec_m"),
+        "pool_oh": half_up("total_exec * exec_oh / 1024"),
+        "pool_total": "pool_mem + pool_oh",
+        "res_oh": half_up("res_exec * exec_oh / 1024"),
+        "rem_exec": at_least(0, "pool_exec - res_exec"),
+        "rem_cores": at_least(0, "pool_cores - res_cores"),
+        "rem_mem": at_least(0, "pool_mem - res_mem"),
+    })
 
 
 def suggest_floors(pool: DataFrame, num_jobs: str = "num_jobs", job_exec_c: float = 0) -> DataFrame:
     """Minimum executors and tasks per job, half of a fair share."""
-    n = F.coalesce(F.nullif(c(num_jobs), F.lit(0.0)), F.lit(2.0))
-    remaining = F.greatest(F.lit(1.0), c("total_exec") - c("res_exec"))
-    cores = F.lit(float(job_exec_c)) if job_exec_c > 0 else F.coalesce(
-        F.nullif(c("exec_c"), F.lit(0.0)), F.lit(4.0))
-    floor = F.greatest(F.lit(1.0), floor_d(floor_d(remaining / n) / 2))
-    return pool.select(
-        "cluster_id", remaining.alias("remaining"), n.alias("jobs"),
-        floor_d(remaining / n).alias("fair_share"), floor.alias("min_executors"),
-        F.greatest(F.lit(1.0), floor * cores).alias("min_tasks"))
+    cores = f"{float(job_exec_c)}D" if job_exec_c > 0 else or_else("exec_c", "4D")
+    return pool.selectExpr(
+        "cluster_id", f"{at_least(1, 'total_exec - res_exec')} AS remaining",
+        f"{or_else(num_jobs, '2D')} AS jobs", f"{floor_d('remaining / jobs')} AS fair_share",
+        f"{at_least(1, floor_d('fair_share / 2'))} AS min_executors",
+        f"{at_least(1, f'min_executors * {cores}')} AS min_tasks")
 
 
 def default_reservation(sized: DataFrame) -> DataFrame:
     """Size of a newly added reservation: a tenth of the executors, global cores and heap."""
-    def known(name, fallback):
-        return F.coalesce(F.nullif(c(name), F.lit(0.0)), F.lit(fallback))
-
-    return sized.select(
-        "cluster_id",
-        F.greatest(F.lit(1.0), half_up(known("total_exec", 10.0) * 0.1)).alias("exec_count"),
-        known("exec_c", 4.0).alias("exec_cores"), known("exec_m", 8.0).alias("exec_mem_gb"))
+    tenth = half_up(f"{or_else('total_exec', '10D')} * 0.1D")
+    return sized.selectExpr(
+        "cluster_id", f"{at_least(1, tenth)} AS exec_count",
+        f"{or_else('exec_c', '4D')} AS exec_cores", f"{or_else('exec_m', '8D')} AS exec_mem_gb")

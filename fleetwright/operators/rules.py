@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-c = F.col
+from fleetwright.functions.columns import open_rows, records
 
 
 @dataclass(frozen=True)
@@ -16,66 +16,56 @@ class Rule:
 
     name: str
     severity: str
-    when: Column
-    observed: Column
-    threshold: Column
-    fix: Column | None = None
-    fix_alt: Column | None = None
-
-    def row(self) -> Column:
-        none = F.lit(None).cast("double")
-        return F.struct(
-            F.lit(self.name).alias("rule"), F.lit(self.severity).alias("severity"),
-            self.observed.cast("double").alias("observed"),
-            self.threshold.cast("double").alias("threshold"),
-            (self.fix if self.fix is not None else none).alias("fix"),
-            (self.fix_alt if self.fix_alt is not None else none).alias("fix_alt"),
-            self.when.alias("hit"),
-        )
-
-
-def fired(rules: list[Rule]) -> Column:
+    when: str
+    observed: str
+    threshold: str
+    fix: str = "NULL"
+    fix_alt: str = "NULL"
+
+    def row(self) -> dict[str, str]:
+        return {
+            "rule": f"'{self.name}'", "severity": f"'{self.severity}'",
+            "observed": f"CAST({self.observed} AS DOUBLE)",
+            "threshold": f"CAST({self.threshold} AS DOUBLE)",
+            "fix": f"CAST({self.fix} AS DOUBLE)", "fix_alt": f"CAST({self.fix_alt} AS DOUBLE)",
+            "hit": self.when,
+        }
+
+
+def fired(rules: list[Rule]) -> str:
     """Array of the rules that hold for a row, in rule order."""
-    return F.filter(F.array(*[r.row() for r in rules]), lambda r: r["hit"])
-
-
-def warning_rules() -> list[Rule]:
-    cores, mem = c("core_util"), c("mem_util")
-    client = c("deploy_mode") == "client"
-    top, high = F.lit(95.0), F.lit(80.0)
-    yes = F.lit(1.0)
-    fewer_cores = F.greatest(F.lit(2.0), c("exec_c") - 1)
-    fewer_executors = F.greatest(F.lit(1.0), c("exec_pn") - 1)
-    less_heap = F.greatest(F.lit(1.0), c("exec_m") - 2)
-    worker = F.greatest(F.lit(512.0), c("exec_oh") - 1024)
-    return [
-        Rule("W1", "warning", ~c("enf_c") & (c("exec_c") < c("min_ec")), c("exec_c"), c("min_ec")),
-        Rule("W2", "warning", ~c("enf_m") & (c("exec_m") < c("min_em")), c("exec_m"), c("min_em")),
-        # W3 and W4 also fire when the computed value merely equals the minimum.
-        Rule("W3", "info", c("enf_c") & (c("exec_c") == c("min_ec")), c("exec_c"), c("min_ec")),
-        Rule("W4", "info", c("enf_m") & (c("exec_m") == c("min_em")), c("exec_m"), c("min_em")),
-        Rule("W5", "error", cores > 95, cores, top, fewer_cores, fewer_executors),
-        Rule("W6", "error", mem > 95, mem, top, less_heap),
-        Rule("W7", "warning", (cores > 80) & (cores <= 95), cores, high),
-        Rule("W8", "warning", (mem > 80) & (mem <= 95), mem, high),
-        Rule("W9", "warning", (c("exec_c") > 5) & (c("workload") != "ml"), c("exec_c"), F.lit(5.0)),
-        Rule("W10", "warning", c("exec_m") > 64, c("exec_m"), F.lit(64.0)),
-        Rule("W11", "warning", c("exec_oh") < 512, c("exec_oh"), F.lit(512.0)),
-        Rule("W12", "warning", c("para") < c("total_ec"), c("para"), c("total_ec"), c("total_ec")),
-        Rule("W13", "info", (cores < 50) & (mem < 50), F.greatest(cores, mem), F.lit(50.0)),
-        Rule("W14", "info", c("exec_pn") == 1, c("exec_pn"), F.lit(1.0)),
-        Rule("W15", "ok", c("aqe"), yes, yes),
-        Rule("W16", "info", c("dyn_alloc"), yes, yes),
-        Rule("W17", "info", c("pyspark"), yes, yes, worker),
-        Rule("W18", "error", client & (c("master_ram_util") > 90), c("master_ram_util"),
-             F.lit(90.0)),
-        Rule("W19", "warning", client & (c("master_ram_util") > 70) & (c("master_ram_util") <= 90),
-             c("master_ram_util"), F.lit(70.0)),
-        Rule("W20", "warning", client & (c("master_core_util") > 80), c("master_core_util"), high),
-        Rule("W21", "warning", client & (c("drv_m") >= 16), c("drv_m"), F.lit(16.0),
-             c("drv_m") + 4),
-    ]
-
+    return f"filter({records([r.row() for r in rules])}, r -> r.hit)"
+
+
+CLIENT = "deploy_mode = 'client'"
+
+# W3 and W4 also fire when the computed value merely equals the minimum.
+WARNINGS = [
+    Rule("W1", "warning", "NOT enf_c AND exec_c < min_ec", "exec_c", "min_ec"),
+    Rule("W2", "warning", "NOT enf_m AND exec_m < min_em", "exec_m", "min_em"),
+    Rule("W3", "info", "enf_c AND exec_c = min_ec", "exec_c", "min_ec"),
+    Rule("W4", "info", "enf_m AND exec_m = min_em", "exec_m", "min_em"),
+    Rule("W5", "error", "core_util > 95", "core_util", "95",
+         "greatest(2D, exec_c - 1)", "greatest(1D, exec_pn - 1)"),
+    Rule("W6", "error", "mem_util > 95", "mem_util", "95", "greatest(1D, exec_m - 2)"),
+    Rule("W7", "warning", "core_util > 80 AND core_util <= 95", "core_util", "80"),
+    Rule("W8", "warning", "mem_util > 80 AND mem_util <= 95", "mem_util", "80"),
+    Rule("W9", "warning", "exec_c > 5 AND workload <> 'ml'", "exec_c", "5"),
+    Rule("W10", "warning", "exec_m > 64", "exec_m", "64"),
+    Rule("W11", "warning", "exec_oh < 512", "exec_oh", "512"),
+    Rule("W12", "warning", "para < total_ec", "para", "total_ec", "total_ec"),
+    Rule("W13", "info", "core_util < 50 AND mem_util < 50", "greatest(core_util, mem_util)", "50"),
+    Rule("W14", "info", "exec_pn = 1", "exec_pn", "1"),
+    Rule("W15", "ok", "aqe", "1", "1"),
+    Rule("W16", "info", "dyn_alloc", "1", "1"),
+    Rule("W17", "info", "pyspark", "1", "1", "greatest(512D, exec_oh - 1024)"),
+    Rule("W18", "error", f"{CLIENT} AND master_ram_util > 90", "master_ram_util", "90"),
+    Rule("W19", "warning", f"{CLIENT} AND master_ram_util > 70 AND master_ram_util <= 90",
+         "master_ram_util", "70"),
+    Rule("W20", "warning", f"{CLIENT} AND master_core_util > 80", "master_core_util", "80"),
+    Rule("W21", "warning", f"{CLIENT} AND drv_m >= 16", "drv_m", "16", "drv_m + 4"),
+]
+NOTHING = Rule("W22", "ok", "true", "0", "0")
 
 # Our own one-line explanations; the figures are in the other columns.
 EXPLANATIONS = {
@@ -106,22 +96,25 @@ EXPLANATIONS = {
 
 def evaluate_warnings(sized: DataFrame) -> DataFrame:
     """One row per fired rule and cluster; W22 stands alone when nothing fired."""
-    hits = fired(warning_rules())
-    nothing = F.array(Rule("W22", "ok", F.lit(True), F.lit(0.0), F.lit(0.0)).row())
-    texts = F.create_map(*[F.lit(x) for pair in EXPLANATIONS.items() for x in pair])
-    return (
-        sized.withColumn("_hits", hits)
-        .select("cluster_id", F.posexplode(
-            F.when(F.size("_hits") > 0, c("_hits")).otherwise(nothing)).alias("pos", "_r"))
-        .select("cluster_id", "pos", "_r.rule", "_r.severity", "_r.observed", "_r.threshold",
-                "_r.fix", "_r.fix_alt", texts[c("_r.rule")].alias("explanation"))
-    )
+    hits = sized.selectExpr("cluster_id", f"{fired(WARNINGS)} AS _hits")
+    rows = open_rows(hits, ["cluster_id"], f"IF(size(_hits) > 0, _hits, {records([NOTHING.row()])})")
+    texts = ", ".join(f"'{rule}', '{text}'" for rule, text in EXPLANATIONS.items())
+    return rows.selectExpr("* EXCEPT (hit)", f"map({texts})[rule] AS explanation")
 
 
 # Limits of the tuning hints.
-GC_LIMIT_PCT = 10.0
-SKEW_FACTOR = 5.0
-LOW_HIT_PCT = 50.0
+GC_LIMIT_PCT = 10
+SKEW_FACTOR = 5
+LOW_HIT_PCT = 50
+
+HINTS = [
+    Rule("gc_time", "reduce_heap", f"gc > {GC_LIMIT_PCT}", "gc", str(GC_LIMIT_PCT)),
+    Rule("spill", "more_execution_memory", "spill > 0", "spill", "0"),
+    Rule("skew", "enable_aqe", f"slowest > median * {SKEW_FACTOR}", "slowest",
+         f"median * {SKEW_FACTOR}"),
+    Rule("evictions", "larger_storage_fraction", "evictions > 0", "evictions", "0"),
+    Rule("cache_hits", "more_heap", f"hits < {LOW_HIT_PCT}", "hits", str(LOW_HIT_PCT)),
+]
 
 
 def tuning_hints(metrics: DataFrame) -> DataFrame:
@@ -131,23 +124,12 @@ def tuning_hints(metrics: DataFrame) -> DataFrame:
     state stays small however many tasks a cluster reports.
     """
     def of(metric):
-        return F.when(c("metric") == metric, c("value"))
-
-    measured = metrics.groupBy("cluster_id").agg(
-        F.max(of("gc_pct")).alias("gc"), F.max(of("spill_gb")).alias("spill"),
-        F.max(of("evictions")).alias("evictions"), F.max(of("task_ms")).alias("slowest"),
-        F.percentile_approx(of("task_ms"), 0.5).alias("median"),
-        F.min(of("cache_hit_pct")).alias("hits"),
-    )
-    rules = [
-        Rule("gc_time", "reduce_heap", c("gc") > GC_LIMIT_PCT, c("gc"), F.lit(GC_LIMIT_PCT)),
-        Rule("spill", "more_execution_memory", c("spill") > 0, c("spill"), F.lit(0.0)),
-        Rule("skew", "enable_aqe", c("slowest") > c("median") * SKEW_FACTOR, c("slowest"),
-             c("median") * SKEW_FACTOR),
-        Rule("evictions", "larger_storage_fraction", c("evictions") > 0, c("evictions"),
-             F.lit(0.0)),
-        Rule("cache_hits", "more_heap", c("hits") < LOW_HIT_PCT, c("hits"), F.lit(LOW_HIT_PCT)),
-    ]
-    return measured.select("cluster_id", F.posexplode(fired(rules)).alias("pos", "_r")).select(
-        "cluster_id", "pos", c("_r.rule").alias("symptom"), c("_r.severity").alias("hint"),
-        "_r.observed", "_r.threshold")
+        return f"IF(metric = '{metric}', value, NULL)"
+
+    measured = metrics.groupBy("cluster_id").agg(*[F.expr(e) for e in (
+        f"max({of('gc_pct')}) AS gc", f"max({of('spill_gb')}) AS spill",
+        f"max({of('evictions')}) AS evictions", f"max({of('task_ms')}) AS slowest",
+        f"percentile_approx({of('task_ms')}, 0.5D) AS median",
+        f"min({of('cache_hit_pct')}) AS hits")])
+    return open_rows(measured, ["cluster_id"], fired(HINTS)).selectExpr(
+        "cluster_id", "pos", "rule AS symptom", "severity AS hint", "observed", "threshold")

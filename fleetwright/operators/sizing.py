@@ -2,27 +2,70 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fleetwright import schema
+from fleetwright.functions.columns import derive, records
 from fleetwright.functions.numbers import (
-    ceil_d, floor_d, half_up, overhead_mb, percent, percent_floor1, pyspark_mb,
+    at_least, ceil_d, floor_d, half_up, nonzero, or_else, overhead_mb, percent, pyspark_mb,
 )
 from fleetwright.operators.lookups import resolve_rm_reserve
 
 MAX_CURVE_NODES = 20
 
-
-def at_least(low: float, col):
-    return F.greatest(F.lit(float(low)), col)
-
-
-def nonzero(col):
-    """A hand-set zero gives no quotient (the floor of one applies) instead of failing the job."""
-    return F.nullif(col, F.lit(0.0))
+# Spec values as the formulas accept them.
+CLEAN_SPEC = {
+    "nodes": at_least(1, "nodes"), "cpn": at_least(1, "cpn"), "rpn": at_least(1, "rpn"),
+    "os_cr": at_least(0, "os_cr"), "min_ec": at_least(1, "min_ec"),
+    "min_em": at_least(1, "min_em"), "mf": or_else("mf", "0.6D"), "sf": or_else("sf", "0.5D"),
+    "master_ram": f"IF(deploy_mode = 'client', {at_least(1, 'master_ram')}, 0D)",
+    "master_cores": f"IF(deploy_mode = 'client', {at_least(1, 'master_cores')}, 0D)",
+}
+
+ON_CLUSTER = "deploy_mode = 'cluster'"
+ON_CLIENT = "deploy_mode = 'client'"
+
+# The derived figures in order of dependency; the nine override fields among them can be set.
+FORMULAS = {
+    "total_cores": "nodes * cpn",
+    "total_ram": "nodes * rpn",
+    "usable_cpn": at_least(1, "cpn - os_cr"),
+    "avail_ram": at_least(1, "rpn - os_r - rm_r"),
+    "exec_nodes": f"IF({ON_CLUSTER}, {at_least(1, 'nodes - 1')}, nodes)",
+    "reserve_ram": "nodes * (os_r + rm_r)",
+    "usable_total_cores": "nodes * usable_cpn",
+    "usable_total_ram": "nodes * avail_ram",
+    "_cores": "CASE workload WHEN 'streaming' THEN 2D WHEN 'ml' THEN least(8D, usable_cpn) ELSE "
+              f"least(5D, {floor_d('usable_cpn / ceil(usable_cpn / 5)')}) END",
+    "exec_c": at_least(1, "IF(enf_c, greatest(min_ec, _cores), _cores)"),
+    "exec_pn": at_least(1, floor_d(f"usable_cpn / {nonzero('exec_c')}")),
+    "total_exec": "exec_nodes * exec_pn",
+    "_heap": floor_d(f"avail_ram / {nonzero('exec_pn')} * 0.875D"),
+    "exec_m": at_least(1, "IF(enf_m, greatest(min_em, _heap), _heap)"),
+    "total_ec": "total_exec * exec_c",
+    "exec_oh": f"{overhead_mb('exec_m', 'ceil')} + {pyspark_mb()}",
+    "drv_m": f"IF({ON_CLUSTER}, {at_least(4, 'least(exec_m, 8D)')}, "
+             f"{at_least(4, 'least(16D, ' + half_up('total_ram * 0.02D') + ')')})",
+    "drv_c": f"IF({ON_CLUSTER}, 4D, 2D)",
+    "para": "total_ec * IF(workload = 'ml', 3D, 2D)",
+    "shuf_p": "para",
+    "dyn_max": "total_exec",
+    "used_cores": f"total_ec + IF({ON_CLUSTER}, drv_c, 0D)",
+    "exec_ram_gb": "total_exec * (exec_m + exec_oh / 1024)",
+    "drv_oh": overhead_mb("drv_m"),
+    "used_ram": f"IF({ON_CLUSTER}, exec_ram_gb + (drv_m + drv_c * 0.25D) + reserve_ram,"
+                " exec_ram_gb + reserve_ram)",
+    "core_util": half_up("used_cores / greatest(1D, total_cores) * 100"),
+    "mem_util": half_up("used_ram / greatest(1D, total_ram) * 100"),
+    "unused_cores": at_least(0, "total_cores - used_cores"),
+    "unused_ram": at_least(0, "total_ram - used_ram"),
+    "master_ram_used": f"IF({ON_CLIENT}, drv_m + drv_oh / 1024, 0D)",
+    "master_cores_used": f"IF({ON_CLIENT}, drv_c, 0D)",
+    "master_ram_util": percent("master_ram_used", "master_ram"),
+    "master_core_util": percent("master_cores_used", "master_cores"),
+    "master_ram_free": at_least(0, "master_ram - master_ram_used"),
+    "master_cores_free": at_least(0, "master_cores - master_cores_used"),
+}
 
 
 def size_fleet(clusters: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -39,94 +82,24 @@ def size_fleet(clusters: DataFrame, overrides: DataFrame | None = None) -> DataF
 
 
 def size_columns(df: DataFrame) -> DataFrame:
-    """The sizing formulas as layers of columns over a complete spec."""
-    given = set(df.columns)
-
-    def chosen(field, formula):
-        return F.coalesce(F.col(f"set_{field}"), formula) if f"set_{field}" in given else formula
-
-    c = F.col
-    on_cluster = c("deploy_mode") == "cluster"
-    on_client = c("deploy_mode") == "client"
-    layers = [
-        {
-            "nodes": at_least(1, c("nodes")), "cpn": at_least(1, c("cpn")),
-            "rpn": at_least(1, c("rpn")), "os_cr": at_least(0, c("os_cr")),
-            "min_ec": at_least(1, c("min_ec")), "min_em": at_least(1, c("min_em")),
-            "mf": F.coalesce(F.nullif(c("mf"), F.lit(0.0)), F.lit(0.6)),
-            "sf": F.coalesce(F.nullif(c("sf"), F.lit(0.0)), F.lit(0.5)),
-        },
-        {
-            "total_cores": c("nodes") * c("cpn"),
-            "total_ram": c("nodes") * c("rpn"),
-            "usable_cpn": at_least(1, c("cpn") - c("os_cr")),
-            "avail_ram": at_least(1, c("rpn") - c("os_r") - c("rm_r")),
-            "exec_nodes": F.when(on_cluster, at_least(1, c("nodes") - 1)).otherwise(c("nodes")),
-            "reserve_ram": c("nodes") * (c("os_r") + c("rm_r")),
-        },
-        {
-            "_cores": F.when(c("workload") == "streaming", F.lit(2.0))
-            .when(c("workload") == "ml", F.least(F.lit(8.0), c("usable_cpn")))
-            .otherwise(F.least(F.lit(5.0),
-                               floor_d(c("usable_cpn") / ceil_d(c("usable_cpn") / 5)))),
-            "usable_total_cores": c("nodes") * c("usable_cpn"),
-            "usable_total_ram": c("nodes") * c("avail_ram"),
-        },
-        {"exec_c": chosen("exec_c", at_least(1, F.when(
-            c("enf_c"), F.greatest(c("min_ec"), c("_cores"))).otherwise(c("_cores"))))},
-        {"exec_pn": chosen("exec_pn", at_least(1, floor_d(c("usable_cpn") / nonzero(c("exec_c")))))},
-        {"_heap": floor_d(c("avail_ram") / nonzero(c("exec_pn")) * 0.875),
-         "total_exec": c("exec_nodes") * c("exec_pn")},
-        {"exec_m": chosen("exec_m", at_least(1, F.when(
-            c("enf_m"), F.greatest(c("min_em"), c("_heap"))).otherwise(c("_heap")))),
-         "total_ec": c("total_exec") * c("exec_c")},
-        {"exec_oh": chosen("exec_oh", overhead_mb(c("exec_m"), "ceil") + pyspark_mb(c("pyspark"))),
-         "drv_m": chosen("drv_m", F.when(
-             on_cluster, at_least(4, F.least(c("exec_m"), F.lit(8.0))))
-             .otherwise(at_least(4, F.least(F.lit(16.0), half_up(c("total_ram") * 0.02))))),
-         "drv_c": chosen("drv_c", F.when(on_cluster, F.lit(4.0)).otherwise(F.lit(2.0))),
-         "para": chosen("para", c("total_ec")
-                        * F.when(c("workload") == "ml", F.lit(3.0)).otherwise(F.lit(2.0))),
-         "dyn_max": chosen("dyn_max", c("total_exec"))},
-        {"shuf_p": chosen("shuf_p", c("para")),
-         "used_cores": c("total_ec") + F.when(on_cluster, c("drv_c")).otherwise(F.lit(0.0)),
-         "exec_ram_gb": c("total_exec") * (c("exec_m") + c("exec_oh") / 1024),
-         "drv_oh": overhead_mb(c("drv_m"))},
-        {"used_ram": F.when(on_cluster, c("exec_ram_gb") + (c("drv_m") + c("drv_c") * 0.25)
-                            + c("reserve_ram")).otherwise(c("exec_ram_gb") + c("reserve_ram")),
-         "master_ram": F.when(on_client, at_least(1, c("master_ram"))).otherwise(F.lit(0.0)),
-         "master_cores": F.when(on_client, at_least(1, c("master_cores"))).otherwise(F.lit(0.0)),
-         "master_ram_used": F.when(on_client, c("drv_m") + c("drv_oh") / 1024)
-         .otherwise(F.lit(0.0)),
-         "master_cores_used": F.when(on_client, c("drv_c")).otherwise(F.lit(0.0))},
-        {"core_util": percent_floor1(c("used_cores"), c("total_cores")),
-         "mem_util": percent_floor1(c("used_ram"), c("total_ram")),
-         "unused_cores": at_least(0, c("total_cores") - c("used_cores")),
-         "unused_ram": at_least(0, c("total_ram") - c("used_ram")),
-         "master_ram_util": percent(c("master_ram_used"), c("master_ram")),
-         "master_core_util": percent(c("master_cores_used"), c("master_cores")),
-         "master_ram_free": at_least(0, c("master_ram") - c("master_ram_used")),
-         "master_cores_free": at_least(0, c("master_cores") - c("master_cores_used"))},
-    ]
-    sized = reduce(lambda d, layer: d.withColumns(layer), layers, df)
-    return sized.drop("_cores", "_heap", *[f"set_{f}" for f in schema.OVERRIDE_FIELDS.values()])
+    """The sizing formulas over a complete spec."""
+    df = derive(df.drop(*FORMULAS), CLEAN_SPEC)
+    set_fields = {c for c in schema.OVERRIDE_FIELDS.values() if f"set_{c}" in df.columns}
+    formulas = {name: f"coalesce(set_{name}, {expr})" if name in set_fields else expr
+                for name, expr in FORMULAS.items()}
+    return derive(df, formulas).drop("_cores", "_heap", *[f"set_{f}" for f in set_fields])
 
 
 def scaling_curve(sized: DataFrame, max_n: int = MAX_CURVE_NODES) -> DataFrame:
     """Executors, tasks and parallelism for 1..n nodes with per-node sizing held fixed."""
-    top = F.least(F.lit(max_n), F.floor("nodes").cast("int"))
-    points = sized.select(
+    points = sized.selectExpr(
         "cluster_id", "deploy_mode", "exec_pn", "exec_c",
-        F.explode(F.sequence(F.lit(1), top)).alias("n"),
-    )
-    used = F.when(F.col("deploy_mode") == "cluster", F.greatest(F.lit(1), F.col("n") - 1))
-    executors = used.otherwise(F.col("n")) * F.col("exec_pn")
-    return points.withColumn("executors", executors).select(
-        "cluster_id", "n", "executors",
-        (F.col("executors") * F.col("exec_c")).alias("tasks"),
-        (F.col("executors") * F.col("exec_c") * 2).alias("parallelism"),
-        half_up(F.col("executors") * F.col("exec_c") * 2 / 10).alias("parallelism_tenth"),
-    )
+        f"explode(sequence(1, CAST(least({max_n}, floor(nodes)) AS INT))) AS n")
+    points = derive(points, {"executors": f"IF({ON_CLUSTER}, greatest(1, n - 1), n) * exec_pn"})
+    return points.selectExpr(
+        "cluster_id", "n", "executors", "executors * exec_c AS tasks",
+        "executors * exec_c * 2 AS parallelism",
+        f"{half_up('executors * exec_c * 2 / 10')} AS parallelism_tenth")
 
 
 def what_if(clusters: DataFrame, variants: list[dict]) -> DataFrame:
@@ -136,34 +109,29 @@ def what_if(clusters: DataFrame, variants: list[dict]) -> DataFrame:
     place, so the fleet is neither shuffled nor joined.
     """
     df = schema.with_defaults(clusters)
-    fields = sorted({f for v in variants for f in v})
     types = dict(df.dtypes)
-    options = F.array(*[
-        F.struct(F.lit(i).alias("variant"), *[
-            (F.lit(v[f]).cast(types[f]) if f in v else F.lit(None).cast(types[f])).alias(f)
-            for f in fields])
-        for i, v in enumerate(variants)
-    ])
-    exploded = df.withColumn("_v", F.explode(options))
-    exploded = exploded.withColumns(
-        {"variant": F.col("_v.variant"),
-         **{f: F.coalesce(F.col(f"_v.{f}"), F.col(f)) for f in fields}}
-    ).drop("_v")
-    return size_columns(resolve_rm_reserve(exploded))
+    fields = sorted({f for v in variants for f in v})
+
+    def literal(value):
+        return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value)
+
+    options = records([
+        {"variant": str(i), **{f"new_{f}": f"CAST({literal(v.get(f))} AS {types[f]})"
+                               for f in fields}}
+        for i, v in enumerate(variants)])
+    exploded = derive(df.selectExpr("*", f"inline({options})"),
+                      {f: f"coalesce(new_{f}, {f})" for f in fields})
+    return size_columns(resolve_rm_reserve(exploded.drop(*[f"new_{f}" for f in fields])))
 
 
 def driver_profile(sized: DataFrame) -> DataFrame:
     """Where the driver runs and how heavy it is there."""
-    c = F.col
-    client, cluster = c("deploy_mode") == "client", c("deploy_mode") == "cluster"
-    return sized.select(
+    return sized.selectExpr(
         "cluster_id", "deploy_mode",
-        F.when(client, F.when(c("drv_m") >= 16, "high").when(c("drv_m") >= 8, "moderate")
-               .otherwise("low")).alias("footprint"),
-        c("drv_m").alias("heap_gb"), c("drv_oh").alias("overhead_mb"), c("drv_c").alias("cores"),
-        F.when(cluster, F.lit(1.0)).otherwise(F.lit(0.0)).alias("reserved_nodes"),
-        "exec_nodes", "exec_pn", "total_exec",
-    )
+        f"CASE WHEN {ON_CLIENT} THEN CASE WHEN drv_m >= 16 THEN 'high' WHEN drv_m >= 8"
+        " THEN 'moderate' ELSE 'low' END END AS footprint",
+        "drv_m AS heap_gb", "drv_oh AS overhead_mb", "drv_c AS cores",
+        f"IF({ON_CLUSTER}, 1D, 0D) AS reserved_nodes", "exec_nodes", "exec_pn", "total_exec")
 
 
 # Fallbacks of the dynamic allocation bounds.
@@ -173,17 +141,13 @@ DYN_MIN, DYN_INIT, DYN_IDLE_SECONDS = 1.0, 4.0, 60.0
 def dynamic_allocation_plan(sized: DataFrame) -> DataFrame:
     """Executor bounds and the shuffle setting each resource manager needs."""
     def given(name, fallback):
-        if name not in sized.columns:
-            return fallback
-        return F.coalesce(F.nullif(F.col(name).cast("double"), F.lit(0.0)), fallback)
+        return or_else(f"CAST({name} AS DOUBLE)", fallback) if name in sized.columns else fallback
 
-    yarn = F.col("rm") == "yarn"
-    return sized.filter("dyn_alloc").select(
+    return sized.filter("dyn_alloc").selectExpr(
         "cluster_id", "rm",
-        given("dyn_min", F.lit(DYN_MIN)).alias("min_executors"),
-        given("dyn_max", F.col("total_exec")).alias("max_executors"),
-        given("dyn_init", F.lit(DYN_INIT)).alias("initial_executors"),
-        given("dyn_idle", F.lit(DYN_IDLE_SECONDS)).alias("idle_seconds"),
-        F.when(yarn, "spark.shuffle.service.enabled")
-        .otherwise("spark.dynamicAllocation.shuffleTracking.enabled").alias("shuffle_property"),
-    )
+        f"{given('dyn_min', f'{DYN_MIN}D')} AS min_executors",
+        f"{given('dyn_max', 'total_exec')} AS max_executors",
+        f"{given('dyn_init', f'{DYN_INIT}D')} AS initial_executors",
+        f"{given('dyn_idle', f'{DYN_IDLE_SECONDS}D')} AS idle_seconds",
+        "IF(rm = 'yarn', 'spark.shuffle.service.enabled',"
+        " 'spark.dynamicAllocation.shuffleTracking.enabled') AS shuffle_property")

@@ -25,18 +25,18 @@ HOT_ROWS = 4_000_000
 MAX_HOT_KEYS = 100_000
 
 
-def slice_of(idx, bits: int = SLICE_BITS):
-    return F.shiftright(F.col(idx).cast("long") if isinstance(idx, str) else idx, bits)
+def slice_of(idx: str, bits: int = SLICE_BITS) -> str:
+    return f"shiftright(CAST({idx} AS BIGINT), {bits})"
 
 
-def spread(one: DataFrame, rows, bits: int = SLICE_BITS) -> DataFrame:
+def spread(one: DataFrame, rows: str, bits: int = SLICE_BITS) -> DataFrame:
     """Repeat each row once per slice of its group (`rows` = rows of the group).
 
     Joining on (group, slice) instead of (group) then meets no key above 2**bits rows;
     groups that fit one slice are not repeated.
     """
-    last = F.greatest(F.lit(0).cast("long"), slice_of(rows.cast("long") - 1, bits))
-    return one.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    last = f"greatest(0L, {slice_of(f'{rows} - 1', bits)})"
+    return one.selectExpr("*", f"explode(sequence(0L, {last})) AS slice")
 
 
 def positions(df: DataFrame, group: list[str], id_col: str, order: list[str], out: str,
@@ -46,7 +46,7 @@ def positions(df: DataFrame, group: list[str], id_col: str, order: list[str], ou
     `order` must start with `id_col`, a whole number.
     """
     weight_col = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    cut = df.withColumn("_slice", slice_of(id_col, bits))
+    cut = df.selectExpr("*", f"{slice_of(id_col, bits)} AS _slice")
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         cut.groupBy(*group, "_slice").agg(F.sum(weight_col).alias("_n"))

@@ -2,134 +2,113 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import groupby
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetwright.functions.numbers import half_up, num_text, overhead_mb
-from fleetwright.functions.text import CLUSTER_KEY_WIDTH, JOB_KEY_WIDTH, pad_end, slug
+from fleetwright.functions.columns import derive, open_rows, records
+from fleetwright.functions.numbers import half_up, num_text, or_else, overhead_mb
+from fleetwright.functions.text import (
+    CLUSTER_KEY_WIDTH, JOB_KEY_WIDTH, pad_end, quote, say, slug,
+)
 from fleetwright.operators.lookups import merge_custom_props, scheduler_label
 from fleetwright.operators.sizing import DYN_IDLE_SECONDS, DYN_INIT, DYN_MIN
 
-c = F.col
-
-# Property lines of a cluster's own additions per text part; longer lists continue in
-# further parts, so no text grows without bound.
+# Lines of a cluster's own additions per text part; longer lists continue in further
+# parts, so no text grows without bound.
 PART_LINES = 10_000
 CUSTOM_POS = 100
 
 KRYO = "org.apache.spark.serializer.KryoSerializer"
 
-
-def _gb(col: str) -> Column:
-    return F.concat(num_text(c(col)), F.lit("g"))
-
-
-def _mb(col: Column) -> Column:
-    return F.concat(num_text(col), F.lit("m"))
-
-
-def _entries(rows) -> Column:
-    """Array of (section, key, value); rows whose value is null are left out."""
-    structs = [
-        F.struct(F.lit(section).alias("section"),
-                 (F.lit(key) if isinstance(key, str) else key).alias("key"),
-                 (F.lit(value) if isinstance(value, str) else value).alias("value"))
-        for section, key, value in rows
-    ]
-    return F.filter(F.array(*structs), lambda r: r["value"].isNotNull())
-
-
-def _shared_rows():
-    aqe = c("aqe").cast("string")
-    return {
-        "memory": [("memory", "spark.memory.fraction", num_text(c("mf"))),
-                   ("memory", "spark.memory.storageFraction", num_text(c("sf")))],
-        "driver": [("driver", "spark.driver.memory", _gb("drv_m")),
-                   ("driver", "spark.driver.cores", num_text(c("drv_c"))),
-                   ("driver", "spark.driver.memoryOverhead", _mb(c("drv_oh")))],
-        "aqe": [("adaptive", "spark.sql.adaptive.enabled", aqe),
-                ("adaptive", "spark.sql.adaptive.coalescePartitions.enabled", aqe),
-                ("adaptive", "spark.sql.adaptive.skewJoin.enabled", aqe)],
-    }
-
-
-def cluster_entries() -> Column:
-    shared = _shared_rows()
-    dyn = c("dyn_alloc")
-
-    def on(value):
-        return F.when(dyn, value)
-
-    prefix = "spark.dynamicAllocation."
-    dynamic_max = F.coalesce(F.nullif(c("dyn_max"), F.lit(0.0)), c("total_exec"))
-    return _entries([
-        ("executor", "spark.executor.cores", num_text(c("exec_c"))),
-        ("executor", "spark.executor.memory", _gb("exec_m")),
-        ("executor", "spark.executor.memoryOverhead", _mb(c("exec_oh"))),
-        ("executor", "spark.executor.instances", num_text(c("total_exec"))),
-        *shared["driver"],
-        ("parallelism", "spark.default.parallelism", num_text(c("para"))),
-        ("parallelism", "spark.sql.shuffle.partitions", num_text(c("shuf_p"))),
-        *shared["memory"],
-        *shared["aqe"],
-        ("dynamic", f"{prefix}enabled", F.when(dyn, "true").otherwise("false")),
-        ("dynamic", f"{prefix}minExecutors", on(num_text(F.lit(DYN_MIN)))),
-        ("dynamic", f"{prefix}maxExecutors", on(num_text(dynamic_max))),
-        ("dynamic", f"{prefix}initialExecutors", on(num_text(F.lit(DYN_INIT)))),
-        ("dynamic", f"{prefix}executorIdleTimeout",
-         on(F.concat(num_text(F.lit(DYN_IDLE_SECONDS)), F.lit("s")))),
-        ("dynamic", "spark.shuffle.service.enabled", F.when(dyn & (c("rm") == "yarn"), "true")),
-        ("dynamic", f"{prefix}shuffleTracking.enabled", F.when(dyn & (c("rm") != "yarn"), "true")),
-        ("network", "spark.serializer", KRYO),
-        ("network", "spark.kryoserializer.buffer.max", "512m"),
-        ("network", "spark.network.timeout", "120s"),
-        ("network", "spark.rpc.askTimeout", "120s"),
-    ])
-
-
-def _executor_rows(count, cores, heap, overhead, para):
+# Property lists: (section, key, value expression); a null value leaves the property out.
+DRIVER = [
+    ("driver", "spark.driver.memory", say("{drv_m}g")),
+    ("driver", "spark.driver.cores", num_text("drv_c")),
+    ("driver", "spark.driver.memoryOverhead", say("{drv_oh}m")),
+]
+MEMORY = [
+    ("memory", "spark.memory.fraction", num_text("mf")),
+    ("memory", "spark.memory.storageFraction", num_text("sf")),
+]
+ADAPTIVE = [
+    ("adaptive", "spark.sql.adaptive.enabled", "CAST(aqe AS STRING)"),
+    ("adaptive", "spark.sql.adaptive.coalescePartitions.enabled", "CAST(aqe AS STRING)"),
+    ("adaptive", "spark.sql.adaptive.skewJoin.enabled", "CAST(aqe AS STRING)"),
+]
+KRYO_LINE = ("network", "spark.serializer", quote(KRYO))
+KRYO_BUFFER = ("network", "spark.kryoserializer.buffer.max", "'512m'")
+DYNAMIC_MAX = num_text(or_else("dyn_max", "total_exec"))
+
+
+def _dynamic(key: str, value: str, when: str = "dyn_alloc") -> tuple[str, str, str]:
+    return "dynamic", key, f"IF({when}, {value}, NULL)"
+
+
+CLUSTER_CONF = [
+    ("executor", "spark.executor.cores", num_text("exec_c")),
+    ("executor", "spark.executor.memory", say("{exec_m}g")),
+    ("executor", "spark.executor.memoryOverhead", say("{exec_oh}m")),
+    ("executor", "spark.executor.instances", num_text("total_exec")),
+    *DRIVER,
+    ("parallelism", "spark.default.parallelism", num_text("para")),
+    ("parallelism", "spark.sql.shuffle.partitions", num_text("shuf_p")),
+    *MEMORY,
+    *ADAPTIVE,
+    ("dynamic", "spark.dynamicAllocation.enabled", "CAST(dyn_alloc AS STRING)"),
+    _dynamic("spark.dynamicAllocation.minExecutors", f"'{DYN_MIN:.0f}'"),
+    _dynamic("spark.dynamicAllocation.maxExecutors", DYNAMIC_MAX),
+    _dynamic("spark.dynamicAllocation.initialExecutors", f"'{DYN_INIT:.0f}'"),
+    _dynamic("spark.dynamicAllocation.executorIdleTimeout", f"'{DYN_IDLE_SECONDS:.0f}s'"),
+    _dynamic("spark.shuffle.service.enabled", "'true'", "dyn_alloc AND rm = 'yarn'"),
+    _dynamic("spark.dynamicAllocation.shuffleTracking.enabled", "'true'",
+             "dyn_alloc AND rm <> 'yarn'"),
+    KRYO_LINE,
+    KRYO_BUFFER,
+    ("network", "spark.network.timeout", "'120s'"),
+    ("network", "spark.rpc.askTimeout", "'120s'"),
+]
+
+
+def _executors(count: str, cores: str, heap: str, overhead: str, between: list, para: str) -> list:
     return [
-        ("executor", "spark.executor.instances", num_text(c(count))),
-        ("executor", "spark.executor.cores", num_text(c(cores))),
-        ("executor", "spark.executor.memory", _gb(heap)),
-        ("executor", "spark.executor.memoryOverhead", _mb(overhead)),
-    ], [
-        ("parallelism", "spark.default.parallelism", num_text(c(para))),
-        ("parallelism", "spark.sql.shuffle.partitions", num_text(c(para))),
+        ("executor", "spark.executor.instances", num_text(count)),
+        ("executor", "spark.executor.cores", num_text(cores)),
+        ("executor", "spark.executor.memory", f"concat({num_text(heap)}, 'g')"),
+        ("executor", "spark.executor.memoryOverhead", f"concat({num_text(overhead)}, 'm')"),
+        *between,
+        ("parallelism", "spark.default.parallelism", num_text(para)),
+        ("parallelism", "spark.sql.shuffle.partitions", num_text(para)),
     ]
 
 
-def job_entries() -> Column:
-    shared = _shared_rows()
-    executor, parallel = _executor_rows("job_exec", "job_exec_c", "job_heap", c("job_oh"), "job_para")
-    return _entries([
-        *executor, *shared["driver"], *parallel, *shared["memory"], *shared["aqe"],
-        ("network", "spark.serializer", KRYO),
-        ("network", "spark.kryoserializer.buffer.max", "512m"),
-    ])
-
-
-def reservation_entries() -> Column:
-    # A reservation's file leaves the Python share out of the overhead.
-    executor, parallel = _executor_rows(
-        "exec_count", "exec_cores", "exec_mem_gb", overhead_mb(c("exec_mem_gb")), "res_para")
-    return _entries([*executor, *parallel, ("network", "spark.serializer", KRYO)])
+JOB_CONF = [
+    *_executors("job_exec", "job_exec_c", "job_heap", "job_oh", DRIVER, "job_para"),
+    *MEMORY, *ADAPTIVE, KRYO_LINE, KRYO_BUFFER,
+]
+# A reservation's file leaves the Python share out of the overhead.
+RESERVATION_CONF = [
+    *_executors("exec_count", "exec_cores", "exec_mem_gb", overhead_mb("exec_mem_gb"), [], "res_para"),
+    KRYO_LINE,
+]
 
 
-def _long(df: DataFrame, owner: list[str], entries: Column) -> DataFrame:
-    return df.select(*owner, F.posexplode(entries).alias("pos", "_e")).select(
-        *owner, "pos", "_e.section", "_e.key", "_e.value")
+def _long(df: DataFrame, owner: list[str], conf: list[tuple[str, str, str]]) -> DataFrame:
+    rows = records([{"section": f"'{section}'", "key": f"'{key}'", "value": value}
+                    for section, key, value in conf])
+    return open_rows(df, owner, f"filter({rows}, r -> r.value IS NOT NULL)")
 
 
-def _custom_rows(props: DataFrame, mode: str, *owner: Column) -> DataFrame:
-    kept = merge_custom_props(props, mode)
-    return kept.select("cluster_id", *owner, (c("pos") + CUSTOM_POS).cast("int").alias("pos"),
-                       F.lit("custom").alias("section"), "key", c("val").alias("value"))
+def _custom_rows(props: DataFrame, mode: str, *owner: str) -> DataFrame:
+    return merge_custom_props(props, mode).selectExpr(
+        "cluster_id", *owner, f"CAST(pos + {CUSTOM_POS} AS INT) AS pos", "'custom' AS section",
+        "key", "val AS value")
 
 
 def conf_properties(sized: DataFrame, props: DataFrame | None = None) -> DataFrame:
     """Properties of each cluster, its own additions last."""
-    rows = _long(sized, ["cluster_id"], cluster_entries())
+    rows = _long(sized, ["cluster_id"], CLUSTER_CONF)
     return rows if props is None else rows.unionByName(_custom_rows(props, "cluster"))
 
 
@@ -138,38 +117,40 @@ def job_conf_properties(allocs: DataFrame, props: DataFrame | None = None) -> Da
 
     Additions hold for every job of the cluster and are listed once, without a job.
     """
-    rows = _long(allocs, ["cluster_id", "job_idx"], job_entries())
-    every = F.lit(None).cast("bigint").alias("job_idx")
+    rows = _long(allocs, ["cluster_id", "job_idx"], JOB_CONF)
+    every = "CAST(NULL AS BIGINT) AS job_idx"
     return rows if props is None else rows.unionByName(_custom_rows(props, "job", every))
 
 
 def reservation_conf_properties(profile: DataFrame, props: DataFrame | None = None) -> DataFrame:
     """Properties of each reservation; additions are listed once per cluster."""
-    rows = _long(profile, ["cluster_id", "res_idx"], reservation_entries())
-    every = F.lit(None).cast("bigint").alias("res_idx")
+    rows = _long(profile, ["cluster_id", "res_idx"], RESERVATION_CONF)
+    every = "CAST(NULL AS BIGINT) AS res_idx"
     return rows if props is None else rows.unionByName(_custom_rows(props, "job", every))
 
 
-def entries_text(entries: Column, width: int) -> Column:
-    """Property lines with a heading before each section."""
-    def line(e, i):
-        new = ~F.get(entries, i - 1)["section"].eqNullSafe(e["section"])
-        heading = F.when(new, F.concat(F.lit("# "), e["section"], F.lit("\n"))).otherwise("")
-        return F.concat(heading, pad_end(e["key"], width), e["value"])
+def conf_text(conf: list[tuple[str, str, str]], width: int) -> str:
+    """Property file as one expression over a row's columns, a heading before each section.
 
-    return F.array_join(F.transform(entries, line), "\n")
+    The first property of a section must always be present.
+    """
+    lines = []
+    for section, rows in groupby(conf, key=lambda row: row[0]):
+        heading = f"# {section}\n"
+        for _, key, value in rows:
+            lines.append(f"concat({quote(heading + key.ljust(width))}, {value})")
+            heading = ""
+    return f"concat_ws('\\n', {', '.join(lines)})"
 
 
 def custom_blocks(props: DataFrame, mode: str, width: int) -> DataFrame:
     """Text of each cluster's additions in parts of bounded length."""
-    line = F.concat(pad_end(c("key"), width), c("val"))
-    return (
-        merge_custom_props(props, mode)
-        .groupBy("cluster_id", F.floor(c("pos") / PART_LINES).cast("int").alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("_lines"))
-        .select("cluster_id", "part", F.concat(
-            F.lit("# custom\n"), F.array_join(c("_lines.line"), "\n")).alias("custom_text"))
-    )
+    lines = merge_custom_props(props, mode).selectExpr(
+        "cluster_id", f"CAST(floor(pos / {PART_LINES}) AS INT) AS part",
+        f"struct(pos, concat({pad_end('key', width)}, val) AS line) AS entry")
+    return lines.groupBy("cluster_id", "part").agg(F.collect_list("entry").alias("entries")) \
+        .selectExpr("cluster_id", "part", "concat('# custom\\n',"
+                    " array_join(array_sort(entries).line, '\\n')) AS custom_text")
 
 
 def with_custom_text(df: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -178,117 +159,96 @@ def with_custom_text(df: DataFrame, blocks: DataFrame) -> DataFrame:
     return df.join(first, "cluster_id", "left")
 
 
-def render_text(df: DataFrame, owner: list[str], entries: Column, width: int,
-                file_name: Column, blocks: DataFrame | None = None) -> DataFrame:
+def render_text(df: DataFrame, owner: list[str], conf: list[tuple[str, str, str]], width: int,
+                file_name: str, blocks: DataFrame | None = None) -> DataFrame:
     """T4: one property file per owner.
 
     The lines come from columns of the row itself, so no shuffle collects them. Additions
     arrive as `custom_text` (see `with_custom_text`); parts after the first are listed
     once per cluster.
     """
-    text = entries_text(entries, width)
+    text = conf_text(conf, width)
     if "custom_text" in df.columns:
-        text = F.concat_ws("\n", text, c("custom_text"))
-    files = df.select(*owner, F.lit(0).alias("part"), file_name.alias("file_name"),
-                      text.alias("text"))
+        text = f"concat_ws('\\n', {text}, custom_text)"
+    files = df.selectExpr(*owner, "0 AS part", f"{file_name} AS file_name", f"{text} AS text")
     if blocks is None:
         return files
-    more = blocks.filter("part > 0").select(
-        "cluster_id", *[F.lit(None).cast("bigint").alias(o) for o in owner if o != "cluster_id"],
-        "part", F.concat(F.lit("cluster-"), c("cluster_id"), F.lit("-custom-"), c("part"),
-                         F.lit(".conf")).alias("file_name"),
-        c("custom_text").alias("text"))
+    more = blocks.filter("part > 0").selectExpr(
+        "cluster_id", *[f"CAST(NULL AS BIGINT) AS {o}" for o in owner if o != "cluster_id"], "part",
+        "concat('cluster-', cluster_id, '-custom-', part, '.conf') AS file_name",
+        "custom_text AS text")
     return files.unionByName(more)
 
 
-def _cluster_prefix() -> Column:
-    return F.concat(F.lit("cluster-"), c("cluster_id").cast("string"), F.lit("-"))
-
-
 def cluster_texts(sized: DataFrame, props: DataFrame) -> DataFrame:
     blocks = custom_blocks(props, "cluster", CLUSTER_KEY_WIDTH)
-    name = F.concat(_cluster_prefix(), F.lit("spark-defaults.conf"))
-    return render_text(with_custom_text(sized, blocks), ["cluster_id"], cluster_entries(),
+    name = "concat('cluster-', cluster_id, '-spark-defaults.conf')"
+    return render_text(with_custom_text(sized, blocks), ["cluster_id"], CLUSTER_CONF,
                        CLUSTER_KEY_WIDTH, name, blocks)
 
 
 def job_texts(allocs: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
-    name = F.concat(_cluster_prefix(), slug(c("job_name")), F.lit("-spark-defaults.conf"))
-    return render_text(allocs, ["cluster_id", "job_idx"], job_entries(), JOB_KEY_WIDTH, name, blocks)
+    name = f"concat('cluster-', cluster_id, '-', {slug('job_name')}, '-spark-defaults.conf')"
+    return render_text(allocs, ["cluster_id", "job_idx"], JOB_CONF, JOB_KEY_WIDTH, name, blocks)
 
 
 def reservation_texts(profile: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
-    name = F.concat(_cluster_prefix(), slug(c("res_name")), F.lit("-prealloc.conf"))
-    return render_text(profile, ["cluster_id", "res_idx"], reservation_entries(), JOB_KEY_WIDTH,
-                       name, blocks)
-
-
-def _command(*parts: Column | str) -> Column:
-    return F.array_join(F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts]),
-                        " \\\n  ")
+    name = f"concat('cluster-', cluster_id, '-', {slug('res_name')}, '-prealloc.conf')"
+    return render_text(profile, ["cluster_id", "res_idx"], RESERVATION_CONF, JOB_KEY_WIDTH, name,
+                       blocks)
 
 
-def _flag(flag: str, value: Column) -> Column:
-    return F.concat(F.lit(f"{flag} "), value)
+def _command(*parts: str, **texts: str) -> str:
+    return say(" \\\n  ".join(("spark-submit", *parts)), **texts)
 
 
-def _conf(key: str, value: Column) -> Column:
-    return F.concat(F.lit(f"--conf {key}="), value)
-
-
-def master_url(rm: Column) -> Column:
-    return (F.when(rm == "standalone", "spark://<master>:7077").when(rm == "yarn", "yarn")
-            .otherwise("k8s://https://<k8s-api>"))
+MASTER_URL = ("CASE rm WHEN 'standalone' THEN 'spark://<master>:7077' WHEN 'yarn' THEN 'yarn'"
+              " ELSE 'k8s://https://<k8s-api>' END")
 
 
 def submit_commands(sized: DataFrame) -> DataFrame:
     """T5: submit command of each cluster."""
-    return sized.select("cluster_id", _command(
-        "spark-submit", _flag("--master", master_url(c("rm"))),
-        _flag("--deploy-mode", c("deploy_mode")),
-        _flag("--num-executors", num_text(c("total_exec"))),
-        _flag("--executor-cores", num_text(c("exec_c"))), _flag("--executor-memory", _gb("exec_m")),
-        _flag("--driver-memory", _gb("drv_m")), _flag("--driver-cores", num_text(c("drv_c"))),
-        _conf("spark.executor.memoryOverhead", _mb(c("exec_oh"))),
-        _conf("spark.default.parallelism", num_text(c("para"))),
-        _conf("spark.sql.shuffle.partitions", num_text(c("shuf_p"))),
-        _conf("spark.sql.adaptive.enabled", c("aqe").cast("string")),
-        F.lit(f"--conf spark.serializer={KRYO}"), "your-app.jar").alias("command"))
+    command = _command(
+        "--master {master}", "--deploy-mode {mode}", "--num-executors {total_exec}",
+        "--executor-cores {exec_c}", "--executor-memory {exec_m}g", "--driver-memory {drv_m}g",
+        "--driver-cores {drv_c}", "--conf spark.executor.memoryOverhead={exec_oh}m",
+        "--conf spark.default.parallelism={para}", "--conf spark.sql.shuffle.partitions={shuf_p}",
+        "--conf spark.sql.adaptive.enabled={adaptive}", f"--conf spark.serializer={KRYO}",
+        "your-app.jar", master=MASTER_URL, mode="deploy_mode", adaptive="CAST(aqe AS STRING)")
+    return sized.selectExpr("cluster_id", f"{command} AS command")
 
 
 def job_submit_commands(allocs: DataFrame) -> DataFrame:
-    return allocs.select("cluster_id", "job_idx", _command(
-        "spark-submit", _flag("--num-executors", num_text(c("job_exec"))),
-        _flag("--executor-cores", num_text(c("job_exec_c"))),
-        _flag("--executor-memory", _gb("job_heap")),
-        _conf("spark.default.parallelism", num_text(c("job_para"))),
-        _conf("spark.sql.shuffle.partitions", num_text(c("job_para"))),
-        F.concat(F.lit("your-"), slug(c("job_name")), F.lit("-app.jar"))).alias("command"))
+    command = _command(
+        "--num-executors {job_exec}", "--executor-cores {job_exec_c}",
+        "--executor-memory {job_heap}g", "--conf spark.default.parallelism={job_para}",
+        "--conf spark.sql.shuffle.partitions={job_para}", "your-{app}-app.jar",
+        app=slug("job_name"))
+    return allocs.selectExpr("cluster_id", "job_idx", f"{command} AS command")
 
 
 def reservation_submit_commands(profile: DataFrame) -> DataFrame:
-    return profile.select("cluster_id", "res_idx", _command(
-        "spark-submit", _flag("--num-executors", num_text(c("exec_count"))),
-        _flag("--executor-cores", num_text(c("exec_cores"))),
-        _flag("--executor-memory", _gb("exec_mem_gb")),
-        F.concat(F.lit("your-"), slug(c("res_name")), F.lit("-app.jar"))).alias("command"))
+    command = _command(
+        "--num-executors {exec_count}", "--executor-cores {exec_cores}",
+        "--executor-memory {exec_mem_gb}g", "your-{app}-app.jar", app=slug("res_name"))
+    return profile.selectExpr("cluster_id", "res_idx", f"{command} AS command")
 
 
 def scheduler_properties(clusters: DataFrame) -> DataFrame:
     """Scheduler properties; an unknown scheduler behaves as fair."""
-    n = F.floor(F.coalesce(F.nullif(c("num_jobs"), F.lit(0.0)), F.lit(2.0)))
-    label = scheduler_label(c("scheduler"))
-    capacity = label == "CAPACITY"
-    queues = F.transform(F.sequence(F.lit(1).cast("bigint"), n),
-                         lambda i: F.concat(F.lit("q"), i.cast("string")))
-    share = F.greatest(F.lit(10.0), half_up(F.lit(100.0) / n))
-    rows = _entries([
-        ("scheduler", "spark.scheduler.mode", F.when(label == "FIFO", "FIFO").otherwise("FAIR")),
-        ("scheduler", "spark.scheduler.allocation.file",
-         F.when(label == "FAIR", "fairscheduler.xml")),
+    df = derive(clusters, {"_label": scheduler_label(),
+                           "_n": "floor(coalesce(nullif(num_jobs, 0D), 2D))",
+                           "_share": f"greatest(10D, {half_up('100D / _n')})"})
+    queues = "array_join(transform(sequence(1L, _n), i -> concat('q', i)), ',')"
+
+    def only(label, value):
+        return f"IF(_label = '{label}', {value}, NULL)"
+
+    return _long(df, ["cluster_id"], [
+        ("scheduler", "spark.scheduler.mode", "IF(_label = 'FIFO', 'FIFO', 'FAIR')"),
+        ("scheduler", "spark.scheduler.allocation.file", only("FAIR", "'fairscheduler.xml'")),
         ("scheduler", "yarn.scheduler.capacity.root.queues",
-         F.when(capacity, F.concat(F.lit("default,"), F.array_join(queues, ",")))),
+         only("CAPACITY", f"concat('default,', {queues})")),
         ("scheduler", "yarn.scheduler.capacity.root.default.capacity",
-         F.when(capacity, F.concat(num_text(share), F.lit("%")))),
-    ])
-    return _long(clusters, ["cluster_id"], rows).drop("section")
+         only("CAPACITY", f"concat({num_text('_share')}, '%')")),
+    ]).drop("section")

@@ -2,121 +2,109 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetwright.functions.numbers import num_text, one_decimal, overhead_mb
-
-c = F.col
+from fleetwright.functions.columns import derive, record
+from fleetwright.functions.numbers import nonzero, num_text, one_decimal, overhead_mb
+from fleetwright.functions.text import quote, say
 
 # Jobs, reservations and additions per document; a larger plan continues in further parts.
 DOC_ROWS = 1000
 
-
-def _part(idx: str) -> Column:
-    return F.floor(c(idx) / DOC_ROWS).cast("bigint")
-
-
-def _spark_conf(r: Column, count, cores, heap, overhead, para) -> Column:
+JOB_FIELDS = {
+    "name": "job_name", "allocationPct": "pct", "executors": "job_exec",
+    "concurrentTasks": "job_cores", "coresPerExecutor": "job_exec_c",
+    "heapPerExecutorGB": "job_heap", "overheadPerExecutorMB": "job_oh",
+    "totalJVMMemPerExecutorGB": "job_jvm_gb", "totalHeapGB": "job_mem",
+    "totalHeapPlusOverheadGB": "job_total_gb", "defaultParallelism": "job_para",
+    "shufflePartitions": "job_para",
+    "memPerCoreGB": f"IF(job_exec_c > 0, {one_decimal('job_heap / ' + nonzero('job_exec_c'))}, 0D)",
+}
+# Documents leave the Python share out of a reservation's overhead.
+RESERVATION_FIELDS = {
+    "name": "res_name", "executors": "exec_count", "coresPerExecutor": "exec_cores",
+    "memPerExecutorGB": "exec_mem_gb", "overheadPerExecutorMB": "_oh",
+    "totalConcurrentTasks": "res_cores", "totalHeapGB": "res_mem",
+}
+RESERVATION_COMMAND = say(
+    "spark-submit --num-executors {exec_count} --executor-cores {exec_cores} --executor-memory"
+    " {exec_mem_gb}g --conf spark.executor.memoryOverhead={_oh}m")
+
+
+def _spark_conf(count: str, cores: str, heap: str, overhead: str, para: str) -> str:
     pairs = {
-        "spark.executor.instances": num_text(r[count]),
-        "spark.executor.cores": num_text(r[cores]),
-        "spark.executor.memory": F.concat(num_text(r[heap]), F.lit("g")),
-        "spark.executor.memoryOverhead": F.concat(num_text(r[overhead]), F.lit("m")),
-        "spark.default.parallelism": num_text(r[para]),
-        "spark.sql.shuffle.partitions": num_text(r[para]),
+        "spark.executor.instances": num_text(count),
+        "spark.executor.cores": num_text(cores),
+        "spark.executor.memory": f"concat({num_text(heap)}, 'g')",
+        "spark.executor.memoryOverhead": f"concat({num_text(overhead)}, 'm')",
+        "spark.default.parallelism": num_text(para),
+        "spark.sql.shuffle.partitions": num_text(para),
     }
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in pairs]), F.array(*pairs.values()))
+    return "map(" + ", ".join(f"{quote(key)}, {value}" for key, value in pairs.items()) + ")"
 
 
-def _listed(df: DataFrame, idx: str, fields: dict[str, Column], out: str) -> DataFrame:
-    """Sorted array of structs per (cluster, part)."""
-    row = F.struct(c(idx).alias("idx"), *[value.alias(name) for name, value in fields.items()])
-    return df.groupBy("cluster_id", _part(idx).alias("part")).agg(
-        F.array_sort(F.collect_list(row)).alias(out))
+def _listed(df: DataFrame, idx: str, entry: str, out: str) -> DataFrame:
+    """Entries in order per (cluster, part); a part has at most DOC_ROWS of them.
+
+    The sort looks at the position only, because maps inside an entry have no order.
+    """
+    rows = df.selectExpr("cluster_id", f"CAST(floor({idx} / {DOC_ROWS}) AS BIGINT) AS part",
+                         f"struct({idx} AS idx, {entry} AS entry) AS row")
+    ordered = "array_sort(rows, (a, b) -> CAST(sign(a.idx - b.idx) AS INT)).entry"
+    return rows.groupBy("cluster_id", "part").agg(F.collect_list("row").alias("rows")) \
+        .selectExpr("cluster_id", "part", f"{ordered} AS {out}")
 
 
 def _job_docs(allocs: DataFrame) -> DataFrame:
-    whole = one_decimal(c("job_mem") + c("job_exec") * c("job_oh") / 1024)
-    per_core = F.when(c("job_exec_c") > 0, one_decimal(
-        c("job_heap") / F.nullif(c("job_exec_c"), F.lit(0.0)))).otherwise(F.lit(0.0))
-    listed = _listed(allocs, "job_idx", {
-        "name": c("job_name"), "allocationPct": c("pct"), "executors": c("job_exec"),
-        "concurrentTasks": c("job_cores"), "coresPerExecutor": c("job_exec_c"),
-        "heapPerExecutorGB": c("job_heap"), "overheadPerExecutorMB": c("job_oh"),
-        "totalJVMMemPerExecutorGB": c("job_jvm_gb"), "totalHeapGB": c("job_mem"),
-        "totalHeapPlusOverheadGB": whole, "defaultParallelism": c("job_para"),
-        "shufflePartitions": c("job_para"), "memPerCoreGB": per_core,
-    }, "parallelJobs")
-    return listed.withColumn("parallelJobs", F.transform("parallelJobs", lambda r: r.withField(
-        "sparkConf", _spark_conf(r, "executors", "coresPerExecutor", "heapPerExecutorGB",
-                                 "overheadPerExecutorMB", "defaultParallelism"))))
+    conf = _spark_conf("job_exec", "job_exec_c", "job_heap", "job_oh", "job_para")
+    return _listed(allocs, "job_idx", record({**JOB_FIELDS, "sparkConf": conf}), "parallelJobs")
 
 
 def _reservation_docs(profile: DataFrame) -> DataFrame:
-    # Documents leave the Python share out of a reservation's overhead.
-    listed = _listed(profile, "res_idx", {
-        "name": c("res_name"), "executors": c("exec_count"), "coresPerExecutor": c("exec_cores"),
-        "memPerExecutorGB": c("exec_mem_gb"),
-        "overheadPerExecutorMB": overhead_mb(c("exec_mem_gb")),
-        "totalConcurrentTasks": c("res_cores"), "totalHeapGB": c("res_mem"),
-        "parallelism": c("res_para"),
-    }, "preAllocatedJobs")
-
-    def extend(r):
-        command = F.concat(
-            F.lit("spark-submit --num-executors "), num_text(r["executors"]),
-            F.lit(" --executor-cores "), num_text(r["coresPerExecutor"]),
-            F.lit(" --executor-memory "), num_text(r["memPerExecutorGB"]),
-            F.lit("g --conf spark.executor.memoryOverhead="),
-            num_text(r["overheadPerExecutorMB"]), F.lit("m"))
-        conf = _spark_conf(r, "executors", "coresPerExecutor", "memPerExecutorGB",
-                           "overheadPerExecutorMB", "parallelism")
-        return r.withField("sparkConf", conf).withField("sparkSubmit", command)
-
-    return listed.withColumn("preAllocatedJobs", F.transform("preAllocatedJobs", extend))
+    df = derive(profile, {"_oh": overhead_mb("exec_mem_gb")})
+    conf = _spark_conf("exec_count", "exec_cores", "exec_mem_gb", "_oh", "res_para")
+    entry = {**RESERVATION_FIELDS, "sparkConf": conf, "sparkSubmit": RESERVATION_COMMAND}
+    return _listed(df, "res_idx", record(entry), "preAllocatedJobs")
+
+
+CONFIG = [
+    "nodes", "cpn", "rpn", "os_r", "rm_r", "os_cr", "min_ec", "min_em", "mf", "sf", "workload",
+    "rm", "deploy_mode", "aqe", "dyn_alloc", "pyspark", "exec_c", "exec_pn", "exec_m",
+    "exec_oh", "drv_m", "drv_c", "exec_nodes", "total_exec", "total_ec", "para", "shuf_p",
+    "core_util", "mem_util", "used_cores", "used_ram", "unused_cores", "unused_ram",
+]
 
 
 def plan_documents(pool: DataFrame, allocs: DataFrame, profile: DataFrame,
                    props: DataFrame | None = None, generated_at: str | None = None) -> DataFrame:
     """One document per cluster, or several parts of bounded size for a very large plan."""
-    counts = allocs.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_jobs"))
-    bodies = [_job_docs(allocs), _reservation_docs(profile)]
-    last = [F.coalesce(c("_jobs"), F.lit(0)) - 1, c("res_n") - 1]
-    heads = pool.join(counts, "cluster_id", "left")
+    jobs = allocs.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_jobs"))
+    heads = pool.join(jobs, "cluster_id", "left")
+    bodies = {"preAllocatedJobs": _reservation_docs(profile), "parallelJobs": _job_docs(allocs)}
+    last = ["coalesce(_jobs, 0) - 1", "res_n - 1"]
     if props is not None:
-        custom = _listed(props, "pos", {"key": c("key"), "val": c("val")}, "customProps")
         top = props.groupBy("cluster_id").agg(F.max("pos").alias("_props"))
         heads = heads.join(top, "cluster_id", "left")
-        bodies.append(custom)
-        last.append(F.coalesce(c("_props"), F.lit(0)))
-    last_part = F.floor(F.greatest(F.lit(0), *last) / DOC_ROWS).cast("bigint")
+        bodies["customProps"] = _listed(
+            props, "pos", record({"key": "key", "val": "val"}), "customProps")
+        last.append("coalesce(_props, 0)")
     # Parts are opened before the join, so it meets (cluster, part) and never a hot cluster.
-    docs = heads.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), last_part)))
-    for body in bodies:
+    last_part = f"CAST(floor(greatest(0, {', '.join(last)}) / {DOC_ROWS}) AS BIGINT)"
+    docs = heads.selectExpr("*", f"explode(sequence(0L, {last_part})) AS part")
+    for body in bodies.values():
         docs = docs.join(body, ["cluster_id", "part"], "left")
-    config = [name for name in (
-        "nodes", "cpn", "rpn", "os_r", "rm_r", "os_cr", "min_ec", "min_em", "mf", "sf", "workload",
-        "rm", "deploy_mode", "aqe", "dyn_alloc", "pyspark", "exec_c", "exec_pn", "exec_m",
-        "exec_oh", "drv_m", "drv_c", "exec_nodes", "total_exec", "total_ec", "para", "shuf_p",
-        "core_util", "mem_util", "used_cores", "used_ram", "unused_cores", "unused_ram",
-    ) if name in pool.columns]
-    return docs.select(
-        "cluster_id", "part", F.lit(generated_at).cast("string").alias("generatedAt"),
-        c("deploy_mode").alias("clusterMode"),
-        F.struct("nodes", c("cpn").alias("coresPerNode"), c("rpn").alias("ramPerNode"),
-                 c("total_cores").alias("totalCores"), c("total_ram").alias("totalRAM")
-                 ).alias("totalCluster"),
-        F.struct(c("exec_c").alias("execCores"), c("exec_m").alias("execMemGB"),
-                 c("exec_oh").alias("execOverheadMB"), c("total_exec").alias("totalExecutors"),
-                 c("total_ec").alias("totalConcurrentTasks")).alias("globalExecutorConfig"),
-        F.struct(*config).alias("config"),
-        F.coalesce("preAllocatedJobs", F.array()).alias("preAllocatedJobs"),
-        F.coalesce("parallelJobs", F.array()).alias("parallelJobs"),
-        *([F.coalesce("customProps", F.array()).alias("customProps")] if props is not None else []),
-    )
+    stamp = "CAST(NULL AS STRING)" if generated_at is None else quote(generated_at)
+    return docs.selectExpr(
+        "cluster_id", "part", f"{stamp} AS generatedAt", "deploy_mode AS clusterMode",
+        "struct(nodes, cpn AS coresPerNode, rpn AS ramPerNode, total_cores AS totalCores,"
+        " total_ram AS totalRAM) AS totalCluster",
+        "struct(exec_c AS execCores, exec_m AS execMemGB, exec_oh AS execOverheadMB,"
+        " total_exec AS totalExecutors, total_ec AS totalConcurrentTasks) AS globalExecutorConfig",
+        f"struct({', '.join(CONFIG)}) AS config",
+        *[f"coalesce({name}, array()) AS {name}" for name in bodies])
 
 
 def document_text(docs: DataFrame) -> DataFrame:
     """Documents as JSON texts."""
-    return docs.select("cluster_id", "part", F.to_json(F.struct("*")).alias("document"))
+    return docs.selectExpr("cluster_id", "part", "to_json(struct(*)) AS document")

@@ -2,120 +2,80 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from fleetwright.functions.bands import band
-from fleetwright.functions.numbers import half_up, num_text, one_decimal, overhead_mb
-
-c = F.col
-
-
-def _say(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-
-def _n(col: Column | str) -> Column:
-    return num_text(c(col) if isinstance(col, str) else col)
-
-
-def _cell(section: str, key: str, value: Column, note: Column | str = "") -> tuple:
-    return section, key, value, F.lit(note) if isinstance(note, str) else note
-
-
-def _amounts(executors, tasks, heap, overhead=None) -> Column:
-    parts = [_n(executors), " exec, ", _n(tasks), " tasks, ", _n(heap), " GB heap"]
-    if overhead is not None:
-        parts += [", ", _n(overhead), " GB overhead"]
-    return _say(*parts)
-
-
-def _cluster_cells() -> list[tuple]:
-    on_cluster = c("deploy_mode") == "cluster"
-    usable = _n(c("cpn") - c("os_cr"))
-    used_ram = _n(half_up(c("used_ram")))
-    factor = F.when(c("workload") == "ml", "3").otherwise("2")
-    driver_note = F.when(on_cluster, "on a worker node").otherwise("outside the worker pool")
-    minus_rm = _say(_n("rpn"), " - ", _n("os_r"), " - ", _n("rm_r"))
-    nodes_note = F.when(on_cluster, _say(_n("nodes"), " - 1")).otherwise(_say("all ", _n("nodes")))
-
-    def flag(name):
-        return F.when(c(name), "on").otherwise("off")
-
-    return [
-        _cell("spec", "hardware", _say(_n("nodes"), " x ", _n("cpn"), " cores x ", _n("rpn"), " GB")),
-        _cell("spec", "total", _say(_n("total_cores"), " cores, ", _n("total_ram"), " GB")),
-        _cell("spec", "deploy mode", F.upper("deploy_mode")),
-        _cell("spec", "resource manager", F.upper("rm")),
-        _cell("spec", "spark version", c("sv")),
-        _cell("spec", "workload", F.upper("workload")),
-        _cell("derivation", "usable cores per node", usable, _say(_n("cpn"), " - ", _n("os_cr"))),
-        _cell("derivation", "executor cores", _n("exec_c"),
-              _say(c("workload"), ", minimum ", _n("min_ec"))),
-        _cell("derivation", "executors per node", _n("exec_pn"),
-              _say("floor(", usable, " / ", _n("exec_c"), ")")),
-        _cell("derivation", "memory per node", _say(_n("avail_ram"), " GB"), minus_rm),
-        _cell("derivation", "executor memory", _say(_n("exec_m"), " GB"),
-              _say("floor(", _n("avail_ram"), " / ", _n("exec_pn"), " * 0.875)")),
-        _cell("derivation", "memory overhead", _say(_n("exec_oh"), " MB"),
-              _say("max(384, 10% of ", _n("exec_m"), " GB)")),
-        _cell("derivation", "executor nodes", _n("exec_nodes"), nodes_note),
-        _cell("derivation", "executors", _n("total_exec"),
-              _say(_n("exec_nodes"), " * ", _n("exec_pn"))),
-        _cell("derivation", "concurrent tasks", _n("total_ec"),
-              _say(_n("total_exec"), " * ", _n("exec_c"))),
-        _cell("derivation", "default parallelism", _n("para"), _say(_n("total_ec"), " * ", factor)),
-        _cell("utilisation", "cores", _say(_n("used_cores"), " / ", _n("total_cores"), " (",
-                                           _n("core_util"), "%)"), band("report", c("core_util"))),
-        _cell("utilisation", "memory", _say(used_ram, " / ", _n("total_ram"), " GB (",
-                                            _n("mem_util"), "%)"), band("report", c("mem_util"))),
-        _cell("utilisation", "concurrent tasks", _n("total_ec")),
-        _cell("utilisation", "parallelism", _say(_n("para"), ", shuffle ", _n("shuf_p"))),
-        _cell("utilisation", "features", _say("aqe ", flag("aqe"), ", dynamic allocation ",
-                                              flag("dyn_alloc"), ", pyspark ", flag("pyspark"))),
-        _cell("memory", "executor heap", _say(_n("pool_mem"), " GB"),
-              _say(_n("total_exec"), " * ", _n("exec_m"))),
-        _cell("memory", "executor overhead", _say(_n("pool_oh"), " GB"),
-              _say(_n("total_exec"), " * ", _n("exec_oh"), " MB")),
-        _cell("memory", "driver",
-              F.when(on_cluster, _say(_n("drv_m"), " GB + ", _n("drv_oh"), " MB"))
-              .otherwise("outside the worker pool"),
-              F.when(on_cluster, "one worker node").otherwise("")),
-        _cell("memory", "reserves", _say(_n(half_up(c("reserve_ram"))), " GB"),
-              _say(_n("nodes"), " * (", _n("os_r"), " + ", _n("rm_r"), ")")),
-        _cell("memory", "unused", _say(_n(half_up(c("unused_ram"))), " GB, ", _n("unused_cores"),
-                                       " cores")),
-        _cell("summary", "os reserve per node", _say(_n("os_r"), " GB")),
-        _cell("summary", "rm reserve per node", _say(_n("rm_r"), " GB")),
-        _cell("summary", "os cores per node", _n("os_cr")),
+from fleetwright.functions.columns import derive, records
+from fleetwright.functions.numbers import half_up, one_decimal, overhead_mb, pyspark_mb
+from fleetwright.functions.text import say
+from fleetwright.operators.sizing import ON_CLUSTER
+
+DRIVER_PLACE = f"IF({ON_CLUSTER}, 'on a worker node', 'outside the worker pool')"
+
+
+def _switch(flag: str) -> str:
+    return f"IF({flag}, 'on', 'off')"
+
+
+# Section -> (key, value, note); `_…` columns are prepared by the operator.
+SECTIONS = {
+    "spec": [
+        ("hardware", say("{nodes} x {cpn} cores x {rpn} GB"), "''"),
+        ("total", say("{total_cores} cores, {total_ram} GB"), "''"),
+        ("deploy mode", "upper(deploy_mode)", "''"),
+        ("resource manager", "upper(rm)", "''"),
+        ("spark version", "sv", "''"),
+        ("workload", "upper(workload)", "''"),
+    ],
+    "derivation": [
+        ("usable cores per node", say("{_usable}"), say("{cpn} - {os_cr}")),
+        ("executor cores", say("{exec_c}"), say("{wl}, minimum {min_ec}", wl="workload")),
+        ("executors per node", say("{exec_pn}"), say("floor({_usable} / {exec_c})")),
+        ("memory per node", say("{avail_ram} GB"), say("{rpn} - {os_r} - {rm_r}")),
+        ("executor memory", say("{exec_m} GB"), say("floor({avail_ram} / {exec_pn} * 0.875)")),
+        ("memory overhead", say("{exec_oh} MB"), say("max(384, 10% of {exec_m} GB)")),
+        ("executor nodes", say("{exec_nodes}"),
+         f"IF({ON_CLUSTER}, {say('{nodes} - 1')}, {say('all {nodes}')})"),
+        ("executors", say("{total_exec}"), say("{exec_nodes} * {exec_pn}")),
+        ("concurrent tasks", say("{total_ec}"), say("{total_exec} * {exec_c}")),
+        ("default parallelism", say("{para}"),
+         say("{total_ec} * {factor}", factor="IF(workload = 'ml', '3', '2')")),
+    ],
+    "utilisation": [
+        ("cores", say("{used_cores} / {total_cores} ({core_util}%)"), band("report", "core_util")),
+        ("memory", say("{_used} / {total_ram} GB ({mem_util}%)"), band("report", "mem_util")),
+        ("concurrent tasks", say("{total_ec}"), "''"),
+        ("parallelism", say("{para}, shuffle {shuf_p}"), "''"),
+        ("features", say("aqe {aqe}, dynamic allocation {dyn}, pyspark {py}", aqe=_switch("aqe"),
+                         dyn=_switch("dyn_alloc"), py=_switch("pyspark")), "''"),
+    ],
+    "memory": [
+        ("executor heap", say("{pool_mem} GB"), say("{total_exec} * {exec_m}")),
+        ("executor overhead", say("{pool_oh} GB"), say("{total_exec} * {exec_oh} MB")),
+        ("driver", f"IF({ON_CLUSTER}, {say('{drv_m} GB + {drv_oh} MB')}, 'outside the worker pool')",
+         f"IF({ON_CLUSTER}, 'one worker node', '')"),
+        ("reserves", say("{_reserves} GB"), say("{nodes} * ({os_r} + {rm_r})")),
+        ("unused", say("{_free} GB, {unused_cores} cores"), "''"),
+    ],
+    "summary": [
+        ("os reserve per node", say("{os_r} GB"), "''"),
+        ("rm reserve per node", say("{rm_r} GB"), "''"),
+        ("os cores per node", say("{os_cr}"), "''"),
         # Both percentages are of installed capacity; the amounts name what is usable.
-        _cell("summary", "core use", _say(_n("core_util"), "%"),
-              _say(_n("used_cores"), " used, ", _n("usable_total_cores"), " usable")),
-        _cell("summary", "memory use", _say(_n("mem_util"), "%"),
-              _say(_n(half_up(c("exec_ram_gb"))), " GB in executors, ",
-                   _n(half_up(c("usable_total_ram"))), " GB usable")),
-        _cell("summary", "driver memory", _say(_n("drv_m"), " GB"), driver_note),
-        _cell("summary", "driver cores", _n("drv_c"), driver_note),
-        _cell("plan", "pool", _amounts("pool_exec", "pool_cores", "pool_mem", c("pool_oh")),
-              "all executors"),
-        _cell("plan", "reserved", _amounts("res_exec", "res_cores", "res_mem"),
-              _say(_n("res_n"), " reservations")),
-        _cell("plan", "remaining", _amounts("rem_exec", "rem_cores", "rem_mem"),
-              "pool less reserved"),
-    ]
-
-
-def _open(df: DataFrame, cells: list[tuple]) -> DataFrame:
-    seen: dict[str, int] = {}
-    rows = []
-    for section, key, value, note in cells:
-        seen[section] = seen.get(section, 0) + 1
-        rows.append(F.struct(
-            F.lit(section).alias("section"), F.lit(seen[section]).cast("bigint").alias("pos"),
-            F.lit(key).alias("key"), value.alias("value"), note.alias("note")))
-    return df.select("cluster_id", F.inline(F.array(*rows)))
+        ("core use", say("{core_util}%"), say("{used_cores} used, {usable_total_cores} usable")),
+        ("memory use", say("{mem_util}%"), say("{_executors} GB in executors, {_usable_ram} GB usable")),
+        ("driver memory", say("{drv_m} GB"), DRIVER_PLACE),
+        ("driver cores", say("{drv_c}"), DRIVER_PLACE),
+    ],
+    "plan": [
+        ("pool", say("{pool_exec} exec, {pool_cores} tasks, {pool_mem} GB heap, {pool_oh} GB overhead"),
+         "'all executors'"),
+        ("reserved", say("{res_exec} exec, {res_cores} tasks, {res_mem} GB heap"),
+         say("{res_n} reservations")),
+        ("remaining", say("{rem_exec} exec, {rem_cores} tasks, {rem_mem} GB heap"),
+         "'pool less reserved'"),
+    ],
+}
 
 
 def report_tables(pool: DataFrame, allocs: DataFrame, profile: DataFrame) -> DataFrame:
@@ -124,34 +84,37 @@ def report_tables(pool: DataFrame, allocs: DataFrame, profile: DataFrame) -> Dat
     The reservation list leaves the Python share out of the overhead, as the on-screen
     report does; `report_reservations` has the exported table, which includes it.
     """
-    plain_oh = one_decimal(c("exec_count") * overhead_mb(c("exec_mem_gb")) / 1024)
-    reserved = profile.select(
-        "cluster_id", F.lit("reserved").alias("section"), (c("res_idx") + 1).alias("pos"),
-        c("res_name").alias("key"),
-        _amounts("exec_count", "res_cores", "res_mem", plain_oh).alias("value"),
-        _say(_n("exec_count"), " x ", _n("exec_cores"), " cores x ", _n("exec_mem_gb"), " GB"
-             ).alias("note"))
-    jobs = allocs.select(
-        "cluster_id", F.lit("jobs").alias("section"), (c("job_idx") + 1).alias("pos"),
-        c("job_name").alias("key"),
-        _amounts("job_exec", "job_cores", "job_mem", c("job_oh_gb")).alias("value"),
-        _say(_n("pct"), "%: ", _n("job_exec"), " x ", _n("job_exec_c"), " cores x ",
-             _n("job_heap"), " GB").alias("note"))
-    parts = [_open(pool, _cluster_cells()), reserved, jobs]
-    return reduce(DataFrame.unionByName, parts)
+    prepared = derive(pool, {
+        "_usable": "cpn - os_cr", "_used": half_up("used_ram"), "_free": half_up("unused_ram"),
+        "_reserves": half_up("reserve_ram"), "_executors": half_up("exec_ram_gb"),
+        "_usable_ram": half_up("usable_total_ram")})
+    rows = records([
+        {"section": f"'{section}'", "pos": f"{i}L", "key": f"'{key}'", "value": value, "note": note}
+        for section, cells in SECTIONS.items()
+        for i, (key, value, note) in enumerate(cells, start=1)])
+    amounts = "{%s} exec, {%s} tasks, {%s} GB heap, {%s} GB overhead"
+    plain = derive(profile, {"_oh_gb": one_decimal(f"exec_count * {overhead_mb('exec_mem_gb')} / 1024")})
+    reserved = plain.selectExpr(
+        "cluster_id", "'reserved' AS section", "res_idx + 1 AS pos", "res_name AS key",
+        f"{say(amounts % ('exec_count', 'res_cores', 'res_mem', '_oh_gb'))} AS value",
+        f"{say('{exec_count} x {exec_cores} cores x {exec_mem_gb} GB')} AS note")
+    jobs = allocs.selectExpr(
+        "cluster_id", "'jobs' AS section", "job_idx + 1 AS pos", "job_name AS key",
+        f"{say(amounts % ('job_exec', 'job_cores', 'job_mem', 'job_oh_gb'))} AS value",
+        f"{say('{pct}%: {job_exec} x {job_exec_c} cores x {job_heap} GB')} AS note")
+    return prepared.selectExpr("cluster_id", f"inline({rows})").unionByName(reserved).unionByName(jobs)
 
 
 def report_reservations(profile: DataFrame) -> DataFrame:
     """Exported reservation table; the overhead includes the Python share when set."""
-    return profile.select(
+    return profile.selectExpr(
         "cluster_id", "res_idx", "res_name", "exec_count", "exec_cores", "exec_mem_gb", "res_oh",
-        "res_cores", "res_mem", one_decimal(c("res_mem") + c("res_oh_gb")).alias("total_gb"))
+        "res_cores", "res_mem", f"{one_decimal('res_mem + res_oh_gb')} AS total_gb")
 
 
 def report_jobs(allocs: DataFrame) -> DataFrame:
     """Exported job table with the overhead split into base and Python share."""
-    python = F.when(c("pyspark"), F.lit(1024.0)).otherwise(F.lit(0.0))
-    return allocs.select(
+    return allocs.selectExpr(
         "cluster_id", "job_idx", "job_name", "pct", "job_exec", "job_cores", "job_exec_c",
-        "job_heap", "job_oh", (c("job_oh") - python).alias("base_oh"), "job_mem",
-        one_decimal(c("job_mem") + c("job_oh_gb")).alias("total_gb"), "job_para")
+        "job_heap", "job_oh", f"job_oh - {pyspark_mb()} AS base_oh", "job_mem",
+        f"{one_decimal('job_mem + job_oh_gb')} AS total_gb", "job_para")

@@ -2,86 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from fleetwright.functions.bands import band
-from fleetwright.functions.numbers import (
-    fixed_text, floor_d, half_up, num_text, one_decimal,
-)
+from fleetwright.functions.columns import derive, records
+from fleetwright.functions.numbers import fixed_text, half_up, nonzero
+from fleetwright.functions.text import say
+from fleetwright.operators.sizing import ON_CLUSTER
 
-c = F.col
 POOL_STEPS = 7
 JOB_STEPS = 7
 
-
-def _say(*parts: Column | str) -> Column:
-    """Text from literals and number columns."""
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-
-def _n(col: Column | str) -> Column:
-    return num_text(c(col) if isinstance(col, str) else col)
-
-
-def _steps(df: DataFrame, steps, first: Column) -> DataFrame:
-    rows = F.array(*[
-        F.struct(F.lit(name).alias("step"), formula.alias("formula"), result.alias("result"))
-        for name, formula, result in steps])
-    return df.select("cluster_id", first.alias("_first"), F.posexplode(rows).alias("_i", "_s")).select(
-        "cluster_id", (c("_first") + c("_i")).cast("bigint").alias("pos"),
-        "_s.step", "_s.formula", "_s.result")
-
-
-def daemon_label() -> Column:
-    return (F.when(c("rm") == "standalone", "worker daemon").when(c("rm") == "k8s", "kubelet")
-            .otherwise("resource manager"))
+RULE = ("CASE workload WHEN 'streaming' THEN 'fixed 2' WHEN 'ml' THEN 'up to 8'"
+        " ELSE 'up to 5, even split' END")
+DAEMON = ("CASE rm WHEN 'standalone' THEN 'worker daemon' WHEN 'k8s' THEN 'kubelet'"
+          " ELSE 'resource manager' END")
+PYTHON = "IF(pyspark, ' + 1024', '')"
+
+# (step, formula, result); `_…` columns are prepared by the operator.
+SIZING_STEPS = [
+    ("usable cores per node", say("{cpn} - {os_cr}"), say("{_usable}")),
+    ("cores per executor",
+     say("{workload}: {rule}; minimum {min_ec}{how}", workload="workload", rule=RULE,
+         how="IF(enf_c, ' enforced', ' advisory')"), say("{exec_c}")),
+    ("executors per node", say("floor({_usable} / {exec_c})"), say("{exec_pn}")),
+    ("memory per node",
+     f"IF(rm = 'local', {say('{rpn} - {os_r}')},"
+     f" {say('{rpn} - {os_r} - {rm_r} {daemon}', daemon=DAEMON)})", say("{avail_ram} GB")),
+    ("heap per executor",
+     say("floor({avail_ram} / {exec_pn} * 0.875 = {quotient}){least}",
+         quotient=f"coalesce({fixed_text('_heap', 2)}, '-')",
+         least=f"IF(enf_m, {say(', at least {min_em}')}, '')"), say("{exec_m} GB")),
+    ("overhead per executor", say("max(384, ceil({_tenth})){py}", py=PYTHON), say("{exec_oh} MB")),
+    ("executor nodes",
+     f"IF({ON_CLUSTER}, {say('{nodes} - 1 for the driver')}, {say('all {nodes}')})",
+     say("{exec_nodes}")),
+    ("executors", say("{exec_nodes} * {exec_pn}"), say("{total_exec}")),
+    ("task slots", say("{total_exec} * {exec_c}"), say("{total_ec}")),
+    ("default parallelism", say("{total_ec} * {factor}", factor="IF(workload = 'ml', '3', '2')"),
+     say("{para}")),
+    ("shuffle partitions", say("as parallelism{how}", how="IF(aqe, ', adaptive', '')"),
+     say("{shuf_p}")),
+    ("core use", say("{used_cores} / {total_cores}"),
+     say("{core_util}% {band}", band=band("standard", "core_util"))),
+    ("memory use", say("{_used} / {total_ram} GB"),
+     say("{mem_util}% {band}", band=band("standard", "mem_util"))),
+    ("unused", say("{total_cores} - {used_cores}; {total_ram} - {_used}"),
+     say("{unused_cores} cores, {_free} GB")),
+]
+
+LISTED = f"IF(res_n > 0, {say('{res_n} reservations')}, 'none')"
+HEADER_STEPS = [
+    ("pool executors", say("{exec_nodes} * {exec_pn}"), say("{pool_exec}")),
+    ("pool cores", say("{pool_exec} * {exec_c}"), say("{pool_cores}")),
+    ("pool heap", say("{pool_exec} * {exec_m} GB"), say("{pool_mem} GB")),
+    ("reserved executors", LISTED, say("{res_exec}")),
+    ("reserved cores", LISTED, say("{res_cores}")),
+    ("reserved heap", LISTED, say("{res_mem} GB")),
+    ("remaining pool", say("{pool_exec} - {res_exec}"),
+     say("{rem_exec} executors, {rem_cores} cores, {rem_mem} GB")),
+]
+
+
+def _steps(df: DataFrame, steps: list[tuple[str, str, str]], first: str, job_idx: str) -> DataFrame:
+    rows = records([{"step": f"'{name}'", "formula": formula, "result": result}
+                    for name, formula, result in steps])
+    opened = df.selectExpr("cluster_id", f"{job_idx} AS job_idx", f"{first} AS _first",
+                           f"posexplode({rows}) AS (_i, _s)")
+    return opened.selectExpr("cluster_id", "job_idx", "CAST(_first + _i AS BIGINT) AS pos", "_s.*")
 
 
 def derivation_trace(sized: DataFrame) -> DataFrame:
     """Fourteen ordered steps from hardware to unused capacity."""
-    usable = _n(c("cpn") - c("os_cr"))
-    rule = (F.when(c("workload") == "streaming", "fixed 2").when(c("workload") == "ml", "up to 8")
-            .otherwise("up to 5, even split"))
-    heap = c("avail_ram") / F.nullif(c("exec_pn"), F.lit(0.0)) * 0.875
-    on_cluster = c("deploy_mode") == "cluster"
-    used_ram, free_ram = _n(half_up(c("used_ram"))), _n(half_up(c("unused_ram")))
-    steps = [
-        ("usable cores per node", _say(_n("cpn"), " - ", _n("os_cr")), usable),
-        ("cores per executor",
-         _say(c("workload"), ": ", rule, "; minimum ", _n("min_ec"),
-              F.when(c("enf_c"), " enforced").otherwise(" advisory")), _n("exec_c")),
-        ("executors per node", _say("floor(", usable, " / ", _n("exec_c"), ")"), _n("exec_pn")),
-        ("memory per node",
-         F.when(c("rm") == "local", _say(_n("rpn"), " - ", _n("os_r")))
-         .otherwise(_say(_n("rpn"), " - ", _n("os_r"), " - ", _n("rm_r"), " ", daemon_label())),
-         _say(_n("avail_ram"), " GB")),
-        ("heap per executor",
-         _say("floor(", _n("avail_ram"), " / ", _n("exec_pn"), " * 0.875 = ",
-              F.coalesce(fixed_text(heap, 2), F.lit("-")), ")",
-              F.when(c("enf_m"), _say(", at least ", _n("min_em"))).otherwise("")),
-         _say(_n("exec_m"), " GB")),
-        ("overhead per executor",
-         _say("max(384, ceil(", _n(half_up(c("exec_m") * 1024 * 0.1)), "))",
-              F.when(c("pyspark"), " + 1024").otherwise("")), _say(_n("exec_oh"), " MB")),
-        ("executor nodes",
-         F.when(on_cluster, _say(_n("nodes"), " - 1 for the driver"))
-         .otherwise(_say("all ", _n("nodes"))), _n("exec_nodes")),
-        ("executors", _say(_n("exec_nodes"), " * ", _n("exec_pn")), _n("total_exec")),
-        ("task slots", _say(_n("total_exec"), " * ", _n("exec_c")), _n("total_ec")),
-        ("default parallelism",
-         _say(_n("total_ec"), " * ", F.when(c("workload") == "ml", "3").otherwise("2")), _n("para")),
-        ("shuffle partitions",
-         _say("as parallelism", F.when(c("aqe"), ", adaptive").otherwise("")), _n("shuf_p")),
-        ("core use", _say(_n("used_cores"), " / ", _n("total_cores")),
-         _say(_n("core_util"), "% ", band("standard", c("core_util")))),
-        ("memory use", _say(used_ram, " / ", _n("total_ram"), " GB"),
-         _say(_n("mem_util"), "% ", band("standard", c("mem_util")))),
-        ("unused", _say(_n("total_cores"), " - ", _n("used_cores"), "; ", _n("total_ram"), " - ",
-                        used_ram),
-         _say(_n("unused_cores"), " cores, ", free_ram, " GB")),
-    ]
-    return _steps(sized, steps, F.lit(1))
+    prepared = derive(sized, {
+        "_usable": "cpn - os_cr", "_heap": f"avail_ram / {nonzero('exec_pn')} * 0.875D",
+        "_tenth": half_up("exec_m * 1024 * 0.1D"), "_used": half_up("used_ram"),
+        "_free": half_up("unused_ram")})
+    return _steps(prepared, SIZING_STEPS, "1", "NULL").drop("job_idx")
 
 
 def job_trace(allocs: DataFrame, pool: DataFrame, min_executors: float | None = None,
@@ -92,44 +89,25 @@ def job_trace(allocs: DataFrame, pool: DataFrame, min_executors: float | None =
     Reservations appear as their number and sum; their own figures are rows of
     `reservation_profile`.
     """
-    listed = F.when(c("res_n") > 0, _say(_n("res_n"), " reservations")).otherwise("none")
-    pool_steps = [
-        ("pool executors", _say(_n("exec_nodes"), " * ", _n("exec_pn")), _n("pool_exec")),
-        ("pool cores", _say(_n("pool_exec"), " * ", _n("exec_c")), _n("pool_cores")),
-        ("pool heap", _say(_n("pool_exec"), " * ", _n("exec_m"), " GB"),
-         _say(_n("pool_mem"), " GB")),
-        ("reserved executors", listed, _n("res_exec")),
-        ("reserved cores", listed, _n("res_cores")),
-        ("reserved heap", listed, _say(_n("res_mem"), " GB")),
-        ("remaining pool", _say(_n("pool_exec"), " - ", _n("res_exec")),
-         _say(_n("rem_exec"), " executors, ", _n("rem_cores"), " cores, ", _n("rem_mem"), " GB")),
-    ]
-    raised = F.lit(False)
-    if min_executors is not None:
-        raised = c("raw_exec") < F.lit(float(max(1.0, min_executors)))
-    note = (F.when((c("job_exec") > c("raw_exec")) & raised, ", raised to the minimum")
-            .when(c("job_exec") > c("raw_exec"), ", plus remainder")
-            .when((c("job_exec") == c("raw_exec")) & ~raised, ", no remainder").otherwise(""))
-    heap = _say("cluster setting")
+    raised = "false" if min_executors is None else f"raw_exec < {max(1.0, float(min_executors))}D"
+    note = (f"CASE WHEN job_exec > raw_exec AND {raised} THEN ', raised to the minimum'"
+            " WHEN job_exec > raw_exec THEN ', plus remainder'"
+            f" WHEN job_exec = raw_exec AND NOT ({raised}) THEN ', no remainder' ELSE '' END")
+    heap = "'cluster setting'"
     if gb_per_core > 0:
-        heap = _say(_n("job_exec_c"), " * ", _n(F.lit(float(gb_per_core))), " GB per core")
-    total_oh = c("job_exec") * c("job_oh") / 1024
+        heap = say("{job_exec_c} * " + f"{gb_per_core:g} GB per core")
+    origin = "own setting" if job_cores_set else "cluster setting"
     job_steps = [
-        ("executors", _say("floor(", _n("rem_exec"), " * ", _n("pct"), "%) = ", _n("raw_exec"), note),
-         _n("job_exec")),
-        ("tasks", _say(_n("job_exec"), " * ", _n("job_exec_c"),
-                       " own setting" if job_cores_set else " cluster setting"), _n("job_cores")),
-        ("heap per executor", heap, _say(_n("job_heap"), " GB")),
-        ("overhead per executor",
-         _say("max(384, ", _n(half_up(c("job_heap") * 1024 * 0.1)), ")",
-              F.when(c("pyspark"), " + 1024").otherwise("")), _say(_n("job_oh"), " MB")),
-        ("heap", _say(_n("job_exec"), " * ", _n("job_heap")), _say(_n("job_mem"), " GB")),
-        ("heap and overhead", _say(_n("job_mem"), " + ", _n(one_decimal(total_oh))),
-         _say(_n(one_decimal(c("job_mem") + total_oh)), " GB")),
-        ("parallelism", _say(_n("job_cores"), " * 2"), _n("job_para")),
+        ("executors", say("floor({rem_exec} * {pct}%) = {raw_exec}{note}", note=note),
+         say("{job_exec}")),
+        ("tasks", say("{job_exec} * {job_exec_c} " + origin), say("{job_cores}")),
+        ("heap per executor", heap, say("{job_heap} GB")),
+        ("overhead per executor", say("max(384, {_tenth}){py}", py=PYTHON), say("{job_oh} MB")),
+        ("heap", say("{job_exec} * {job_heap}"), say("{job_mem} GB")),
+        ("heap and overhead", say("{job_mem} + {job_oh_gb}"), say("{job_total_gb} GB")),
+        ("parallelism", say("{job_cores} * 2"), say("{job_para}")),
     ]
-    header = _steps(pool, pool_steps, F.lit(1)).withColumn("job_idx", F.lit(None).cast("bigint"))
-    first = c("job_idx") * JOB_STEPS + (POOL_STEPS + 1)
-    per_job = _steps(allocs, job_steps, first).withColumn(
-        "job_idx", floor_d((c("pos") - (POOL_STEPS + 1)) / JOB_STEPS).cast("bigint"))
+    header = _steps(pool, HEADER_STEPS, "1", "CAST(NULL AS BIGINT)")
+    prepared = derive(allocs, {"_tenth": half_up("job_heap * 1024 * 0.1D")})
+    per_job = _steps(prepared, job_steps, f"job_idx * {JOB_STEPS} + {POOL_STEPS + 1}", "job_idx")
     return header.unionByName(per_job)

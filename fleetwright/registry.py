@@ -394,7 +394,8 @@ def n6_default_reservation(spark, d):
 
 @query
 def n7_allocation_diff(spark, d):
-    return jobs.allocation_diff(fixtures.jobs(spark, d), pool(spark, d))
+    return jobs.allocation_diff(
+        fixtures.jobs(spark, d, fixtures.WIDE_MANUAL_PCT), pool(spark, d))
 
 
 @query

@@ -7,9 +7,10 @@ and reserves may be fractional. Identifiers and positions are BIGINT or INT.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetwright.functions.columns import derive
+
 # Reset defaults of a cluster spec.
 NUMBER_DEFAULTS = {
     "nodes": 10.0, "cpn": 16.0, "rpn": 64.0, "os_r": 2.0, "rm_r": 0.0, "os_cr": 1.0,
@@ -110,9 +111,9 @@ def workload_dim(spark: SparkSession) -> DataFrame:
 def with_defaults(clusters: DataFrame) -> DataFrame:
     """Add the optional spec columns that are missing and type the ones present."""
     have = set(clusters.columns)
-    columns = {}
-    for name, value in NUMBER_DEFAULTS.items():
-        columns[name] = F.col(name).cast("double") if name in have else F.lit(value)
+    columns = {name: f"CAST({name} AS DOUBLE)" if name in have else f"{value}D"
+               for name, value in NUMBER_DEFAULTS.items()}
     for name, value in {**FLAG_DEFAULTS, **TEXT_DEFAULTS}.items():
-        columns[name] = F.coalesce(F.col(name), F.lit(value)) if name in have else F.lit(value)
-    return clusters.withColumns(columns)
+        default = f"'{value}'" if isinstance(value, str) else str(value).lower()
+        columns[name] = f"coalesce({name}, {default})" if name in have else default
+    return derive(clusters, columns)

@@ -78,6 +78,9 @@ RESERVATION_FILTER = "l_linenumber = 1 AND l_returnflag = 'R'"
 
 JOB_MANUAL_PCT = "CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(5 + o_orderkey % 20 AS INT) END"
 
+# Shares over a wide range, which bring out where the two rounding bases part.
+WIDE_MANUAL_PCT = "CASE WHEN o_orderkey % 3 < 2 THEN CAST(1 + o_orderkey % 60 AS INT) END"
+
 USAGE_SAMPLES = {
     "sample_id": "event_id", "cluster_id": "user_id", "ts": "ts",
     "metric": "CASE event_type WHEN 'click' THEN 'core_util' WHEN 'view' THEN 'mem_util'"
@@ -152,9 +155,9 @@ def raw_specs(spark, sf_dir) -> DataFrame:
     return _project(table(spark, sf_dir, "customer"), RAW_SPECS)
 
 
-def jobs(spark, sf_dir) -> DataFrame:
+def jobs(spark, sf_dir, manual_pct: str = JOB_MANUAL_PCT) -> DataFrame:
     orders = table(spark, sf_dir, "orders").selectExpr(
-        "o_custkey AS cluster_id", "o_orderkey AS job_id", f"{JOB_MANUAL_PCT} AS manual_pct")
+        "o_custkey AS cluster_id", "o_orderkey AS job_id", f"{manual_pct} AS manual_pct")
     return positions(orders, ["cluster_id"], "job_id", ["job_id"], "job_idx")
 
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetwright import schema
-from fleetwright.functions.numbers import num_text, parse_number
+from fleetwright.functions.columns import derive
+from fleetwright.functions.numbers import at_least, num_text, or_else, parse_number
 
 RAW_SCHEMA = T.StructType(
     [T.StructField("cluster_id", T.LongType(), False)]
@@ -34,43 +34,37 @@ def read_specs(raw: DataFrame) -> DataFrame:
     """Typed specs from form texts."""
     columns = {}
     for name in schema.NUMBER_DEFAULTS:
-        if name not in raw.columns:
-            continue
-        text = F.regexp_extract(name, r"^\s*[+-]?[0-9]+", 0) if name == "num_jobs" else F.col(name)
-        value = parse_number(text)
+        whole = f"regexp_extract({name}, '^\\\\s*[+-]?[0-9]+', 0)"
+        value = parse_number(whole if name == "num_jobs" else name)
         if name in FLOORS:
-            value = F.greatest(F.lit(FLOORS[name]), value)
+            value = at_least(FLOORS[name], value)
         if name in ZERO_FALLBACKS:
-            value = F.coalesce(F.nullif(value, F.lit(0.0)), F.lit(ZERO_FALLBACKS[name]))
+            value = or_else(value, f"{ZERO_FALLBACKS[name]}D")
         columns[name] = value
     for name in schema.FLAG_DEFAULTS:
-        if name in raw.columns:
-            columns[name] = F.coalesce(F.lower(F.trim(name)) == "true", F.lit(False))
+        columns[name] = f"coalesce(lower(trim({name})) = 'true', false)"
     for name, default in schema.TEXT_DEFAULTS.items():
-        if name in raw.columns:
-            columns[name] = F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(default))
-    return raw.withColumns(columns)
+        columns[name] = f"coalesce(nullif({name}, ''), '{default}')"
+    return derive(raw, {name: expr for name, expr in columns.items() if name in raw.columns})
 
 
 def decode_share_links(df: DataFrame, url_col: str = "url") -> DataFrame:
     """Spec fields carried by a link; an absent or empty parameter keeps the base value."""
     columns = {}
     for key, field in LINK_FIELDS.items():
-        given = F.nullif(F.try_parse_url(url_col, F.lit("QUERY"), F.lit(key)), F.lit(""))
-        given = F.try_url_decode(given)
-        base = F.col(field)
+        given = f"try_url_decode(nullif(try_parse_url({url_col}, 'QUERY', '{key}'), ''))"
         if field in schema.NUMBER_DEFAULTS:
-            given = F.when(given.isNotNull(), F.greatest(F.lit(1.0), parse_number(given)))
-            base = base.cast("double")
-        columns[field] = F.coalesce(given, base)
-    return df.withColumns(columns)
+            number = at_least(1, parse_number(given))
+            columns[field] = f"IF({given} IS NULL, CAST({field} AS DOUBLE), {number})"
+        else:
+            columns[field] = f"coalesce({given}, {field})"
+    return derive(df, columns)
 
 
 def encode_share_links(df: DataFrame, base_col: str = "base_url") -> DataFrame:
     """S3: link with the five shared fields; an earlier query string is dropped."""
-    pairs = []
-    for key, field in LINK_FIELDS.items():
-        value = num_text(F.col(field)) if field in schema.NUMBER_DEFAULTS else F.col(field)
-        pairs.append(F.concat(F.lit(f"{key}="), F.url_encode(value)))
-    page = F.element_at(F.split(base_col, r"\?"), 1)
-    return df.withColumn("share_url", F.concat(page, F.lit("?"), F.concat_ws("&", *pairs)))
+    pairs = [
+        f"'{key}=', url_encode({num_text(field) if field in schema.NUMBER_DEFAULTS else field})"
+        for key, field in LINK_FIELDS.items()]
+    query = ", '&', ".join(pairs)
+    return derive(df, {"share_url": f"concat(substring_index({base_col}, '?', 1), '?', {query})"})

@@ -113,4 +113,4 @@ def usage_windows(samples: DataFrame, width: str = "6 hours", slide: str = "3 ho
     return grouped.select(
         "cluster_id", "metric", F.col("window.start").alias("window_start"),
         F.col("window.end").alias("window_end"), "samples", "average", "peak",
-        band("standard", F.col("average")).alias("band"))
+        F.expr(band("standard", "average")).alias("band"))

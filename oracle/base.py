@@ -11,9 +11,13 @@ def select(columns: dict[str, str], source: str) -> str:
 
 CLUSTERS = "clusters AS (" + select(fx.CLUSTERS, "customer") + ")"
 
-JOBS = f"""jobs AS (SELECT o_custkey AS cluster_id, o_orderkey AS job_id, {fx.JOB_MANUAL_PCT} AS manual_pct,
+def jobs(manual_pct: str) -> str:
+    return f"""jobs AS (SELECT o_custkey AS cluster_id, o_orderkey AS job_id, {manual_pct} AS manual_pct,
  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS job_idx FROM orders)"""
 
+
+JOBS = jobs(fx.JOB_MANUAL_PCT)
+
 RES = "res0 AS (" + select(fx.RESERVATIONS, "lineitem JOIN orders ON l_orderkey = o_orderkey") \
     + f" WHERE {fx.RESERVATION_FILTER})" + """,
 res AS (SELECT *, row_number() OVER (PARTITION BY cluster_id

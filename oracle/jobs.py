@@ -332,7 +332,7 @@ SQL = {
  SELECT cluster_id, remaining, jobs, fair_share, min_executors, greatest(1.0, min_executors * exec_c)::DOUBLE AS min_tasks FROM m""",
     "n6_default_reservation": f"""{W} SELECT cluster_id, greatest(1.0, round(total_exec * 0.1::DOUBLE))::DOUBLE AS exec_count, exec_c AS exec_cores,
  exec_m AS exec_mem_gb FROM sized""",
-    "n7_allocation_diff": f"""WITH {b.POOL},\n{b.JOBS},\n{b.SHARES},\n{b.allocs('screen', 'a')},\n{b.allocs('export', 'e')}
+    "n7_allocation_diff": f"""WITH {b.POOL},\n{b.jobs(b.fx.WIDE_MANUAL_PCT)},\n{b.SHARES},\n{b.allocs('screen', 'a')},\n{b.allocs('export', 'e')}
  SELECT a_2.cluster_id, a_2.job_idx, a_2.job_id, a_2.pct, a_2.rem_exec, a_2.exec0 AS screen_exec, e_2.exec0 AS export_exec
  FROM a_2 JOIN e_2 ON a_2.cluster_id = e_2.cluster_id AND a_2.job_idx = e_2.job_idx WHERE a_2.exec0 <> e_2.exec0""",
     "n8_job_share": f"""{A} SELECT cluster_id, job_id, job_idx, pct, job_exec, job_cores, job_mem, {pct('job_exec', 'rem_exec')} AS exec_pct,
