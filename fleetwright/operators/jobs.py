@@ -141,7 +141,9 @@ def apportion(jobs: DataFrame, pool: DataFrame, basis: str = "export",
         F.expr("map_from_entries(collect_list(struct(share, room)))").alias("_room"),
         *[F.any_value(name).alias(name) for name in once])
 
-    joined = derive(cut.join(rooms, ["cluster_id", "slice"]), {
+    # The rank needs jobs partitioned by (cluster, block) anyway, so the join shuffles them
+    # that way once; a broadcast of either side would only put the shuffle off.
+    joined = derive(cut.join(rooms.hint("merge"), ["cluster_id", "slice"]), {
         "pct": PCT, "frac": FRACTION, "base_exec": _base(basis, options),
         "_left": f"_room[coalesce(manual_pct, {AUTO})]"})
     rank = "row_number() OVER (PARTITION BY cluster_id, slice, frac ORDER BY job_idx)"

@@ -77,10 +77,15 @@ CONFIG = [
 
 
 def plan_documents(pool: DataFrame, allocs: DataFrame, profile: DataFrame,
-                   props: DataFrame | None = None, generated_at: str | None = None) -> DataFrame:
-    """One document per cluster, or several parts of bounded size for a very large plan."""
-    jobs = allocs.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_jobs"))
-    heads = pool.join(jobs, "cluster_id", "left")
+                   props: DataFrame | None = None, jobs: DataFrame | None = None,
+                   generated_at: str | None = None) -> DataFrame:
+    """One document per cluster, or several parts of bounded size for a very large plan.
+
+    `jobs`, the plain job table, gives the number of parts without a second allocation.
+    """
+    listed = allocs if jobs is None else jobs
+    counts = listed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_jobs"))
+    heads = pool.join(counts, "cluster_id", "left")
     bodies = {"preAllocatedJobs": _reservation_docs(profile), "parallelJobs": _job_docs(allocs)}
     last = ["coalesce(_jobs, 0) - 1", "res_n - 1"]
     if props is not None:

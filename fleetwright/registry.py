@@ -101,39 +101,36 @@ def s4_write_conf_texts(spark, d):
     return sinks.read_conf_texts(spark, path)
 
 
-DOC_JOB = ("struct<name:string,allocationPct:double,executors:double,concurrentTasks:double,"
-           "totalHeapPlusOverheadGB:double,memPerCoreGB:double,sparkConf:map<string,string>>")
-DOC_RES = "struct<name:string,executors:double,sparkConf:map<string,string>,sparkSubmit:string>"
+DOC_SCHEMA = """
+clusterMode string, totalCluster struct<totalCores: double>,
+globalExecutorConfig struct<execMemGB: double>, customProps array<struct<key: string, val: string>>,
+parallelJobs array<struct<name: string, allocationPct: double, executors: double,
+  concurrentTasks: double, totalHeapPlusOverheadGB: double, sparkConf: map<string, string>>>,
+preAllocatedJobs array<struct<name: string, executors: double, sparkConf: map<string, string>,
+  sparkSubmit: string>>
+"""
+DOC_ENTRY = """struct('{kind}' AS kind, x.name AS name, x.executors AS executors,
+{share} AS share, {tasks} AS tasks, {total} AS total_gb, x.sparkConf['spark.executor.memory'] AS memory,
+x.sparkConf['spark.executor.memoryOverhead'] AS overhead,
+x.sparkConf['spark.default.parallelism'] AS parallelism, {command} AS command)"""
 
 
 @query
 def s5_plan_documents(spark, d):
     docs = documents.plan_documents(pool(spark, d), allocs(spark, d), profile(spark, d),
-                                    fixtures.custom_props(spark, d))
-    texts = documents.document_text(docs)
-    schema = (f"clusterMode string, totalCluster struct<totalCores:double>, "
-              f"globalExecutorConfig struct<execMemGB:double>, "
-              f"parallelJobs array<{DOC_JOB}>, preAllocatedJobs array<{DOC_RES}>, "
-              f"customProps array<struct<key:string,val:string>>")
-    parsed = texts.select("cluster_id", "part", F.from_json("document", schema).alias("x"))
-    head = [F.col("x.clusterMode").alias("mode"), F.col("x.totalCluster.totalCores").alias("cores"),
-            F.col("x.globalExecutorConfig.execMemGB").alias("heap"),
-            F.size("x.customProps").alias("props")]
-
-    def rows(kind, column, share, tasks, total, command):
-        item = parsed.select("cluster_id", "part", *head, F.explode(f"x.{column}").alias("i"))
-        return item.select(
-            "cluster_id", "part", "mode", "cores", "heap", "props", F.lit(kind).alias("kind"),
-            "i.name", "i.executors", share.alias("share"), tasks.alias("tasks"),
-            total.alias("total_gb"), F.col("i.sparkConf")["spark.executor.memory"].alias("memory"),
-            F.col("i.sparkConf")["spark.executor.memoryOverhead"].alias("overhead"),
-            F.col("i.sparkConf")["spark.default.parallelism"].alias("parallelism"),
-            command.alias("command"))
-
-    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
-    return rows("job", "parallelJobs", F.col("i.allocationPct"), F.col("i.concurrentTasks"),
-                F.col("i.totalHeapPlusOverheadGB"), text).unionByName(
-        rows("reservation", "preAllocatedJobs", none, none, none, F.col("i.sparkSubmit")))
+                                    fixtures.custom_props(spark, d), fixtures.jobs(spark, d))
+    parsed = documents.document_text(docs).select(
+        "cluster_id", "part", F.from_json("document", DOC_SCHEMA).alias("doc"))
+    none = "CAST(NULL AS DOUBLE)"
+    job = DOC_ENTRY.format(kind="job", share="x.allocationPct", tasks="x.concurrentTasks",
+                           total="x.totalHeapPlusOverheadGB", command="CAST(NULL AS STRING)")
+    reservation = DOC_ENTRY.format(kind="reservation", share=none, tasks=none, total=none,
+                                   command="x.sparkSubmit")
+    return parsed.selectExpr(
+        "cluster_id", "part", "doc.clusterMode AS mode", "doc.totalCluster.totalCores AS cores",
+        "doc.globalExecutorConfig.execMemGB AS heap", "size(doc.customProps) AS props",
+        f"inline(concat(transform(doc.parallelJobs, x -> {job}),"
+        f" transform(doc.preAllocatedJobs, x -> {reservation})))")
 
 
 @query
