@@ -25,14 +25,13 @@ def build_session(app: str = "fleetwright", master: str | None = None, **conf) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`, or one of our own if unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="fleetwright-"))
-    return context.getCheckpointDir()
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fleetwright-"))
+    return named or context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
+    """Store the rows in the shared folder, so that a lost executor changes nothing in them."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
