@@ -13,6 +13,12 @@ def derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(star, *[f"{expr} AS {name}" for name, expr in columns.items()])
 
 
+def aggregate(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """Grouped aggregation stated as one query text, for long column lists."""
+    named = ", ".join([*keys, *[f"{expr} AS {name}" for name, expr in columns.items()]])
+    return df.sparkSession.sql(f"SELECT {named} FROM {{rows}} GROUP BY {', '.join(keys)}", rows=df)
+
+
 def record(fields: dict[str, str]) -> str:
     return "named_struct(" + ", ".join(f"'{name}', {expr}" for name, expr in fields.items()) + ")"
 

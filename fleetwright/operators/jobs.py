@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetwright.functions.columns import derive
+from fleetwright.functions.columns import aggregate, derive
 from fleetwright.functions.numbers import (
     at_least, ceil_d, floor_d, half_up, one_decimal, overhead_mb, percent, pyspark_mb,
 )
@@ -136,10 +136,9 @@ def apportion(jobs: DataFrame, pool: DataFrame, basis: str = "export",
         " - sum(n) OVER (PARTITION BY cluster_id ORDER BY frac DESC, slice)"
         " + sum(n) OVER (PARTITION BY cluster_id, frac, slice) AS room")
     carried = [name for name in pool.columns if name != "cluster_id"]
-    once = [*carried, "auto_pct", "n_jobs", "leftover"]
-    rooms = pieces.groupBy("cluster_id", "slice").agg(
-        F.expr("map_from_entries(collect_list(struct(share, room)))").alias("_room"),
-        *[F.any_value(name).alias(name) for name in once])
+    rooms = aggregate(pieces, ["cluster_id", "slice"], {
+        "_room": "map_from_entries(collect_list(struct(share, room)))",
+        **{name: f"any_value({name})" for name in (*carried, "auto_pct", "n_jobs", "leftover")}})
 
     # The rank needs jobs partitioned by (cluster, block) anyway, so the join shuffles them
     # that way once; a broadcast of either side would only put the shuffle off.

@@ -9,6 +9,7 @@ from fleetwright.functions.columns import derive, records
 from fleetwright.functions.numbers import (
     at_least, ceil_d, floor_d, half_up, nonzero, or_else, overhead_mb, percent, pyspark_mb,
 )
+from fleetwright.functions.text import quote
 from fleetwright.operators.lookups import resolve_rm_reserve
 
 MAX_CURVE_NODES = 20
@@ -113,7 +114,7 @@ def what_if(clusters: DataFrame, variants: list[dict]) -> DataFrame:
     fields = sorted({f for v in variants for f in v})
 
     def literal(value):
-        return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value)
+        return "NULL" if value is None else quote(value) if isinstance(value, str) else str(value)
 
     options = records([
         {"variant": str(i), **{f"new_{f}": f"CAST({literal(v.get(f))} AS {types[f]})"

@@ -87,6 +87,32 @@ SAMPLE_SCHEMA = T.StructType([
 ])
 
 
+CUSTOM_PROPS_SCHEMA = T.StructType([
+    T.StructField("cluster_id", T.LongType(), False),
+    T.StructField("pos", T.IntegerType(), False),
+    T.StructField("key", T.StringType()),
+    T.StructField("val", T.StringType()),
+])
+
+INPUTS = {
+    "clusters": CLUSTER_SCHEMA, "jobs": JOB_SCHEMA, "reservations": RESERVATION_SCHEMA,
+    "override_log": OVERRIDE_SCHEMA, "usage_samples": SAMPLE_SCHEMA,
+    "custom_props": CUSTOM_PROPS_SCHEMA,
+}
+
+
+def read_input(spark: SparkSession, name: str, path: str, fmt: str = "parquet", **options) -> DataFrame:
+    """One of the logical input tables under its explicit schema, from any file format."""
+    return spark.read.schema(INPUTS[name]).format(fmt).options(**options).load(path)
+
+
+def read_input_stream(spark: SparkSession, name: str, path: str, fmt: str = "parquet",
+                      max_files: int = 100, **options) -> DataFrame:
+    """The same table as a stream; `max_files` bounds what one micro-batch holds."""
+    reader = spark.readStream.schema(INPUTS[name]).format(fmt)
+    return reader.options(maxFilesPerTrigger=max_files, **options).load(path)
+
+
 def _values(spark: SparkSession, rows, columns: str) -> DataFrame:
     # A VALUES list is a local relation of known size, so the planner broadcasts it by itself.
     def literal(v):

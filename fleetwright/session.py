@@ -15,6 +15,10 @@ def build_session(app: str = "fleetwright", master: str | None = None, **conf) -
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Wide plans have more generated classes than the default cache keeps.
+        "spark.sql.codegen.cache.maxEntries": "4000",
+        # Recording the call site of every column costs driver time in wide plans.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():

@@ -2,11 +2,14 @@
 
 import json
 
+import pytest
+
 from conftest import rows
 from fleetwright import registry
 from fleetwright.operators.lookups import apply_overrides
 from fleetwright.operators.sizing import size_fleet
 from fleetwright.plans import conf, documents
+from fleetwright.schema import INPUTS, read_input, read_input_stream
 from fleetwright.session import shared_dir
 from fleetwright.sources import fixtures, sinks, specs
 
@@ -76,6 +79,20 @@ def test_override_cascade(spark):
     assert two["exec_pn"] == 0 and two["total_exec"] == 0
 
 
+@pytest.mark.parametrize(("name", "fmt"), [("clusters", "json"), ("jobs", "parquet"), ("usage_samples", "parquet"),
+                                           ("custom_props", "csv")])
+def test_inputs_under_explicit_schemas(spark, sf_dir, tmp_path, name, fmt):
+    table = getattr(fixtures, name)(spark, sf_dir)
+    table.write.format(fmt).save(str(tmp_path / name))
+    loaded = read_input(spark, name, str(tmp_path / name), fmt)
+    assert loaded.columns == [f.name for f in INPUTS[name]]
+    assert loaded.count() == table.count()
+    assert read_input_stream(spark, name, str(tmp_path / name), fmt).isStreaming
+    # Text formats do not tell an empty text from a missing one.
+    kept = [c for c in table.columns if c in loaded.columns and (fmt == "parquet" or c in ("cluster_id", "pos"))]
+    assert rows(loaded, *kept) == rows(table, *kept)
+
+
 def test_shared_dir_follows_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == (named or spark.sparkContext.getCheckpointDir())
