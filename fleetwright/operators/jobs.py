@@ -111,44 +111,54 @@ def _base(basis: str, options: JobOptions) -> str:
 FRACTION = "rem_exec * pct / 100 - floor(rem_exec * pct / 100)"
 
 
-def apportion(jobs: DataFrame, pool: DataFrame, basis: str = "export",
-              options: JobOptions = JobOptions(), bits: int = SLICE_BITS) -> DataFrame:
-    """Split each cluster's remaining executors by largest remainder.
+def _apportion(jobs: DataFrame, pool: DataFrame, bases: dict[str, str], bits: int) -> DataFrame:
+    """Largest-remainder split under one or more base formulas in a single pass.
 
-    Every job gets its floored share, at least one. Executors left over go one each to
-    jobs by descending fraction, ties by position; a job gets at most one extra, so a
-    surplus may stay unassigned and floors may exceed the pool.
-
-    The order is resolved on pieces (see `_pieces`): `room` is the number of extras left
-    for a piece's fraction within its block, and a job compares its rank inside the block
-    with it. Jobs move once, by (cluster, block), and no task sees more than one block.
-    All pool columns are carried along.
+    The order of the leftovers is resolved on pieces (see `_pieces`): `ahead` is the number
+    of jobs of the cluster that come before a piece's fraction within its block, and a job
+    adds its rank inside the block. Jobs move once, by (cluster, block), and no task sees
+    more than one block. All pool columns are carried along.
     """
-    if basis not in ("screen", "export"):
-        raise ValueError("basis is 'screen' or 'export'")
     cut = _cut(jobs, bits)
     pieces = derive(_pieces(cut).join(pool, "cluster_id"),
-                    {"base": _base(basis, options), "frac": FRACTION})
+                    {"frac": FRACTION, **{f"_base_{b}": expr for b, expr in bases.items()}})
     pieces = pieces.selectExpr(
-        "*", "greatest(0D, rem_exec - sum(n * base) OVER (PARTITION BY cluster_id)) AS leftover")
-    pieces = pieces.selectExpr(
-        "*", "leftover"
-        " - sum(n) OVER (PARTITION BY cluster_id ORDER BY frac DESC, slice)"
-        " + sum(n) OVER (PARTITION BY cluster_id, frac, slice) AS room")
+        "*", "sum(n) OVER (PARTITION BY cluster_id ORDER BY frac DESC, slice)"
+        " - sum(n) OVER (PARTITION BY cluster_id, frac, slice) AS ahead",
+        *[f"greatest(0D, rem_exec - sum(n * _base_{b}) OVER (PARTITION BY cluster_id)) AS _left_{b}"
+          for b in bases])
     carried = [name for name in pool.columns if name != "cluster_id"]
-    rooms = aggregate(pieces, ["cluster_id", "slice"], {
-        "_room": "map_from_entries(collect_list(struct(share, room)))",
-        **{name: f"any_value({name})" for name in (*carried, "auto_pct", "n_jobs", "leftover")}})
+    once = [*carried, "auto_pct", "n_jobs", *[f"_left_{b}" for b in bases]]
+    blocks = aggregate(pieces, ["cluster_id", "slice"], {
+        "_ahead": "map_from_entries(collect_list(struct(share, ahead)))",
+        **{name: f"any_value({name})" for name in once}})
 
     # The rank needs jobs partitioned by (cluster, block) anyway, so the join shuffles them
     # that way once; a broadcast of either side would only put the shuffle off.
-    joined = derive(cut.join(rooms.hint("merge"), ["cluster_id", "slice"]), {
-        "pct": PCT, "frac": FRACTION, "base_exec": _base(basis, options),
-        "_left": f"_room[coalesce(manual_pct, {AUTO})]"})
-    rank = "row_number() OVER (PARTITION BY cluster_id, slice, frac ORDER BY job_idx)"
-    ranked = joined.selectExpr("*", f"IF({rank} - 1 < _left, 1D, 0D) AS extra")
+    joined = derive(cut.join(blocks.hint("merge"), ["cluster_id", "slice"]),
+                    {"pct": PCT, "frac": FRACTION})
+    ranked = joined.selectExpr(
+        "*", "row_number() OVER (PARTITION BY cluster_id, slice, frac ORDER BY job_idx) - 1"
+        f" + _ahead[coalesce(manual_pct, {AUTO})] AS _turn",
+        *[f"{expr} AS base_{b}" for b, expr in bases.items()])
     return ranked.selectExpr(
-        "* EXCEPT (slice, _left, _room, frac, auto_pct)", "base_exec + extra AS assigned_exec")
+        "* EXCEPT (slice, frac, auto_pct, _ahead, _turn" + "".join(f", _left_{b}" for b in bases) + ")",
+        *[f"IF(_turn < _left_{b}, 1D, 0D) AS extra_{b}" for b in bases])
+
+
+def apportion(jobs: DataFrame, pool: DataFrame, basis: str = "export",
+              options: JobOptions = JobOptions(), bits: int = SLICE_BITS) -> DataFrame:
+    """Split each cluster's remaining executors by largest remainder.
+
+    Every job gets its floored share, at least one. Executors left over go one each to
+    jobs by descending fraction, ties by position; a job gets at most one extra, so a
+    surplus may stay unassigned and floors may exceed the pool.
+    """
+    if basis not in ("screen", "export"):
+        raise ValueError("basis is 'screen' or 'export'")
+    split = _apportion(jobs, pool, {"exec": _base(basis, options)}, bits)
+    return split.selectExpr("* EXCEPT (extra_exec)", "extra_exec AS extra",
+                            "base_exec + extra_exec AS assigned_exec")
 
 
 def finalise_allocs(apportioned: DataFrame, options: JobOptions = JobOptions()) -> DataFrame:
@@ -185,14 +195,11 @@ def allocate(jobs: DataFrame, pool: DataFrame, basis: str = "export",
 def allocation_diff(jobs: DataFrame, pool: DataFrame, options: JobOptions = JobOptions(),
                     bits: int = SLICE_BITS) -> DataFrame:
     """Jobs whose executors differ between the screen and the export basis."""
-    key = ["cluster_id", "job_idx"]
-    screen = apportion(jobs, pool, "screen", options, bits)
-    export = apportion(jobs, pool, "export", options, bits)
-    return (
-        screen.selectExpr(*key, "job_id", "pct", "rem_exec", "assigned_exec AS screen_exec")
-        .join(export.selectExpr(*key, "assigned_exec AS export_exec"), key)
-        .filter("screen_exec <> export_exec")
-    )
+    bases = {basis: _base(basis, options) for basis in ("screen", "export")}
+    return _apportion(jobs, pool, bases, bits).selectExpr(
+        "cluster_id", "job_idx", "job_id", "pct", "rem_exec",
+        "base_screen + extra_screen AS screen_exec", "base_export + extra_export AS export_exec",
+    ).filter("screen_exec <> export_exec")
 
 
 def job_share(allocs: DataFrame) -> DataFrame:

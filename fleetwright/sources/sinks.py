@@ -3,31 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+# Texts per output file of the "lines" layout.
+FILE_RECORDS = 1_000_000
 
-def write_conf_texts(texts: DataFrame, path: str, layout: str = "shards", shards: int = 64,
+
+def write_conf_texts(texts: DataFrame, path: str, layout: str = "lines",
                      mode: str = "errorifexists") -> None:
     """Store rows of (file_name, text).
 
-    `shards` writes JSON lines into a fixed number of folders, which stays readable with
-    millions of owners. `files` writes one text file per owner into a folder named after
-    it and suits small selections, e.g. one cluster's jobs.
+    `lines` writes one JSON line per file, as the tasks come, without a shuffle and with
+    as many owners as there are. `files` writes one text file per owner into a folder
+    named after it and suits small selections, e.g. one cluster's jobs.
     """
     rows = texts.select("file_name", "text")
-    if layout == "files":
+    if layout == "lines":
+        rows.write.option("maxRecordsPerFile", FILE_RECORDS).mode(mode).json(path)
+    elif layout == "files":
         rows.write.partitionBy("file_name").mode(mode).text(path)
-    elif layout == "shards":
-        shard = F.pmod(F.xxhash64("file_name"), F.lit(shards)).cast("int")
-        # A name may recur only in different owners' parts, so shards stay even.
-        rows.withColumn("shard", shard).repartition("shard").write.partitionBy("shard") \
-            .mode(mode).json(path)
     else:
-        raise ValueError("layout is 'shards' or 'files'")
+        raise ValueError("layout is 'lines' or 'files'")
 
 
 def read_conf_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("file_name string, text string, shard int").json(path).drop("shard")
+    return spark.read.schema("file_name string, text string").json(path)
 
 
 def write_documents(docs: DataFrame, path: str, mode: str = "errorifexists") -> None:

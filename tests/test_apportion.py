@@ -79,6 +79,17 @@ def test_shares_equal_loop(frames, plans, bits):
     assert got == {(i, j): p for i, _, manual in plans for j, p in enumerate(shares(manual))}
 
 
+@pytest.mark.parametrize("bits", [2, 20])
+def test_diff_equals_loop(frames, plans, bits):
+    got = {(r["cluster_id"], r["job_idx"]): (r["screen_exec"], r["export_exec"])
+           for r in jobs.allocation_diff(*frames, bits=bits).collect()}
+    expected = {}
+    for i, remaining, manual in plans:
+        both = zip(split(remaining, manual, "screen", 1)[1], split(remaining, manual, "export", 1)[1], strict=True)
+        expected.update({(i, j): pair for j, pair in enumerate(both) if pair[0] != pair[1]})
+    assert got == expected and expected
+
+
 def test_enforced_minimums_hold(spark, frames):
     options = jobs.JobOptions(cores_per_executor=3, enforce_executors=True, min_executors=2,
                               enforce_tasks=True, min_tasks=10)

@@ -34,8 +34,8 @@ def test_link_round_trip(spark, sf_dir):
 
 def test_text_layouts(spark, sf_dir, tmp_path):
     texts = conf.job_texts(registry.allocs(spark, sf_dir)).filter("cluster_id < 4")
-    sinks.write_conf_texts(texts, str(tmp_path / "shards"), shards=3)
-    assert rows(sinks.read_conf_texts(spark, str(tmp_path / "shards"))) == rows(texts, "file_name", "text")
+    sinks.write_conf_texts(texts, str(tmp_path / "lines"))
+    assert rows(sinks.read_conf_texts(spark, str(tmp_path / "lines"))) == rows(texts, "file_name", "text")
     sinks.write_conf_texts(texts, str(tmp_path / "files"), layout="files")
     one = texts.first()
     folder = tmp_path / "files" / f"file_name={one['file_name']}"
