@@ -12,7 +12,7 @@ from fleetwright.functions.numbers import (
     at_least, ceil_d, floor_d, half_up, one_decimal, overhead_mb, percent, pyspark_mb,
 )
 from fleetwright.functions.text import job_name
-from fleetwright.operators.slices import SLICE_BITS, slice_of
+from fleetwright.operators.slices import OPEN_BITS, SLICE_BITS, open_positions, slice_of
 
 # Share key of jobs that split what the manual shares leave.
 AUTO = -1
@@ -42,21 +42,15 @@ class JobOptions:
         return max(1.0, float(self.min_tasks))
 
 
-def materialise_jobs(clusters: DataFrame, jobs: DataFrame, bits: int = SLICE_BITS) -> DataFrame:
+def materialise_jobs(clusters: DataFrame, jobs: DataFrame, bits: int = OPEN_BITS) -> DataFrame:
     """Exactly `num_jobs` jobs per cluster; missing ones are created, extra ones dropped.
 
-    Positions are generated block by block, and the blocks are spread before they are
-    opened, so one cluster with very many jobs is not generated by one task.
+    The blocks of positions are spread before they are opened, so one cluster with very
+    many jobs is not generated by one task.
     """
     wanted = clusters.selectExpr(
         "cluster_id", "floor(coalesce(nullif(num_jobs, 0D), 2D)) AS n_jobs")
-    blocks = wanted.selectExpr(
-        "cluster_id", "n_jobs",
-        f"explode(sequence(0L, {slice_of('n_jobs - 1', bits)})) AS slice")
-    slots = blocks.repartition("cluster_id", "slice").selectExpr(
-        "cluster_id", "n_jobs",
-        f"explode(sequence(shiftleft(slice, {bits}),"
-        f" least(shiftleft(slice + 1, {bits}), n_jobs) - 1)) AS job_idx")
+    slots = open_positions(wanted, "0L", "n_jobs", "job_idx", bits, ["cluster_id"])
     present = jobs.selectExpr("cluster_id", "job_id", "job_idx", "manual_pct", "true AS _present")
     return slots.join(present, ["cluster_id", "job_idx"], "left").selectExpr(
         "cluster_id", "job_idx", "job_id", "manual_pct", "_present IS NULL AS created",

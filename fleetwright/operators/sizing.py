@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from fleetwright import schema
 from fleetwright.functions.columns import derive, records
 from fleetwright.functions.numbers import (
-    at_least, ceil_d, floor_d, half_up, nonzero, or_else, overhead_mb, percent, pyspark_mb,
+    at_least, floor_d, half_up, nonzero, or_else, overhead_mb, percent, pyspark_mb,
 )
 from fleetwright.functions.text import quote
 from fleetwright.operators.lookups import resolve_rm_reserve

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from fleetwright.session import cut_lineage
 
 SLICE_BITS = 20
+OPEN_BITS = 16
 HOT_ROWS = 4_000_000
 MAX_HOT_KEYS = 100_000
 
@@ -39,6 +40,22 @@ def spread(one: DataFrame, rows: str, bits: int = SLICE_BITS) -> DataFrame:
     return one.selectExpr("*", f"explode(sequence(0L, {last})) AS slice")
 
 
+def open_positions(df: DataFrame, first: str, count: str, out: str, bits: int = OPEN_BITS,
+                   spread_by: list[str] | None = None) -> DataFrame:
+    """One row per position `first … first + count - 1`.
+
+    Positions open in blocks, so no row carries a long array; with `spread_by` the blocks
+    of one row are first dealt out to many tasks.
+    """
+    blocks = df.selectExpr("*", f"explode(sequence(0L, {slice_of(f'{count} - 1', bits)})) AS _block")
+    if spread_by:
+        blocks = blocks.repartition(*spread_by, "_block")
+    low = f"shiftleft(_block, {bits})"
+    end = f"least({low} + {1 << bits}L, {count}) - 1"
+    return blocks.selectExpr(
+        "* EXCEPT (_block)", f"explode(sequence({first} + {low}, {first} + {end})) AS {out}")
+
+
 def positions(df: DataFrame, group: list[str], id_col: str, order: list[str], out: str,
               weight: str | None = None, bits: int = SLICE_BITS) -> DataFrame:
     """0-based position of each row in its group; `weight` counts a row several times.

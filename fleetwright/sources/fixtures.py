@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwright.operators.slices import positions
+from fleetwright.operators.slices import open_positions, positions
 
 CLUSTERS = {
     "cluster_id": "c_custkey",
@@ -184,8 +184,7 @@ def numbered_reservations(spark, sf_dir) -> DataFrame:
     distinct = reservations(spark, sf_dir).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     order = ["job_id", "exec_count", "exec_cores", "exec_mem_gb"]
     placed = positions(distinct, ["cluster_id"], "job_id", order, "_first", weight="_n")
-    copies = F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1))
-    return placed.select(*columns, copies.alias("res_idx"))
+    return open_positions(placed, "_first", "_n", "res_idx").select(*columns, "res_idx")
 
 
 def usage_samples(spark, sf_dir) -> DataFrame:

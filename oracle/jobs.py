@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracle import base as b
-from oracle.core import FLEET, band, fixed, half_up, lines, union  # noqa: F401
+from oracle.core import band, fixed, lines, union
 
 W = f"WITH {b.SIZED}\n"
 R = f"WITH {b.SIZED},\n{b.RES}\n"
