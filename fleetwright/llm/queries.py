@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetwright.llm import decontaminate, exact_dedup, mixture_pack, token_index, url_cascade
+from fleetwright.llm import (decontaminate, exact_dedup, language_id, mixture_pack, token_index, toxicity,
+                             url_cascade)
 from fleetwright.llm.tokens import public_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
 def token_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_index.indexed_tokens(table(spark, sf_dir, "documents"), public_path(TOKENIZER), end_id=1)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "shard_offset")
@@ -41,15 +46,21 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_pack.pack(table(spark, sf_dir, "documents"), public_path(TOKENIZER), end_id=2)
 
 
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 QUERIES = {
+    "op1_language_id": language_query,
     "op2_token_index": token_index_query,
     "op3_exact_dedup": exact_dedup_query,
     "op7_url_rules": url_rules_query,
     "op8_mixture_packing": packing_query,
+    "op9_toxicity": toxicity_query,
     "op10_decontamination": decontamination_query,
 }
