@@ -34,7 +34,7 @@ from fleetwright.llm.common import Batches, one_string_column, store
 MAX_LABELS = 40_000
 THRESHOLD = 0.3
 STEMS = range(3, 9)
-LEAST_ODDS, LEAST_COUNT, LEAST_CONTEXTS, LEXICON = 4.0, 5, 6, 4000
+LEAST_ODDS, LEAST_COUNT, LEAST_CONTEXTS, LEXICON = 3.0, 5, 6, 4000
 NEGATION_REACH = 3
 CACHED_WORDS = 400_000
 
@@ -202,7 +202,7 @@ class Model:
         self.lexicon, self.weights = lexicon, weights
 
     def score(self, text: str) -> float:
-        z = self.weights[0] + np.log1p(matched(text, self.lexicon)) @ self.weights[1:]
+        z = self.weights[0] + np.sqrt(matched(text, self.lexicon)) @ self.weights[1:]
         return float(1 / (1 + math.exp(-min(30.0, max(-30.0, z)))))
 
 
@@ -224,7 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> M
 
     # At most max_labels rows of a few numbers each.
     seen = rows.mapInArrow(run, "toxic long, x array<double>").collect()
-    return Model(lexicon, fit(np.log1p(np.array([r["x"] for r in seen])), np.array([r["toxic"] > 0 for r in seen], float)))
+    return Model(lexicon, fit(np.sqrt(np.array([r["x"] for r in seen])), np.array([r["toxic"] > 0 for r in seen], float)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id",
