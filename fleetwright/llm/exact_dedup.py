@@ -103,11 +103,9 @@ def chunk_contents(docs: DataFrame, text: str = "text", id_bytes: int = ID_BYTES
 
 
 def ambiguous_chunks(contents: DataFrame) -> DataFrame:
-    """Identifiers that stand for more than one content: (chunk_id, content, variant). Normally none."""
-    several = (contents.groupBy("chunk_id").agg(F.count_distinct("content").alias("n"))
-               .filter("n > 1").select("chunk_id"))
-    return contents.distinct().join(several, "chunk_id", "left_semi").select(
-        "chunk_id", F.sha2("content", 256).alias("content_sha256"))
+    """Identifiers that stand for more than one content. Contents are compared byte by byte."""
+    return (contents.groupBy("chunk_id").agg(F.count_distinct("content").alias("n"))
+            .filter("n > 1").select("chunk_id"))
 
 
 def _verified(docs: DataFrame, text: str, doc_id: str, id_bytes: int) -> DataFrame:
@@ -122,8 +120,7 @@ def _verified(docs: DataFrame, text: str, doc_id: str, id_bytes: int) -> DataFra
         _with_chunks(id_bytes), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text_sha256 string, "
         "recipe binary, parts array<struct<pos:int,chunk_id:binary,content_sha256:string>>")
     rows = store(rows.withColumn(number, F.monotonically_increasing_id()), "chunk-lists")
-    fixes = (rows.select(number, F.explode("parts").alias("p")).select(number, "p.*")
-             .join(doubtful, ["chunk_id", "content_sha256"])
+    fixes = (rows.select(number, F.explode("parts").alias("p")).select(number, "p.*").join(doubtful, "chunk_id")
              .groupBy(number).agg(F.array_sort(F.collect_list(F.struct("pos", "content_sha256"))).alias("fix")))
     return rows.join(fixes, number, "left").select(
         "doc_id", "text_sha256",
@@ -153,7 +150,9 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     listed = store(_verified(docs, text, doc_id, id_bytes).withColumn(
         "row_number", F.monotonically_increasing_id()), "recipes")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_number")
-    groups = listed.groupBy("recipe").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # Stored, so that both sides of the join are plain exchanges and a large group is split over tasks.
+    groups = store(listed.groupBy("recipe").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size")),
+                   "recipe-groups")
     return listed.join(groups, "recipe").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
         (F.col("row_number") == F.col("first.row_number")).alias("kept"), "text_sha256")
