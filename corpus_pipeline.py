@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetwright.llm import decontaminate, exact_dedup, mixture_pack
+from fleetwright.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixture_pack
 from fleetwright.llm.common import new_folder
 from fleetwright.llm.queries import TOKENIZER, table
 from fleetwright.llm.tokens import public_path
 
 
+#: Below this relative gap between the two nearest languages a text's language counts as undecided.
+LEAST_LANGUAGE_SCORE = 0.01
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_known(docs, LEAST_LANGUAGE_SCORE)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_first(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.keep_one(docs, size=5, percent=80)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
@@ -23,7 +35,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("1 language", keep_known_languages),
     ("3 exact dedup", drop_exact_copies),
+    ("6 near copies", drop_near_copies),
     ("10 benchmark decontamination", drop_contaminated),
     ("8 packing", pack),
 ]

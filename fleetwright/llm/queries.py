@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetwright.llm import (chat_masks, decontaminate, exact_dedup, html_extract, language_id, mixture_pack, token_index,
-                             toxicity, url_cascade)
+from fleetwright.llm import (chat_masks, decontaminate, exact_dedup, html_extract, jaccard_join, language_id,
+                             mixture_pack, token_index, toxicity, url_cascade)
 from fleetwright.llm.tokens import public_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -50,6 +50,10 @@ def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_masks.read_back(chats, public_path(CHAT_TOKENIZER))
 
 
+def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def url_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     return url_cascade.judge(table(spark, sf_dir, "pages"), rules)
@@ -74,6 +78,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup_query,
     "op4_html_extraction": html_query,
     "op5_chat_masks": chat_query,
+    "op6_jaccard_join": jaccard_query,
     "op7_url_rules": url_rules_query,
     "op8_mixture_packing": packing_query,
     "op9_toxicity": toxicity_query,
