@@ -296,4 +296,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """The rows without any benchmark window, with all their columns."""
     found = contamination(docs, benchmark, window, text, doc_id).filter("contaminated")
     bad = found.select(F.col("doc_id").alias("contaminated_id")).distinct()
-    return docs.join(bad, docs[doc_id].eqNullSafe(F.col("contaminated_id")), "left_anti")
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad["contaminated_id"]), "left_anti")

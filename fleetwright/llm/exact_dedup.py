@@ -164,6 +164,6 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
         F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256"))
     normal = F.regexp_replace(F.coalesce(docs[text], F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
     marked = docs.withColumn("kept_sha256_of_row", F.sha2(normal, 256))
-    rows = marked.join(kept, marked["kept_sha256_of_row"].eqNullSafe(F.col("kept_sha256"))
-                       & docs[doc_id].eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = marked.join(kept, marked["kept_sha256_of_row"].eqNullSafe(kept["kept_sha256"])
+                       & marked[doc_id].eqNullSafe(kept["kept_id"]), "left_semi")
     return rows.dropDuplicates([doc_id, "kept_sha256_of_row"]).drop("kept_sha256_of_row")

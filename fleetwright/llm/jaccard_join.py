@@ -412,4 +412,4 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "tex
     """The row of each group that names it, with all its columns; `doc_id` is taken for the table's key."""
     found = near_groups(docs, size, percent, text, doc_id)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(kept, docs[doc_id].eqNullSafe(kept["kept_id"]), "left_semi")

@@ -169,7 +169,7 @@ class Schedule:
             self.sent.append(np.vstack([np.zeros_like(sent), np.cumsum(table, axis=0)]))
             self.inside.append(np.cumsum(table, axis=1) - table)
             sent = sent + table.sum(axis=0) * ((after - first) // len(table))
-        self.base = np.array(self.base).reshape(-1, len(self.names))
+        self.base = np.array(self.base, np.int64).reshape(len(self.parts), len(self.names))
 
     def pieces(self, queue: str, first: int, n: int):
         """(offset in the document, length, sequence, offset there) of n tokens from a place in a queue."""
