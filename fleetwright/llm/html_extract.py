@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetwright.llm.common import Batches, one_string_column
+from fleetwright.llm.common import Batches, one_string_column, store
 from fleetwright.llm.url_cascade import split_url
 
 LEAST_PAGES, LEAST_SHARE = 4, 0.01
@@ -238,7 +238,8 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     kind = pages.schema[page_id].dataType.simpleString()
     rows = pages.select(pages[page_id].alias("page_id"), pages[url].cast("string").alias("url"),
                         split_url(pages[url])[0].alias("host"), one_string_column(pages, html, "html"))
-    known = host_templates(rows.select("host", "html"), least_pages, least_share)
+    # Stored first: Spark then knows its size, sends it to the pages if it is small, and splits a hot host if not.
+    known = store(host_templates(rows.select("host", "html"), least_pages, least_share), "templates")
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
