@@ -35,52 +35,42 @@ MAX_QUEUES = 256
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id",
             source: str = "source") -> DataFrame:
-    """Stored rows (row_number, doc_id, queue, n_tokens, ids)."""
+    """Stored rows (part, queue, doc_id, n_tokens, first, ids) in order of queue and doc_id.
+
+    first: tokens before the document in its queue, within its part. A queue is spread over parts, never
+    brought to one task.
+    """
     kind = id_type(tokenizer)
 
     def run(batches: Batches) -> Batches:
-        encoder = word_pieces(tokenizer)
+        part, queue, total, encoder = TaskContext.get().partitionId(), None, 0, word_pieces(tokenizer)
         for batch in batches:
             ids = [np.append(i, end_id).astype(kind) for i in encoder.encode(texts_of(batch.column(2)))]
+            first = []
+            for q, i in zip(batch.column(0).to_pylist(), ids, strict=True):
+                if q != queue:
+                    queue, total = q, 0
+                first.append(total)
+                total += len(i)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(i) for i in ids], pa.int64()),
+                [pa.array([part] * len(ids), pa.int64()), batch.column(0), batch.column(1),
+                 pa.array([len(i) for i in ids], pa.int64()), pa.array(first, pa.int64()),
                  pa.array([i.tobytes() for i in ids], pa.binary())],
-                names=["doc_id", "queue", "n_tokens", "ids"])
+                names=["part", "queue", "doc_id", "n_tokens", "first", "ids"])
 
-    rows = docs.select(docs[doc_id].alias("doc_id"), one_string_column(docs, source, "queue"),
+    rows = docs.select(one_string_column(docs, source, "queue"), docs[doc_id].alias("doc_id"),
                        one_string_column(docs, text))
     key = docs.schema[doc_id].dataType.simpleString()
-    rows = rows.mapInArrow(run, f"doc_id {key}, queue string, n_tokens long, ids binary")
-    return store(rows.withColumn("row_number", F.monotonically_increasing_id()), "encoded")
-
+    rows = rows.repartitionByRange("queue", "doc_id").sortWithinPartitions("queue", "doc_id", "text")
+    return store(rows.mapInArrow(
+        run, f"part long, queue string, doc_id {key}, n_tokens long, first long, ids binary"), "encoded")
 
-def queue_positions(rows: DataFrame) -> DataFrame:
-    """(row_number, first): tokens before each document in its queue, without one task per queue."""
 
-    def run(batches: Batches) -> Batches:
-        part, queue, total = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            first = []
-            for q, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if q != queue:
-                    queue, total = q, 0
-                first.append(total)
-                total += n
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(first, pa.int64()),
-                 pa.array([part] * len(first), pa.int64())],
-                names=["queue", "row_number", "n_tokens", "first", "part"])
-
-    order = ("queue", "doc_id", "row_number")
-    dealt = rows.select("queue", "row_number", "n_tokens", "doc_id").repartitionByRange(*order)
-    dealt = dealt.sortWithinPartitions(*order).select("queue", "row_number", "n_tokens")
-    local = store(dealt.mapInArrow(
-        run, "queue string, row_number long, n_tokens long, first long, part long"), "queue-parts")
+def carried_over(rows: DataFrame) -> DataFrame:
+    """(part, queue, carried): tokens of a queue in earlier parts; about one row for each part and queue."""
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (local.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n"))
-               .select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carried")))
-    return local.join(carried, ["queue", "part"]).select(
-        "row_number", (F.col("first") + F.col("carried")).alias("first"))
+    return (rows.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n"))
+            .select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carried")))
 
 
 def _apportion(total: int, weights: np.ndarray) -> np.ndarray:
@@ -212,7 +202,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, targets: dict[str, float]
                  pa.array(out[6], pa.string())],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
-    placed = rows.join(queue_positions(rows), "row_number").select("doc_id", "queue", "n_tokens", "ids", "first")
+    # Stored first: its size is then known, and the ids need not move to meet it.
+    carried = store(carried_over(rows), "carried")
+    placed = rows.join(carried, ["queue", "part"]).select(
+        "doc_id", "queue", "n_tokens", "ids", (F.col("first") + F.col("carried")).alias("first"))
     key = docs.schema[doc_id].dataType.simpleString()
     return placed.mapInArrow(run, f"doc_id {key}, start long, length long, ids_crc32 long, doc_tokens long, "
                                   "sequence_id long, offset long, source string")
