@@ -63,6 +63,43 @@ def mix64(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+BYTE_VALUES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
+_BASES = (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def power_tables(size: int) -> list[np.ndarray]:
+    """Powers of the base, and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < size:
+        for i, base in enumerate(_BASES):
+            steps = np.full(max(size, 1 << 16), base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers
+
+
+def word_spans(raw: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and 64-bit hash of every word: differences of running sums of a polynomial with random values."""
+    inside = ~blank[raw]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
+    first, last = edges[::2], edges[1::2]
+    up, down = power_tables(len(raw) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[raw] * up[:len(raw)])])
+    return first, last, (sums[last] - sums[first]) * down[first]
+
+
+def slices(text: bytes, blank: np.ndarray, size: int) -> list[bytes]:
+    """A long text cut at blanks into parts of about `size` bytes; a word is never cut."""
+    out, begin = [], 0
+    while len(text) - begin > size:
+        end = begin + size
+        while end < len(text) and not blank[text[end]]:
+            end += 1
+        out.append(text[begin:end])
+        begin = end
+    return [*out, text[begin:]]
+
+
 def one_string_column(df: DataFrame, column: str, name: str = "text"):
     """The column as a string whose nulls are empty texts."""
     return F.coalesce(df[column].cast("string"), F.lit("")).alias(name)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetwright.llm.common import Batches, mix64, one_string_column, partitions, store, texts_of
+from fleetwright.llm.common import Batches, mix64, one_string_column, partitions, slices, store, texts_of, word_spans
 
 MOST_MATCHES = 8
 VERIFY_COST = 50
@@ -38,43 +38,17 @@ GROUP_BLOCK = 256
 HUB_SHARE = 500
 CHUNK = 1 << 22
 
-_RANDOM = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(size: int) -> list[np.ndarray]:
-    if len(_powers[0]) < size:
-        size = max(size, 1 << 16)
-        for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of every word, from running sums of a polynomial over the bytes."""
-    out, begin, text = [], 0, text.lower()
-    while begin < len(text):
-        end = len(text)
-        if end - begin > CHUNK:  # cut at a blank
-            ends = np.flatnonzero(_SPACE[np.frombuffer(text, np.uint8, len(text) - begin - CHUNK, begin + CHUNK)][:CHUNK])
-            end = begin + CHUNK + int(ends[0]) if len(ends) else min(end, begin + 2 * CHUNK)
-            while end < len(text) and not _SPACE[text[end]]:
-                end += 1
-        raw = np.frombuffer(text, np.uint8, end - begin, begin)
-        inside = ~_SPACE[raw]
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
-        first, last = edges[::2], edges[1::2]
-        up, down = _power_tables(len(raw) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_RANDOM[raw] * up[:len(raw)])])
-        out.append(mix64((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64), 11))
-        begin = end
-    return np.concatenate([*out, np.zeros(0, np.uint64)])
+    """A 64-bit hash of every word."""
+    out = [np.zeros(0, np.uint64)]
+    for part in slices(text.lower(), _SPACE, CHUNK):
+        first, last, hashes = word_spans(np.frombuffer(part, np.uint8), _SPACE)
+        out.append(mix64(hashes + (last - first).astype(np.uint64), 11))
+    return np.concatenate(out)
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:

@@ -1,9 +1,10 @@
 """Token ids of whole texts, by a public tokenizer file, with each distinct word encoded once.
 
 The tokenizer splits at white space before anything else and never merges across it, so the ids of a text
-are the ids of its blank-separated pieces in order. Pieces repeat; a worker keeps their ids and gathers
-them with numpy. Texts that hold `<|` may hold special tokens, whose strings are matched before case is
-folded, and go through the tokenizer whole.
+are the ids of its blank-separated pieces in order. Pieces repeat: a worker keeps the ids of those it has
+met in a hash table of numpy arrays, finds all pieces of some texts at once by a 64-bit hash, and gathers
+their ids. Texts that hold `<|` may hold special tokens, whose strings are matched before case is folded,
+and go through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -14,11 +15,16 @@ from functools import lru_cache
 
 import numpy as np
 
-from fleetwright.llm.common import offsets_of, ranges
+from fleetwright.llm.common import BYTE_VALUES, offsets_of, power_tables, ranges, slices, word_spans
 
-KEPT_PIECES = 800_000
+KEPT_PIECES = 1_500_000
+KEPT_WORDS = 200_000
+TOGETHER = 1 << 20
 _PLAIN = re.compile("[a-zà-öø-ÿ]+")
 _WORD_AND_MARK = re.compile("([a-zà-öø-ÿ]+)([.,;:!?]+)")
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, 0x0A]] = True
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def public_path(name: str) -> str:
@@ -40,12 +46,11 @@ class WordPieces:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {b"": 0}
         self.words: dict[str, list[int]] = {}
+        self.bits, self.known, self.used = 16, 0, 0
+        self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.start, self.count = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
 
     @staticmethod
     def _byte_letters() -> dict[int, str]:
@@ -61,6 +66,8 @@ class WordPieces:
         """A lower-case Latin word: normalising and splitting leave it as it is, so the model suffices."""
         ids = self.words.get(word)
         if ids is None:
+            if len(self.words) > KEPT_WORDS:
+                self.words.clear()
             spelt = word if word.isascii() else "".join(self.spell[b] for b in word.encode())
             ids = self.words[word] = [t.id for t in self.model.tokenize(spelt)]
         return ids
@@ -76,41 +83,105 @@ class WordPieces:
             return self._word(m[1]) + mark
         return self._whole(text)
 
-    def _learn(self, pieces: set[bytes]) -> None:
-        found = [(p, self._piece(p)) for p in pieces]
-        new = np.array([i for _, ids in found for i in ids], np.uint32)
-        counts = np.array([len(ids) for _, ids in found], np.int64)
-        first, total = len(self.known), self.used + len(new)
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or the empty slot where its search ends."""
+        at = (hashes * _SPREAD >> np.uint64(64 - self.bits)).astype(np.int64)
+        open_ = np.arange(len(hashes))
+        while len(open_):
+            held = self.keys[at[open_]]
+            open_ = open_[(held != hashes[open_]) & (held != 0)]
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+        return at
+
+    def _place(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        """Put new, distinct hashes into the table; of several that end at one slot the first takes it."""
+        while len(hashes):
+            slots = self._slots(hashes)
+            _, own = np.unique(slots, return_index=True)
+            self.keys[slots[own]], self.rows[slots[own]] = hashes[own], rows[own]
+            rest = np.ones(len(hashes), bool)
+            rest[own] = False
+            hashes, rows = hashes[rest], rows[rest]
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        found = [self._piece(p) for p in pieces]
+        counts = np.array([len(ids) for ids in found], np.int32)
+        first, known, total = self.known, self.known + len(found), self.used + int(counts.sum())
         while total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(found) > len(self.count):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        self.flat[self.used:total] = new
-        self.count[first:first + len(found)] = counts
-        self.start[first:first + len(found)] = self.used + offsets_of(counts)[:-1]
-        self.known.update(zip((p for p, _ in found), range(first, first + len(found)), strict=True))
-        self.used = total
+        while known > len(self.count):
+            self.start, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.count))
+        self.flat[self.used:total] = [i for ids in found for i in ids]
+        self.count[first:known] = counts
+        self.start[first:known] = self.used + offsets_of(counts)[:-1]
+        if 2 * known > len(self.keys):
+            full = self.keys != 0
+            held, rows = self.keys[full], self.rows[full]
+            while 2 * known > 1 << self.bits:
+                self.bits += 2
+            self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._place(held, rows)
+        self._place(hashes, np.arange(first, known, dtype=np.int32))
+        self.known, self.used = known, total
+
+    def _together(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of some texts, all of whose pieces are looked up at once."""
+        joined = b" ".join(texts).lower()
+        first, last, hashes = _pieces(np.frombuffer(joined, np.uint8))
+        slots = self._slots(hashes)
+        missing = np.flatnonzero(self.keys[slots] == 0)
+        if len(missing):
+            if self.known > KEPT_PIECES:
+                self._forget()
+                missing = np.arange(len(hashes))
+            new, where = np.unique(hashes[missing], return_index=True)
+            self._learn(new, [joined[first[i]:last[i]] for i in missing[where].tolist()])
+            slots = self._slots(hashes)
+        rows = self.rows[slots]
+        counts = self.count[rows].astype(np.int64)
+        ids = self.flat[ranges(self.start[rows], counts)]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        cuts = offsets_of(counts)[np.searchsorted(first, ends)]
+        return np.split(ids, cuts[:-1])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of every text, as unsigned 32-bit arrays."""
-        out = []
-        for text in texts:
+        out: list = [None] * len(texts)
+        parts: list[tuple[int, bytes]] = []
+        size = 0
+        for i, text in enumerate(texts):
             if b"<|" in text:
-                out.append(np.array(self._whole(text.decode("utf-8", "surrogatepass")), np.uint32))
+                out[i] = np.array(self._whole(text.decode("utf-8", "surrogatepass")), np.uint32)
                 continue
-            pieces = text.lower().replace(b"\n", b" ").split(b" ")
-            numbers = list(map(self.known.get, pieces))
-            if None in numbers:
-                if len(self.known) > KEPT_PIECES:
-                    self._forget()
-                self._learn({p for p in pieces if p not in self.known})
-                numbers = list(map(self.known.__getitem__, pieces))
-            index = np.array(numbers, np.int64)
-            counts = self.count[index]
-            out.append(self.flat[ranges(self.start[index], counts)])
+            for part in slices(text, _BLANK, TOGETHER):
+                parts.append((i, part))
+                size += len(part)
+                if size > TOGETHER:
+                    self._take(parts, out)
+                    parts, size = [], 0
+        self._take(parts, out)
         return out
 
+    def _take(self, parts: list[tuple[int, bytes]], out: list) -> None:
+        if parts:
+            for (i, _), ids in zip(parts, self._together([p for _, p in parts]), strict=True):
+                out[i] = ids if out[i] is None else np.concatenate([out[i], ids])
+
+
+def _pieces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and hash of the blank-separated pieces; a full stop or comma after a letter is one by itself."""
+    first, last, hashes = word_spans(raw, _BLANK)
+    end, before = raw[last - 1], raw[np.maximum(last - 2, 0)]
+    marked = ((end == 0x2E) | (end == 0x2C)) & (last - first > 1) & (before >= 0x61) & (before <= 0x7A)
+    up = power_tables(len(raw) + 1)[0]
+    last = last - marked
+    hashes = np.where(marked, hashes - BYTE_VALUES[end] * up[last - first], hashes)
+    at = np.flatnonzero(marked) + 1
+    first, last = np.insert(first, at, last[marked]), np.insert(last, at, last[marked] + 1)
+    hashes = np.insert(hashes, at, BYTE_VALUES[end[marked]])
+    hashes[hashes == 0] = 1
+    return first, last, hashes
+
 
 @lru_cache(maxsize=2)
 def word_pieces(path: str) -> WordPieces:
