@@ -44,6 +44,12 @@ def or_else(x: str, fallback: str) -> str:
     return f"coalesce(nullif({x}, 0D), {fallback})"
 
 
+def job_count(num_jobs: str = "num_jobs") -> str:
+    """Jobs of a plan: the whole part of the number typed in, 2 for zero, at least 1."""
+    whole = f"CAST(CAST({num_jobs} AS BIGINT) AS DOUBLE)"
+    return f"greatest(1D, coalesce(nullif({whole}, 0D), 2D))"
+
+
 def percent(part: str, whole: str) -> str:
     """Whole percent of `whole`, 0 when there is nothing to divide by."""
     return f"IF({whole} > 0, {half_up(f'({part}) / ({whole}) * 100')}, 0D)"

@@ -42,5 +42,8 @@ def job_name(job_idx: str = "job_idx") -> str:
     return f"concat('Job ', {job_idx} + 1)"
 
 
-def reservation_name(res_idx: str = "res_idx") -> str:
-    return f"concat('Reserved Job ', {res_idx} + 1)"
+def reservation_name(columns: list[str]) -> str:
+    """The name given to a reservation, else one from its number, which removals do not change."""
+    number = "coalesce(res_no, res_idx + 1)" if "res_no" in columns else "res_idx + 1"
+    default = f"concat('Reserved Job ', {number})"
+    return f"coalesce(nullif(trim(name), ''), {default})" if "name" in columns else default

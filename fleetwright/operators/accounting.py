@@ -126,7 +126,7 @@ def executor_memory_breakdown(sized: DataFrame) -> DataFrame:
         **{f"_{name}": expr for name, expr in parts.items()},
     })
     rows = records([
-        {"part": f"'{name}'", "gb": f"_{name}", "pct": half_up(f"_{name} / jvm_total_gb * 100")}
+        {"part": f"'{name}'", "gb": f"_{name}", "pct": percent(f"_{name}", "jvm_total_gb")}
         for name in parts])
     shown = f"IF(pyspark, {rows}, slice({rows}, 1, {len(parts) - 1}))"
     return open_rows(df, ["cluster_id", "jvm_total_gb", "gb_per_core", "managed_gb"], shown)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetwright.functions.columns import aggregate, derive
 from fleetwright.functions.numbers import (
-    at_least, ceil_d, floor_d, half_up, one_decimal, overhead_mb, percent, pyspark_mb,
+    at_least, ceil_d, floor_d, half_up, job_count, nonzero, one_decimal, overhead_mb, percent, pyspark_mb,
 )
 from fleetwright.functions.text import job_name
 from fleetwright.operators.slices import OPEN_BITS, SLICE_BITS, open_positions, slice_of
@@ -20,7 +20,10 @@ AUTO = -1
 
 @dataclass(frozen=True)
 class JobOptions:
-    """Fleet-wide job settings; zero means "not set", as in the reference form."""
+    """Fleet-wide job settings; zero means "not set", as in the reference form.
+
+    A cluster's own columns `job_ec`, `gb_per_core`, `enf_je`, `min_je`, `enf_jc` and `min_jc` come first.
+    """
 
     cores_per_executor: float = 0.0
     gb_per_core: float = 0.0
@@ -29,17 +32,25 @@ class JobOptions:
     enforce_tasks: bool = False
     min_tasks: float = 1.0
 
-    @property
-    def cores(self) -> str:
-        return f"{float(self.cores_per_executor)}D" if self.cores_per_executor > 0 else "exec_c"
 
-    @property
-    def executor_floor(self) -> float:
-        return max(1.0, float(self.min_executors)) if self.enforce_executors else 1.0
+def with_settings(pool: DataFrame, options: JobOptions = JobOptions()) -> DataFrame:
+    """Adds the settings in force for each cluster's jobs: its own where it has them, else the fleet's."""
+    def own(name, fallback):
+        kind = "BOOLEAN" if isinstance(fallback, bool) else "DOUBLE"
+        literal = str(fallback).lower() if isinstance(fallback, bool) else f"{float(fallback)}D"
+        return f"coalesce(CAST({name} AS {kind}), {literal})" if name in pool.columns else literal
+
+    return derive(pool.drop("_ec", "_gb", "_enf_je", "_min_je", "_enf_jc", "_min_jc"), {
+        "_ec": own("job_ec", options.cores_per_executor),
+        "_gb": own("gb_per_core", options.gb_per_core),
+        "_enf_je": own("enf_je", options.enforce_executors),
+        "_min_je": at_least(1, own("min_je", options.min_executors)),
+        "_enf_jc": own("enf_jc", options.enforce_tasks),
+        "_min_jc": at_least(1, own("min_jc", options.min_tasks)),
+    })
+
 
-    @property
-    def task_floor(self) -> float:
-        return max(1.0, float(self.min_tasks))
+CORES = "IF(_ec > 0, _ec, exec_c)"
 
 
 def materialise_jobs(clusters: DataFrame, jobs: DataFrame, bits: int = OPEN_BITS) -> DataFrame:
@@ -48,8 +59,7 @@ def materialise_jobs(clusters: DataFrame, jobs: DataFrame, bits: int = OPEN_BITS
     The blocks of positions are spread before they are opened, so one cluster with very
     many jobs is not generated by one task.
     """
-    wanted = clusters.selectExpr(
-        "cluster_id", "floor(coalesce(nullif(num_jobs, 0D), 2D)) AS n_jobs")
+    wanted = clusters.selectExpr("cluster_id", f"CAST({job_count()} AS BIGINT) AS n_jobs")
     slots = open_positions(wanted, "0L", "n_jobs", "job_idx", bits, ["cluster_id"])
     present = jobs.selectExpr("cluster_id", "job_id", "job_idx", "manual_pct", "true AS _present")
     return slots.join(present, ["cluster_id", "job_idx"], "left").selectExpr(
@@ -96,10 +106,10 @@ def balance_shares(jobs: DataFrame, bits: int = SLICE_BITS) -> DataFrame:
         "cluster_id", "job_id", "job_idx", "manual_pct", "n_jobs", f"{PCT} AS pct")
 
 
-def _base(basis: str, options: JobOptions) -> str:
+def _base(basis: str) -> str:
     # The screen multiplies by pct/100, the export multiplies first: doubles can differ.
     share = "rem_exec * (pct / 100)" if basis == "screen" else "rem_exec * pct / 100"
-    return at_least(options.executor_floor, floor_d(share))
+    return f"greatest(IF(_enf_je, _min_je, 1D), {floor_d(share)})"
 
 
 FRACTION = "rem_exec * pct / 100 - floor(rem_exec * pct / 100)"
@@ -150,25 +160,23 @@ def apportion(jobs: DataFrame, pool: DataFrame, basis: str = "export",
     """
     if basis not in ("screen", "export"):
         raise ValueError("basis is 'screen' or 'export'")
-    split = _apportion(jobs, pool, {"exec": _base(basis, options)}, bits)
+    split = _apportion(jobs, with_settings(pool, options), {"exec": _base(basis)}, bits)
     return split.selectExpr("* EXCEPT (extra_exec)", "extra_exec AS extra",
                             "base_exec + extra_exec AS assigned_exec")
 
 
 def finalise_allocs(apportioned: DataFrame, options: JobOptions = JobOptions()) -> DataFrame:
-    """Cores, heap, overhead and parallelism of each job's executors."""
-    executors, least = "assigned_exec", f"{options.task_floor}D"
-    if options.enforce_tasks:
-        executors = (f"IF(assigned_exec * {options.cores} < {least},"
-                     f" {ceil_d(f'{least} / {options.cores}')}, assigned_exec)")
-    heap = "exec_m"
-    if options.gb_per_core > 0:
-        heap = half_up(f"{options.cores} * {float(options.gb_per_core)}D")
-    return derive(apportioned, {
+    """Cores, heap, overhead and parallelism of each job's executors.
+
+    Executors without cores cannot reach a minimum of tasks and keep their number.
+    """
+    settled = apportioned if "_ec" in apportioned.columns else with_settings(apportioned, options)
+    raised = ceil_d(f"_min_jc / {nonzero(CORES)}")
+    return derive(settled, {
         "job_name": job_name(),
-        "job_exec": executors,
-        "job_exec_c": options.cores,
-        "job_heap": heap,
+        "job_exec": f"IF(_enf_jc AND assigned_exec * {CORES} < _min_jc, coalesce({raised}, assigned_exec), assigned_exec)",
+        "job_exec_c": CORES,
+        "job_heap": f"IF(_gb > 0, {half_up(f'{CORES} * _gb')}, exec_m)",
         "raw_exec": floor_d("rem_exec * (pct / 100)"),
         "job_cores": "job_exec * job_exec_c",
         "job_mem": "job_exec * job_heap",
@@ -189,8 +197,8 @@ def allocate(jobs: DataFrame, pool: DataFrame, basis: str = "export",
 def allocation_diff(jobs: DataFrame, pool: DataFrame, options: JobOptions = JobOptions(),
                     bits: int = SLICE_BITS) -> DataFrame:
     """Jobs whose executors differ between the screen and the export basis."""
-    bases = {basis: _base(basis, options) for basis in ("screen", "export")}
-    return _apportion(jobs, pool, bases, bits).selectExpr(
+    bases = {basis: _base(basis) for basis in ("screen", "export")}
+    return _apportion(jobs, with_settings(pool, options), bases, bits).selectExpr(
         "cluster_id", "job_idx", "job_id", "pct", "rem_exec",
         "base_screen + extra_screen AS screen_exec", "base_export + extra_export AS export_exec",
     ).filter("screen_exec <> export_exec")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetwright.functions.bands import band
 from fleetwright.functions.columns import derive, open_rows, records
 from fleetwright.functions.numbers import at_least, floor_d, half_up, one_decimal, percent
-from fleetwright.operators.jobs import JobOptions
+from fleetwright.operators.jobs import JobOptions, with_settings
 
 
 def _sums(allocs: DataFrame) -> DataFrame:
@@ -80,9 +80,8 @@ def job_plan_status(totals: DataFrame, options: JobOptions = JobOptions()) -> Da
     hits = {"J1": "left_exec < 0", "J2": "left_cores < 0", "J3": "left_mem < 0", "J4": "_over",
             "J5": "_under", "J6": "NOT _over AND NOT _under"}
     rules = ", ".join(f"IF({cond}, '{rule}', NULL)" for rule, cond in hits.items())
-    lower = "NULL"
-    if options.enforce_executors:
-        lower = f"IF(left_exec < 0, {at_least(1, floor_d('rem_exec / jobs'))}, NULL)"
+    enforced = "enf_je" if "enf_je" in totals.columns else str(options.enforce_executors).lower()
+    lower = f"IF({enforced} AND left_exec < 0, {at_least(1, floor_d('rem_exec / jobs'))}, NULL)"
     return df.selectExpr(
         "cluster_id", "CASE WHEN _over THEN 'over' WHEN _under THEN 'under' ELSE 'ok' END AS status",
         f"concat_ws(',', {rules}) AS rules",
@@ -93,18 +92,19 @@ def job_plan_status(totals: DataFrame, options: JobOptions = JobOptions()) -> Da
         f"IF(_under, {percent('left_exec', 'rem_exec')}, NULL) AS unused_pct", "core_used_pct")
 
 
-def job_floor_alerts(allocs: DataFrame, pool: DataFrame, options: JobOptions) -> DataFrame:
+def job_floor_alerts(allocs: DataFrame, options: JobOptions = JobOptions()) -> DataFrame:
     """Pools that cannot give every job its minimum.
 
     J7 and J8 count jobs below a minimum; enforcement has already raised those, so both
     stay zero. The alert key is what `change_alerts` compares over time.
     """
-    min_exec, min_tasks = f"{max(1.0, float(options.min_executors))}D", f"{options.task_floor}D"
-    je, jt = str(options.enforce_executors).lower(), str(options.enforce_tasks).lower()
-    below = allocs.groupBy("cluster_id").agg(*[F.expr(e) for e in (
+    min_exec, min_tasks, je, jt = "_min_je", "_min_jc", "_enf_je", "_enf_jc"
+    settled = allocs if "_enf_je" in allocs.columns else with_settings(allocs, options)
+    kept = ("rem_exec", "rem_cores", min_exec, min_tasks, je, jt)
+    joined = settled.groupBy("cluster_id").agg(*[F.expr(e) for e in (
         "CAST(count(1) AS DOUBLE) AS jobs", f"count_if({je} AND job_exec < {min_exec}) AS j7",
-        f"count_if({jt} AND job_cores < {min_tasks}) AS j8")])
-    joined = pool.select("cluster_id", "rem_exec", "rem_cores").join(below, "cluster_id")
+        f"count_if({jt} AND job_cores < {min_tasks}) AS j8",
+        *[f"any_value({name}) AS {name}" for name in kept])])
     return derive(joined, {
         "need_exec": f"jobs * {min_exec}", "need_tasks": f"jobs * {min_tasks}",
         "over_exec": f"{je} AND rem_exec < need_exec",
@@ -114,7 +114,7 @@ def job_floor_alerts(allocs: DataFrame, pool: DataFrame, options: JobOptions) ->
         "fires": "over_exec OR j7 + j8 > 0",
         "feasible_min": f"IF(over_exec, {floor_d('rem_exec / jobs')}, NULL)",
         "feasible_jobs": f"IF(over_exec, {floor_d(f'rem_exec / {min_exec}')}, NULL)",
-    })
+    }).drop(min_exec, min_tasks, je, jt)
 
 
 def _series(df: DataFrame, pos: str, label: str, rows: list[dict[str, str]]) -> DataFrame:

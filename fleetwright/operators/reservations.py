@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetwright.functions.columns import derive
 from fleetwright.functions.numbers import (
-    at_least, floor_d, half_up, one_decimal, or_else, overhead_mb, percent, pyspark_mb,
+    at_least, floor_d, half_up, job_count, one_decimal, or_else, overhead_mb, percent, pyspark_mb,
 )
 from fleetwright.functions.text import reservation_name
 from fleetwright.operators.slices import SLICE_BITS, slice_of, spread
@@ -34,13 +34,15 @@ def reservation_profile(res: DataFrame, sized: DataFrame, pyspark_overhead: bool
     The join meets on (cluster, block of positions), so a cluster with very many
     reservations is spread over many tasks.
     """
-    counts = res.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("res_n"))
-    owners = spread(counts.join(sized, "cluster_id"), "res_n", bits)
+    # Blocks follow the highest position, as removals leave gaps.
+    counts = res.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("res_n"), (F.max("res_idx") + 1).alias("_top"))
+    owners = spread(counts.join(sized, "cluster_id"), "_top", bits).drop("_top")
     rows = derive(res, {"slice": slice_of("res_idx", bits)})
     overhead = overhead_mb("exec_mem_gb")
     joined = rows.join(owners, ["cluster_id", "slice"]).drop("slice")
     return derive(joined, {
-        "res_name": reservation_name(),
+        "res_name": reservation_name(res.columns),
         "res_cores": "exec_count * exec_cores",
         "res_mem": "exec_count * exec_mem_gb",
         "res_pct": half_up(f"exec_count / {or_else('total_exec', '1D')} * 100"),
@@ -76,7 +78,7 @@ def suggest_floors(pool: DataFrame, num_jobs: str = "num_jobs", job_exec_c: floa
     cores = f"{float(job_exec_c)}D" if job_exec_c > 0 else or_else("exec_c", "4D")
     return pool.selectExpr(
         "cluster_id", f"{at_least(1, 'total_exec - res_exec')} AS remaining",
-        f"{or_else(num_jobs, '2D')} AS jobs", f"{floor_d('remaining / jobs')} AS fair_share",
+        f"{job_count(num_jobs)} AS jobs", f"{floor_d('remaining / jobs')} AS fair_share",
         f"{at_least(1, floor_d('fair_share / 2'))} AS min_executors",
         f"{at_least(1, f'min_executors * {cores}')} AS min_tasks")
 

@@ -102,22 +102,25 @@ def evaluate_warnings(sized: DataFrame) -> DataFrame:
     return rows.selectExpr("* EXCEPT (hit)", f"map({texts})[rule] AS explanation")
 
 
-# Limits of the tuning hints.
+# Fixed value: share of time in the garbage collector above which a smaller heap is advised.
 GC_LIMIT_PCT = 10
-SKEW_FACTOR = 5
-LOW_HIT_PCT = 50
-
-HINTS = [
-    Rule("gc_time", "reduce_heap", f"gc > {GC_LIMIT_PCT}", "gc", str(GC_LIMIT_PCT)),
-    Rule("spill", "more_execution_memory", "spill > 0", "spill", "0"),
-    Rule("skew", "enable_aqe", f"slowest > median * {SKEW_FACTOR}", "slowest",
-         f"median * {SKEW_FACTOR}"),
-    Rule("evictions", "larger_storage_fraction", "evictions > 0", "evictions", "0"),
-    Rule("cache_hits", "more_heap", f"hits < {LOW_HIT_PCT}", "hits", str(LOW_HIT_PCT)),
-]
+# Our own limits, as defaults: a task this many times the median is skewed; a hit rate below this is low.
+SKEW_FACTOR = 5.0
+LOW_HIT_PCT = 50.0
+
+
+def _hints(gc_pct: float, skew: float, low_hits: float) -> list[Rule]:
+    return [
+        Rule("gc_time", "reduce_heap", f"gc > {gc_pct}", "gc", str(gc_pct)),
+        Rule("spill", "more_execution_memory", "spill > 0", "spill", "0"),
+        Rule("skew", "enable_aqe", f"slowest > median * {skew}D", "slowest", f"median * {skew}D"),
+        Rule("evictions", "larger_storage_fraction", "evictions > 0", "evictions", "0"),
+        Rule("cache_hits", "more_heap", f"hits < {low_hits}", "hits", str(low_hits)),
+    ]
 
 
-def tuning_hints(metrics: DataFrame) -> DataFrame:
+def tuning_hints(metrics: DataFrame, gc_pct: float = GC_LIMIT_PCT, skew: float = SKEW_FACTOR,
+                 low_hits: float = LOW_HIT_PCT) -> DataFrame:
     """Hints per cluster from measured task metrics.
 
     All measures are combined on the map side; the median is `percentile_approx`, whose
@@ -131,5 +134,5 @@ def tuning_hints(metrics: DataFrame) -> DataFrame:
         f"max({of('evictions')}) AS evictions", f"max({of('task_ms')}) AS slowest",
         f"percentile_approx({of('task_ms')}, 0.5D) AS median",
         f"min({of('cache_hit_pct')}) AS hits")])
-    return open_rows(measured, ["cluster_id"], fired(HINTS)).selectExpr(
+    return open_rows(measured, ["cluster_id"], fired(_hints(gc_pct, skew, low_hits))).selectExpr(
         "cluster_id", "pos", "rule AS symptom", "severity AS hint", "observed", "threshold")

@@ -12,8 +12,6 @@ from fleetwright.functions.numbers import (
 from fleetwright.functions.text import quote
 from fleetwright.operators.lookups import resolve_rm_reserve
 
-MAX_CURVE_NODES = 20
-
 # Spec values as the formulas accept them.
 CLEAN_SPEC = {
     "nodes": at_least(1, "nodes"), "cpn": at_least(1, "cpn"), "rpn": at_least(1, "rpn"),
@@ -91,11 +89,15 @@ def size_columns(df: DataFrame) -> DataFrame:
     return derive(df, formulas).drop("_cores", "_heap", *[f"set_{f}" for f in set_fields])
 
 
-def scaling_curve(sized: DataFrame, max_n: int = MAX_CURVE_NODES) -> DataFrame:
-    """Executors, tasks and parallelism for 1..n nodes with per-node sizing held fixed."""
+def scaling_curve(sized: DataFrame, max_n: int | None = None) -> DataFrame:
+    """Executors, tasks and parallelism for 1..n nodes with per-node sizing held fixed.
+
+    All nodes of the cluster, or at most `max_n` (a chart shows 20).
+    """
+    end = "floor(nodes)" if max_n is None else f"least({max_n}, floor(nodes))"
     points = sized.selectExpr(
         "cluster_id", "deploy_mode", "exec_pn", "exec_c",
-        f"explode(sequence(1, CAST(least({max_n}, floor(nodes)) AS INT))) AS n")
+        f"explode(sequence(1, CAST({end} AS INT))) AS n")
     points = derive(points, {"executors": f"IF({ON_CLUSTER}, greatest(1, n - 1), n) * exec_pn"})
     return points.selectExpr(
         "cluster_id", "n", "executors", "executors * exec_c AS tasks",
@@ -137,18 +139,17 @@ def driver_profile(sized: DataFrame) -> DataFrame:
 
 # Fallbacks of the dynamic allocation bounds.
 DYN_MIN, DYN_INIT, DYN_IDLE_SECONDS = 1.0, 4.0, 60.0
+DYNAMIC = {"dyn_min": or_else("dyn_min", f"{DYN_MIN}D"), "dyn_init": or_else("dyn_init", f"{DYN_INIT}D"),
+           "dyn_idle": or_else("dyn_idle", f"{DYN_IDLE_SECONDS}D")}
 
 
 def dynamic_allocation_plan(sized: DataFrame) -> DataFrame:
     """Executor bounds and the shuffle setting each resource manager needs."""
-    def given(name, fallback):
-        return or_else(f"CAST({name} AS DOUBLE)", fallback) if name in sized.columns else fallback
-
     return sized.filter("dyn_alloc").selectExpr(
         "cluster_id", "rm",
-        f"{given('dyn_min', f'{DYN_MIN}D')} AS min_executors",
-        f"{given('dyn_max', 'total_exec')} AS max_executors",
-        f"{given('dyn_init', f'{DYN_INIT}D')} AS initial_executors",
-        f"{given('dyn_idle', f'{DYN_IDLE_SECONDS}D')} AS idle_seconds",
+        f"{DYNAMIC["dyn_min"]} AS min_executors",
+        f"{or_else('dyn_max', 'total_exec')} AS max_executors",
+        f"{DYNAMIC["dyn_init"]} AS initial_executors",
+        f"{DYNAMIC["dyn_idle"]} AS idle_seconds",
         "IF(rm = 'yarn', 'spark.shuffle.service.enabled',"
         " 'spark.dynamicAllocation.shuffleTracking.enabled') AS shuffle_property")

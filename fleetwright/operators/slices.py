@@ -1,29 +1,27 @@
 """Order-dependent work over groups of any size, in bounded pieces.
 
 A plain window over `cluster_id` puts a whole group into one task. One group may hold a
-large part of all rows, so ordered work is cut into slices:
+large part of all rows, so ordered work is always cut into slices that follow from a row's
+own values; nothing is measured first and all sizes take the same path:
 
 * `positions` numbers rows by a whole-number id; a slice is a block of ids, so its size
-  is bounded by construction and nothing has to be measured first.
-* `ordered_scan` covers orders without such an id (time). Group sizes are measured; only
-  groups above the limit are range-partitioned into slices, the rest use plain windows.
+  is bounded by construction. Sparse ids make many small slices; their starts are added up
+  block by block in turn, so no window sees more than 2**bits of them.
+* `ordered_scan` covers time orders; a slice is a time bucket of fixed width.
 
 In both, a small per-slice summary carries what a slice needs from the ones before it.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwright.session import cut_lineage
-
 SLICE_BITS = 20
 OPEN_BITS = 16
-HOT_ROWS = 4_000_000
-MAX_HOT_KEYS = 100_000
+ID_BITS = 64
+# Width of a time slice: what one key sends in this time is ordered in one task.
+BUCKET_SECONDS = 3600
 
 
 def slice_of(idx: str, bits: int = SLICE_BITS) -> str:
@@ -42,12 +40,12 @@ def spread(one: DataFrame, rows: str, bits: int = SLICE_BITS) -> DataFrame:
 
 def open_positions(df: DataFrame, first: str, count: str, out: str, bits: int = OPEN_BITS,
                    spread_by: list[str] | None = None) -> DataFrame:
-    """One row per position `first … first + count - 1`.
+    """One row per position `first … first + count - 1`; none where `count` is not positive.
 
     Positions open in blocks, so no row carries a long array; with `spread_by` the blocks
     of one row are first dealt out to many tasks.
     """
-    blocks = df.selectExpr("*", f"explode(sequence(0L, {slice_of(f'{count} - 1', bits)})) AS _block")
+    blocks = df.filter(f"{count} > 0").selectExpr("*", f"explode(sequence(0L, {slice_of(f'{count} - 1', bits)})) AS _block")
     if spread_by:
         blocks = blocks.repartition(*spread_by, "_block")
     low = f"shiftleft(_block, {bits})"
@@ -57,18 +55,16 @@ def open_positions(df: DataFrame, first: str, count: str, out: str, bits: int =
 
 
 def positions(df: DataFrame, group: list[str], id_col: str, order: list[str], out: str,
-              weight: str | None = None, bits: int = SLICE_BITS) -> DataFrame:
+              weight: str | None = None, bits: int = SLICE_BITS, id_bits: int = ID_BITS) -> DataFrame:
     """0-based position of each row in its group; `weight` counts a row several times.
 
-    `order` must start with `id_col`, a whole number.
+    `order` must start with `id_col`, a whole number. Ids known to stay below 2**id_bits
+    need fewer levels.
     """
     weight_col = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     cut = df.selectExpr("*", f"{slice_of(id_col, bits)} AS _slice")
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        cut.groupBy(*group, "_slice").agg(F.sum(weight_col).alias("_n"))
-        .select(*group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    )
+    counts = cut.groupBy(*group, "_slice").agg(F.sum(weight_col).alias("_n"))
+    starts = _starts(counts, group, "_slice", bits, id_bits - bits).select(*group, "_slice", "_start")
     inside = (
         Window.partitionBy(*group, "_slice").orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -81,60 +77,39 @@ def positions(df: DataFrame, group: list[str], id_col: str, order: list[str], ou
     )
 
 
-def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than `hot_rows` rows, or None; one aggregation over the key columns."""
-    counts = df.groupBy(*keys).count()
-    size = counts.agg(F.max("count").alias("biggest"), F.sum("count").alias("rows")).first()
-    if (size["biggest"] or 0) <= hot_rows:
-        return None
-    # With this limit no more than MAX_HOT_KEYS keys qualify, so the list stays small.
-    limit = max(hot_rows, math.ceil(size["rows"] / MAX_HOT_KEYS))
-    return cut_lineage(counts.filter(F.col("count") > limit))
-
+def _starts(counts: DataFrame, group: list[str], at: str, bits: int, left: int) -> DataFrame:
+    """Adds `_start`, the sum of `_n` over the earlier slices of the group.
 
-MEASURE = object()
+    Slices lie in blocks of 2**SLICE_BITS slice numbers; a block's own start comes from the
+    next level, until one block spans all numbers that are left.
+    """
+    if left <= SLICE_BITS:
+        before = Window.partitionBy(*group).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    upper = f"{at}_up"
+    blocks = counts.selectExpr("*", f"{slice_of(at, SLICE_BITS)} AS {upper}")
+    sums = blocks.groupBy(*group, upper).agg(F.sum("_n").alias("_n"))
+    higher = _starts(sums, group, upper, bits, left - SLICE_BITS).select(
+        *group, upper, F.col("_start").alias("_higher"))
+    inside = Window.partitionBy(*group, upper).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    local = blocks.withColumn("_local", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    return local.join(higher, [*group, upper]).withColumn("_start", F.col("_local") + F.col("_higher")).drop(
+        upper, "_local", "_higher")
 
 
 def ordered_scan(df: DataFrame, keys: list[str], order: list[str], *,
                  lag: dict[str, str] | None = None, total: dict[str, str] | None = None,
-                 last: dict[str, str] | None = None, hot=MEASURE,
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Running values per group in a total order.
+                 last: dict[str, str] | None = None, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """Running values per group in a total order that starts with a time.
 
     `lag` adds the previous row's value, `total` the running sum and `last` the latest
-    non-null value up to the row itself, each as {new column: source column}. `hot` is a
-    result of `hot_groups` when the caller has already measured the same groups.
+    non-null value up to the row itself, each as {new column: source column}. A lagged
+    value that is null counts as no value. Rows without a time come first.
     """
-    spec = (lag or {}, total or {}, last or {})
-    if hot is MEASURE:
-        hot = hot_groups(df, keys, hot_rows)
-    if hot is None:
-        return _window_scan(df, keys, order, spec)
-    rows = hot.agg(F.sum("count")).first()[0] or 0
-    listed = F.broadcast(hot.select(*keys))
-    cold = _window_scan(df.join(listed, keys, "left_anti"), keys, order, spec)
-    sliced = _slice_scan(df.join(listed, keys, "left_semi"), keys, order, spec,
-                         max(2, math.ceil(rows / hot_rows)))
-    return cold.unionByName(sliced)
-
-
-def _window_scan(df, keys, order, spec):
-    lag, total, last = spec
-    ordered = Window.partitionBy(*keys).orderBy(*order)
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumns({
-        **{out: F.lag(src).over(ordered) for out, src in lag.items()},
-        **{out: F.sum(src).over(so_far) for out, src in total.items()},
-        **{out: F.last(src, ignorenulls=True).over(so_far) for out, src in last.items()},
-    })
-
-
-def _slice_scan(df, keys, order, spec, n):
-    lag, total, last = spec
-    # The slice number must not change between the two reads below, so it is stored once.
-    cut = cut_lineage(
-        df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id())
-    )
+    lag, total, last = lag or {}, total or {}, last or {}
+    spec, time = (lag, total, last), order[0]
+    bucket = f"coalesce(floor(unix_micros(CAST({time} AS TIMESTAMP)) / {bucket_seconds * 1_000_000}L), -9223372036854775808L)"
+    cut = df.selectExpr("*", f"{bucket} AS _slice")
     at = F.struct(*order)
     ends = cut.groupBy(*keys, "_slice").agg(
         F.count(F.lit(1)).alias("_rows"),
@@ -161,5 +136,16 @@ def _slice_scan(df, keys, order, spec, n):
         **{out: F.col(out) + F.coalesce(F.col(f"_sum_{out}"), F.lit(0)) for out in total},
         **{out: F.coalesce(F.col(out), F.col(f"_last_{out}")) for out in last},
     })
-    added = [*lag, *total, *last]
-    return joined.select(*df.columns, *added)
+    return joined.select(*df.columns, *lag, *total, *last)
+
+
+def _window_scan(df, keys, order, spec):
+    lag, total, last = spec
+    ordered = Window.partitionBy(*keys).orderBy(*order)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumns({
+        **{out: F.lag(src).over(ordered) for out, src in lag.items()},
+        **{out: F.sum(src).over(so_far) for out, src in total.items()},
+        **{out: F.last(src, ignorenulls=True).over(so_far) for out, src in last.items()},
+    })
+

@@ -5,21 +5,18 @@ from __future__ import annotations
 from itertools import groupby
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fleetwright.functions.columns import derive, open_rows, records
-from fleetwright.functions.numbers import half_up, num_text, or_else, overhead_mb
+from fleetwright.functions.numbers import half_up, job_count, num_text, or_else, overhead_mb
 from fleetwright.functions.text import (
     CLUSTER_KEY_WIDTH, JOB_KEY_WIDTH, pad_end, quote, say, slug,
 )
 from fleetwright.operators.lookups import merge_custom_props, scheduler_label
-from fleetwright.operators.sizing import DYN_IDLE_SECONDS, DYN_INIT, DYN_MIN
+from fleetwright.operators.sizing import DYNAMIC
 
-# Lines of a cluster's own additions per text part; longer lists continue in further
-# parts, so no text grows without bound.
-PART_LINES = 10_000
 CUSTOM_POS = 100
 
+# Fixed value.
 KRYO = "org.apache.spark.serializer.KryoSerializer"
 
 # Property lists: (section, key, value expression); a null value leaves the property out.
@@ -57,10 +54,10 @@ CLUSTER_CONF = [
     *MEMORY,
     *ADAPTIVE,
     ("dynamic", "spark.dynamicAllocation.enabled", "CAST(dyn_alloc AS STRING)"),
-    _dynamic("spark.dynamicAllocation.minExecutors", f"'{DYN_MIN:.0f}'"),
+    _dynamic("spark.dynamicAllocation.minExecutors", num_text(DYNAMIC["dyn_min"])),
     _dynamic("spark.dynamicAllocation.maxExecutors", DYNAMIC_MAX),
-    _dynamic("spark.dynamicAllocation.initialExecutors", f"'{DYN_INIT:.0f}'"),
-    _dynamic("spark.dynamicAllocation.executorIdleTimeout", f"'{DYN_IDLE_SECONDS:.0f}s'"),
+    _dynamic("spark.dynamicAllocation.initialExecutors", num_text(DYNAMIC["dyn_init"])),
+    _dynamic("spark.dynamicAllocation.executorIdleTimeout", f"concat({num_text(DYNAMIC['dyn_idle'])}, 's')"),
     _dynamic("spark.shuffle.service.enabled", "'true'", "dyn_alloc AND rm = 'yarn'"),
     _dynamic("spark.dynamicAllocation.shuffleTracking.enabled", "'true'",
              "dyn_alloc AND rm <> 'yarn'"),
@@ -129,79 +126,57 @@ def reservation_conf_properties(profile: DataFrame, props: DataFrame | None = No
     return rows if props is None else rows.unionByName(_custom_rows(props, "job", every))
 
 
-def conf_text(conf: list[tuple[str, str, str]], width: int) -> str:
-    """Property file as one expression over a row's columns, a heading before each section.
+def conf_lines(conf: list[tuple[str, str, str]], width: int) -> str:
+    """Lines of a property file as an array over a row's columns, a heading before each section.
 
     The first property of a section must always be present.
     """
     lines = []
     for section, rows in groupby(conf, key=lambda row: row[0]):
-        heading = f"# {section}\n"
-        for _, key, value in rows:
-            lines.append(f"concat({quote(heading + key.ljust(width))}, {value})")
-            heading = ""
-    return f"concat_ws('\\n', {', '.join(lines)})"
-
-
-def custom_blocks(props: DataFrame, mode: str, width: int) -> DataFrame:
-    """Text of each cluster's additions in parts of bounded length."""
-    lines = merge_custom_props(props, mode).selectExpr(
-        "cluster_id", f"CAST(floor(pos / {PART_LINES}) AS INT) AS part",
-        f"struct(pos, concat({pad_end('key', width)}, val) AS line) AS entry")
-    return lines.groupBy("cluster_id", "part").agg(F.collect_list("entry").alias("entries")) \
-        .selectExpr("cluster_id", "part", "concat('# custom\\n',"
-                    " array_join(array_sort(entries).line, '\\n')) AS custom_text")
-
-
-def with_custom_text(df: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Attach the first part of the additions to one-row-per-cluster data."""
-    first = blocks.filter("part = 0").select("cluster_id", "custom_text")
-    return df.join(first, "cluster_id", "left")
+        lines.append(quote(f"# {section}"))
+        lines += [f"concat({quote(key.ljust(width))}, {value})" for _, key, value in rows]
+    return f"filter(array({', '.join(lines)}), x -> x IS NOT NULL)"
 
 
 def render_text(df: DataFrame, owner: list[str], conf: list[tuple[str, str, str]], width: int,
-                file_name: str, blocks: DataFrame | None = None) -> DataFrame:
-    """T4: one property file per owner.
+                file_name: str, props: DataFrame | None = None, mode: str = "job") -> DataFrame:
+    """T4: property files as rows (owner, file_name, pos, line).
 
-    The lines come from columns of the row itself, so no shuffle collects them. Additions
-    arrive as `custom_text` (see `with_custom_text`); parts after the first are listed
-    once per cluster.
+    An owner's lines come from columns of its own row, so no shuffle collects them. The
+    cluster's additions hold for all its files of that kind and stand once per cluster in a
+    file of their own, a row for each, however many there are.
     """
-    text = conf_text(conf, width)
-    if "custom_text" in df.columns:
-        text = f"concat_ws('\\n', {text}, custom_text)"
-    files = df.selectExpr(*owner, "0 AS part", f"{file_name} AS file_name", f"{text} AS text")
-    if blocks is None:
+    files = df.selectExpr(*owner, f"{file_name} AS file_name", f"posexplode({conf_lines(conf, width)}) AS (pos, line)")
+    if props is None:
         return files
-    more = blocks.filter("part > 0").selectExpr(
-        "cluster_id", *[f"CAST(NULL AS BIGINT) AS {o}" for o in owner if o != "cluster_id"], "part",
-        "concat('cluster-', cluster_id, '-custom-', part, '.conf') AS file_name",
-        "custom_text AS text")
+    name = "custom" if mode == "cluster" else "job-custom"
+    more = merge_custom_props(props, mode).selectExpr(
+        "cluster_id", *[f"CAST(NULL AS BIGINT) AS {o}" for o in owner if o != "cluster_id"],
+        f"concat('cluster-', cluster_id, '-{name}.conf') AS file_name", "CAST(pos AS INT) AS pos",
+        f"concat({pad_end('key', width)}, val) AS line")
     return files.unionByName(more)
 
 
-def cluster_texts(sized: DataFrame, props: DataFrame) -> DataFrame:
-    blocks = custom_blocks(props, "cluster", CLUSTER_KEY_WIDTH)
+def cluster_texts(sized: DataFrame, props: DataFrame | None = None) -> DataFrame:
     name = "concat('cluster-', cluster_id, '-spark-defaults.conf')"
-    return render_text(with_custom_text(sized, blocks), ["cluster_id"], CLUSTER_CONF,
-                       CLUSTER_KEY_WIDTH, name, blocks)
+    return render_text(sized, ["cluster_id"], CLUSTER_CONF, CLUSTER_KEY_WIDTH, name, props, "cluster")
 
 
-def job_texts(allocs: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+def job_texts(allocs: DataFrame, props: DataFrame | None = None) -> DataFrame:
     name = f"concat('cluster-', cluster_id, '-', {slug('job_name')}, '-spark-defaults.conf')"
-    return render_text(allocs, ["cluster_id", "job_idx"], JOB_CONF, JOB_KEY_WIDTH, name, blocks)
+    return render_text(allocs, ["cluster_id", "job_idx"], JOB_CONF, JOB_KEY_WIDTH, name, props)
 
 
-def reservation_texts(profile: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+def reservation_texts(profile: DataFrame, props: DataFrame | None = None) -> DataFrame:
     name = f"concat('cluster-', cluster_id, '-', {slug('res_name')}, '-prealloc.conf')"
-    return render_text(profile, ["cluster_id", "res_idx"], RESERVATION_CONF, JOB_KEY_WIDTH, name,
-                       blocks)
+    return render_text(profile, ["cluster_id", "res_idx"], RESERVATION_CONF, JOB_KEY_WIDTH, name, props)
 
 
 def _command(*parts: str, **texts: str) -> str:
     return say(" \\\n  ".join(("spark-submit", *parts)), **texts)
 
 
+# How each resource manager is addressed.
 MASTER_URL = ("CASE rm WHEN 'standalone' THEN 'spark://<master>:7077' WHEN 'yarn' THEN 'yarn'"
               " ELSE 'k8s://https://<k8s-api>' END")
 
@@ -237,9 +212,9 @@ def reservation_submit_commands(profile: DataFrame) -> DataFrame:
 def scheduler_properties(clusters: DataFrame) -> DataFrame:
     """Scheduler properties; an unknown scheduler behaves as fair."""
     df = derive(clusters, {"_label": scheduler_label(),
-                           "_n": "floor(coalesce(nullif(num_jobs, 0D), 2D))",
+                           "_n": job_count(),
                            "_share": f"greatest(10D, {half_up('100D / _n')})"})
-    queues = "array_join(transform(sequence(1L, _n), i -> concat('q', i)), ',')"
+    queues = "array_join(transform(sequence(1L, CAST(_n AS BIGINT)), i -> concat('q', i)), ',')"
 
     def only(label, value):
         return f"IF(_label = '{label}', {value}, NULL)"

@@ -1,17 +1,17 @@
-"""Plan documents (S5): nested cluster, reservations and jobs."""
+"""Plan documents (S5): rows of one shape for the cluster, its reservations, jobs and additions.
+
+A document is its rows in order of (kind, idx); each row holds one JSON entry. So a plan has
+as many rows as it has parts, whatever its size, and no row collects a cluster's jobs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fleetwright.functions.columns import derive, record
 from fleetwright.functions.numbers import nonzero, num_text, one_decimal, overhead_mb
 from fleetwright.functions.text import quote, say
 
-# Jobs, reservations and additions per document; a larger plan continues in further parts.
-DOC_ROWS = 1000
-
 JOB_FIELDS = {
     "name": "job_name", "allocationPct": "pct", "executors": "job_exec",
     "concurrentTasks": "job_cores", "coresPerExecutor": "job_exec_c",
@@ -44,72 +44,41 @@ def _spark_conf(count: str, cores: str, heap: str, overhead: str, para: str) ->
     return "map(" + ", ".join(f"{quote(key)}, {value}" for key, value in pairs.items()) + ")"
 
 
-def _listed(df: DataFrame, idx: str, entry: str, out: str) -> DataFrame:
-    """Entries in order per (cluster, part); a part has at most DOC_ROWS of them.
-
-    The sort looks at the position only, because maps inside an entry have no order.
-    """
-    rows = df.selectExpr("cluster_id", f"CAST(floor({idx} / {DOC_ROWS}) AS BIGINT) AS part",
-                         f"struct({idx} AS idx, {entry} AS entry) AS row")
-    ordered = "array_sort(rows, (a, b) -> CAST(sign(a.idx - b.idx) AS INT)).entry"
-    return rows.groupBy("cluster_id", "part").agg(F.collect_list("row").alias("rows")) \
-        .selectExpr("cluster_id", "part", f"{ordered} AS {out}")
-
-
-def _job_docs(allocs: DataFrame) -> DataFrame:
-    conf = _spark_conf("job_exec", "job_exec_c", "job_heap", "job_oh", "job_para")
-    return _listed(allocs, "job_idx", record({**JOB_FIELDS, "sparkConf": conf}), "parallelJobs")
-
-
-def _reservation_docs(profile: DataFrame) -> DataFrame:
-    df = derive(profile, {"_oh": overhead_mb("exec_mem_gb")})
-    conf = _spark_conf("exec_count", "exec_cores", "exec_mem_gb", "_oh", "res_para")
-    entry = {**RESERVATION_FIELDS, "sparkConf": conf, "sparkSubmit": RESERVATION_COMMAND}
-    return _listed(df, "res_idx", record(entry), "preAllocatedJobs")
-
-
 CONFIG = [
-    "nodes", "cpn", "rpn", "os_r", "rm_r", "os_cr", "min_ec", "min_em", "mf", "sf", "workload",
-    "rm", "deploy_mode", "aqe", "dyn_alloc", "pyspark", "exec_c", "exec_pn", "exec_m",
-    "exec_oh", "drv_m", "drv_c", "exec_nodes", "total_exec", "total_ec", "para", "shuf_p",
-    "core_util", "mem_util", "used_cores", "used_ram", "unused_cores", "unused_ram",
+    "nodes", "cpn", "rpn", "os_r", "rm_r", "os_cr", "min_ec", "min_em", "enf_c", "enf_m", "mf", "sf", "workload",
+    "rm", "sv", "storage", "deploy_mode", "aqe", "dyn_alloc", "pyspark", "avail_ram", "usable_cpn", "exec_c", "exec_pn",
+    "exec_m", "exec_oh", "drv_m", "drv_c", "drv_oh", "exec_nodes", "total_exec", "total_ec", "para", "shuf_p", "dyn_max",
+    "core_util", "mem_util", "used_cores", "exec_ram_gb", "reserve_ram", "used_ram", "usable_total_cores",
+    "usable_total_ram", "unused_cores", "unused_ram", "master_ram", "master_cores", "master_ram_used",
+    "master_cores_used", "master_ram_util", "master_core_util", "master_ram_free", "master_cores_free",
 ]
 
 
-def plan_documents(pool: DataFrame, allocs: DataFrame, profile: DataFrame,
-                   props: DataFrame | None = None, jobs: DataFrame | None = None,
-                   generated_at: str | None = None) -> DataFrame:
-    """One document per cluster, or several parts of bounded size for a very large plan.
+def _entries(df: DataFrame, kind: str, idx: str, fields: dict[str, str]) -> DataFrame:
+    return df.selectExpr("cluster_id", f"'{kind}' AS kind", f"CAST({idx} AS BIGINT) AS idx",
+                         f"to_json({record(fields)}) AS entry")
 
-    `jobs`, the plain job table, gives the number of parts without a second allocation.
-    """
-    listed = allocs if jobs is None else jobs
-    counts = listed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_jobs"))
-    heads = pool.join(counts, "cluster_id", "left")
-    bodies = {"preAllocatedJobs": _reservation_docs(profile), "parallelJobs": _job_docs(allocs)}
-    last = ["coalesce(_jobs, 0) - 1", "res_n - 1"]
-    if props is not None:
-        top = props.groupBy("cluster_id").agg(F.max("pos").alias("_props"))
-        heads = heads.join(top, "cluster_id", "left")
-        bodies["customProps"] = _listed(
-            props, "pos", record({"key": "key", "val": "val"}), "customProps")
-        last.append("coalesce(_props, 0)")
-    # Parts are opened before the join, so it meets (cluster, part) and never a hot cluster.
-    last_part = f"CAST(floor(greatest(0, {', '.join(last)}) / {DOC_ROWS}) AS BIGINT)"
-    docs = heads.selectExpr("*", f"explode(sequence(0L, {last_part})) AS part")
-    for body in bodies.values():
-        docs = docs.join(body, ["cluster_id", "part"], "left")
-    stamp = "CAST(NULL AS STRING)" if generated_at is None else quote(generated_at)
-    return docs.selectExpr(
-        "cluster_id", "part", f"{stamp} AS generatedAt", "deploy_mode AS clusterMode",
-        "struct(nodes, cpn AS coresPerNode, rpn AS ramPerNode, total_cores AS totalCores,"
-        " total_ram AS totalRAM) AS totalCluster",
-        "struct(exec_c AS execCores, exec_m AS execMemGB, exec_oh AS execOverheadMB,"
-        " total_exec AS totalExecutors, total_ec AS totalConcurrentTasks) AS globalExecutorConfig",
-        f"struct({', '.join(CONFIG)}) AS config",
-        *[f"coalesce({name}, array()) AS {name}" for name in bodies])
 
-
-def document_text(docs: DataFrame) -> DataFrame:
-    """Documents as JSON texts."""
-    return docs.selectExpr("cluster_id", "part", "to_json(struct(*)) AS document")
+def plan_documents(pool: DataFrame, allocs: DataFrame, profile: DataFrame, props: DataFrame | None = None,
+                   jobs: DataFrame | None = None, generated_at: str | None = None) -> DataFrame:
+    """(cluster_id, kind, idx, entry) with one `cluster` row per cluster and one row per
+    `reservation`, `job`, `property` and, if the plain job table is given, `input` job."""
+    stamp = "CAST(NULL AS STRING)" if generated_at is None else quote(generated_at)
+    rows = _entries(pool, "cluster", "0", {
+        "generatedAt": stamp, "clusterMode": "deploy_mode",
+        "totalCluster": "struct(nodes, cpn AS coresPerNode, rpn AS ramPerNode, total_cores AS totalCores,"
+                        " total_ram AS totalRAM)",
+        "globalExecutorConfig": "struct(exec_c AS execCores, exec_m AS execMemGB, exec_oh AS execOverheadMB,"
+                                " total_exec AS totalExecutors, total_ec AS totalConcurrentTasks)",
+        "config": f"struct({', '.join(CONFIG)})"})
+    job_conf = _spark_conf("job_exec", "job_exec_c", "job_heap", "job_oh", "job_para")
+    rows = rows.unionByName(_entries(allocs, "job", "job_idx", {**JOB_FIELDS, "sparkConf": job_conf}))
+    held = derive(profile, {"_oh": overhead_mb("exec_mem_gb")})
+    held_conf = _spark_conf("exec_count", "exec_cores", "exec_mem_gb", "_oh", "res_para")
+    rows = rows.unionByName(_entries(held, "reservation", "res_idx", {
+        **RESERVATION_FIELDS, "sparkConf": held_conf, "sparkSubmit": RESERVATION_COMMAND}))
+    if props is not None:
+        rows = rows.unionByName(_entries(props, "property", "pos", {"key": "key", "val": "val"}))
+    if jobs is not None:
+        rows = rows.unionByName(_entries(jobs, "input", "job_idx", {"id": "job_id", "manualPct": "manual_pct"}))
+    return rows

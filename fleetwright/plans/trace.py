@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fleetwright.functions.bands import band
 from fleetwright.functions.columns import derive, records
@@ -81,26 +82,23 @@ def derivation_trace(sized: DataFrame) -> DataFrame:
     return _steps(prepared, SIZING_STEPS, "1", "NULL").drop("job_idx")
 
 
-def job_trace(allocs: DataFrame, pool: DataFrame, min_executors: float | None = None,
-              job_cores_set: bool = False, gb_per_core: float = 0.0) -> DataFrame:
+def job_trace(allocs: DataFrame, pool: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """Seven steps for each pool, then seven per job, numbered through per cluster.
 
     Step numbers follow from the job's position, so no ordering of the union is needed.
-    Reservations appear as their number and sum; their own figures are rows of
-    `reservation_profile`.
+    With `profile` steps 4 to 6 list each reservation in rows of their own, in order of
+    `res_idx`, beside the row with the sum.
     """
-    raised = "false" if min_executors is None else f"raw_exec < {max(1.0, float(min_executors))}D"
+    raised = "(_enf_je AND raw_exec < _min_je)"
     note = (f"CASE WHEN job_exec > raw_exec AND {raised} THEN ', raised to the minimum'"
             " WHEN job_exec > raw_exec THEN ', plus remainder'"
             f" WHEN job_exec = raw_exec AND NOT ({raised}) THEN ', no remainder' ELSE '' END")
-    heap = "'cluster setting'"
-    if gb_per_core > 0:
-        heap = say("{job_exec_c} * " + f"{gb_per_core:g} GB per core")
-    origin = "own setting" if job_cores_set else "cluster setting"
+    heap = f"IF(_gb > 0, {say('{job_exec_c} * {_gb} GB per core')}, 'cluster setting')"
+    origin = "IF(_ec > 0, 'own setting', 'cluster setting')"
     job_steps = [
         ("executors", say("floor({rem_exec} * {pct}%) = {raw_exec}{note}", note=note),
          say("{job_exec}")),
-        ("tasks", say("{job_exec} * {job_exec_c} " + origin), say("{job_cores}")),
+        ("tasks", say("{job_exec} * {job_exec_c} {origin}", origin=origin), say("{job_cores}")),
         ("heap per executor", heap, say("{job_heap} GB")),
         ("overhead per executor", say("max(384, {_tenth}){py}", py=PYTHON), say("{job_oh} MB")),
         ("heap", say("{job_exec} * {job_heap}"), say("{job_mem} GB")),
@@ -110,4 +108,14 @@ def job_trace(allocs: DataFrame, pool: DataFrame, min_executors: float | None =
     header = _steps(pool, HEADER_STEPS, "1", "CAST(NULL AS BIGINT)")
     prepared = derive(allocs, {"_tenth": half_up("job_heap * 1024 * 0.1D")})
     per_job = _steps(prepared, job_steps, f"job_idx * {JOB_STEPS} + {POOL_STEPS + 1}", "job_idx")
-    return header.unionByName(per_job)
+    rows = header.unionByName(per_job).withColumn("res_idx", F.lit(None).cast("bigint"))
+    if profile is None:
+        return rows
+    listed = [("reserved executors", "{exec_count} executors", "{exec_count}"),
+              ("reserved cores", "{exec_count} * {exec_cores}", "{res_cores}"),
+              ("reserved heap", "{exec_count} * {exec_mem_gb}", "{res_mem} GB")]
+    each = records([{"step": f"'{name}'", "formula": say("{res_name}: " + formula, res_name="res_name"), "result": say(result)}
+                    for name, formula, result in listed])
+    own = profile.selectExpr("cluster_id", "CAST(NULL AS BIGINT) AS job_idx", "res_idx", f"posexplode({each}) AS (_i, _s)")
+    return rows.unionByName(own.selectExpr(
+        "cluster_id", "job_idx", "CAST(4 + _i AS BIGINT) AS pos", "_s.*", "res_idx"))

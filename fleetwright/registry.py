@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwright.functions.text import JOB_KEY_WIDTH
 from fleetwright.operators import accounting, alerts, jobs, lookups, plan, reservations, rules, sizing
 from fleetwright.plans import conf, documents, report, trace
-from fleetwright.session import shared_dir
+from fleetwright.session import new_path, stored
 from fleetwright.sources import fixtures, sinks, specs
 from fleetwright.streaming import flows
 
@@ -19,7 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 SPEC_OUT = [
     "cluster_id", "nodes", "cpn", "rpn", "os_r", "rm_r", "os_cr", "min_ec", "min_em", "mf", "sf",
-    "num_jobs", "master_ram", "master_cores", "enf_c", "enf_m", "aqe", "dyn_alloc", "pyspark",
+    "num_jobs", "master_ram", "master_cores", "dyn_min", "dyn_init", "dyn_idle", "enf_c", "enf_m", "aqe", "dyn_alloc", "pyspark",
     "workload", "rm", "sv", "storage", "deploy_mode", "scheduler",
 ]
 SIZED_OUT = [
@@ -59,6 +57,12 @@ def allocs(spark, d, options=jobs.JobOptions()):
     return jobs.allocate(fixtures.jobs(spark, d), pool(spark, d), options=options)
 
 
+def planned(spark, d, options=jobs.JobOptions()):
+    """Allocation and pool, each computed once and stored, for queries that read them several times."""
+    whole = stored(pool(spark, d), "pool")
+    return stored(jobs.allocate(fixtures.jobs(spark, d), whole, options=options), "allocs"), whole
+
+
 def profile(spark, d):
     return reservations.reservation_profile(
         fixtures.numbered_reservations(spark, d), sized(spark, d))
@@ -93,49 +97,85 @@ def s3_encode_share_links(spark, d):
     return specs.encode_share_links(_page_links(spark, d)).select("cluster_id", "share_url")
 
 
+def _written(spark, texts):
+    path = new_path(spark, "conf-texts")
+    sinks.write_conf_texts(texts, path)
+    return sinks.read_conf_texts(spark, path)
+
+
 @query
 def s4_write_conf_texts(spark, d):
-    path = f"{shared_dir(spark)}/conf-texts-{uuid.uuid4().hex}"
-    sinks.write_conf_texts(
-        conf.cluster_texts(sized(spark, d), fixtures.custom_props(spark, d)), path)
-    return sinks.read_conf_texts(spark, path)
+    return _written(spark, conf.cluster_texts(sized(spark, d), fixtures.custom_props(spark, d)))
+
+
+@query
+def s4_write_job_texts(spark, d):
+    return _written(spark, conf.job_texts(allocs(spark, d), fixtures.custom_props(spark, d)))
 
 
-DOC_SCHEMA = """
-clusterMode string, totalCluster struct<totalCores: double>,
-globalExecutorConfig struct<execMemGB: double>, customProps array<struct<key: string, val: string>>,
-parallelJobs array<struct<name: string, allocationPct: double, executors: double,
-  concurrentTasks: double, totalHeapPlusOverheadGB: double, sparkConf: map<string, string>>>,
-preAllocatedJobs array<struct<name: string, executors: double, sparkConf: map<string, string>,
-  sparkSubmit: string>>
-"""
-DOC_ENTRY = """struct('{kind}' AS kind, x.name AS name, x.executors AS executors,
-{share} AS share, {tasks} AS tasks, {total} AS total_gb, x.sparkConf['spark.executor.memory'] AS memory,
-x.sparkConf['spark.executor.memoryOverhead'] AS overhead,
-x.sparkConf['spark.default.parallelism'] AS parallelism, {command} AS command)"""
+@query
+def s4_write_reservation_texts(spark, d):
+    return _written(spark, conf.reservation_texts(profile(spark, d), fixtures.custom_props(spark, d)))
+
+
+DOC_CONF = "sparkConf map<string, string>"
+DOC_KINDS = {
+    "job": "name string, allocationPct double, executors double, concurrentTasks double, coresPerExecutor double,"
+           " heapPerExecutorGB double, totalHeapPlusOverheadGB double, memPerCoreGB double, " + DOC_CONF,
+    "reservation": "name string, executors double, totalConcurrentTasks double, coresPerExecutor double,"
+                   " memPerExecutorGB double, totalHeapGB double, sparkSubmit string, " + DOC_CONF,
+    "property": "key string, val string", "input": "id bigint, manualPct double",
+}
+DOC_ROW = {
+    "job": ("name", "executors", "allocationPct", "concurrentTasks", "coresPerExecutor", "heapPerExecutorGB",
+            "totalHeapPlusOverheadGB", "memPerCoreGB", "NULL"),
+    "reservation": ("name", "executors", "NULL", "totalConcurrentTasks", "coresPerExecutor", "memPerExecutorGB",
+                    "totalHeapGB", "NULL", "sparkSubmit"),
+    "property": ("key", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "val"),
+    "input": ("CAST(id AS STRING)", "NULL", "manualPct", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL"),
+}
+DOC_OUT = ("name", "executors", "share", "tasks", "cores", "heap", "total_gb", "per_core", "text")
+
+
+def _documents(spark, d):
+    allocated, whole = planned(spark, d)
+    return documents.plan_documents(whole, allocated, profile(spark, d), fixtures.custom_props(spark, d),
+                                    fixtures.jobs(spark, d))
 
 
 @query
 def s5_plan_documents(spark, d):
-    docs = documents.plan_documents(pool(spark, d), allocs(spark, d), profile(spark, d),
-                                    fixtures.custom_props(spark, d), fixtures.jobs(spark, d))
-    parsed = documents.document_text(docs).select(
-        "cluster_id", "part", F.from_json("document", DOC_SCHEMA).alias("doc"))
-    none = "CAST(NULL AS DOUBLE)"
-    job = DOC_ENTRY.format(kind="job", share="x.allocationPct", tasks="x.concurrentTasks",
-                           total="x.totalHeapPlusOverheadGB", command="CAST(NULL AS STRING)")
-    reservation = DOC_ENTRY.format(kind="reservation", share=none, tasks=none, total=none,
-                                   command="x.sparkSubmit")
-    return parsed.selectExpr(
-        "cluster_id", "part", "doc.clusterMode AS mode", "doc.totalCluster.totalCores AS cores",
-        "doc.globalExecutorConfig.execMemGB AS heap", "size(doc.customProps) AS props",
-        f"inline(concat(transform(doc.parallelJobs, x -> {job}),"
-        f" transform(doc.preAllocatedJobs, x -> {reservation})))")
+    docs, parts = _documents(spark, d), []
+    for kind, fields in DOC_KINDS.items():
+        read = docs.filter(F.col("kind") == kind).select(
+            "cluster_id", "kind", "idx", F.from_json("entry", fields).alias("e")).select("cluster_id", "kind", "idx", "e.*")
+        own = [f"CAST({x} AS {'STRING' if out in ('name', 'text') else 'DOUBLE'}) AS {out}"
+               for x, out in zip(DOC_ROW[kind], DOC_OUT, strict=True)]
+        settings = [f"{'sparkConf' if 'sparkConf' in fields else 'CAST(NULL AS MAP<STRING, STRING>)'}['{key}'] AS {out}"
+                    for key, out in (("spark.executor.memory", "memory"), ("spark.executor.memoryOverhead", "overhead"),
+                                     ("spark.default.parallelism", "parallelism"))]
+        parts.append(read.selectExpr("cluster_id", "kind", "idx", *own, *settings))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query
+def s5_plan_configs(spark, d):
+    whole = pool(spark, d)
+    types = dict(whole.dtypes)
+    fields = ", ".join(f"{c} {types[c]}" for c in documents.CONFIG)
+    head = ("clusterMode string, totalCluster struct<totalCores: double, totalRAM: double>,"
+            f" globalExecutorConfig struct<execMemGB: double, totalExecutors: double>, config struct<{fields}>")
+    empty = allocs(spark, d).limit(0), profile(spark, d).limit(0)
+    docs = documents.plan_documents(whole, *empty).filter("kind = 'cluster'")
+    return docs.select("cluster_id", F.from_json("entry", head).alias("e")).selectExpr(
+        "cluster_id", "e.clusterMode AS mode", "e.totalCluster.totalCores AS cores", "e.totalCluster.totalRAM AS ram",
+        "e.globalExecutorConfig.execMemGB AS heap", "e.globalExecutorConfig.totalExecutors AS executors", "e.config.*")
 
 
 @query
 def s6_report_tables(spark, d):
-    return report.report_tables(pool(spark, d), allocs(spark, d), profile(spark, d))
+    allocated, whole = planned(spark, d)
+    return report.report_tables(whole, allocated, profile(spark, d))
 
 
 @query
@@ -276,13 +316,12 @@ def r1_evaluate_warnings(spark, d):
 @query
 def r2_job_plan_status(spark, d):
     options = jobs.JobOptions(enforce_executors=True, min_executors=3)
-    totals = plan.plan_totals(allocs(spark, d, options), pool(spark, d))
-    return plan.job_plan_status(totals, options)
+    return plan.job_plan_status(plan.plan_totals(*planned(spark, d, options)), options)
 
 
 @query
 def r3_job_floor_alerts(spark, d):
-    return plan.job_floor_alerts(allocs(spark, d, FLOORS), pool(spark, d), FLOORS)
+    return plan.job_floor_alerts(allocs(spark, d, FLOORS), FLOORS)
 
 
 @query
@@ -295,8 +334,16 @@ def r5_change_alerts(spark, d):
     return alerts.change_alerts(fixtures.alert_keys(spark, d))
 
 
+@query
+def r5_change_alerts_muted(spark, d):
+    # Events that serve as switches are not keys too.
+    keys = fixtures.alert_keys(spark, d).join(fixtures.mute_log(spark, d).select("seq"), "seq", "left_anti")
+    return alerts.change_alerts(keys, fixtures.mute_log(spark, d))
+
+
 @query
 def r6_muted_alerts(spark, d):
+    # Events that serve as switches are not samples too.
     samples = fixtures.usage_samples(spark, d).filter("metric <> 'evictions'")
     return alerts.muted_alerts(samples, fixtures.mute_log(spark, d), alerts.too_hot(20.0))
 
@@ -316,8 +363,8 @@ def a1_reservation_totals(spark, d):
 @query
 def a2_reservation_profile(spark, d):
     return profile(spark, d).select(
-        "cluster_id", "job_id", "res_idx", "exec_count", "exec_cores", "exec_mem_gb", "res_cores",
-        "res_mem", "res_pct", "res_para", "res_oh", "res_oh_gb")
+        "cluster_id", "job_id", "res_idx", "res_name", "exec_count", "exec_cores", "exec_mem_gb",
+        "res_cores", "res_mem", "res_pct", "res_para", "res_oh", "res_oh_gb")
 
 
 @query
@@ -329,12 +376,12 @@ def a3_remaining_pool(spark, d):
 
 @query
 def a4_plan_totals(spark, d):
-    return plan.plan_totals(allocs(spark, d), pool(spark, d))
+    return plan.plan_totals(*planned(spark, d))
 
 
 @query
 def a5_capacity_summary(spark, d):
-    return plan.capacity_summary(plan.plan_totals(allocs(spark, d), pool(spark, d)))
+    return plan.capacity_summary(plan.plan_totals(*planned(spark, d)))
 
 
 # Apportionment
@@ -384,6 +431,20 @@ def n5_suggest_floors(spark, d):
     return reservations.suggest_floors(pool(spark, d))
 
 
+@query
+def n5_floors_applied(spark, d):
+    whole = stored(pool(spark, d), "pool")
+    floors = reservations.suggest_floors(whole).selectExpr(
+        "cluster_id", "min_executors AS min_je", "min_tasks AS min_jc", "true AS enf_je", "true AS enf_jc")
+    return jobs.allocate(fixtures.jobs(spark, d), whole.join(floors, "cluster_id")).select(*ALLOC_OUT)
+
+
+@query
+def n_plan_end_to_end(spark, d):
+    listed = jobs.materialise_jobs(fixtures.clusters(spark, d), fixtures.jobs(spark, d))
+    return jobs.allocate(listed.select("cluster_id", "job_id", "job_idx", "manual_pct"), pool(spark, d)).select(*ALLOC_OUT)
+
+
 @query
 def n6_default_reservation(spark, d):
     return reservations.default_reservation(sized(spark, d))
@@ -404,12 +465,12 @@ def n8_job_share(spark, d):
 
 @query
 def x1_pool_segments(spark, d):
-    return plan.pool_segments(allocs(spark, d), pool(spark, d))
+    return plan.pool_segments(*planned(spark, d))
 
 
 @query
 def x2_job_chart_series(spark, d):
-    return plan.job_chart_series(allocs(spark, d), pool(spark, d))
+    return plan.job_chart_series(*planned(spark, d))
 
 
 @query
@@ -419,7 +480,7 @@ def x3_derivation_trace(spark, d):
 
 @query
 def x4_job_trace(spark, d):
-    return trace.job_trace(allocs(spark, d), pool(spark, d))
+    return trace.job_trace(*planned(spark, d), profile(spark, d))
 
 
 # Texts
@@ -446,17 +507,12 @@ def t4_render_text(spark, d):
 
 @query
 def t4_render_job_text(spark, d):
-    blocks = conf.custom_blocks(fixtures.custom_props(spark, d), "job", JOB_KEY_WIDTH)
-    planned = jobs.allocate(fixtures.jobs(spark, d), conf.with_custom_text(pool(spark, d), blocks))
-    return conf.job_texts(planned, blocks)
+    return conf.job_texts(allocs(spark, d), fixtures.custom_props(spark, d))
 
 
 @query
 def t4_render_reservation_text(spark, d):
-    blocks = conf.custom_blocks(fixtures.custom_props(spark, d), "job", JOB_KEY_WIDTH)
-    owners = conf.with_custom_text(sized(spark, d), blocks)
-    rows = reservations.reservation_profile(fixtures.numbered_reservations(spark, d), owners)
-    return conf.reservation_texts(rows, blocks)
+    return conf.reservation_texts(profile(spark, d), fixtures.custom_props(spark, d))
 
 
 @query
@@ -479,7 +535,7 @@ def t6_scheduler_properties(spark, d):
     return conf.scheduler_properties(fixtures.clusters(spark, d))
 
 
-# Streams, as their batch forms
+# Streams and their batch forms
 
 @query
 def v1_debounce(spark, d):
@@ -492,11 +548,33 @@ def v2_latest_spec(spark, d):
     return flows.latest_spec(fixtures.spec_changes(spark, d)).select(*SIZED_OUT)
 
 
+@query
+def v4_usage_windows(spark, d):
+    return flows.usage_windows(fixtures.usage_samples(spark, d))
+
+
+@query
+def v1_debounce_stream(spark, d):
+    stream = flows.debounce(fixtures.event_stream(spark, d, fixtures.USAGE_SAMPLES), "cluster_id",
+                            ["metric", "value"], "sample_id", "6 hours")
+    return flows.run_to_table(stream, new_path(spark, "bursts")).withColumns(
+        {c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
+
+
+@query
+def v2_latest_spec_stream(spark, d):
+    stream = flows.latest_spec(fixtures.event_stream(spark, d, fixtures.SPEC_CHANGES)).select(*SIZED_OUT)
+    return flows.run_updates(stream, ["cluster_id"], new_path(spark, "specs"))
+
+
 @query
 def v3_edge_alerts_stream(spark, d):
-    return alerts.edge_alerts(fixtures.usage_samples(spark, d))
+    stream = fixtures.event_stream(spark, d, fixtures.USAGE_SAMPLES)
+    return flows.run_edge_alerts(stream, new_path(spark, "edges"))
 
 
 @query
-def v4_usage_windows(spark, d):
-    return flows.usage_windows(fixtures.usage_samples(spark, d))
+def v4_usage_windows_stream(spark, d):
+    stream = flows.usage_windows(fixtures.event_stream(spark, d, fixtures.USAGE_SAMPLES), late="1 hour")
+    return flows.run_to_table(stream, new_path(spark, "windows")).withColumns(
+        {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})

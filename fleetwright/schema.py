@@ -15,7 +15,7 @@ from fleetwright.functions.columns import derive
 NUMBER_DEFAULTS = {
     "nodes": 10.0, "cpn": 16.0, "rpn": 64.0, "os_r": 2.0, "rm_r": 0.0, "os_cr": 1.0,
     "min_ec": 4.0, "min_em": 8.0, "mf": 0.6, "sf": 0.5, "num_jobs": 2.0,
-    "master_ram": 16.0, "master_cores": 4.0,
+    "master_ram": 16.0, "master_cores": 4.0, "dyn_min": 1.0, "dyn_init": 4.0, "dyn_idle": 60.0,
 }
 FLAG_DEFAULTS = {"enf_c": False, "enf_m": False, "aqe": True, "dyn_alloc": False, "pyspark": False}
 TEXT_DEFAULTS = {
@@ -64,6 +64,8 @@ JOB_SCHEMA = T.StructType([
 RESERVATION_SCHEMA = T.StructType([
     T.StructField("cluster_id", T.LongType(), False),
     T.StructField("res_idx", T.LongType(), False),
+    T.StructField("res_no", T.LongType()),
+    T.StructField("name", T.StringType()),
     T.StructField("exec_count", T.DoubleType()),
     T.StructField("exec_cores", T.DoubleType()),
     T.StructField("exec_mem_gb", T.DoubleType()),

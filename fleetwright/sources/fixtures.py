@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwright.operators.slices import open_positions, positions
+from fleetwright.operators.slices import positions
 
 CLUSTERS = {
     "cluster_id": "c_custkey",
@@ -31,9 +31,13 @@ CLUSTERS = {
     "template": "CASE c_custkey % 9 WHEN 0 THEN 'small' WHEN 1 THEN 'medium' WHEN 2 THEN 'large'"
                 " WHEN 3 THEN 'xlarge' WHEN 4 THEN 'emr' WHEN 5 THEN 'databricks'"
                 " WHEN 6 THEN 'hdp' WHEN 7 THEN 'custom' END",
+    "dyn_min": "CAST(CASE WHEN c_custkey % 6 = 0 THEN 7 ELSE 0 END AS DOUBLE)",
+    "dyn_init": "CAST(CASE WHEN c_custkey % 6 = 0 THEN 9 ELSE 0 END AS DOUBLE)",
+    "dyn_idle": "CAST(CASE WHEN c_custkey % 6 = 1 THEN 30.5 ELSE 0 END AS DOUBLE)",
     "scheduler": "CASE c_custkey % 4 WHEN 0 THEN 'fair' WHEN 1 THEN 'fifo' WHEN 2 THEN 'capacity'"
                  " ELSE 'other' END",
-    "num_jobs": "CAST(c_custkey % 13 AS DOUBLE)",
+    "num_jobs": "CAST(CASE WHEN c_custkey % 17 = 0 THEN 0.5 WHEN c_custkey % 19 = 0 THEN -3 WHEN c_custkey % 23 = 0 THEN 3.9"
+                " ELSE c_custkey % 13 END AS DOUBLE)",
 }
 
 # Specs as typed into a form: blanks, units, signs and junk included.
@@ -54,6 +58,9 @@ RAW_SPECS = {
     "num_jobs": "CASE WHEN c_custkey % 3 = 0 THEN '5.9' WHEN c_custkey % 3 = 1 THEN '0' END",
     "master_ram": "CASE WHEN c_custkey % 2 = 0 THEN '32' END",
     "master_cores": "CASE WHEN c_custkey % 2 = 0 THEN '8' ELSE '-1' END",
+    "dyn_min": "CASE WHEN c_custkey % 2 = 0 THEN '3' END",
+    "dyn_init": "CASE WHEN c_custkey % 3 = 0 THEN '6 executors' END",
+    "dyn_idle": "CASE WHEN c_custkey % 2 = 1 THEN '45s' ELSE '' END",
     "enf_c": "CASE WHEN c_custkey % 4 = 0 THEN 'true' END",
     "enf_m": "CASE WHEN c_custkey % 5 = 0 THEN 'true' ELSE 'false' END",
     "aqe": "CASE WHEN c_custkey % 2 = 0 THEN 'true' END",
@@ -70,11 +77,16 @@ RAW_SPECS = {
 RESERVATIONS = {
     "cluster_id": "o_custkey",
     "job_id": "l_orderkey",
-    "exec_count": "CAST(1 + CAST(l_quantity AS INT) % 3 AS DOUBLE)",
-    "exec_cores": "CAST(2 + l_partkey % 4 AS DOUBLE)",
-    "exec_mem_gb": "CAST(4 + l_suppkey % 12 AS DOUBLE)",
+    "name": "CASE WHEN l_orderkey % 5 = 0 THEN concat('Nightly  ETL ', CAST(l_orderkey AS VARCHAR(19))) END",
+    "exec_count": "CAST(1 + n_lines % 2 AS DOUBLE)",
+    "exec_cores": "CAST(2 + parts % 4 AS DOUBLE)",
+    "exec_mem_gb": "CAST(4 + supps % 12 AS DOUBLE)",
 }
-RESERVATION_FILTER = "l_linenumber = 1 AND l_returnflag = 'R'"
+# All lines of an order make one reservation.
+ORDER_LINES = {"n_lines": "count(*)", "parts": "sum(l_partkey)", "supps": "sum(l_suppkey)"}
+
+# Order keys are numbered from 1 and stay below 2**40 at any scale of the tables.
+ORDER_KEY_BITS = 40
 
 JOB_MANUAL_PCT = "CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(5 + o_orderkey % 20 AS INT) END"
 
@@ -133,8 +145,9 @@ CUSTOM_PROPS = [
 SHARE_LINK = (
     "concat('https://fleet.example/plan?', CASE c0 WHEN 0 THEN 'n=12&c=8&r=48.5&m=cluster&w=ml'"
     " WHEN 1 THEN 'n=&c=24&w=streaming' WHEN 2 THEN 'm=client&w=big%20graph&n=7'"
-    " WHEN 3 THEN 'x=1&r=abc&c=2%2E5' WHEN 4 THEN 'w=a+b&m=' ELSE 'n=3#c=9' END)"
-).replace("c0", "cluster_id % 6")
+    " WHEN 3 THEN 'x=1&r=abc&c=2%2E5' WHEN 4 THEN 'w=a+b&m=' WHEN 5 THEN 'n=3#c=9'"
+    " WHEN 6 THEN 'n=12&w=ml&q=a b' ELSE 'q={x}&c=6&m=cluster' END)"
+).replace("c0", "cluster_id % 8")
 ANY_RM = "CASE WHEN cluster_id % 7 = 0 THEN '' WHEN cluster_id % 11 = 0 THEN 'nomad' ELSE rm END"
 ANY_WORKLOAD = "CASE WHEN cluster_id % 7 = 0 THEN 'olap' ELSE workload END"
 
@@ -143,8 +156,7 @@ ANY_WORKLOAD = "CASE WHEN cluster_id % 7 = 0 THEN 'olap' ELSE workload END"
 SCHEMAS = {
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderpriority string",
-    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
-                " l_quantity double, l_returnflag string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
     "pages": "page_id bigint, url string",
 }
@@ -169,22 +181,20 @@ def raw_specs(spark, sf_dir) -> DataFrame:
 def jobs(spark, sf_dir, manual_pct: str = JOB_MANUAL_PCT) -> DataFrame:
     orders = table(spark, sf_dir, "orders").selectExpr(
         "o_custkey AS cluster_id", "o_orderkey AS job_id", f"{manual_pct} AS manual_pct")
-    return positions(orders, ["cluster_id"], "job_id", ["job_id"], "job_idx")
+    return positions(orders, ["cluster_id"], "job_id", ["job_id"], "job_idx", id_bits=ORDER_KEY_BITS)
 
 
 def reservations(spark, sf_dir) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter(RESERVATION_FILTER)
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        *[F.expr(expr).alias(name) for name, expr in ORDER_LINES.items()])
     orders = table(spark, sf_dir, "orders")
     return _project(lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), RESERVATIONS)
 
 
 def numbered_reservations(spark, sf_dir) -> DataFrame:
-    """Reservations with their position in the cluster; equal rows are interchangeable."""
-    columns = list(RESERVATIONS)
-    distinct = reservations(spark, sf_dir).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    order = ["job_id", "exec_count", "exec_cores", "exec_mem_gb"]
-    placed = positions(distinct, ["cluster_id"], "job_id", order, "_first", weight="_n")
-    return open_positions(placed, "_first", "_n", "res_idx").select(*columns, "res_idx")
+    """Reservations with their position in the cluster."""
+    return positions(reservations(spark, sf_dir), ["cluster_id"], "job_id", ["job_id"], "res_idx",
+                     id_bits=ORDER_KEY_BITS)
 
 
 def usage_samples(spark, sf_dir) -> DataFrame:
@@ -217,3 +227,12 @@ def custom_props(spark, sf_dir) -> DataFrame:
     exploded = table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS cluster_id", f"explode(array({rows})) AS p")
     return exploded.select("cluster_id", "p.pos", "p.key", "p.val")
+
+
+def event_stream(spark, sf_dir, columns: dict[str, str]) -> DataFrame:
+    """The events as a stream, in the columns of one of the logical tables.
+
+    The table may be one file or a folder of files; a pattern takes either.
+    """
+    source = spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1)
+    return _project(source.parquet(f"{sf_dir}/events.parque[t]"), columns)

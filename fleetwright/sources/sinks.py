@@ -4,31 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Texts per output file of the "lines" layout.
+# Records per output file of the "lines" layout.
 FILE_RECORDS = 1_000_000
 
 
 def write_conf_texts(texts: DataFrame, path: str, layout: str = "lines",
                      mode: str = "errorifexists") -> None:
-    """Store rows of (file_name, text).
+    """Store property files given as rows (file_name, pos, line).
 
-    `lines` writes one JSON line per file, as the tasks come, without a shuffle and with
+    `lines` writes one JSON record per line, as the tasks come, without a shuffle and with
     as many owners as there are. `files` writes one text file per owner into a folder
-    named after it and suits small selections, e.g. one cluster's jobs.
+    named after it, its lines in order, and suits small selections, e.g. one cluster's jobs.
     """
-    rows = texts.select("file_name", "text")
+    rows = texts.select("file_name", "pos", "line")
     if layout == "lines":
         rows.write.option("maxRecordsPerFile", FILE_RECORDS).mode(mode).json(path)
     elif layout == "files":
-        rows.write.partitionBy("file_name").mode(mode).text(path)
+        ordered = rows.repartition("file_name").sortWithinPartitions("file_name", "pos")
+        ordered.select("file_name", "line").write.partitionBy("file_name").mode(mode).text(path)
     else:
         raise ValueError("layout is 'lines' or 'files'")
 
 
 def read_conf_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("file_name string, text string").json(path)
+    return spark.read.schema("file_name string, pos int, line string").json(path)
 
 
 def write_documents(docs: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Plan documents as JSON lines, one document (or part) per line."""
+    """Plan documents as JSON lines, one entry per line."""
     docs.write.mode(mode).json(path)

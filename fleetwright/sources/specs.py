@@ -52,7 +52,9 @@ def decode_share_links(df: DataFrame, url_col: str = "url") -> DataFrame:
     """Spec fields carried by a link; an absent or empty parameter keeps the base value."""
     columns = {}
     for key, field in LINK_FIELDS.items():
-        given = f"try_url_decode(nullif(try_parse_url({url_col}, 'QUERY', '{key}'), ''))"
+        # Taken from the text as it stands: a blank or brace elsewhere in the link does not matter.
+        query = f"regexp_extract(substring_index({url_col}, '#', 1), '[?&]{key}=([^&]*)', 1)"
+        given = f"try_url_decode(nullif({query}, ''))"
         if field in schema.NUMBER_DEFAULTS:
             number = at_least(1, parse_number(given))
             columns[field] = f"IF({given} IS NULL, CAST({field} AS DOUBLE), {number})"

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from fleetwright.functions.bands import band
-from fleetwright.operators.alerts import too_hot
+from fleetwright.operators.alerts import edge_alerts, too_hot
 from fleetwright.operators.sizing import size_fleet
-from fleetwright.operators.slices import HOT_ROWS, hot_groups, ordered_scan
+from fleetwright.operators.slices import BUCKET_SECONDS, ordered_scan
 
 # Fixed value: pause after the last edit before results are recomputed.
 DEBOUNCE_GAP = "55 milliseconds"
@@ -41,14 +39,14 @@ def debounce(stream: DataFrame, key: str, value: list[str], seq: str, gap: str =
 
 
 def debounce_batch(df: DataFrame, key: str, value: list[str], seq: str, gap: str = DEBOUNCE_GAP,
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+                   bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """V1 over a finished table; a burst ends when the next edit comes later than the gap."""
     order = ["ts", seq]
-    hot = hot_groups(df, [key], hot_rows)
-    seen = ordered_scan(df, [key], order, lag={"_before": "ts"}, hot=hot, hot_rows=hot_rows)
+    seen = ordered_scan(df, [key], order, lag={"_before": "ts"}, bucket_seconds=bucket_seconds)
     new = F.coalesce(F.col("ts") - F.col("_before") > F.expr(f"INTERVAL {gap}"), F.lit(True))
     marked = seen.withColumn("_new", new.cast("bigint"))
-    bursts = ordered_scan(marked, [key], order, total={"_burst": "_new"}, hot=hot, hot_rows=hot_rows)
+    bursts = ordered_scan(marked, [key], order, total={"_burst": "_new"},
+                          bucket_seconds=bucket_seconds)
     return bursts.groupBy(key, "_burst").agg(*_burst(value, seq)).drop("_burst")
 
 
@@ -66,34 +64,70 @@ def latest_spec(changes: DataFrame, fields: list[str] | None = None) -> DataFram
     return size_fleet(newest.select("cluster_id", "_spec.*"))
 
 
-EDGE_OUTPUT = "cluster_id bigint, metric string, sample_id bigint, ts timestamp, value double"
-
-
-def _fire_edges(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    batch = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "sample_id"])
-    was_on = bool(state.get[0]) if state.exists else False
-    before = batch["on"].shift(1, fill_value=was_on).astype(bool)
-    state.update((bool(batch["on"].iloc[-1]),))
-    fired = batch[batch["on"] & ~before]
-    if len(fired):
-        yield pd.DataFrame({
-            "cluster_id": key[0], "metric": key[1], "sample_id": fired["sample_id"],
-            "ts": fired["ts"], "value": fired["value"]})
+EDGE_COLUMNS = ["cluster_id", "metric", "sample_id", "ts", "value"]
 
 
-def edge_alerts_stream(stream: DataFrame, condition: Column | None = None) -> DataFrame:
-    """V3: edge alerts across micro-batches with one remembered flag per (cluster, metric).
+def start_edge_alerts(stream: DataFrame, root: str, condition: Column | None = None,
+                      keys: tuple[str, ...] = ("cluster_id", "metric"), **trigger) -> StreamingQuery:
+    """V3: edge alerts across micro-batches, written to `root`/alerts by batch.
 
-    A group's rows of one micro-batch are ordered together, so their number is bounded by
-    the source's batch limit (`maxFilesPerTrigger`, `maxOffsetsPerTrigger`); set one.
-    Rows must not arrive in an earlier batch than rows that precede them.
+    One flag per key is remembered between batches: the key's last sample and whether the
+    condition held there. A batch is read as a table together with the flags, so its alerts
+    are those of R4, ordered work included. A sample that comes after a later one of its key
+    has been judged is late and is left out. Batches are rewritten whole when they are
+    repeated after a failure, so every alert is kept once.
     """
     condition = condition if condition is not None else too_hot()
-    marked = with_event_time(stream).select(
-        "cluster_id", "metric", "sample_id", "ts", "value",
-        F.coalesce(condition, F.lit(False)).alias("on"))
-    return marked.groupBy("cluster_id", "metric").applyInPandasWithState(
-        _fire_edges, EDGE_OUTPUT, "is_on boolean", "append", GroupStateTimeout.NoTimeout)
+    at = F.struct("ts", "sample_id")
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        marked = batch.select(*EDGE_COLUMNS, F.coalesce(condition, F.lit(False)).alias("is_on"))
+        if number > 0:
+            flags = spark.read.parquet(f"{root}/flags/{number - 1}")
+            seen = flags.select(*keys, at.alias("_seen"))
+            marked = marked.join(seen, list(keys), "left").filter(
+                F.col("_seen").isNull() | (at > F.col("_seen"))).drop("_seen")
+            marked = marked.withColumn("_new", F.lit(True)).unionByName(flags.withColumn("_new", F.lit(False)))
+        else:
+            marked = marked.withColumn("_new", F.lit(True))
+        fired = edge_alerts(marked, F.col("is_on"), keys).filter("_new").select(*EDGE_COLUMNS)
+        fired.write.mode("overwrite").parquet(f"{root}/alerts/batch={number}")
+        rest = [c for c in EDGE_COLUMNS if c not in keys] + ["is_on"]
+        newest = marked.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("_last"))
+        newest.select(*keys, "_last.*").write.mode("overwrite").parquet(f"{root}/flags/{number}")
+
+    return (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def run_edge_alerts(stream: DataFrame, root: str, condition: Column | None = None) -> DataFrame:
+    """Run V3 over what the source holds now and return its alerts."""
+    start_edge_alerts(stream, root, condition).awaitTermination()
+    fields = T.StructType([stream.schema[c] for c in EDGE_COLUMNS])
+    return stream.sparkSession.read.schema(fields).parquet(f"{root}/alerts").select(*EDGE_COLUMNS)
+
+
+def run_to_table(stream: DataFrame, root: str) -> DataFrame:
+    """Run a stream in append mode over what its source holds now, into a stored table."""
+    query = (stream.writeStream.outputMode("append").format("parquet").option("path", f"{root}/rows")
+             .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
+def run_updates(stream: DataFrame, keys: list[str], root: str) -> DataFrame:
+    """Run a stream in update mode over what its source holds now; the last update of each key."""
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+
+    query = (stream.writeStream.outputMode("update").foreachBatch(keep)
+             .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    rows = stream.sparkSession.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(f"{root}/rows")
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return newest.select(*keys, "_last.*").select(*stream.columns)
 
 
 def usage_windows(samples: DataFrame, width: str = "6 hours", slide: str = "3 hours",

@@ -18,10 +18,10 @@ def jobs(manual_pct: str) -> str:
 
 JOBS = jobs(fx.JOB_MANUAL_PCT)
 
-RES = "res0 AS (" + select(fx.RESERVATIONS, "lineitem JOIN orders ON l_orderkey = o_orderkey") \
-    + f" WHERE {fx.RESERVATION_FILTER})" + """,
-res AS (SELECT *, row_number() OVER (PARTITION BY cluster_id
- ORDER BY job_id, exec_count, exec_cores, exec_mem_gb) - 1 AS res_idx FROM res0)"""
+RES = """order_lines AS (SELECT l_orderkey, count(*) AS n_lines, CAST(sum(l_partkey) AS BIGINT) AS parts,
+ CAST(sum(l_suppkey) AS BIGINT) AS supps FROM lineitem GROUP BY l_orderkey),
+res0 AS (""" + select(fx.RESERVATIONS, "order_lines JOIN orders ON l_orderkey = o_orderkey") + """),
+res AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY job_id) - 1 AS res_idx FROM res0)"""
 
 SAMPLES = "samples AS (" + select(fx.USAGE_SAMPLES, "events") + ")"
 TASK_METRICS = "task_metrics AS (" + select(fx.TASK_METRICS, "events") + ")"
@@ -118,19 +118,19 @@ shares AS (SELECT *, CASE WHEN manual_pct IS NOT NULL THEN manual_pct::DOUBLE
  ELSE round(greatest(0, 100 - manual_sum)::DOUBLE / auto_n) END AS pct FROM shares_0)"""
 
 
-def allocs(basis: str, name: str = "allocs", min_exec: float | None = None,
-           cores: float = 0, per_core: float = 0, min_tasks: float | None = None) -> str:
+def allocs(basis: str, name: str = "allocs", min_exec: float | str | None = None,
+           cores: float = 0, per_core: float = 0, min_tasks: float | str | None = None) -> str:
     """Executors per job by largest remainder, then cores, memory and overhead."""
     n = name
     share = "rem_exec * (pct / 100)" if basis == "screen" else "rem_exec * pct / 100"
     base = f"greatest(1.0, floor({share}))"
     if min_exec is not None:
-        base = f"greatest({float(min_exec)}, {base})"
+        base = f"greatest({min_exec if isinstance(min_exec, str) else float(min_exec)}, {base})"
     ec = f"{float(cores)}::DOUBLE" if cores > 0 else "exec_c"
     heap = f"round({ec} * {float(per_core)}::DOUBLE)" if per_core > 0 else "exec_m"
     raised = "exec0"
     if min_tasks is not None:
-        m = f"{float(min_tasks)}::DOUBLE"
+        m = min_tasks if isinstance(min_tasks, str) else f"{float(min_tasks)}::DOUBLE"
         raised = f"CASE WHEN exec0 * {ec} < {m} THEN ceil({m} / {ec}) ELSE exec0 END"
     return f"""{n}_0 AS (SELECT shares.*, pool.* EXCLUDE (cluster_id), {base}::DOUBLE AS base,
  (rem_exec * pct / 100) - floor(rem_exec * pct / 100) AS frac FROM shares JOIN pool USING (cluster_id)),

@@ -34,6 +34,7 @@ READ_SPECS = f"""specs AS (SELECT cluster_id, {at_least(1, parse('nodes'))} AS n
  coalesce(nullif({parse('mf')}, 0), 0.6::DOUBLE) AS mf, coalesce(nullif({parse('sf')}, 0), 0.5::DOUBLE) AS sf,
  coalesce(nullif(trunc({parse('num_jobs')}), 0), 2.0::DOUBLE) AS num_jobs,
  {at_least(1, parse('master_ram'))} AS master_ram, {at_least(1, parse('master_cores'))} AS master_cores,
+ {parse('dyn_min')} AS dyn_min, {parse('dyn_init')} AS dyn_init, {parse('dyn_idle')} AS dyn_idle,
  coalesce(enf_c = 'true', false) AS enf_c, coalesce(enf_m = 'true', false) AS enf_m, coalesce(aqe = 'true', false) AS aqe,
  coalesce(dyn_alloc = 'true', false) AS dyn_alloc, coalesce(pyspark = 'true', false) AS pyspark,
  {text_or('workload', 'etl')} AS workload, {text_or('rm', 'yarn')} AS rm, {text_or('sv', '3.5')} AS sv,
@@ -169,6 +170,21 @@ GROUPED = ["nodes", "total_cores", "total_ram", "total_exec", "total_ec", "exec_
 
 W = f"WITH {b.SIZED}\n"
 
+DEBOUNCE = f"""WITH {b.SAMPLES}, g AS (SELECT *, lag(ts) OVER (PARTITION BY cluster_id ORDER BY ts, sample_id) AS before FROM samples),
+ i AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 6 HOUR THEN 1 ELSE 0 END)
+ OVER (PARTITION BY cluster_id ORDER BY ts, sample_id) AS burst FROM g),
+ r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, burst ORDER BY ts DESC, sample_id DESC) AS back FROM i)
+ SELECT cluster_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS edits, max(metric) FILTER (back = 1) AS metric,
+ max(value) FILTER (back = 1) AS value FROM r GROUP BY cluster_id, burst"""
+WINDOWS = f"""WITH {b.SAMPLES}, w AS (SELECT *, time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01') - unnest([0, 1]) * INTERVAL 3 HOUR AS window_start FROM samples),
+ a AS (SELECT cluster_id, metric, window_start, window_start + INTERVAL 6 HOUR AS window_end, count(*) AS samples,
+ sum(CAST(round(value * 1e6) AS BIGINT))::DOUBLE / count(*) / 1e6 AS average, max(value) AS peak FROM w GROUP BY cluster_id, metric, window_start)
+ SELECT *, {band('standard', 'average')} AS band FROM a"""
+LATEST = "WITH changes AS (" + b.select(fx.SPEC_CHANGES, "events") + f"""),
+ newest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ts DESC, seq DESC) AS rn FROM changes) WHERE rn = 1),
+ specs AS (SELECT *, false AS pyspark, false AS enf_c, false AS enf_m, true AS aqe, {b.SPEC_TAIL} FROM newest),
+ {b.sizing('specs')} SELECT {SIZED_OUT} FROM sized"""
+
 SQL = {
     "s1_read_specs": f"WITH {RAW}, {READ_SPECS} SELECT * FROM specs",
     "s2_decode_share_links": f"""WITH {b.CLUSTERS}, links AS (
@@ -198,7 +214,7 @@ SQL = {
     "p5_apply_overrides": f"WITH {b.LOG}, {b.OVERRIDES} SELECT * FROM overrides",
     "z1_size_fleet": f"{W} SELECT {SIZED_OUT} FROM sized",
     "z1_size_fleet_overridden": f"WITH {b.SIZED_SET} SELECT {SIZED_OUT} FROM sized",
-    "z2_scaling_curve": f"""{W}, p AS (SELECT *, unnest(range(1, CAST(least(20, nodes) AS BIGINT) + 1)) AS n FROM sized),
+    "z2_scaling_curve": f"""{W}, p AS (SELECT *, unnest(range(1, CAST(nodes AS BIGINT) + 1)) AS n FROM sized),
  e AS (SELECT cluster_id, CAST(n AS INT) AS n, exec_c, CASE WHEN deploy_mode = 'cluster' THEN greatest(1, n - 1) ELSE n END * exec_pn AS executors FROM p)
  SELECT cluster_id, n, executors, executors * exec_c AS tasks, executors * exec_c * 2 AS parallelism,
  round(executors * exec_c * 2 / 10) AS parallelism_tenth FROM e""",
@@ -208,8 +224,8 @@ SQL = {
     "z4_driver_profile": f"""{W} SELECT cluster_id, deploy_mode, CASE WHEN deploy_mode = 'client' THEN CASE WHEN drv_m >= 16 THEN 'high'
  WHEN drv_m >= 8 THEN 'moderate' ELSE 'low' END END AS footprint, drv_m AS heap_gb, drv_oh AS overhead_mb, drv_c AS cores,
  CASE WHEN deploy_mode = 'cluster' THEN 1.0 ELSE 0.0 END::DOUBLE AS reserved_nodes, exec_nodes, exec_pn, total_exec FROM sized""",
-    "z5_dynamic_allocation_plan": f"""{W} SELECT cluster_id, rm, 1.0::DOUBLE AS min_executors, total_exec AS max_executors,
- 4.0::DOUBLE AS initial_executors, 60.0::DOUBLE AS idle_seconds, CASE WHEN rm = 'yarn' THEN 'spark.shuffle.service.enabled'
+    "z5_dynamic_allocation_plan": f"""{W} SELECT cluster_id, rm, coalesce(nullif(dyn_min, 0.0), 1.0)::DOUBLE AS min_executors, total_exec AS max_executors,
+ coalesce(nullif(dyn_init, 0.0), 4.0)::DOUBLE AS initial_executors, coalesce(nullif(dyn_idle, 0.0), 60.0)::DOUBLE AS idle_seconds, CASE WHEN rm = 'yarn' THEN 'spark.shuffle.service.enabled'
  ELSE 'spark.dynamicAllocation.shuffleTracking.enabled' END AS shuffle_property FROM sized WHERE dyn_alloc""",
     "u1_utilisation": f"""{W} SELECT cluster_id, used_cores, total_cores, core_util, unused_cores, used_ram, total_ram, mem_util, unused_ram,
  usable_total_cores, usable_total_ram, {band('standard', 'core_util')} AS core_band, {band('standard', 'mem_util')} AS mem_band,
@@ -255,6 +271,12 @@ SQL = {
  SELECT cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY ord) - 1 AS INT) AS pos, * EXCLUDE (cluster_id, ord) FROM every""",
     "r4_edge_alerts": f"WITH {b.SAMPLES} {edges('samples', 'value > 40')}",
     "v3_edge_alerts_stream": f"WITH {b.SAMPLES} {edges('samples', 'value > 95')}",
+    "r5_change_alerts_muted": f"""WITH {b.ALERT_KEYS}, {b.MUTES},
+ u AS (SELECT k.* FROM (SELECT * FROM keys WHERE seq NOT IN (SELECT seq FROM mutes)) k ASOF LEFT JOIN mutes m ON k.cluster_id = m.cluster_id AND k.ts >= m.ts
+ WHERE NOT coalesce(m.muted, false)),
+ s AS (SELECT *, CASE WHEN alert_key IN ('', 'OC') THEN '' ELSE alert_key END AS shown FROM u),
+ l AS (SELECT *, lag(shown, 1, '') OVER (PARTITION BY cluster_id ORDER BY ts, seq) AS before FROM s)
+ SELECT cluster_id, seq, ts, alert_key FROM l WHERE shown <> '' AND shown <> before""",
     "r5_change_alerts": f"""WITH {b.ALERT_KEYS}, s AS (SELECT *, CASE WHEN alert_key IN ('', 'OC') THEN '' ELSE alert_key END AS shown FROM keys),
  l AS (SELECT *, lag(shown, 1, '') OVER (PARTITION BY cluster_id ORDER BY ts, seq) AS before FROM s)
  SELECT cluster_id, seq, ts, alert_key FROM l WHERE shown <> '' AND shown <> before""",
@@ -277,18 +299,10 @@ SQL = {
         ('cache_hits', 'more_heap', 'hits < 50', 'hits', '50')], source='s')})
  SELECT cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY ord) - 1 AS INT) AS pos, rule AS symptom, severity AS hint,
  observed, threshold FROM h""",
-    "v1_debounce": f"""WITH {b.SAMPLES}, g AS (SELECT *, lag(ts) OVER (PARTITION BY cluster_id ORDER BY ts, sample_id) AS before FROM samples),
- i AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 6 HOUR THEN 1 ELSE 0 END)
- OVER (PARTITION BY cluster_id ORDER BY ts, sample_id) AS burst FROM g),
- r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, burst ORDER BY ts DESC, sample_id DESC) AS back FROM i)
- SELECT cluster_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS edits, max(metric) FILTER (back = 1) AS metric,
- max(value) FILTER (back = 1) AS value FROM r GROUP BY cluster_id, burst""",
-    "v2_latest_spec": "WITH changes AS (" + b.select(fx.SPEC_CHANGES, "events") + f"""),
- newest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ts DESC, seq DESC) AS rn FROM changes) WHERE rn = 1),
- specs AS (SELECT *, false AS pyspark, false AS enf_c, false AS enf_m, true AS aqe, {b.SPEC_TAIL} FROM newest),
- {b.sizing('specs')} SELECT {SIZED_OUT} FROM sized""",
-    "v4_usage_windows": f"""WITH {b.SAMPLES}, w AS (SELECT *, time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01') - unnest([0, 1]) * INTERVAL 3 HOUR AS window_start FROM samples),
- a AS (SELECT cluster_id, metric, window_start, window_start + INTERVAL 6 HOUR AS window_end, count(*) AS samples,
- sum(CAST(round(value * 1e6) AS BIGINT))::DOUBLE / count(*) / 1e6 AS average, max(value) AS peak FROM w GROUP BY cluster_id, metric, window_start)
- SELECT *, {band('standard', 'average')} AS band FROM a""",
+    "v1_debounce": DEBOUNCE,
+    "v1_debounce_stream": "SELECT * FROM (" + DEBOUNCE + ") WHERE last_ts + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+    "v4_usage_windows_stream": "SELECT * FROM (" + WINDOWS + ") WHERE window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+    "v2_latest_spec": LATEST,
+    "v2_latest_spec_stream": LATEST,
+    "v4_usage_windows": WINDOWS,
 }

@@ -21,7 +21,7 @@ PROFILE = f""", profile AS (SELECT res.*, sized.* EXCLUDE (cluster_id), exec_cou
  exec_count * exec_mem_gb AS res_mem, round(exec_count / total_exec * 100) AS res_pct, exec_count * exec_cores * 2 AS res_para,
  greatest(384.0, round(exec_mem_gb * 1024 * 0.1::DOUBLE))::DOUBLE AS res_base_oh,
  (greatest(384.0, round(exec_mem_gb * 1024 * 0.1::DOUBLE)) + {PY_MB})::DOUBLE AS res_oh,
- concat('Reserved Job ', CAST(res_idx + 1 AS VARCHAR)) AS res_name FROM res JOIN sized USING (cluster_id)),
+ coalesce(name, concat('Reserved Job ', CAST(res_idx + 1 AS VARCHAR))) AS res_name FROM res JOIN sized USING (cluster_id)),
  prof AS (SELECT *, round(exec_count * res_oh / 1024 * 10) / 10 AS res_oh_gb FROM profile)"""
 
 
@@ -171,10 +171,10 @@ CLUSTER_CONF = [
     *DRIVER, ("parallelism", "spark.default.parallelism", n("para")),
     ("parallelism", "spark.sql.shuffle.partitions", n("shuf_p")), *MEMORY, *ADAPTIVE,
     ("dynamic", DA + "enabled", "CAST(dyn_alloc AS VARCHAR)"),
-    ("dynamic", DA + "minExecutors", "CASE WHEN dyn_alloc THEN '1' END"),
+    ("dynamic", DA + "minExecutors", f"CASE WHEN dyn_alloc THEN {n('coalesce(nullif(dyn_min, 0.0), 1.0)')} END"),
     ("dynamic", DA + "maxExecutors", f"CASE WHEN dyn_alloc THEN {n('total_exec')} END"),
-    ("dynamic", DA + "initialExecutors", "CASE WHEN dyn_alloc THEN '4' END"),
-    ("dynamic", DA + "executorIdleTimeout", "CASE WHEN dyn_alloc THEN '60s' END"),
+    ("dynamic", DA + "initialExecutors", f"CASE WHEN dyn_alloc THEN {n('coalesce(nullif(dyn_init, 0.0), 4.0)')} END"),
+    ("dynamic", DA + "executorIdleTimeout", f"CASE WHEN dyn_alloc THEN concat({n('coalesce(nullif(dyn_idle, 0.0), 60.0)')}, 's') END"),
     ("dynamic", "spark.shuffle.service.enabled", "CASE WHEN dyn_alloc AND rm = 'yarn' THEN 'true' END"),
     ("dynamic", DA + "shuffleTracking.enabled", "CASE WHEN dyn_alloc AND rm <> 'yarn' THEN 'true' END"),
     ("network", "spark.serializer", KRYO), ("network", "spark.kryoserializer.buffer.max", "'512m'"),
@@ -210,15 +210,18 @@ def custom_rows(mode: str, owner: str = "") -> str:
 
 
 def texts(rows, owner: str, source: str, width: int, mode: str, name: str, keep: str = "") -> str:
-    """One text per owner from the long rows, headings at each change of section."""
+    """Lines of one file per owner, headings at each change of section, and the additions of each cluster."""
+    own = "custom" if mode == "cluster" else "job-custom"
+    empty = "".join(f"NULL, " for _ in owner.split(",")[1:])
     return f""", conf AS ({conf_rows(rows, owner, source)}),
- own AS (SELECT DISTINCT {owner}{', ' + keep if keep else ''} FROM {source}),
- every AS (SELECT {owner}, pos, section, key, value FROM conf UNION ALL
- SELECT {', '.join('own.' + o.strip() for o in owner.split(','))}, c.pos, c.section, c.key, c.value FROM own JOIN ({custom_rows(mode)}) c USING (cluster_id)),
- marked AS (SELECT *, lag(section) OVER (PARTITION BY {owner} ORDER BY pos) AS prev FROM every),
- body AS (SELECT {owner}, string_agg(concat(CASE WHEN section IS DISTINCT FROM prev THEN concat('# ', section, chr(10)) ELSE '' END, key,
- repeat(' ', CAST(greatest(0, {width} - length(key)) AS BIGINT)), value), chr(10) ORDER BY pos) AS text FROM marked GROUP BY {owner})
- SELECT {owner}, 0 AS part, {name} AS file_name, text FROM body JOIN own USING ({owner})"""
+ marked AS (SELECT *, lag(section) OVER (PARTITION BY {owner} ORDER BY pos) AS prev FROM conf),
+ every AS (SELECT {owner}, pos * 2 AS ord, concat('# ', section) AS line FROM marked WHERE section IS DISTINCT FROM prev
+ UNION ALL SELECT {owner}, pos * 2 + 1, concat(key, repeat(' ', CAST(greatest(0, {width} - length(key)) AS BIGINT)), value) FROM marked),
+ body AS (SELECT {owner}, CAST(row_number() OVER (PARTITION BY {owner} ORDER BY ord) - 1 AS INT) AS pos, line FROM every),
+ own AS (SELECT DISTINCT {owner}{', ' + keep if keep else ''} FROM {source})
+ SELECT {owner}, {name} AS file_name, pos, line FROM body JOIN own USING ({owner})
+ UNION ALL SELECT cluster_id, {empty}concat('cluster-', cluster_id, '-{own}.conf'), pos - 100,
+ concat(key, repeat(' ', CAST(greatest(0, {width} - length(key)) AS BIGINT)), value) FROM ({custom_rows(mode)})"""
 
 
 def command(*parts: str) -> str:
@@ -226,7 +229,7 @@ def command(*parts: str) -> str:
 
 
 def slug(x: str) -> str:
-    return f"replace(lower({x}), ' ', '-')"
+    return f"lower(regexp_replace({x}, '\\s+', '-', 'g'))"
 
 
 CLUSTER_COMMAND = command(
@@ -294,6 +297,18 @@ REPORT_SQL = union(
        f"SELECT cluster_id, 'jobs', job_idx + 1, job_name, {amounts('job_exec', 'job_cores', 'job_mem', 'job_oh_gb')},"
        f" {say(n('pct'), chr(39) + '%: ' + chr(39), n('job_exec'), chr(39) + ' x ' + chr(39), n('job_exec_c'), chr(39) + ' cores x ' + chr(39), n('job_heap'), chr(39) + ' GB' + chr(39))} FROM allocs"])
 
+CONFIG = """nodes cpn rpn os_r rm_r os_cr min_ec min_em enf_c enf_m mf sf workload rm sv storage deploy_mode aqe dyn_alloc pyspark avail_ram
+ usable_cpn exec_c exec_pn exec_m exec_oh drv_m drv_c drv_oh exec_nodes total_exec total_ec para shuf_p dyn_max core_util mem_util used_cores exec_ram_gb
+ reserve_ram used_ram usable_total_cores usable_total_ram unused_cores unused_ram master_ram master_cores master_ram_used master_cores_used
+ master_ram_util master_core_util master_ram_free master_cores_free""".split()
+LISTED_JOBS = b.JOBS.replace("jobs AS", "listed AS", 1) + """,
+ wanted AS (SELECT cluster_id, CAST(greatest(1.0, coalesce(nullif(trunc(num_jobs), 0.0), 2.0)) AS BIGINT) AS nj FROM clusters),
+ places AS (SELECT cluster_id, unnest(range(0, nj)) AS job_idx FROM wanted),
+ jobs AS (SELECT cluster_id, job_idx, job_id, manual_pct FROM places LEFT JOIN listed USING (cluster_id, job_idx))"""
+FLOORED = b.POOL.replace("\npool AS (", "\npool_b AS (") + """,
+ fair AS (SELECT cluster_id, exec_c AS c, floor(greatest(1.0, total_exec - res_exec) / greatest(1.0, coalesce(nullif(trunc(num_jobs), 0.0), 2.0))) AS share FROM pool_b),
+ floors AS (SELECT cluster_id, greatest(1.0, floor(share / 2)) AS min_exec, greatest(1.0, greatest(1.0, floor(share / 2)) * c) AS min_tasks FROM fair),
+ pool AS (SELECT pool_b.*, min_exec, min_tasks FROM pool_b JOIN floors USING (cluster_id))"""
 SCHED = "CASE WHEN scheduler IN ('fair', 'fifo', 'capacity') THEN scheduler ELSE 'fair' END"
 SCHED_ROWS = [
     ("spark.scheduler.mode", "CASE WHEN sc = 'fifo' THEN 'FIFO' ELSE 'FAIR' END"),
@@ -303,6 +318,11 @@ SCHED_ROWS = [
     ("yarn.scheduler.capacity.root.default.capacity",
      f"CASE WHEN sc = 'capacity' THEN concat({n('greatest(10.0, round(100.0::DOUBLE / nj))::DOUBLE')}, '%') END"),
 ]
+CLUSTER_TEXTS = texts(CLUSTER_CONF, "cluster_id", "sized", 45, "cluster", "concat('cluster-', cluster_id, '-spark-defaults.conf')")
+JOB_TEXTS = texts(JOB_CONF, "cluster_id, job_idx", "allocs", 42, "job",
+                  f"concat('cluster-', cluster_id, '-', {slug('job_name')}, '-spark-defaults.conf')", "job_name")
+RES_TEXTS = texts(RES_CONF, "cluster_id, res_idx", "prof", 42, "job",
+                  f"concat('cluster-', cluster_id, '-', {slug('res_name')}, '-prealloc.conf')", "res_name")
 JP = f"WITH {b.ALLOCS}{PROFILE},\n{b.PROPS}\n"
 COUNTED = "(SELECT cluster_id, count(*)::DOUBLE AS jobs, sum(job_cores) AS jc, sum(job_mem) AS jm FROM allocs GROUP BY cluster_id)"
 RES_OH = f"round((coalesce(mbs, 0.0) + CASE WHEN pyspark THEN res_exec * 1024 ELSE 0.0 END) / 1024 * 10) / 10"
@@ -310,13 +330,13 @@ RES_OH = f"round((coalesce(mbs, 0.0) + CASE WHEN pyspark THEN res_exec * 1024 EL
 SQL = {
     "a1_reservation_totals": f"""{R}, {b.RES_TOTALS} SELECT cluster_id, res_n, res_exec, res_cores, res_mem,
  {pct('res_exec', 'total_exec')} AS res_pct FROM rt JOIN sized USING (cluster_id)""",
-    "a2_reservation_profile": f"""{R}{PROFILE} SELECT cluster_id, job_id, res_idx, exec_count, exec_cores, exec_mem_gb, res_cores, res_mem,
+    "a2_reservation_profile": f"""{R}{PROFILE} SELECT cluster_id, job_id, res_idx, res_name, exec_count, exec_cores, exec_mem_gb, res_cores, res_mem,
  res_pct, res_para, res_oh, res_oh_gb FROM prof""",
     "a3_remaining_pool": f"""{P} SELECT cluster_id, pool_exec, pool_cores, pool_mem, pool_oh, pool_total, res_n, res_exec, res_cores, res_mem,
  res_oh, rem_exec, rem_cores, rem_mem FROM pool""",
     "a4_plan_totals": f"{A}{TOTALS} SELECT * FROM tot",
     "a5_capacity_summary": f"{A}{TOTALS} " + lines(SUMMARY, "tot"),
-    "n1_materialise_jobs": f"""WITH {b.CLUSTERS}, {b.JOBS}, w AS (SELECT cluster_id, CASE WHEN num_jobs = 0 THEN 2 ELSE CAST(num_jobs AS BIGINT) END AS nj FROM clusters),
+    "n1_materialise_jobs": f"""WITH {b.CLUSTERS}, {b.JOBS}, w AS (SELECT cluster_id, CAST(greatest(1.0, coalesce(nullif(trunc(num_jobs), 0.0), 2.0)) AS BIGINT) AS nj FROM clusters),
  s AS (SELECT cluster_id, nj, unnest(range(0, nj)) AS job_idx FROM w)
  SELECT cluster_id, job_idx, job_id, manual_pct, job_id IS NULL AS created, CASE WHEN job_id IS NULL THEN round(100.0::DOUBLE / nj) END AS initial_pct
  FROM s LEFT JOIN jobs USING (cluster_id, job_idx)""",
@@ -327,9 +347,12 @@ SQL = {
     "n4_finalise_allocs": f"{A} SELECT {ALLOC_OUT} FROM allocs",
     "n4_finalise_allocs_ratio": f"{planned(cores=3, per_core=2.5, min_tasks=20)} SELECT {ALLOC_OUT} FROM allocs",
     "n5_suggest_floors": f"""{P}, s AS (SELECT cluster_id, greatest(1.0, total_exec - res_exec)::DOUBLE AS remaining,
- CASE WHEN num_jobs = 0 THEN 2.0 ELSE num_jobs END::DOUBLE AS jobs, exec_c FROM pool),
+ greatest(1.0, coalesce(nullif(trunc(num_jobs), 0.0), 2.0))::DOUBLE AS jobs, exec_c FROM pool),
  f AS (SELECT *, floor(remaining / jobs) AS fair_share FROM s), m AS (SELECT *, greatest(1.0, floor(fair_share / 2))::DOUBLE AS min_executors FROM f)
  SELECT cluster_id, remaining, jobs, fair_share, min_executors, greatest(1.0, min_executors * exec_c)::DOUBLE AS min_tasks FROM m""",
+    "n5_floors_applied": f"WITH {FLOORED},\n{b.JOBS},\n{b.SHARES},\n" + b.allocs("export", min_exec="min_exec", min_tasks="min_tasks")
+                         + f" SELECT {ALLOC_OUT} FROM allocs",
+    "n_plan_end_to_end": f"WITH {b.POOL},\n{LISTED_JOBS},\n{b.SHARES},\n" + b.allocs("export") + f" SELECT {ALLOC_OUT} FROM allocs",
     "n6_default_reservation": f"""{W} SELECT cluster_id, greatest(1.0, round(total_exec * 0.1::DOUBLE))::DOUBLE AS exec_count, exec_c AS exec_cores,
  exec_m AS exec_mem_gb FROM sized""",
     "n7_allocation_diff": f"""WITH {b.POOL},\n{b.jobs(b.fx.WIDE_MANUAL_PCT)},\n{b.SHARES},\n{b.allocs('screen', 'a')},\n{b.allocs('export', 'e')}
@@ -374,18 +397,22 @@ SQL = {
         series("jobs + 1", "'unused'", "heap_gb", "greatest(0.0, rem_mem - jm)", "pool_mem", "rest"),
         series("jobs + 1", "'unused'", "overhead_gb", "0.0", "pool_mem", "rest")]),
     "x3_derivation_trace": W + steps(STEPS, "1", "sized"),
-    "x4_job_trace": A + steps(POOL_STEPS, "1", "pool", "CAST(NULL AS BIGINT)") + "\nUNION ALL " + steps(JOB_STEPS, "8 + job_idx * 7", "allocs", "job_idx"),
+    "x4_job_trace": f"{A}{PROFILE} SELECT *, CAST(NULL AS BIGINT) AS res_idx FROM (" + steps(POOL_STEPS, "1", "pool", "CAST(NULL AS BIGINT)") + "\nUNION ALL "
+                    + steps(JOB_STEPS, "8 + job_idx * 7", "allocs", "job_idx") + ")\nUNION ALL " + union([
+                        f"SELECT cluster_id, CAST({4 + i} AS BIGINT), '{step}', {formula}, {result}, NULL, res_idx FROM prof"
+                        for i, (step, formula, result) in enumerate([
+                            ("reserved executors", say("res_name", "': '", n("exec_count"), "' executors'"), n("exec_count")),
+                            ("reserved cores", say("res_name", "': '", n("exec_count"), "' * '", n("exec_cores")), n("res_cores")),
+                            ("reserved heap", say("res_name", "': '", n("exec_count"), "' * '", n("exec_mem_gb")), say(n("res_mem"), "' GB'"))])]),
     "t1_conf_properties": f"{W}, {b.PROPS} {conf_rows(CLUSTER_CONF, 'cluster_id', 'sized')} UNION ALL {custom_rows('cluster')}",
     "t2_job_conf_properties": f"{JP} {conf_rows(JOB_CONF, 'cluster_id, job_idx', 'allocs')} UNION ALL {custom_rows('job', 'NULL AS job_idx, ')}",
     "t3_reservation_conf_properties": f"{JP} {conf_rows(RES_CONF, 'cluster_id, res_idx', 'prof')} UNION ALL {custom_rows('job', 'NULL AS res_idx, ')}",
-    "t4_render_text": f"{W}, {b.PROPS}" + texts(CLUSTER_CONF, "cluster_id", "sized", 45, "cluster",
-                                                "concat('cluster-', cluster_id, '-spark-defaults.conf')"),
-    "s4_write_conf_texts": "SELECT file_name, text FROM (" + f"{W}, {b.PROPS}" + texts(
-        CLUSTER_CONF, "cluster_id", "sized", 45, "cluster", "concat('cluster-', cluster_id, '-spark-defaults.conf')") + ")",
-    "t4_render_job_text": JP + texts(JOB_CONF, "cluster_id, job_idx", "allocs", 42, "job",
-                                     f"concat('cluster-', cluster_id, '-', {slug('job_name')}, '-spark-defaults.conf')", "job_name"),
-    "t4_render_reservation_text": JP + texts(RES_CONF, "cluster_id, res_idx", "prof", 42, "job",
-                                             f"concat('cluster-', cluster_id, '-', {slug('res_name')}, '-prealloc.conf')", "res_name"),
+    "t4_render_text": f"{W}, {b.PROPS}" + CLUSTER_TEXTS,
+    "s4_write_conf_texts": "SELECT file_name, pos, line FROM (" + f"{W}, {b.PROPS}" + CLUSTER_TEXTS + ")",
+    "t4_render_job_text": JP + JOB_TEXTS,
+    "s4_write_job_texts": "SELECT file_name, pos, line FROM (" + JP + JOB_TEXTS + ")",
+    "t4_render_reservation_text": JP + RES_TEXTS,
+    "s4_write_reservation_texts": "SELECT file_name, pos, line FROM (" + JP + RES_TEXTS + ")",
     "t5_submit_commands": f"{W} SELECT cluster_id, {CLUSTER_COMMAND} AS command FROM sized",
     "t5_job_submit_commands": f"{A} SELECT cluster_id, job_idx, " + command(
         say("'--num-executors '", n("job_exec")), say("'--executor-cores '", n("job_exec_c")), say("'--executor-memory '", n("job_heap"), "'g'"),
@@ -394,15 +421,19 @@ SQL = {
     "t5_reservation_submit_commands": f"{R}{PROFILE} SELECT cluster_id, res_idx, " + command(
         say("'--num-executors '", n("exec_count")), say("'--executor-cores '", n("exec_cores")), say("'--executor-memory '", n("exec_mem_gb"), "'g'"),
         f"concat('your-', {slug('res_name')}, '-app.jar')") + " AS command FROM prof",
-    "t6_scheduler_properties": f"""WITH {b.CLUSTERS}, c AS (SELECT cluster_id, {SCHED} AS sc, CASE WHEN num_jobs = 0 THEN 2.0 ELSE num_jobs END::DOUBLE AS nj FROM clusters),
+    "t6_scheduler_properties": f"""WITH {b.CLUSTERS}, c AS (SELECT cluster_id, {SCHED} AS sc, greatest(1.0, coalesce(nullif(trunc(num_jobs), 0.0), 2.0))::DOUBLE AS nj FROM clusters),
  r AS ({union([f"SELECT cluster_id, {i} AS ord, '{k}' AS key, {v} AS value FROM c" for i, (k, v) in enumerate(SCHED_ROWS)])})
  SELECT cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY ord) - 1 AS INT) AS pos, key, value FROM r WHERE value IS NOT NULL""",
-    "s5_plan_documents": f"""{JP}, h AS (SELECT cluster_id, deploy_mode AS mode, total_cores AS cores, exec_m AS heap, CAST(4 AS INT) AS props FROM sized)
- SELECT cluster_id, CAST(0 AS BIGINT) AS part, mode, cores, heap, props, 'job' AS kind, job_name AS name, job_exec AS executors, pct AS share, job_cores AS tasks,
- {WHOLE} AS total_gb, {gb('job_heap')} AS memory, {mb('job_oh')} AS overhead, {n('job_para')} AS parallelism, NULL AS command FROM allocs JOIN h USING (cluster_id)
- UNION ALL SELECT cluster_id, 0, mode, cores, heap, props, 'reservation', res_name, exec_count, NULL, NULL, NULL, {gb('exec_mem_gb')}, {mb('res_base_oh')},
- {n('res_para')}, concat('spark-submit --num-executors ', {n('exec_count')}, ' --executor-cores ', {n('exec_cores')}, ' --executor-memory ',
- {n('exec_mem_gb')}, 'g --conf spark.executor.memoryOverhead=', {n('res_base_oh')}, 'm') FROM prof JOIN h USING (cluster_id)""",
+    "s5_plan_documents": f"""{JP} SELECT cluster_id, 'job' AS kind, CAST(job_idx AS BIGINT) AS idx, job_name AS name, job_exec AS executors, pct AS share,
+ job_cores AS tasks, job_exec_c AS cores, job_heap AS heap, {WHOLE} AS total_gb, round(job_heap / job_exec_c * 10) / 10 AS per_core, NULL::VARCHAR AS text,
+ {gb('job_heap')} AS memory, {mb('job_oh')} AS overhead, {n('job_para')} AS parallelism FROM allocs
+ UNION ALL SELECT cluster_id, 'reservation', res_idx, res_name, exec_count, NULL, res_cores, exec_cores, exec_mem_gb, res_mem, NULL,
+ concat('spark-submit --num-executors ', {n('exec_count')}, ' --executor-cores ', {n('exec_cores')}, ' --executor-memory ',
+ {n('exec_mem_gb')}, 'g --conf spark.executor.memoryOverhead=', {n('res_base_oh')}, 'm'), {gb('exec_mem_gb')}, {mb('res_base_oh')}, {n('res_para')} FROM prof
+ UNION ALL SELECT cluster_id, 'property', pos, key, NULL, NULL, NULL, NULL, NULL, NULL, NULL, val, NULL, NULL, NULL FROM props
+ UNION ALL SELECT cluster_id, 'input', job_idx, CAST(job_id AS VARCHAR), NULL, manual_pct::DOUBLE, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM jobs""",
+    "s5_plan_configs": f"{W} SELECT cluster_id, deploy_mode AS mode, total_cores AS cores, total_ram AS ram, exec_m AS heap, total_exec AS executors, "
+                       + ", ".join(CONFIG) + " FROM sized",
     "s6_report_tables": f"{A}{PROFILE} {REPORT_SQL}",
     "s6_report_reservations": f"""{R}{PROFILE} SELECT cluster_id, res_idx, res_name, exec_count, exec_cores, exec_mem_gb, res_oh, res_cores, res_mem,
  round((res_mem + res_oh_gb) * 10) / 10 AS total_gb FROM prof""",

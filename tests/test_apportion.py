@@ -116,3 +116,41 @@ def test_materialised_positions(spark, bits):
     created = {(r["cluster_id"], r["job_idx"]): r["initial_pct"] for r in got if r["created"]}
     assert (1, 0) not in created and (5, 0) not in created
     assert created[(5, 1)] == 11.0 and created[(2, 0)] == 50.0
+
+
+def test_odd_job_counts(spark):
+    """A fraction counts whole, zero means two, and there is at least one job."""
+    clusters = spark.createDataFrame([(1, 0.5), (2, -3.0), (3, 3.9), (4, 0.0), (5, None)], "cluster_id long, num_jobs double")
+    none = spark.createDataFrame([], "cluster_id long, job_id long, job_idx long, manual_pct int")
+    got = jobs.materialise_jobs(clusters, none).groupBy("cluster_id").count().orderBy("cluster_id").collect()
+    assert [r["count"] for r in got] == [2, 1, 3, 2, 2]
+
+
+def test_hand_set_zeros_fail_nothing(spark):
+    """No cores per executor: a minimum of tasks cannot be met, and the job keeps its executors."""
+    from fleetwright.operators import accounting, reservations
+    from fleetwright.operators.sizing import size_fleet
+
+    clusters = spark.createDataFrame([(1,)], "cluster_id long")
+    zeros = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "cluster_id long, set_exec_c double, set_exec_m double, set_exec_oh double")
+    sized = size_fleet(clusters, zeros)
+    res = spark.createDataFrame([], "cluster_id long, exec_count double, exec_cores double, exec_mem_gb double")
+    table = spark.createDataFrame([(1, 1, 0, None)], "cluster_id long, job_id long, job_idx long, manual_pct int")
+    options = jobs.JobOptions(enforce_tasks=True, min_tasks=20)
+    row = jobs.allocate(table, reservations.remaining_pool(sized, res), options=options).first()
+    assert row["job_exec"] == row["assigned_exec"] and row["job_cores"] == 0
+    assert accounting.executor_memory_breakdown(sized).count() == 4
+
+
+def test_settings_of_each_cluster(spark):
+    from fleetwright.operators import reservations
+    from fleetwright.operators.sizing import size_fleet
+
+    clusters = spark.createDataFrame([(1, 3.0, 2.0, True, 5.0), (2, None, None, None, None)],
+                                     "cluster_id long, job_ec double, gb_per_core double, enf_je boolean, min_je double")
+    res = spark.createDataFrame([], "cluster_id long, exec_count double, exec_cores double, exec_mem_gb double")
+    pool = reservations.remaining_pool(size_fleet(clusters), res)
+    table = spark.createDataFrame([(c, j, j, 1) for c in (1, 2) for j in range(2)], "cluster_id long, job_id long, job_idx long, manual_pct int")
+    got = jobs.allocate(table, pool, options=jobs.JobOptions(cores_per_executor=4)).orderBy("cluster_id", "job_idx").collect()
+    assert [(r["job_exec_c"], r["job_heap"]) for r in got[:2]] == [(3.0, 6.0)] * 2 and min(r["job_exec"] for r in got[:2]) >= 5
+    assert [r["job_exec_c"] for r in got[2:]] == [4.0, 4.0] and got[2]["job_exec"] < 5

@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from fleetwright.operators import alerts
+from fleetwright import registry
+from fleetwright.operators import alerts, jobs, reservations
 from fleetwright.operators.reservations import reservation_profile
 from fleetwright.operators.sizing import size_fleet
-from fleetwright.operators.slices import hot_groups, ordered_scan, positions
+from fleetwright.operators.slices import _window_scan, open_positions, ordered_scan, positions
 from fleetwright.plans import conf, documents
 from fleetwright.sources import fixtures
 from fleetwright.streaming.flows import debounce_batch
@@ -30,20 +31,35 @@ def skewed(spark):
     return df.withColumn("ts", ts).drop("us")
 
 
-def test_hot_groups_are_found(skewed):
-    assert hot_groups(skewed, ["cluster_id"], 5000) is None
-    assert [r["cluster_id"] for r in hot_groups(skewed, ["cluster_id"], 300).collect()] == [7]
-
-
 def test_scan(skewed):
     marked = skewed.withColumns({"n": F.lit(1), "seen": F.when(F.col("value") > 90, F.col("value"))})
     spec = {"lag": {"before": "value"}, "total": {"upto": "n"}, "last": {"peak": "seen"}}
-    plain = ordered_scan(marked, ["cluster_id"], ["ts", "sample_id"], hot=None, **spec)
-    for limit in (40, 300):
-        sliced = ordered_scan(marked, ["cluster_id"], ["ts", "sample_id"], hot_rows=limit, **spec)
+    plain = _window_scan(marked, ["cluster_id"], ["ts", "sample_id"], tuple(spec.values()))
+    for width in (1, 60, 3600, 10**6):
+        sliced = ordered_scan(marked, ["cluster_id"], ["ts", "sample_id"], bucket_seconds=width, **spec)
         assert rows(sliced) == rows(plain)
 
 
+def test_scan_without_times(spark):
+    df = spark.createDataFrame([(1, 1, 5.0, None), (1, 2, 6.0, 10), (1, 3, None, 20)], "cluster_id long, sample_id long, value double, s long")
+    df = df.selectExpr("cluster_id", "sample_id", "value", "CAST(timestamp_seconds(s) AS TIMESTAMP_NTZ) AS ts")
+    got = ordered_scan(df, ["cluster_id"], ["ts", "sample_id"], lag={"b": "value"}, last={"l": "value"})
+    assert [(r["b"], r["l"]) for r in got.orderBy("sample_id").collect()] == [(None, 5.0), (5.0, 6.0), (6.0, 6.0)]
+
+
+def test_positions_of_hashed_ids(skewed):
+    """Sparse ids: every row is a block of its own, and blocks are added up level by level."""
+    hashed = skewed.selectExpr("cluster_id", "xxhash64(sample_id) AS id")
+    plain = hashed.withColumn("at", F.expr("row_number() OVER (PARTITION BY cluster_id ORDER BY id) - 1"))
+    for bits in (4, 20):
+        assert rows(positions(hashed, ["cluster_id"], "id", ["id"], "at", bits=bits)) == rows(plain)
+
+
+def test_nothing_opens_without_a_count(spark):
+    df = spark.createDataFrame([(1, 0), (2, -3), (3, 2)], "k long, n long")
+    assert rows(open_positions(df, "0L", "n", "i"), "k", "i") == [(3, 0), (3, 1)]
+
+
 def test_positions(skewed):
     plain = skewed.withColumn("at", F.expr(
         "row_number() OVER (PARTITION BY cluster_id ORDER BY sample_id) - 1")).select(
@@ -53,16 +69,16 @@ def test_positions(skewed):
         assert rows(got, "cluster_id", "sample_id", "at") == rows(plain, "cluster_id", "sample_id", "at")
 
 
-@pytest.mark.parametrize("limit", [50, 400])
-def test_alerts(skewed, limit):
+@pytest.mark.parametrize("width", [7, 10**7])
+def test_alerts(skewed, width):
     hot = alerts.too_hot(80)
-    assert rows(alerts.edge_alerts(skewed, hot, hot_rows=limit)) == rows(alerts.edge_alerts(skewed, hot))
+    assert rows(alerts.edge_alerts(skewed, hot, bucket_seconds=width)) == rows(alerts.edge_alerts(skewed, hot))
     keys = skewed.selectExpr("cluster_id", "sample_id AS seq", "ts",
                              "CASE WHEN value > 50 THEN 'OE' WHEN value > 30 THEN 'OC' ELSE '' END AS alert_key")
-    assert rows(alerts.change_alerts(keys, limit)) == rows(alerts.change_alerts(keys))
+    assert rows(alerts.change_alerts(keys, bucket_seconds=width)) == rows(alerts.change_alerts(keys))
     log = skewed.filter("sample_id % 20 = 0").selectExpr("cluster_id", "sample_id AS seq", "ts", "muted")
     samples = skewed.filter("sample_id % 20 <> 0")
-    assert rows(alerts.muted_alerts(samples, log, hot, limit)) == rows(
+    assert rows(alerts.muted_alerts(samples, log, hot, width)) == rows(
         alerts.muted_alerts(samples, log, hot))
 
 
@@ -70,7 +86,7 @@ def test_debounce(skewed):
     args = ("cluster_id", ["metric", "value"], "sample_id", "200 seconds")
     plain = debounce_batch(skewed, *args)
     assert plain.count() > 500
-    assert rows(debounce_batch(skewed, *args, hot_rows=100)) == rows(plain)
+    assert rows(debounce_batch(skewed, *args, bucket_seconds=100)) == rows(plain)
 
 
 def test_change_alert_rules(spark):
@@ -110,29 +126,38 @@ def test_reservation_blocks(spark, sf_dir):
     assert all(oh >= 384 for *_, oh in bare)
 
 
-def test_document_and_text_parts(spark, sf_dir, monkeypatch):
-    from fleetwright import registry
-
-    parts = (registry.pool(spark, sf_dir), registry.allocs(spark, sf_dir), registry.profile(spark, sf_dir),
-             fixtures.custom_props(spark, sf_dir))
-    whole = documents.plan_documents(*parts)
-    monkeypatch.setattr(documents, "DOC_ROWS", 4)
-    split = documents.plan_documents(*parts)
-
-    def names(docs, column, field):
-        return rows(docs.selectExpr("cluster_id", f"explode({column}) AS x").selectExpr(
-            "cluster_id", f"x.{field} AS name"))
-
-    for column, field in (("parallelJobs", "name"), ("preAllocatedJobs", "name"), ("customProps", "key")):
-        assert names(split, column, field) == names(whole, column, field)
-    assert split.selectExpr("max(size(parallelJobs)) AS n").first()["n"] == 4
-    assert whole.filter("part > 0").count() == 0
-
-    monkeypatch.setattr(conf, "PART_LINES", 1)
-    texts = conf.cluster_texts(parts[0], parts[3])
-    assert texts.filter("part > 0").count() > 0
-    lines = texts.selectExpr("cluster_id", "explode(split(text, '\\n')) AS line").filter("line LIKE 'spark.app%'")
-    monkeypatch.setattr(conf, "PART_LINES", 10_000)
-    again = conf.cluster_texts(parts[0], parts[3]).selectExpr(
-        "cluster_id", "explode(split(text, '\\n')) AS line").filter("line LIKE 'spark.app%'")
-    assert rows(lines) == rows(again)
+def test_gaps_in_positions(spark, sf_dir):
+    """Removals leave gaps; no row may get lost over them."""
+    res = fixtures.numbered_reservations(spark, sf_dir).withColumn("res_idx", F.expr("res_idx * 5000"))
+    sized = size_fleet(fixtures.clusters(spark, sf_dir))
+    assert reservation_profile(res, sized, bits=3).count() == res.count()
+    jobs_ = spark.createDataFrame([(1, 10, 0, None), (1, 11, 5000, None)], "cluster_id long, job_id long, job_idx long, manual_pct int")
+    pool = registry.pool(spark, sf_dir)
+    allocs = jobs.allocate(jobs_, pool)
+    docs = documents.plan_documents(pool, allocs, reservation_profile(res, sized))
+    assert docs.filter("kind = 'job'").count() == 2 and docs.filter("kind = 'reservation'").count() == res.count()
+
+
+def test_many_additions_and_jobs(spark, sf_dir):
+    """25,000 additions and 5,000 jobs of one cluster: all are rows, in one shape."""
+    props = spark.range(25_000).selectExpr("1L AS cluster_id", "CAST(id AS INT) AS pos", "concat('k', id) AS key", "'v' AS val")
+    sized = size_fleet(fixtures.clusters(spark, sf_dir).filter("cluster_id = 1"))
+    lines = conf.cluster_texts(sized, props)
+    assert lines.filter("file_name = 'cluster-1-custom.conf'").count() == 25_000
+    own = lines.filter("file_name = 'cluster-1-spark-defaults.conf'").count()
+    assert own == conf.cluster_texts(sized).count() > 20
+    many = spark.range(5000).selectExpr("1L AS cluster_id", "id AS job_id", "id AS job_idx", "CAST(NULL AS INT) AS manual_pct")
+    res = fixtures.numbered_reservations(spark, sf_dir).filter("cluster_id = 1")
+    pool = reservations.remaining_pool(sized, res)
+    docs = documents.plan_documents(pool, jobs.allocate(many, pool), reservation_profile(res, sized), props, many)
+    assert dict(docs.groupBy("kind").count().collect()) == {
+        "cluster": 1, "job": 5000, "input": 5000, "property": 25_000, "reservation": res.count()}
+
+
+def test_muted_changes(spark):
+    """While muted nothing is shown and the remembered key stays."""
+    at = "CAST(timestamp_seconds(seq) AS TIMESTAMP_NTZ) AS ts"
+    keys = spark.createDataFrame([(1, 0, "A"), (1, 2, "B"), (1, 4, "A"), (1, 5, "B")], "cluster_id long, seq long, alert_key string")
+    log = spark.createDataFrame([(1, 1, True), (1, 3, False)], "cluster_id long, seq long, muted boolean")
+    shown = alerts.change_alerts(keys.selectExpr("*", at), log.selectExpr("*", at))
+    assert [r["seq"] for r in shown.orderBy("seq").collect()] == [0, 5]

@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 from fleetwright import registry
 from fleetwright.operators.lookups import apply_overrides
+from fleetwright.operators.reservations import reservation_profile
 from fleetwright.operators.sizing import size_fleet
 from fleetwright.plans import conf, documents
 from fleetwright.schema import INPUTS, read_input, read_input_stream
@@ -35,11 +36,12 @@ def test_link_round_trip(spark, sf_dir):
 def test_text_layouts(spark, sf_dir, tmp_path):
     texts = conf.job_texts(registry.allocs(spark, sf_dir)).filter("cluster_id < 4")
     sinks.write_conf_texts(texts, str(tmp_path / "lines"))
-    assert rows(sinks.read_conf_texts(spark, str(tmp_path / "lines"))) == rows(texts, "file_name", "text")
+    assert rows(sinks.read_conf_texts(spark, str(tmp_path / "lines"))) == rows(texts, "file_name", "line", "pos")
     sinks.write_conf_texts(texts, str(tmp_path / "files"), layout="files")
-    one = texts.first()
-    folder = tmp_path / "files" / f"file_name={one['file_name']}"
-    assert "".join(p.read_text() for p in folder.glob("*.txt")) == one["text"] + "\n"
+    name = texts.first()["file_name"]
+    lines = [r["line"] for r in texts.filter(texts["file_name"] == name).orderBy("pos").collect()]
+    folder = tmp_path / "files" / f"file_name={name}"
+    assert "".join(p.read_text() for p in folder.glob("*.txt")) == "\n".join(lines) + "\n"
 
 
 def test_documents_sink(spark, sf_dir, tmp_path):
@@ -48,23 +50,50 @@ def test_documents_sink(spark, sf_dir, tmp_path):
         fixtures.custom_props(spark, sf_dir), generated_at="2024-01-01T00:00:00Z")
     sinks.write_documents(docs, str(tmp_path / "docs"))
     found = [json.loads(line) for p in (tmp_path / "docs").glob("*.json") for line in p.read_text().splitlines()]
-    assert len(found) == 150
-    doc = next(d for d in found if len(d["parallelJobs"]) > 2)
-    assert doc["generatedAt"] == "2024-01-01T00:00:00Z"
-    names = [j["name"] for j in doc["parallelJobs"]]
-    assert names == [f"Job {i + 1}" for i in range(len(names))]
-    assert doc["parallelJobs"][0]["sparkConf"]["spark.executor.memory"].endswith("g")
-    assert doc["config"]["nodes"] == doc["totalCluster"]["nodes"]
+    heads = [json.loads(r["entry"]) for r in found if r["kind"] == "cluster"]
+    assert len(heads) == 150 and all(h["generatedAt"] == "2024-01-01T00:00:00Z" for h in heads)
+    assert set(documents.CONFIG) <= set(heads[0]["config"])
+    assert heads[0]["config"]["nodes"] == heads[0]["totalCluster"]["nodes"]
+    for r in found:
+        if r["kind"] == "job":
+            entry = json.loads(r["entry"])
+            assert entry["name"] == f"Job {r['idx'] + 1}" and entry["sparkConf"]["spark.executor.memory"].endswith("g")
 
 
 def test_long_keys_stay_whole(spark, sf_dir):
     texts = conf.cluster_texts(size_fleet(fixtures.clusters(spark, sf_dir)), fixtures.custom_props(spark, sf_dir))
-    line = next(x for x in texts.first()["text"].split("\n") if "connector" in x)
-    assert line == "spark.hadoop.fleet.connector.very.long.property.name.limit64"
-    padded = next(x for x in texts.first()["text"].split("\n") if x.startswith("spark.executor.cores"))
+    lines = [r["line"] for r in texts.filter("cluster_id = 1").collect()]
+    assert "spark.hadoop.fleet.connector.very.long.property.name.limit64" in lines
+    padded = next(x for x in lines if x.startswith("spark.executor.cores"))
     assert padded[:45].rstrip() == "spark.executor.cores" and padded[45] != " "
 
 
+def test_odd_links_keep_their_parameters(spark):
+    urls = ["http://x/?n=12&w=ml&q=a b", "http://x/?q={y}&n=12&w=ml", "x?w=ml&n=12", "http://x/?nn=3&n=12&w=ml#n=9", "http://x/#n=9"]
+    df = spark.createDataFrame([(i, u, 1.0, 1.0, 1.0, "client", "etl") for i, u in enumerate(urls)],
+                               "id long, url string, nodes double, cpn double, rpn double, deploy_mode string, workload string")
+    got = [(r["nodes"], r["workload"]) for r in specs.decode_share_links(df).orderBy("id").collect()]
+    assert got == [(12.0, "ml")] * 4 + [(1.0, "etl")]
+
+
+def test_reservation_names(spark, sf_dir):
+    sized = size_fleet(spark.createDataFrame([(1,)], "cluster_id bigint"))
+    res = spark.createDataFrame([(1, 0, None, "Nightly  ETL", 2.0, 2.0, 4.0), (1, 1, 7, None, 1.0, 2.0, 4.0), (1, 3, None, " ", 1.0, 2.0, 4.0)],
+                                "cluster_id long, res_idx long, res_no long, name string, exec_count double, exec_cores double, exec_mem_gb double")
+    profile = reservation_profile(res, sized)
+    assert [r["res_name"] for r in profile.orderBy("res_idx").collect()] == ["Nightly  ETL", "Reserved Job 7", "Reserved Job 4"]
+    files = {r["file_name"] for r in conf.reservation_texts(profile).collect()}
+    assert "cluster-1-nightly-etl-prealloc.conf" in files and "cluster-1-reserved-job-7-prealloc.conf" in files
+
+
+def test_dynamic_inputs_reach_the_config(spark):
+    clusters = spark.createDataFrame([(1, True, 7.0, 9.0, 30.0), (2, True, 0.0, None, None)],
+                                     "cluster_id long, dyn_alloc boolean, dyn_min double, dyn_init double, dyn_idle double")
+    keys = "key IN ('spark.dynamicAllocation.minExecutors', 'spark.dynamicAllocation.initialExecutors', 'spark.dynamicAllocation.executorIdleTimeout')"
+    got = conf.conf_properties(size_fleet(clusters)).filter(keys).orderBy("cluster_id", "pos").collect()
+    assert [r["value"] for r in got] == ["7", "9", "30s", "1", "4", "60s"]
+
+
 def test_override_cascade(spark):
     log = spark.createDataFrame(
         [(1, 1, "execC", False, 2.0), (1, 2, "execM", False, 6.0), (1, 3, "execM", True, None),
@@ -95,5 +124,5 @@ def test_inputs_under_explicit_schemas(spark, sf_dir, tmp_path, name, fmt):
 
 def test_shared_dir_follows_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
-    assert shared_dir(spark) == (named or spark.sparkContext.getCheckpointDir())
+    assert shared_dir(spark) == (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
     assert spark.sparkContext.getCheckpointDir() is not None

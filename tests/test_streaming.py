@@ -70,13 +70,30 @@ def test_latest_spec(spark, sf_dir, feed, tmp_path):
     assert rows(updates, *columns) == rows(batch, *columns)
 
 
+def test_latest_spec_in_update_mode(spark, sf_dir, feed, tmp_path):
+    columns = ["cluster_id", "exec_c", "exec_m", "total_exec", "mem_util"]
+    got = flows.run_updates(flows.latest_spec(feed(fixtures.SPEC_CHANGES)).select(*columns), ["cluster_id"], str(tmp_path / "updates"))
+    assert rows(got, *columns) == rows(flows.latest_spec(fixtures.spec_changes(spark, sf_dir)), *columns)
+
+
 def test_edge_alerts(spark, sf_dir, feed, tmp_path):
-    got = run(flows.edge_alerts_stream(feed(fixtures.USAGE_SAMPLES)), "edges", "append", tmp_path)
+    got = flows.run_edge_alerts(feed(fixtures.USAGE_SAMPLES), str(tmp_path / "edges"))
     batch = alerts.edge_alerts(fixtures.usage_samples(spark, sf_dir))
     assert rows(got, "cluster_id", "metric", "sample_id", "value") == rows(
         batch, "cluster_id", "metric", "sample_id", "value")
 
 
+def test_edge_alerts_leave_late_samples_out(spark, tmp_path):
+    source, at = tmp_path / "samples", "CAST(timestamp_seconds(s) AS TIMESTAMP_NTZ) AS ts"
+    for batch in ([(1, 0, 10, 99.0), (1, 1, 20, 99.0)], [(1, 2, 15, 1.0), (1, 3, 30, 99.0), (1, 4, 40, 1.0), (1, 5, 50, 99.0)]):
+        spark.createDataFrame(batch, "cluster_id long, sample_id long, s long, value double").selectExpr(
+            "cluster_id", "'core' AS metric", "sample_id", at, "value").coalesce(1).write.mode("append").parquet(str(source))
+    schema = spark.read.parquet(str(source)).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(source))
+    got = flows.run_edge_alerts(stream, str(tmp_path / "late"))
+    assert [r["sample_id"] for r in got.orderBy("sample_id").collect()] == [0, 5]
+
+
 def test_usage_windows(spark, sf_dir, feed, tmp_path):
     stream = flows.usage_windows(feed(fixtures.USAGE_SAMPLES), late="1 hour")
     got = run(stream, "windows", "append", tmp_path)
