@@ -120,19 +120,20 @@ def _apportion(jobs: DataFrame, pool: DataFrame, bases: dict[str, str], bits: in
 
     The order of the leftovers is resolved on pieces (see `_pieces`): `ahead` is the number
     of jobs of the cluster that come before a piece's fraction within its block, and a job
-    adds its rank inside the block. Jobs move once, by (cluster, block), and no task sees
-    more than one block. All pool columns are carried along.
+    adds its rank inside the block. Jobs move once, by (cluster, block), with what the
+    ranking needs and no more; no task sees more than one block. The pool's other columns
+    join afterwards on the same keys.
     """
     cut = _cut(jobs, bits)
-    pieces = derive(_pieces(cut).join(pool, "cluster_id"),
+    settings = ["rem_exec", "_enf_je", "_min_je"]
+    pieces = derive(_pieces(cut).join(pool.select("cluster_id", *settings), "cluster_id"),
                     {"frac": FRACTION, **{f"_base_{b}": expr for b, expr in bases.items()}})
     pieces = pieces.selectExpr(
         "*", "sum(n) OVER (PARTITION BY cluster_id ORDER BY frac DESC, slice)"
         " - sum(n) OVER (PARTITION BY cluster_id, frac, slice) AS ahead",
         *[f"greatest(0D, rem_exec - sum(n * _base_{b}) OVER (PARTITION BY cluster_id)) AS _left_{b}"
           for b in bases])
-    carried = [name for name in pool.columns if name != "cluster_id"]
-    once = [*carried, "auto_pct", "n_jobs", *[f"_left_{b}" for b in bases]]
+    once = [*settings, "auto_pct", "n_jobs", *[f"_left_{b}" for b in bases]]
     blocks = aggregate(pieces, ["cluster_id", "slice"], {
         "_ahead": "map_from_entries(collect_list(struct(share, ahead)))",
         **{name: f"any_value({name})" for name in once}})
@@ -145,9 +146,13 @@ def _apportion(jobs: DataFrame, pool: DataFrame, bases: dict[str, str], bits: in
         "*", "row_number() OVER (PARTITION BY cluster_id, slice, frac ORDER BY job_idx) - 1"
         f" + _ahead[coalesce(manual_pct, {AUTO})] AS _turn",
         *[f"{expr} AS base_{b}" for b, expr in bases.items()])
-    return ranked.selectExpr(
-        "* EXCEPT (slice, frac, auto_pct, _ahead, _turn" + "".join(f", _left_{b}" for b in bases) + ")",
+    split = ranked.selectExpr(
+        "* EXCEPT (frac, auto_pct, _ahead, _turn, _enf_je, _min_je" + "".join(f", _left_{b}" for b in bases) + ")",
         *[f"IF(_turn < _left_{b}, 1D, 0D) AS extra_{b}" for b in bases])
+    # One pool row for each block of its jobs, so this join meets no key above a block either.
+    wide = cut.groupBy("cluster_id", "slice").count().select("cluster_id", "slice").join(
+        pool.drop("rem_exec"), "cluster_id")
+    return split.join(wide.hint("merge"), ["cluster_id", "slice"]).drop("slice")
 
 
 def apportion(jobs: DataFrame, pool: DataFrame, basis: str = "export",

@@ -54,7 +54,8 @@ def pool(spark, d):
 
 
 def allocs(spark, d, options=jobs.JobOptions()):
-    return jobs.allocate(fixtures.jobs(spark, d), pool(spark, d), options=options)
+    # The split reads the pool twice, narrow and wide.
+    return jobs.allocate(fixtures.jobs(spark, d), stored(pool(spark, d), "pool"), options=options)
 
 
 def planned(spark, d, options=jobs.JobOptions()):
@@ -397,7 +398,7 @@ def n2_balance_shares(spark, d):
 
 
 def _apportioned(spark, d, basis, options=jobs.JobOptions()):
-    return jobs.apportion(fixtures.jobs(spark, d), pool(spark, d), basis, options).select(
+    return jobs.apportion(fixtures.jobs(spark, d), stored(pool(spark, d), "pool"), basis, options).select(
         "cluster_id", "job_id", "job_idx", "pct", "base_exec", "extra", "assigned_exec")
 
 
@@ -442,7 +443,8 @@ def n5_floors_applied(spark, d):
 @query
 def n_plan_end_to_end(spark, d):
     listed = jobs.materialise_jobs(fixtures.clusters(spark, d), fixtures.jobs(spark, d))
-    return jobs.allocate(listed.select("cluster_id", "job_id", "job_idx", "manual_pct"), pool(spark, d)).select(*ALLOC_OUT)
+    listed = listed.select("cluster_id", "job_id", "job_idx", "manual_pct")
+    return jobs.allocate(listed, stored(pool(spark, d), "pool")).select(*ALLOC_OUT)
 
 
 @query
@@ -453,7 +455,7 @@ def n6_default_reservation(spark, d):
 @query
 def n7_allocation_diff(spark, d):
     return jobs.allocation_diff(
-        fixtures.jobs(spark, d, fixtures.WIDE_MANUAL_PCT), pool(spark, d))
+        fixtures.jobs(spark, d, fixtures.WIDE_MANUAL_PCT), stored(pool(spark, d), "pool"))
 
 
 @query
