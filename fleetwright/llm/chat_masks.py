@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fleetwright.llm.common import Batches, one_string_column, partitions, store
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwright.llm.common import Batches, one_string_column
+from fleetwright.llm.common import Batches
 
 TEXT_TOP, LANGUAGE_TOP = 400, 400
 MAX_LANGUAGES = 2000

@@ -9,8 +9,8 @@ every key of the corpus. Judging a URL then needs no look-up table, only the fil
 from the counts before they are built.
 
 A null URL, or one without `://`, has an empty host and path and fits no rule. Where no rule fits, the
-verdict is the default. The longest rule wins (host and path together; on a tie the longer host). Rules
-repeated or given under both verdicts: the first verdict listed counts. Empty tables give empty results.
+verdict is the default. The longest rule wins (host and path together; on a tie the longer host). Of a rule
+given under both verdicts the first verdict by name counts; incomplete rules are left out. Empty tables give empty results.
 Other columns are not read.
 """
 
