@@ -46,9 +46,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store the rows in the shared folder, so that a lost executor changes nothing in them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
