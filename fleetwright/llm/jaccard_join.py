@@ -273,9 +273,10 @@ def verify_stars(live: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
 
 
 def verify_groups(live: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of similar classes of a group that are in different components.
+    """(a, b) of similar classes of a group that join its components.
 
-    groups: (class_id, group, component). A group is cut into blocks; a task compares two blocks.
+    groups: (class_id, group, component). A group is cut into blocks; a task compares two blocks and
+    gives as many links as join what is connected there, not all that it finds.
     """
     sizes = store(groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("blocks")), "groups")
     rows = groups.join(sizes, "group").join(live, "class_id")
@@ -290,10 +291,24 @@ def verify_groups(live: DataFrame, groups: DataFrame, percent: int) -> DataFrame
         def compare():
             low, high = key[1], key[2]
             first = sides.get(low, [])
+            joined: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while (up := joined.get(c, c)) != c:
+                    joined[c] = joined.get(up, up)
+                    c = up
+                return c
+
+            # What this task has already joined needs no further link: one per component at most.
             for i, one in enumerate(first):
                 rest = first[i + 1:] if low == high else sides.get(high, [])
-                others = [o for o in rest if o.component != one.component]
-                found.extend((one.id, o.id) for o in partners(one, others, percent))
+                own = root(one.component)
+                others = [o for o in rest if root(o.component) != own]
+                for other in partners(one, others, percent):
+                    a, b = root(one.component), root(other.component)
+                    if a != b:
+                        joined[max(a, b)] = min(a, b)
+                        found.append((one.id, other.id))
 
         def out():
             rows = pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["a", "b"])
