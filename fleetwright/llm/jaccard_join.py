@@ -11,8 +11,11 @@ whose shortest prefix holds only shingles of its own has no partner and drops ou
 
 No list is paired out: within a posting list every class is first checked against the list's first class,
 and only classes that are then in different components are checked further, block against block within a
-task, so that neither pairs of linked copies nor candidate pairs become rows. The result keeps every link
-between components.
+task, so that neither pairs of linked copies nor candidate pairs become rows. That search gives the component
+ids. The links themselves come from `linked_classes`: the lists that have the same first class are one star, a
+star's classes are compared block against block, each pair in the least of the stars that hold both, so that
+every pair of classes with shared prefix shingles is verified once. `similar_pairs` gives the links, and
+`near_groups` their number for each class on request.
 
 Words are runs of non-blanks with A-Z folded; a text of fewer words than a shingle is one shingle. Null and
 empty texts have no shingles and are linked with nothing. Rows that repeat an id are rows of their own; a
@@ -23,6 +26,7 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,8 @@ MOST_MATCHES = 8
 VERIFY_COST = 50
 BLOCK_TOKENS = 4_000_000
 GROUP_BLOCK = 256
+LINK_BLOCK = 2048
+LINK_ROWS = 1 << 16
 HUB_SHARE = 500
 CHUNK = 1 << 22
 
@@ -230,7 +236,12 @@ def _shared(one: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
 
 
 def partners(one: _Member, others: list[_Member], percent: int) -> list[_Member]:
-    """Those of the others that are similar to one: size, then multi-match, then the whole sets."""
+    """Those of the others that are similar to one."""
+    return [o for o, _ in partners_shared(one, others, percent)]
+
+
+def partners_shared(one: _Member, others: list[_Member], percent: int) -> list[tuple[_Member, int]]:
+    """The partners of one and how many shingles they share: size, then multi-match, then the whole sets."""
     # Shingles that no other class holds cannot be shared.
     others = [o for o in others if similar(min(one.n - one.own, o.n - o.own), one.n, o.n, percent)]
     if not others:
@@ -240,7 +251,7 @@ def partners(one: _Member, others: list[_Member], percent: int) -> list[_Member]
     if not others:
         return []
     both = _shared(one.tokens, [o.tokens for o in others])
-    return [o for o, k in zip(others, both.tolist(), strict=True) if similar(k, one.n, o.n, percent)]
+    return [(o, k) for o, k in zip(others, both.tolist(), strict=True) if similar(k, one.n, o.n, percent)]
 
 
 _CARRIED = ("n", "own", "matches", "prefix", "tokens")
@@ -331,6 +342,58 @@ def verify_groups(live: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def linked_classes(live: DataFrame, percent: int, counted: bool) -> DataFrame:
+    """Every link between classes, once: (a, b, both) with a < b, or, counted, (class_id, n_links)."""
+    postings = store(live.select("class_id", "n", F.explode("prefix").alias("token")), "link-prefixes")
+    hubs = postings.groupBy("token").agg(F.min("class_id").alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    stars = store(postings.join(hubs.select("token", "hub"), "token").select("class_id", "n", "hub").distinct(), "link-stars")
+    size = F.greatest(F.count(F.lit(1)) / LINK_BLOCK, F.sum("n") / BLOCK_TOKENS)
+    sizes = store(stars.groupBy("hub").agg(F.ceil(size).cast("int").alias("blocks")), "link-blocks")
+    # A pair that shares several stars belongs to the least of them.
+    of_class = store(stars.groupBy("class_id").agg(F.collect_set("hub").alias("hubs")).join(live, "class_id")
+                     .select("class_id", *_CARRIED, "hubs"), "link-classes")
+    rows = stars.select("class_id", "hub").join(sizes, "hub").join(of_class, "class_id")
+    rows = rows.withColumn("hubs", F.expr("filter(hubs, h -> h < hub)"))
+    rows = rows.withColumn("own_block", F.pmod(F.xxhash64("class_id", F.lit(1)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("hub", F.least("own_block", "other").alias("low"), F.greatest("own_block", "other").alias("high"),
+                       "own_block", "class_id", *_CARRIED, "hubs")
+
+    def links(low: int, high: int, sides: dict[int, list[_Member]]):
+        for i, one in enumerate(sides.get(low, [])):
+            rest = sides[low][i + 1:] if low == high else sides.get(high, [])
+            here = [o for o in rest if one.component.isdisjoint(o.component)]
+            for other, both in partners_shared(one, here, percent):
+                yield min(one.id, other.id), max(one.id, other.id), both
+
+    def run(batches: Batches) -> Batches:
+        def stars_of():
+            key, sides = None, {}
+            for batch in batches:
+                for hub, low, high, block, *values, lower in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if key != (hub, low, high):
+                        if key is not None:
+                            yield from links(*key[1:], sides)
+                        key, sides = (hub, low, high), {}
+                    sides.setdefault(block, []).append(_Member(*values, frozenset(lower)))
+            if key is not None:
+                yield from links(*key[1:], sides)
+
+        found = stars_of()
+        while part := list(islice(found, LINK_ROWS)):
+            columns = np.array(part, np.int64).T
+            if counted:
+                ids, times = np.unique(columns[:2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(times)], names=["class_id", "n_links"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "both"])
+
+    dealt = rows.repartition(partitions(live.sparkSession), "hub", "low", "high").sortWithinPartitions("hub", "low", "high")
+    if not counted:
+        return dealt.mapInArrow(run, "a long, b long, both long")
+    return dealt.mapInArrow(run, "class_id long, n_links long").groupBy("class_id").agg(F.sum("n_links").alias("n_links"))
+
+
 # --- components --------------------------------------------------------------------------------------------
 
 def components(edges: DataFrame) -> DataFrame:
@@ -373,8 +436,8 @@ def similar_components(live: DataFrame, percent: int) -> DataFrame:
     return components(store(links.unionByName(more), "links"))
 
 
-def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id it reaches by links), class_id."""
+def _searched(docs: DataFrame, size: int, percent: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored rows (doc_id, n_shingles, set_hash), classes, and the classes that may have a partner."""
     rows = docs.select(docs[doc_id].alias("doc_id"), one_string_column(docs, text))
     signed = store(signatures(rows, size), "signatures")
     classes = (signed.filter("n_shingles > 0").groupBy("set_hash")
@@ -386,15 +449,40 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "
                .agg(F.collect_list("class_id").alias("class_ids"), F.collect_list("set_hash").alias("hashes")))
     homes = rows.select(_block(F.col("doc_id"), blocks).alias("block"), "text")
     counted = frequencies(homes, members, size, blocks)
-    live = store(live_classes(homes, members, counted, size, percent), "live")
+    return signed, classes, store(live_classes(homes, members, counted, size, percent), "live")
+
+
+def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id",
+                links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (least doc_id it reaches by links), class_id.
+
+    With `links` also n_links: the other classes that its class is similar to, all of them.
+    """
+    signed, classes, live = _searched(docs, size, percent, text, doc_id)
     found = similar_components(live, percent)
     named = store(classes.join(found, classes["class_id"] == found["node"], "left").select(
         "set_hash", "class_id", "first", F.coalesce("component", "class_id").alias("component")), "named")
     least = store(named.groupBy("component").agg(F.min("first").alias("component_id")), "first-members")
-    named = store(named.join(least, "component").select("set_hash", "class_id", "component_id"), "named")
+    named = named.join(least, "component").select("set_hash", "class_id", "component_id")
+    if links:
+        counts = store(linked_classes(live, percent, counted=True), "link-counts")
+        named = named.join(counts, "class_id", "left")
+    named = store(named, "named")
     return signed.join(named, "set_hash", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias(
-            "component_id"), "class_id")
+            "component_id"), "class_id", *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []))
+
+
+def similar_pairs(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text",
+                  doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, n_shingles, class_id) and all links (a, b, both) between classes, a < b, each once.
+
+    both: the shingles that the classes share. Documents of one class have equal sets; a document without
+    shingles has no class.
+    """
+    signed, classes, live = _searched(docs, size, percent, text, doc_id)
+    members = signed.join(classes.select("set_hash", "class_id"), "set_hash", "left")
+    return members.select("doc_id", "n_shingles", "class_id"), store(linked_classes(live, percent, counted=False), "pairs")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -51,7 +51,7 @@ def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
+    return jaccard_join.near_groups(table(spark, sf_dir, "documents"), size=3, percent=90, links=True)
 
 
 def url_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:

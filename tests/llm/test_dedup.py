@@ -85,6 +85,30 @@ def test_near_groups(spark, size, percent, monkeypatch):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80), (2, 50)])
+def test_all_links(spark, size, percent, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LINK_BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "LINK_ROWS", 50)
+    rows = awkward_rows() + near_rows()
+    sets = {plain_shingles(t, size) for _, t, _, _ in rows} - {frozenset()}
+    want = {frozenset([a, b]): len(a & b) for a in sets for b in sets
+            if a is not b and 100 * len(a & b) >= percent * len(a | b)}
+    members, pairs = jaccard_join.similar_pairs(docs_of(spark, rows), size, percent)
+    by_id = {}
+    for i, t, _, _ in rows:
+        by_id.setdefault(i, []).append(plain_shingles(t, size))
+    of_class = {r["class_id"]: by_id[r["doc_id"]][0] for r in members.collect() if len(by_id[r["doc_id"]]) == 1}
+    of_class |= {r["class_id"]: s for r in members.collect() for s in by_id[r["doc_id"]]
+                 if r["class_id"] is not None and r["class_id"] not in of_class and len(s) == r["n_shingles"]}
+    got = pairs.collect()
+    assert len(got) == len(want) and all(r["a"] < r["b"] for r in got)
+    assert {frozenset([of_class[r["a"]], of_class[r["b"]]]): r["both"] for r in got} == want
+    counts = {s: sum(s in pair for pair in want) for s in sets}
+    grouped = jaccard_join.near_groups(docs_of(spark, rows), size, percent, links=True).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["n_links"]) for r in grouped), key=repr) == sorted(
+        ((i, len(plain_shingles(t, size)), counts.get(plain_shingles(t, size), 0)) for i, t, _, _ in rows), key=repr)
+
+
 def test_matches_grow_with_cost():
     assert jaccard_join.choose_matches(__import__("numpy").zeros(50, int), 10, 8) == 1
     assert jaccard_join.choose_matches(__import__("numpy").full(50, 1000), 2, 8) > 4
