@@ -10,7 +10,9 @@ sequences are full but the last one.
 
 Null texts are empty and hold the end id only. Rows without a source share the queue of the empty name.
 Repeated rows are packed as often as they occur. Empty tables give empty results. Columns other than the
-three named are not read. The number of queues is that of the mixture, a setting: up to `MAX_QUEUES`.
+three named are not read. There are up to `MAX_QUEUES` queues. With more sources than that the largest (and
+those with a target) have queues of their own, and the others are dealt to `SHARED_QUEUES` shared queues, one
+source after another: every document is packed, and a shared queue has the proportion of its sources together.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ SEQUENCE = 4096
 WINDOW_SEQUENCES = 16
 PERIOD = 16
 MAX_QUEUES = 256
+SHARED_QUEUES = 64
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id",
@@ -66,11 +69,25 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", do
         run, f"part long, queue string, doc_id {key}, n_tokens long, first long, ids binary"), "encoded")
 
 
-def carried_over(rows: DataFrame) -> DataFrame:
-    """(part, queue, carried): tokens of a queue in earlier parts; about one row for each part and queue."""
-    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return (rows.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n"))
-            .select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carried")))
+def lines_of(totals: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """(queue, line, n): the queue that each source stands in. Names of lines begin with = or, if shared, with ~."""
+    own = F.concat(F.lit("="), "queue")
+    if len(totals.limit(MAX_QUEUES + 1).collect()) <= MAX_QUEUES:
+        return totals.select("queue", own.alias("line"), "n")
+    named = F.col("queue").isin(list(targets or ()))
+    largest = (totals.filter(named) if targets else totals).orderBy(F.desc("n"), "queue")
+    if targets and len(targets) > MAX_QUEUES - SHARED_QUEUES:
+        raise ValueError(f"{len(targets)} targets; with more sources than {MAX_QUEUES} at most {MAX_QUEUES - SHARED_QUEUES}")
+    alone = [r["queue"] for r in largest.limit(MAX_QUEUES - SHARED_QUEUES).collect()]
+    shared = F.format_string("~%d", F.pmod(F.xxhash64("queue"), F.lit(SHARED_QUEUES)))
+    return totals.select("queue", F.when(F.col("queue").isin(alone), own).otherwise(shared).alias("line"), "n")
+
+
+def carried_over(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """(part, queue, line, carried): tokens of a line before a source's part; about one row for each part and source."""
+    before = Window.partitionBy("line").orderBy("queue", "part").rowsBetween(Window.unboundedPreceding, -1)
+    return (rows.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n")).join(lines.select("queue", "line"), "queue")
+            .select("queue", "part", "line", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carried")))
 
 
 def _apportion(total: int, weights: np.ndarray) -> np.ndarray:
@@ -183,15 +200,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, targets: dict[str, float]
     """Pieces of all documents. `targets` maps sources to proportions; unset, the tokens' own proportions."""
     kind = id_type(tokenizer)
     rows = encoded(docs, tokenizer, end_id, text, doc_id, source)
-    totals = rows.groupBy("queue").agg(F.sum("n_tokens").alias("n")).limit(MAX_QUEUES + 1).collect()
-    schedule = Schedule({r["queue"]: r["n"] for r in totals}, targets, sequence, window_sequences)
+    totals = store(rows.groupBy("queue").agg(F.sum("n_tokens").alias("n")), "totals")
+    lines = store(lines_of(totals, targets), "lines")
+    sums = {r["line"]: r["n"] for r in lines.groupBy("line").agg(F.sum("n").alias("n")).collect()}
+    wanted = {f"={name}": share for name, share in targets.items()} if targets else None
+    schedule = Schedule(sums, wanted, sequence, window_sequences)
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             out = [[] for _ in range(7)]
             keys = []
-            for key, queue, n, raw, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for start, length, number, offset in schedule.pieces(queue, first, n):
+            for key, queue, line, n, raw, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for start, length, number, offset in schedule.pieces(line, first, n):
                     ids = np.frombuffer(raw, kind, length, start * np.dtype(kind).itemsize)
                     keys.append(key)
                     for column, value in zip(out, (start, length, zlib.crc32(ids.astype("<u4").tobytes()), n,
@@ -203,9 +223,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, targets: dict[str, float]
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
     # Stored first: its size is then known, and the ids need not move to meet it.
-    carried = store(carried_over(rows), "carried")
+    carried = store(carried_over(rows, lines), "carried")
     placed = rows.join(carried, ["queue", "part"]).select(
-        "doc_id", "queue", "n_tokens", "ids", (F.col("first") + F.col("carried")).alias("first"))
+        "doc_id", "queue", "line", "n_tokens", "ids", (F.col("first") + F.col("carried")).alias("first"))
     key = docs.schema[doc_id].dataType.simpleString()
     return placed.mapInArrow(run, f"doc_id {key}, start long, length long, ids_crc32 long, doc_tokens long, "
                                   "sequence_id long, offset long, source string")

@@ -111,6 +111,14 @@ def test_pack_awkward_rows(spark):
     check_pieces(small.collect(), rows, 64)
 
 
+@pytest.mark.parametrize("targets", [None, {"s7": 3.0, "s399": 1.0}])
+def test_pack_more_sources_than_queues(spark, targets):
+    rows = [(i, f"document {i} " + "word " * (i % 23), None, f"s{i % 400}") for i in range(1000)]
+    pieces = mixture_pack.pack(docs_of(spark, rows), PATH, 2, targets, sequence=64, window_sequences=4).collect()
+    check_pieces(pieces, rows, 64)
+    assert {(p["doc_id"], p["source"]) for p in pieces} == {(i, s) for i, _, _, s in rows}
+
+
 def test_pack_real_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["doc_id"], r["text"], None, None) for r in docs.collect()]
