@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from fleetwright import registry
 from fleetwright.operators import alerts
 from fleetwright.sources import fixtures
 from fleetwright.streaming import flows
@@ -104,3 +105,11 @@ def test_usage_windows(spark, sf_dir, feed, tmp_path):
     as_ntz = got.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
     assert got.count() > 1000
     assert rows(as_ntz, *columns) == rows(batch, *columns)
+
+
+@pytest.mark.parametrize("name", ["v1_debounce_stream", "v3_edge_alerts_stream", "v4_usage_windows_stream"])
+def test_registered_streams_over_files_that_overlap_in_time(spark, sf_dir, name, tmp_path):
+    events = fixtures.table(spark, sf_dir, "events")
+    events.repartition(6, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    query = registry.QUERIES[name]
+    assert rows(query(spark, str(tmp_path))) == rows(query(spark, sf_dir))
