@@ -293,7 +293,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text",
                       doc_id: str = "doc_id") -> DataFrame:
-    """The rows without any benchmark window, with all their columns."""
+    """The rows without any benchmark window, with all their columns; `doc_id` is taken for the table's key."""
     found = contamination(docs, benchmark, window, text, doc_id).filter("contaminated")
     bad = found.select(F.col("doc_id").alias("contaminated_id")).distinct()
     return docs.join(bad, docs[doc_id].eqNullSafe(bad["contaminated_id"]), "left_anti")
+
+
+def drop_contaminated_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
+                           text: str = "text") -> DataFrame:
+    """The rows without any benchmark window, with all their columns.
+
+    Rows are judged by their texts: ids may be missing or repeat, and are not read.
+    """
+    digest = F.unhex(F.sha2(F.coalesce(docs[text].cast("string"), F.lit("")), 256))
+    texts = docs.select(digest.alias("digest"), docs[text].alias("text"))
+    found = contamination(texts, benchmark, window, "text", "digest").filter("contaminated")
+    bad = found.select(F.col("doc_id").alias("contaminated_digest")).distinct()
+    return docs.join(bad, digest == bad["contaminated_digest"], "left_anti")

@@ -85,17 +85,20 @@ def similar(both, n, m, percent: int):
 # --- classes and shingle counts ----------------------------------------------------------------------------
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, set_hash)."""
+    """Rows (doc_id, n_shingles, set_hash, text_sha256)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            sets = [shingles(t, size) for t in texts_of(batch.column(1))]
+            texts = texts_of(batch.column(1))
+            sets = [shingles(t, size) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([set_hash(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "set_hash"])
+                 pa.array([set_hash(s) for s in sets], pa.binary()),
+                 pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())],
+                names=["doc_id", "n_shingles", "set_hash", "text_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_hash binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_hash binary, text_sha256 binary")
 
 
 def _block(doc_id, blocks: int):
@@ -437,7 +440,7 @@ def similar_components(live: DataFrame, percent: int) -> DataFrame:
 
 
 def _searched(docs: DataFrame, size: int, percent: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stored rows (doc_id, n_shingles, set_hash), classes, and the classes that may have a partner."""
+    """Stored rows (doc_id, n_shingles, set_hash, text_sha256), classes, and the classes that may have a partner."""
     rows = docs.select(docs[doc_id].alias("doc_id"), one_string_column(docs, text))
     signed = store(signatures(rows, size), "signatures")
     classes = (signed.filter("n_shingles > 0").groupBy("set_hash")
@@ -452,6 +455,15 @@ def _searched(docs: DataFrame, size: int, percent: int, text: str, doc_id: str)
     return signed, classes, store(live_classes(homes, members, counted, size, percent), "live")
 
 
+def _named(classes: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """(set_hash, class_id, component, component_id) of the classes."""
+    found = similar_components(live, percent)
+    named = store(classes.join(found, classes["class_id"] == found["node"], "left").select(
+        "set_hash", "class_id", "first", F.coalesce("component", "class_id").alias("component")), "named")
+    least = store(named.groupBy("component").agg(F.min("first").alias("component_id")), "first-members")
+    return named.join(least, "component").select("set_hash", "class_id", "component", "component_id")
+
+
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id",
                 links: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id it reaches by links), class_id.
@@ -459,11 +471,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "
     With `links` also n_links: the other classes that its class is similar to, all of them.
     """
     signed, classes, live = _searched(docs, size, percent, text, doc_id)
-    found = similar_components(live, percent)
-    named = store(classes.join(found, classes["class_id"] == found["node"], "left").select(
-        "set_hash", "class_id", "first", F.coalesce("component", "class_id").alias("component")), "named")
-    least = store(named.groupBy("component").agg(F.min("first").alias("component_id")), "first-members")
-    named = named.join(least, "component").select("set_hash", "class_id", "component_id")
+    named = _named(classes, live, percent).drop("component")
     if links:
         counts = store(linked_classes(live, percent, counted=True), "link-counts")
         named = named.join(counts, "class_id", "left")
@@ -486,7 +494,23 @@ def similar_pairs(docs: DataFrame, size: int = 5, percent: int = 80, text: str =
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The row of each group that names it, with all its columns; `doc_id` is taken for the table's key."""
-    found = near_groups(docs, size, percent, text, doc_id)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One row of each group, with all its columns: the one of the least id, of rows without an id if there is no other.
+
+    Rows are told apart by id and text, not by id alone; of rows equal in both one stays. Rows without words
+    are in no group and all stay.
+    """
+    signed, classes, live = _searched(docs, size, percent, text, doc_id)
+    named = store(_named(classes, live, percent).select("set_hash", "component"), "named")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_sha256")
+    kept = store(signed.join(named, "set_hash").groupBy("component").agg(F.min(first).alias("first")).select(
+        _row_key(F.col("first.doc_id"), F.lower(F.hex("first.text_sha256"))).alias("kept_row_key")), "kept")
+    own = F.coalesce(docs[text].cast("string"), F.lit(""))
+    has_words = own.rlike("[^\\x20\\x09-\\x0D]")
+    rows = docs.filter(has_words).withColumn("kept_row_key", _row_key(docs[doc_id], F.sha2(own, 256)))
+    # Joined by one column, so that rows that are equal in id and text are together already.
+    rows = rows.join(kept, "kept_row_key", "left_semi").dropDuplicates(["kept_row_key"])
+    return rows.select(*docs.columns).unionByName(docs.filter(~has_words))
+
+
+def _row_key(doc_id, sha256):
+    return F.concat(sha256, F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")))

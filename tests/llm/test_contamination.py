@@ -81,3 +81,12 @@ def test_large_test_sets_are_refused(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_QUERY_WORDS", 1)
     with pytest.raises(ValueError):
         decontaminate.read_items(items_of(spark, [(1, "a b c d e f g h i j")]))
+
+
+def test_rows_are_dropped_by_their_own_text(spark):
+    leak = "one two three four five six seven eight nine ten eleven"
+    rows = [(None, f"x {leak}", None, None), (None, "clean", None, None), (1, leak, None, None), (1, "clean too", None, None),
+            (1, None, None, None), (None, "clean", None, None)]
+    kept = decontaminate.drop_contaminated_rows(docs_of(spark, rows), items_of(spark, [(0, leak)])).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted(
+        ((i, t) for i, t, _, _ in rows if leak not in (t or "")), key=repr)

@@ -128,3 +128,15 @@ def test_keep_one(spark):
     want = {c for _, _, c in plain_components([(i, t) for i, t, _, _ in rows], 3, 90)}
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
     assert plain_shingles("a b", 3) == {("a", "b")}
+
+
+def test_keep_one_tells_rows_of_an_id_apart(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    near = one.replace("a59", "x")
+    rows = [(None, one, None, None), (None, near, None, None), (None, two, None, None), (5, three, None, None),
+            (5, two + " end", None, None), (4, three + " end", None, None), (4, three + " end", None, None),
+            (None, " ", None, None), (None, None, None, None), (6, "", None, None), (6, "", None, None)]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs_of(spark, rows), 5, 80).collect()]
+    first = min([one, near], key=lambda t: hashlib.sha256(t.encode()).digest())
+    want = [(None, first), (5, two + " end"), (4, three + " end"), (None, " "), (None, None), (6, ""), (6, "")]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
