@@ -5,7 +5,8 @@ and crossed tags are mended). Every subtree is hashed by tag and text. Spark cou
 pages each subtree stands; one that recurs on at least `LEAST_PAGES` pages and a `LEAST_SHARE` of the host's
 pages is template and is deleted. Inside an article only containers are deleted that way, never its
 paragraphs, and never what holds most of the text, so a quotation or a copied article is not taken for
-template. Of what is left, elements that HTML or common class names mark as menu, header, footer, sidebar,
+template. Pages without an article or main element count once for each text that the host has of them, so that
+copies under many urls do not make their own text a template. Of what is left, elements that HTML or common class names mark as menu, header, footer, sidebar,
 notice, advert, form or comments go too, and the article (else the main element, else the body) is the text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one.
@@ -153,10 +154,24 @@ def _has_article(node: Node) -> bool:
     return node.holds_article
 
 
-def subtrees(page: str) -> set[int]:
-    """Digests of the subtrees of a page that a template may have put there."""
+def subtrees(page: str) -> tuple[set[int], int | None]:
+    """Digests of the subtrees of a page that a template may have put there; a page without article, its text's hash."""
     root = read_tree(page)
-    return {n.digest for n in nodes(root) if may_be_template(n, root.chars)}
+    found = {n.digest for n in nodes(root) if may_be_template(n, root.chars)}
+    return found, None if root.holds_article else _text_hash(root)
+
+
+def _text_hash(root: Node) -> int:
+    parts, stack = [], [root]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            parts.append(item)
+        else:
+            parts.append(" ")
+            stack += [" ", *reversed(item.children)]
+    text = " ".join("".join(parts).split())
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def marked_as_other(node: Node) -> bool:
@@ -205,20 +220,23 @@ def main_text(page: str, template: set[int]) -> str:
 
 
 def template_counts(pages: DataFrame) -> DataFrame:
-    """(host, digest, pages) from rows (host, html); summed within each task first."""
+    """(host, digest, pages) from rows (host, html); a null digest has the host's pages. Summed within each task first."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            seen: dict[tuple[str, int], int] = {}
+            seen: dict[tuple[str, int | None, int | None], int] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for digest in subtrees(page):
-                    seen[host, digest] = seen.get((host, digest), 0) + 1
+                digests, text = subtrees(page)
+                for digest in (None, *digests):
+                    seen[host, digest, text] = seen.get((host, digest, text), 0) + 1 if text is None else 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in seen], pa.string()), pa.array([d for _, d in seen], pa.int64()),
-                 pa.array(list(seen.values()), pa.int64())], names=["host", "digest", "pages"])
+                [pa.array([k[0] for k in seen], pa.string()), *(pa.array([k[i] for k in seen], pa.int64()) for i in (1, 2)),
+                 pa.array(list(seen.values()), pa.int64())], names=["host", "digest", "page_text", "pages"])
 
-    return (pages.select("host", "html").mapInArrow(run, "host string, digest long, pages long")
-            .groupBy("host", "digest").agg(F.sum("pages").alias("pages")))
+    rows = pages.select("host", "html").mapInArrow(run, "host string, digest long, page_text long, pages long")
+    each = rows.groupBy("host", "digest", "page_text").agg(F.sum("pages").alias("pages"))
+    once = F.when(F.col("page_text").isNull(), F.col("pages")).otherwise(F.lit(1))
+    return each.groupBy("host", "digest").agg(F.sum(once).alias("pages"))
 
 
 def host_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -226,8 +244,9 @@ def host_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share
 
     A page has only so many subtrees, so at most their mean number / least_share of them reach the share.
     """
-    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    often = template_counts(pages).filter(F.col("pages") >= least_pages).join(totals, "host")
+    counts = store(template_counts(pages).filter((F.col("pages") >= least_pages) | F.col("digest").isNull()), "subtrees")
+    totals = counts.filter("digest IS NULL").select("host", F.col("pages").alias("total"))
+    often = counts.filter("digest IS NOT NULL").join(totals, "host")
     return (often.filter(F.col("pages") >= F.col("total") * least_share)
             .groupBy("host").agg(F.collect_list("digest").alias("template")))
 

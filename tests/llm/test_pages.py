@@ -104,6 +104,15 @@ def test_article_paragraphs_and_copies_are_no_template(spark):
     assert {r["text"] for r in html_extract.extract(pages).collect()} == {"Same article everywhere"}
 
 
+def test_copies_without_article_keep_their_text(spark):
+    text = "<p>First of the text</p><p>Second of it</p><p>Third of it</p>"
+    rows = [(i, f"http://h/a?v={i}", f"<div>{text}</div>") for i in range(6)]
+    rows += [(10 + i, f"http://h/{i}", f"<div>Menu</div><div><p>Only here {i} and here</p></div>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert got == {i: "First of the text Second of it Third of it" if i < 10 else f"Only here {i - 10} and here" for i, *_ in rows}
+
+
 def test_real_pages(spark, sf_dir):
     import html
     import re
