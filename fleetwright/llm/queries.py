@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetwright.llm import (chat_masks, decontaminate, exact_dedup, html_extract, jaccard_join, language_id,
-                             mixture_pack, token_index, toxicity, url_cascade)
+                             mixture_pack, piece_codec, token_index, toxicity, url_cascade)
 from fleetwright.llm.tokens import public_path
 
 TOKENIZER = "word_bpe_49k.json"
 CHAT_TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 #: verdict, host, path
 URL_RULES = (
@@ -72,6 +73,11 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def piece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_path(PIECE_MODEL)
+    return piece_codec.digests(piece_codec.encode(table(spark, sf_dir, "documents"), model), model)
+
+
 QUERIES = {
     "op1_language_id": language_query,
     "op2_token_index": token_index_query,
@@ -83,4 +89,5 @@ QUERIES = {
     "op8_mixture_packing": packing_query,
     "op9_toxicity": toxicity_query,
     "op10_decontamination": decontamination_query,
+    "op13_piece_codec": piece_query,
 }
