@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetwright.llm import (chat_masks, decontaminate, exact_dedup, html_extract, jaccard_join, language_id,
-                             mixture_pack, piece_codec, token_index, toxicity, url_cascade)
+                             mixture_pack, piece_codec, spelling_groups, token_index, toxicity, url_cascade)
 from fleetwright.llm.tokens import public_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -73,6 +73,10 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def spelling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.variants(table(spark, sf_dir, "documents"))
+
+
 def piece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_path(PIECE_MODEL)
     return piece_codec.digests(piece_codec.encode(table(spark, sf_dir, "documents"), model), model)
@@ -89,5 +93,6 @@ QUERIES = {
     "op8_mixture_packing": packing_query,
     "op9_toxicity": toxicity_query,
     "op10_decontamination": decontamination_query,
+    "op12_spelling_groups": spelling_query,
     "op13_piece_codec": piece_query,
 }

