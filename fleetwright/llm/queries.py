@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetwright.llm import (chat_masks, decontaminate, exact_dedup, html_extract, jaccard_join, language_id,
-                             mixture_pack, piece_codec, spelling_groups, token_index, toxicity, url_cascade)
+                             mixture_pack, piece_codec, spelling_groups, token_index, toxicity, turn_trie,
+                             url_cascade)
 from fleetwright.llm.tokens import public_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -73,6 +74,10 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def trie_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def spelling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups.variants(table(spark, sf_dir, "documents"))
 
@@ -93,6 +98,7 @@ QUERIES = {
     "op8_mixture_packing": packing_query,
     "op9_toxicity": toxicity_query,
     "op10_decontamination": decontamination_query,
+    "op11_turn_trie": trie_query,
     "op12_spelling_groups": spelling_query,
     "op13_piece_codec": piece_query,
 }

@@ -60,6 +60,38 @@ named AS (
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(m.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
   sha256(coalesce(n.items, '')) AS items_sha256, coalesce(m.n_hit, 0) > 0 AS contaminated
 FROM dw d LEFT JOIN marked m ON d.doc_id = m.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id
+""",
+    "op11_turn_trie": r"""
+WITH said AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY place) AS turns, CAST(xor(list_reduce(
+    [4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+    lambda c, b: list_reduce([xor(c, b)] || range(8), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)),
+    4294967295) % 4 AS INT) AS h
+  FROM said GROUP BY conv_id),
+rebuilt AS (
+  SELECT o.conv_id, coalesce(d.turns[1:o.h], []) || o.turns[o.h + 1:] AS turns
+  FROM own o LEFT JOIN own d ON d.conv_id = o.conv_id - (o.conv_id % 20 + 20) % 20),
+steps AS (
+  SELECT conv_id, d AS depth, turns[1:d] AS prefix, d = len(turns) AS ends, turns[1:d - 1] AS above
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(above) AS above,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+    CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(prefix[depth].text, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM steps GROUP BY prefix, depth),
+kids AS (SELECT above, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above),
+linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, coalesce(k.n, 0) AS n_children FROM nodes n
+  LEFT JOIN nodes p ON n.depth > 0 AND p.prefix = n.above LEFT JOIN kids k ON k.above = n.prefix),
+sums AS (
+  SELECT prefix[1:d] AS top, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT prefix, saved, n_children, unnest(range(0, depth + 1)) AS d FROM linked) GROUP BY top)
+SELECT l.conv_id, l.depth, l.parent_conv_id, l.n_convs, l.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, l.ends_sha256
+FROM linked l JOIN sums s ON s.top = l.prefix
 """,
     "op12_spelling_groups": r"""
 WITH RECURSIVE steps AS (

@@ -16,7 +16,7 @@ def test_sql(spark, sf_dir, name):
 
 def test_all_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
 
 
 def test_near_query(spark, sf_dir):
