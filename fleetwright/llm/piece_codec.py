@@ -112,8 +112,22 @@ class PieceModel:
     def tokens(self, unit: str) -> list[str]:
         """The model's tokens of a unit; characters that no piece holds stand alone."""
         out: list[str] = []
-        at, before, failed, longest = 0, "", bytearray((len(unit) >> 3) + 1), {}
-        piece = self._match(unit, 0, longest) if unit else None
+        at, before, fits = 0, "", self.fits
+        longest: dict[int, str] = {}
+        if len(unit) <= WINDOW:
+            # Most often the longest matches fit one after another as far as they go.
+            for end, piece in self.matches.iter_long(unit):
+                longest[end + 1 - len(piece)] = piece
+            while (piece := longest.get(at)) is not None:
+                known = fits.get((before, piece))
+                if not (self.fit(before, piece) if known is None else known):
+                    break
+                out.append(piece)
+                at, before = at + len(piece), piece
+        if at == len(unit):
+            return out
+        failed = bytearray((len(unit) >> 3) + 1)
+        piece = self._match(unit, at, longest)
         while at < len(unit):
             while piece is not None:
                 end = at + len(piece)
@@ -133,9 +147,12 @@ class PieceModel:
         return out
 
     def unit_ids(self, unit: str) -> tuple[int, ...]:
+        tokens = self.tokens(unit)
+        known = tuple(map(self.ids.get, tokens))
+        if None not in known:
+            return known
         out: list[int] = []
-        for token in self.tokens(unit):
-            i = self.ids.get(token)
+        for token, i in zip(tokens, known, strict=True):
             out += [i] if i is not None else [self.bytes[b] for b in token.encode("utf-8", "replace")]
         return tuple(out)
 
@@ -208,6 +225,13 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
+def _lists(column: pa.ListArray) -> list[list[int]]:
+    """The lists of a column, null as empty; numbers are taken out together."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    return [flat[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def _decoded(encoded: DataFrame, model: str, columns: dict[str, str], row) -> DataFrame:
     """(doc_id, columns) where `row(ids, text)` gives the values of the columns for one document."""
     kind = encoded.schema["doc_id"].dataType.simpleString()
@@ -218,7 +242,7 @@ def _decoded(encoded: DataFrame, model: str, columns: dict[str, str], row) -> Da
             sizes = np.array(pc.list_value_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
             for first, last in _spans(sizes * 4):
                 part = batch.slice(first, last - first)
-                done = [row(ids or [], decoder.decode(ids) if ids else "") for ids in part.column(1).to_pylist()]
+                done = [row(ids, decoder.decode(ids) if ids else "") for ids in _lists(part.column(1))]
                 values = [pa.array([d[i] for d in done], pa.int64() if kind_ == "long" else pa.string())
                           for i, kind_ in enumerate(columns.values())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *values], names=["doc_id", *columns])
