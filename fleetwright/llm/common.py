@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +17,11 @@ from pyspark.sql import functions as F
 from fleetwright.session import shared_dir
 
 
+#: Row groups of stored texts: a writer and a reader hold one of them in memory.
+ROW_GROUP_BYTES = 32 << 20
+ROWS_TOGETHER = 1024
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own under the folder that the driver and all executors share."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -22,7 +30,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to the shared folder and read them again: a stage that outlives lost executors."""
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -63,29 +71,48 @@ def mix64(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-BYTE_VALUES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
-_BASES = (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as little-endian numbers; positions past the end read as zero."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every span: its length and its bytes, eight at a time, each mixed in by a finaliser."""
+    view, sizes = eights(raw), last - first
+    out = mix64(sizes, 3)
+    open_, at = np.arange(len(first)), 0
+    while len(open_):
+        left = sizes[open_] - at
+        bytes_ = view[first[open_] + at] & _FIRST[np.minimum(left, 8)]
+        out[open_] = mix64(out[open_] ^ bytes_, 5)
+        at += 8
+        open_ = open_[left > 8]
+    return out
 
 
-def power_tables(size: int) -> list[np.ndarray]:
-    """Powers of the base, and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < size:
-        for i, base in enumerate(_BASES):
-            steps = np.full(max(size, 1 << 16), base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers
+def spans_equal(raw: np.ndarray, first: np.ndarray, sizes: np.ndarray, other: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Whether spans of `raw` equal those of the same sizes that begin in `other`."""
+    view, held = eights(raw), eights(other)
+    same = np.ones(len(first), bool)
+    open_, at = np.arange(len(first)), 0
+    while len(open_):
+        left = sizes[open_] - at
+        differ = (view[first[open_] + at] ^ held[begin[open_] + at]) & _FIRST[np.minimum(left, 8)]
+        same[open_[differ != 0]] = False
+        at += 8
+        open_ = open_[(left > 8) & (differ == 0)]
+    return same
 
 
-def word_spans(raw: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, end and 64-bit hash of every word: differences of running sums of a polynomial with random values."""
+def word_spans(raw: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every word."""
     inside = ~blank[raw]
     edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
-    first, last = edges[::2], edges[1::2]
-    up, down = power_tables(len(raw) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[raw] * up[:len(raw)])])
-    return first, last, (sums[last] - sums[first]) * down[first]
+    return edges[::2], edges[1::2]
 
 
 def slices(text: bytes, blank: np.ndarray, size: int) -> list[bytes]:
@@ -100,9 +127,37 @@ def slices(text: bytes, blank: np.ndarray, size: int) -> list[bytes]:
     return [*out, text[begin:]]
 
 
+def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under plain column names, so that an operator's own columns cannot clash, and the name of each column."""
+    names = {c: f"kept_{i}" for i, c in enumerate(df.columns)}
+    return df.select(*(df[f"`{c}`"].alias(n) for c, n in names.items())), names
+
+
 def one_string_column(df: DataFrame, column: str, name: str = "text"):
     """The column as a string whose nulls are empty texts."""
     return F.coalesce(df[column].cast("string"), F.lit("")).alias(name)
 
 
+def give_back() -> None:
+    """Return memory that a finished task no longer uses, so that a reused worker does not keep its peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """A task's function over Arrow batches, given some rows at a time, that returns its memory when it ends."""
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batch.slice(i, ROWS_TOGETHER) for batch in batches
+                           for i in range(0, max(1, batch.num_rows), ROWS_TOGETHER))
+        finally:
+            give_back()
+
+    return wrapped
+
+
 Batches = Iterator[pa.RecordBatch]

@@ -33,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetwright.llm.common import Batches, mix64, one_string_column, partitions, slices, store, texts_of, word_spans
+from fleetwright.llm.common import (Batches, give_back, lean, mix64, one_string_column, partitions, set_aside, slices,
+                                    span_hashes, store, texts_of, word_spans)
 
 MOST_MATCHES = 8
 VERIFY_COST = 50
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_000_000
 GROUP_BLOCK = 256
-LINK_BLOCK = 2048
+LINK_BLOCK = 256
 LINK_ROWS = 1 << 16
 HUB_SHARE = 500
 CHUNK = 1 << 22
@@ -52,8 +53,8 @@ def word_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash of every word."""
     out = [np.zeros(0, np.uint64)]
     for part in slices(text.lower(), _SPACE, CHUNK):
-        first, last, hashes = word_spans(np.frombuffer(part, np.uint8), _SPACE)
-        out.append(mix64(hashes + (last - first).astype(np.uint64), 11))
+        raw = np.frombuffer(part, np.uint8)
+        out.append(span_hashes(raw, *word_spans(raw, _SPACE)))
     return np.concatenate(out)
 
 
@@ -98,11 +99,12 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                  pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())],
                 names=["doc_id", "n_shingles", "set_hash", "text_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_hash binary, text_sha256 binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_shingles long, set_hash binary, text_sha256 binary")
 
 
-def _block(doc_id, blocks: int):
-    return F.pmod(F.xxhash64(doc_id), F.lit(blocks)).cast("int")
+def _block(doc_id, text_sha256, blocks: int):
+    """Rows without an id, or with a repeated one, are dealt by their texts."""
+    return F.pmod(F.xxhash64(doc_id, text_sha256), F.lit(blocks)).cast("int")
 
 
 def _sets_of(left: pa.Table, right: pa.Table, size: int) -> list[tuple[int, np.ndarray]]:
@@ -147,6 +149,7 @@ def frequencies(homes: DataFrame, members: DataFrame, size: int, ranges_: int) -
         part = ((values >> np.uint64(16)) * np.uint64(ranges_) >> np.uint64(32)).astype(np.int64)
         edges = np.searchsorted(part, np.arange(ranges_ + 1))
         rows = [(p, a, b) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+        give_back()
         return pa.table({
             "part": pa.array([r[0] for r in rows], pa.int32()),
             "block": pa.array([left["block"][0].as_py() if left.num_rows else 0] * len(rows), pa.int32()),
@@ -283,7 +286,7 @@ def verify_stars(live: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["a", "b"])
 
     dealt = rows.repartition(partitions(live.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", "is_member")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def verify_groups(live: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -342,7 +345,7 @@ def verify_groups(live: DataFrame, groups: DataFrame, percent: int) -> DataFrame
             yield out()
 
     dealt = rows.repartition(partitions(live.sparkSession), "group", "low", "high").sortWithinPartitions("group", "low", "high")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def linked_classes(live: DataFrame, percent: int, counted: bool) -> DataFrame:
@@ -393,8 +396,8 @@ def linked_classes(live: DataFrame, percent: int, counted: bool) -> DataFrame:
 
     dealt = rows.repartition(partitions(live.sparkSession), "hub", "low", "high").sortWithinPartitions("hub", "low", "high")
     if not counted:
-        return dealt.mapInArrow(run, "a long, b long, both long")
-    return dealt.mapInArrow(run, "class_id long, n_links long").groupBy("class_id").agg(F.sum("n_links").alias("n_links"))
+        return dealt.mapInArrow(lean(run), "a long, b long, both long")
+    return dealt.mapInArrow(lean(run), "class_id long, n_links long").groupBy("class_id").agg(F.sum("n_links").alias("n_links"))
 
 
 # --- components --------------------------------------------------------------------------------------------
@@ -444,13 +447,18 @@ def _searched(docs: DataFrame, size: int, percent: int, text: str, doc_id: str)
     rows = docs.select(docs[doc_id].alias("doc_id"), one_string_column(docs, text))
     signed = store(signatures(rows, size), "signatures")
     classes = (signed.filter("n_shingles > 0").groupBy("set_hash")
-               .agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n")))
+               .agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_sha256")).alias("home"),
+                    F.max("n_shingles").alias("n")))
     classes = store(classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
-    total = classes.agg(F.sum("n")).first()[0] or 0
+    # Blocks hold all rows, copies too, so they follow the rows' shingles and not the classes'.
+    total = signed.agg(F.sum("n_shingles")).first()[0] or 0
     blocks = max(partitions(docs.sparkSession), -(-total // BLOCK_TOKENS))
-    members = (classes.groupBy(_block(F.col("first"), blocks).alias("block"))
+    members = (classes.groupBy(_block(F.col("home.doc_id"), F.col("home.text_sha256"), blocks).alias("block"))
                .agg(F.collect_list("class_id").alias("class_ids"), F.collect_list("set_hash").alias("hashes")))
-    homes = rows.select(_block(F.col("doc_id"), blocks).alias("block"), "text")
+    # One row of each text is enough of those without an id.
+    unnamed = rows.filter("doc_id IS NULL").dropDuplicates(["text"])
+    homes = rows.filter("doc_id IS NOT NULL").unionByName(unnamed).select(
+        _block(F.col("doc_id"), F.unhex(F.sha2("text", 256)), blocks).alias("block"), "text")
     counted = frequencies(homes, members, size, blocks)
     return signed, classes, store(live_classes(homes, members, counted, size, percent), "live")
 
@@ -503,13 +511,14 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "tex
     named = store(_named(classes, live, percent).select("set_hash", "component"), "named")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_sha256")
     kept = store(signed.join(named, "set_hash").groupBy("component").agg(F.min(first).alias("first")).select(
-        _row_key(F.col("first.doc_id"), F.lower(F.hex("first.text_sha256"))).alias("kept_row_key")), "kept")
-    own = F.coalesce(docs[text].cast("string"), F.lit(""))
+        _row_key(F.col("first.doc_id"), F.lower(F.hex("first.text_sha256"))).alias("row_key")), "kept")
+    held, names = set_aside(docs)
+    own = F.coalesce(F.col(names[text]).cast("string"), F.lit(""))
     has_words = own.rlike("[^\\x20\\x09-\\x0D]")
-    rows = docs.filter(has_words).withColumn("kept_row_key", _row_key(docs[doc_id], F.sha2(own, 256)))
+    rows = held.filter(has_words).withColumn("row_key", _row_key(F.col(names[doc_id]), F.sha2(own, 256)))
     # Joined by one column, so that rows that are equal in id and text are together already.
-    rows = rows.join(kept, "kept_row_key", "left_semi").dropDuplicates(["kept_row_key"])
-    return rows.select(*docs.columns).unionByName(docs.filter(~has_words))
+    rows = rows.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).drop("row_key")
+    return rows.unionByName(held.filter(~has_words)).select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def _row_key(doc_id, sha256):

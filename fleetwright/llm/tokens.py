@@ -2,8 +2,9 @@
 
 The tokenizer splits at white space before anything else and never merges across it, so the ids of a text
 are the ids of its blank-separated pieces in order. Pieces repeat: a worker keeps the ids of those it has
-met in a hash table of numpy arrays, finds all pieces of some texts at once by a 64-bit hash, and gathers
-their ids. Texts that hold `<|` may hold special tokens, whose strings are matched before case is folded,
+met in a hash table of numpy arrays, finds all pieces of some texts at once by a 64-bit hash, compares them
+byte by byte with the piece kept there, and gathers their ids; a piece that shares another's hash is encoded
+by itself. Texts that hold `<|` may hold special tokens, whose strings are matched before case is folded,
 and go through the tokenizer whole.
 """
 
@@ -15,9 +16,9 @@ from functools import lru_cache
 
 import numpy as np
 
-from fleetwright.llm.common import BYTE_VALUES, offsets_of, power_tables, ranges, slices, word_spans
+from fleetwright.llm.common import offsets_of, ranges, slices, span_hashes, spans_equal, word_spans
 
-KEPT_PIECES = 1_500_000
+KEPT_PIECES = 1_000_000
 KEPT_WORDS = 200_000
 TOGETHER = 1 << 20
 _PLAIN = re.compile("[a-zà-öø-ÿ]+")
@@ -51,6 +52,9 @@ class WordPieces:
         self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start, self.count = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
+        # The bytes of the pieces, one after another, and where each begins and how long it is.
+        self.spelt, self.spelt_used = np.zeros(1 << 16, np.uint8), 0
+        self.begin, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
 
     @staticmethod
     def _byte_letters() -> dict[int, str]:
@@ -103,41 +107,58 @@ class WordPieces:
             rest[own] = False
             hashes, rows = hashes[rest], rows[rest]
 
-    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+    def _keep(self, pieces: list[bytes]) -> np.ndarray:
+        """The rows of new pieces, with their ids and their bytes."""
         found = [self._piece(p) for p in pieces]
-        counts = np.array([len(ids) for ids in found], np.int32)
-        first, known, total = self.known, self.known + len(found), self.used + int(counts.sum())
-        while total > len(self.flat):
+        counts, sizes = (np.array([len(x) for x in xs], np.int64) for xs in (found, pieces))
+        first, known = self.known, self.known + len(found)
+        ids, letters = self.used + int(counts.sum()), self.spelt_used + int(sizes.sum())
+        while ids > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while letters > len(self.spelt):
+            self.spelt = np.concatenate([self.spelt, np.zeros_like(self.spelt)])
         while known > len(self.count):
-            self.start, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.count))
-        self.flat[self.used:total] = [i for ids in found for i in ids]
-        self.count[first:known] = counts
+            self.start, self.count, self.begin, self.size = (
+                np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.count, self.begin, self.size))
+        self.flat[self.used:ids] = [i for ids in found for i in ids]
+        self.spelt[self.spelt_used:letters] = np.frombuffer(b"".join(pieces), np.uint8)
+        self.count[first:known], self.size[first:known] = counts, sizes
         self.start[first:known] = self.used + offsets_of(counts)[:-1]
-        if 2 * known > len(self.keys):
+        self.begin[first:known] = self.spelt_used + offsets_of(sizes)[:-1]
+        self.known, self.used, self.spelt_used = known, ids, letters
+        return np.arange(first, known, dtype=np.int32)
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        rows = self._keep(pieces)
+        if 2 * self.known > len(self.keys):
             full = self.keys != 0
-            held, rows = self.keys[full], self.rows[full]
-            while 2 * known > 1 << self.bits:
+            held, placed = self.keys[full], self.rows[full]
+            while 2 * self.known > 1 << self.bits:
                 self.bits += 2
             self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-            self._place(held, rows)
-        self._place(hashes, np.arange(first, known, dtype=np.int32))
-        self.known, self.used = known, total
+            self._place(held, placed)
+        self._place(hashes, rows)
 
     def _together(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of some texts, all of whose pieces are looked up at once."""
+        if self.known > KEPT_PIECES:
+            self._forget()
         joined = b" ".join(texts).lower()
-        first, last, hashes = _pieces(np.frombuffer(joined, np.uint8))
+        raw = np.frombuffer(joined, np.uint8)
+        first, last, hashes = _pieces(raw)
         slots = self._slots(hashes)
         missing = np.flatnonzero(self.keys[slots] == 0)
         if len(missing):
-            if self.known > KEPT_PIECES:
-                self._forget()
-                missing = np.arange(len(hashes))
             new, where = np.unique(hashes[missing], return_index=True)
             self._learn(new, [joined[first[i]:last[i]] for i in missing[where].tolist()])
             slots = self._slots(hashes)
         rows = self.rows[slots]
+        sizes = last - first
+        same = self.size[rows] == sizes
+        same[same] = spans_equal(raw, first[same], sizes[same], self.spelt, self.begin[rows[same]])
+        other = np.flatnonzero(~same)
+        if len(other):
+            rows[other] = self._keep([joined[first[i]:last[i]] for i in other.tolist()])
         counts = self.count[rows].astype(np.int64)
         ids = self.flat[ranges(self.start[rows], counts)]
         ends = np.cumsum([len(t) + 1 for t in texts])
@@ -170,15 +191,13 @@ class WordPieces:
 
 def _pieces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin, end and hash of the blank-separated pieces; a full stop or comma after a letter is one by itself."""
-    first, last, hashes = word_spans(raw, _BLANK)
+    first, last = word_spans(raw, _BLANK)
     end, before = raw[last - 1], raw[np.maximum(last - 2, 0)]
     marked = ((end == 0x2E) | (end == 0x2C)) & (last - first > 1) & (before >= 0x61) & (before <= 0x7A)
-    up = power_tables(len(raw) + 1)[0]
     last = last - marked
-    hashes = np.where(marked, hashes - BYTE_VALUES[end] * up[last - first], hashes)
     at = np.flatnonzero(marked) + 1
     first, last = np.insert(first, at, last[marked]), np.insert(last, at, last[marked] + 1)
-    hashes = np.insert(hashes, at, BYTE_VALUES[end[marked]])
+    hashes = span_hashes(raw, first, last)
     hashes[hashes == 0] = 1
     return first, last, hashes
 

@@ -14,6 +14,12 @@ def docs_of(spark, rows):
     return spark.createDataFrame([(i, t, lang, source, len(t or ""), *CLASH) for i, t, lang, source in rows], DOCS)
 
 
+def twin_words(letters=1024):
+    """Two words that every polynomial hash modulo 2^64 takes for equal: a Thue-Morse word and its complement."""
+    bits = [bin(i).count("1") & 1 for i in range(letters)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def awkward_rows():
     long_text = " ".join(f"word{i % 977} und{i % 13}" for i in range(40_000))
     base = " ".join(f"alpha{i} beta{i % 7}" for i in range(150))
@@ -24,6 +30,7 @@ def awkward_rows():
         (10, base, "fr", "b"), (11, base + " gamma", "fr", "b"), (12, base.replace("alpha7 ", "omega "), "fr", "b"),
         (12, base.replace("alpha7 ", "omega "), "fr", "b"), (13, "one two", None, "c"), (13, "three", None, "c"),
         (None, "The quick brown fox jumps.", "en", "a"), (None, "no id", "en", None), (None, None, None, None),
+        (16, f"x {twin_words()[0]} y z", "en", "a"), (17, f"x {twin_words()[1]} y z", "en", "a"),
         (14, "12345 !!! ---", "en", "a"), (15, "<|endoftext|> The <|ENDOFTEXT|>,, it's we'll .,;x", "en", "a"),
     ]
 

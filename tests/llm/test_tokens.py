@@ -5,9 +5,9 @@ import numpy as np
 import pytest
 
 from fleetwright.llm import mixture_pack, token_index
-from fleetwright.llm.common import new_folder
+from fleetwright.llm.common import new_folder, span_hashes, spans_equal
 from fleetwright.llm.tokens import public_path, word_pieces
-from llm.helpers import awkward_rows, docs_of
+from llm.helpers import awkward_rows, docs_of, twin_words
 
 PATH = public_path("word_bpe_49k.json")
 
@@ -32,6 +32,33 @@ def test_forgotten_pieces_are_learned_again(monkeypatch):
     assert [i.tolist() for i in word_pieces(PATH).encode([t.encode() for t in texts])] == [whole(t) for t in texts]
 
 
+@pytest.mark.parametrize("values", [1, 7])
+def test_pieces_of_equal_hash_keep_their_own_ids(monkeypatch, values):
+    """Every piece shares its hash with many others; their bytes tell them apart."""
+    from fleetwright.llm import tokens
+
+    real = tokens.span_hashes
+    monkeypatch.setattr(tokens, "span_hashes", lambda *a: real(*a) % np.uint64(values) + np.uint64(1))
+    encoder = tokens.WordPieces(PATH)
+    texts = [f"some{i % 40} words, of {'long' * (i % 7)} text{i}." for i in range(200)] + ["", " ", *twin_words()]
+    for part in (texts[:90], texts[90:], texts):
+        assert [i.tolist() for i in encoder.encode([t.encode() for t in part])] == [whole(t) for t in part]
+
+
+def test_span_hashes_depend_on_every_byte():
+    raw = np.random.default_rng(1).integers(0, 256, 400, dtype=np.uint8)
+    first = np.array([0, 3, 10, 100, 399, 400])
+    last = np.array([3, 10, 26, 399, 400, 400])
+    hashes = span_hashes(raw, first, last)
+    for i, (a, b) in enumerate(zip(first, last, strict=True)):
+        assert span_hashes(raw[a:b].copy(), np.array([0]), np.array([b - a]))[0] == hashes[i]
+        for k in range(a, b):
+            other = raw.copy()
+            other[k] ^= 128
+            changed = span_hashes(other, first, last) != hashes
+            assert changed[i] and spans_equal(raw, first, last - first, other, first).tolist() == (~changed).tolist()
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 40_000])
 def test_perfect_hash_is_minimal_and_answers(n):
     keys = np.unique(np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64))
