@@ -22,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetwright.llm.common import Batches, offsets_of, one_string_column, ranges, store, texts_of
+from fleetwright.llm.common import Batches, lean, offsets_of, one_string_column, ranges, store, texts_of
 
 WINDOW = 10
-SEGMENT_WORDS = 1 << 21
+SEGMENT_WORDS = 1 << 19
 TERM_BUCKETS = 32
 MAX_QUERY_WORDS = 20_000_000
 
@@ -104,7 +104,7 @@ def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             yield rows_of(number, segment, keys, kind)
 
     rows = docs.select(docs[doc_id].alias("doc_id"), one_string_column(docs, text))
-    return store(rows.mapInArrow(run, f"segment long, bucket int, doc_ids array<{key}>, terms binary, "
+    return store(rows.mapInArrow(lean(run), f"segment long, bucket int, doc_ids array<{key}>, terms binary, "
                                       "counts binary, positions binary"), "postings")
 
 
@@ -308,5 +308,6 @@ def drop_contaminated_rows(docs: DataFrame, benchmark: DataFrame, window: int =
     digest = F.unhex(F.sha2(F.coalesce(docs[text].cast("string"), F.lit("")), 256))
     texts = docs.select(digest.alias("digest"), docs[text].alias("text"))
     found = contamination(texts, benchmark, window, "text", "digest").filter("contaminated")
+    # Digests are new and distinct columns on both sides, whatever the table's own are called.
     bad = found.select(F.col("doc_id").alias("contaminated_digest")).distinct()
     return docs.join(bad, digest == bad["contaminated_digest"], "left_anti")

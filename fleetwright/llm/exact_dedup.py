@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetwright.llm.common import Batches, one_string_column, store, texts_of
+from fleetwright.llm.common import Batches, lean, one_string_column, set_aside, store, texts_of
 
 WINDOW_DOUBLINGS = 5  # a window of 2**5 bytes
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 512, 8192, 11
@@ -79,7 +79,7 @@ def recipes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", id_byte
                 names=["doc_id", "text_sha256", "recipe"])
 
     return docs.select(docs[doc_id].alias("doc_id"), one_string_column(docs, text)).mapInArrow(
-        run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text_sha256 string, recipe binary")
+        lean(run), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text_sha256 string, recipe binary")
 
 
 def chunk_contents(docs: DataFrame, text: str = "text", id_bytes: int = ID_BYTES) -> DataFrame:
@@ -99,7 +99,7 @@ def chunk_contents(docs: DataFrame, text: str = "text", id_bytes: int = ID_BYTES
                                               pa.array([c for _, c in new], pa.binary())],
                                              names=["chunk_id", "content"])
 
-    return docs.select(one_string_column(docs, text)).mapInArrow(run, "chunk_id binary, content binary")
+    return docs.select(one_string_column(docs, text)).mapInArrow(lean(run), "chunk_id binary, content binary")
 
 
 def ambiguous_chunks(contents: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def _verified(docs: DataFrame, text: str, doc_id: str, id_bytes: int) -> DataFra
     # Some identifier is shared by different contents: those chunks are named by the content's digest too.
     number = "row_number"
     rows = docs.select(docs[doc_id].alias("doc_id"), one_string_column(docs, text)).mapInArrow(
-        _with_chunks(id_bytes), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text_sha256 string, "
+        lean(_with_chunks(id_bytes)), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text_sha256 string, "
         "recipe binary, parts array<struct<pos:int,chunk_id:binary,content_sha256:string>>")
     rows = store(rows.withColumn(number, F.monotonically_increasing_id()), "chunk-lists")
     fixes = (rows.select(number, F.explode("parts").alias("p")).select(number, "p.*").join(doubtful, "chunk_id")
@@ -161,9 +161,11 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows that stay, with all their columns."""
     kept = exact_groups(docs, text, doc_id).filter("kept").select(
-        F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256"))
-    normal = F.regexp_replace(F.coalesce(docs[text], F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
-    marked = docs.withColumn("kept_sha256_of_row", F.sha2(normal, 256))
-    rows = marked.join(kept, marked["kept_sha256_of_row"].eqNullSafe(kept["kept_sha256"])
-                       & marked[doc_id].eqNullSafe(kept["kept_id"]), "left_semi")
-    return rows.dropDuplicates([doc_id, "kept_sha256_of_row"]).drop("kept_sha256_of_row")
+        F.col("doc_id").alias("id_that_stays"), F.col("text_sha256").alias("sha256_that_stays"))
+    held, names = set_aside(docs)
+    normal = F.regexp_replace(F.coalesce(held[names[text]], F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
+    marked = held.withColumn("sha256_of_row", F.sha2(normal, 256))
+    rows = marked.join(kept, marked["sha256_of_row"].eqNullSafe(kept["sha256_that_stays"])
+                       & marked[names[doc_id]].eqNullSafe(kept["id_that_stays"]), "left_semi")
+    rows = rows.dropDuplicates([names[doc_id], "sha256_of_row"])
+    return rows.select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -18,11 +18,12 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwright.llm.common import Batches
+from fleetwright.llm.common import Batches, set_aside
 
 TEXT_TOP, LANGUAGE_TOP = 400, 400
 MAX_LANGUAGES = 2000
@@ -133,21 +134,21 @@ class Profiles:
         return self.names[best], (second - float(total[best])) / second if second else 0.0
 
 
-def identify(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """docs with lang_pred and score added (columns of these names are replaced)."""
+def predicted(text: Column, learned: dict[str, np.ndarray]) -> Column:
+    """(lang_pred, score) of a text; only the texts go to Python and only the answers come back."""
     profiles = Profiles(learned)
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    place = rest.index(text)
 
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            said = [profiles.nearest(t) for t in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([s[0] for s in said], pa.string()),
-                 pa.array([s[1] for s in said], pa.float64())], names=[*rest, "lang_pred", "score"])
+    @F.pandas_udf("lang_pred string, score double")
+    def said(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([profiles.nearest(t) for t in texts], columns=["lang_pred", "score"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return docs.select(*rest).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return said(text.cast("string"))
+
+
+def identify(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text") -> DataFrame:
+    """docs with lang_pred and score added (columns of these names are replaced)."""
+    rest = [docs[f"`{c}`"] for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*rest, predicted(docs[text], learned).alias("said")).select(*rest, "said.*")
 
 
 def languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
@@ -158,12 +159,17 @@ def languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     return identify(rows.drop("lang"), learned).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least_score: float, text: str = "text", lang: str = "lang",
+def keep_known(docs: DataFrame, least_score: float = 0.0, text: str = "text", lang: str = "lang",
                doc_id: str = "doc_id") -> DataFrame:
-    """The rows whose language is recognised with at least this score, with all their columns."""
+    """The rows whose language is recognised with at least this score, with all their columns.
+
+    Where no row has a language to learn from, all rows stay.
+    """
     rows = docs.filter(~held_out(docs[doc_id]) & docs[doc_id].isNotNull())
     learned = learn(rows.select(docs[lang].alias("lang"), docs[text].alias("text")))
-    copies = {c: f"kept_{i}" for i, c in enumerate(docs.columns)}  # so that no name clashes
-    renamed = docs.select(*(docs[c].alias(n) for c, n in copies.items()))
-    said = identify(renamed, learned, copies[text]).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-    return said.select(*(F.col(n).alias(c) for c, n in copies.items()))
+    if not learned:
+        return docs
+    held, names = set_aside(docs)
+    said = held.withColumn("said", predicted(held[names[text]], learned))
+    said = said.filter((F.col("said.lang_pred") != UNKNOWN) & (F.col("said.score") >= least_score))
+    return said.select(*(F.col(n).alias(c) for c, n in names.items()))

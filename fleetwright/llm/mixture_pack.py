@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwright.llm.common import Batches, one_string_column, store, texts_of
+from fleetwright.llm.common import Batches, lean, one_string_column, store, texts_of
 from fleetwright.llm.token_index import id_type
 from fleetwright.llm.tokens import word_pieces
 
@@ -66,7 +66,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", do
     key = docs.schema[doc_id].dataType.simpleString()
     rows = rows.repartitionByRange("queue", "doc_id").sortWithinPartitions("queue", "doc_id", "text")
     return store(rows.mapInArrow(
-        run, f"part long, queue string, doc_id {key}, n_tokens long, first long, ids binary"), "encoded")
+        lean(run), f"part long, queue string, doc_id {key}, n_tokens long, first long, ids binary"), "encoded")
 
 
 def lines_of(totals: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwright.llm.common import (Batches, file_system, mix64, new_folder, one_string_column, partitions,
+from fleetwright.llm.common import (Batches, file_system, lean, mix64, new_folder, one_string_column, partitions,
                                     store, texts_of)
 from fleetwright.llm.tokens import word_pieces
 
@@ -94,7 +94,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, text
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     key = docs.schema[doc_id].dataType.simpleString()
     return store(ordered.mapInArrow(
-        run, f"doc_id {key}, copy long, shard long, offset long, n_tokens long"), "manifest")
+        lean(run), f"doc_id {key}, copy long, shard long, offset long, n_tokens long"), "manifest")
 
 
 def shard_starts(manifest: DataFrame) -> DataFrame:
