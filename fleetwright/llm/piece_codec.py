@@ -7,8 +7,9 @@ A text is read from the left: the automaton gives the longest piece that begins
 fits the token before it, else its next shorter prefix is tried; where none fits, the position is marked in a bit
 field and the token before is shortened. A marked position is never entered again, so work stays linear.
 
-No piece holds a blank after another character, so a text is cut before each run of blanks and every distinct unit
-is encoded once; units are looked up by their whole text. Characters that no piece holds become byte tokens.
+Two characters that stand side by side in no piece are never merged, so a text may be cut between them: before each
+run of blanks, and between the characters that pieces connect with letters and all others. Every distinct unit is
+encoded once; units are looked up by their whole text. Characters that no piece holds become byte tokens.
 
 A null text is empty and has no ids; any other text begins with the model's extra blank. Repeated and null ids are
 kept row by row, an empty table gives an empty one, and columns other than id and text are not read. Texts are
@@ -36,7 +37,6 @@ KEPT_PAIRS = 1_000_000
 LONGEST_KEPT = 64
 WINDOW = 256
 CHARS_TOGETHER = 1 << 20
-_UNIT = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
 
 class PieceModel:
@@ -60,6 +60,7 @@ class PieceModel:
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
         if any(BLANK in p.lstrip(BLANK) for p in self.ids):
             raise ValueError("the model has pieces with a blank inside")
+        self.unit = re.compile(_unit_pattern(self.ids))
         self.score = {p.piece: p.score for p in model.pieces if p.type == kinds.NORMAL}
         self.longest = max(map(len, self.ids), default=1)
         self.matches = ahocorasick.Automaton()
@@ -157,6 +158,26 @@ class PieceModel:
         return tuple(out)
 
 
+def _unit_pattern(pieces) -> str:
+    """A pattern that cuts texts between the largest set of characters that pieces connect, and the others."""
+    up: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while (above := up.setdefault(c, c)) != c:
+            up[c] = c = up.setdefault(above, above)
+        return c
+
+    for piece in pieces:
+        letters = piece.lstrip(BLANK)
+        for a, b in zip(letters, letters[1:], strict=False):
+            up[root(a)] = root(b)
+    sets: dict[str, list[str]] = {}
+    for c in list(up):
+        sets.setdefault(root(c), []).append(c)
+    kept = "".join(re.escape(c) for c in sorted(max(sets.values(), key=len, default=[])))
+    return f"{BLANK}*[{kept}]+|{BLANK}*[^{BLANK}{kept}]+|{BLANK}+" if kept else f"{BLANK}*[^{BLANK}]+|{BLANK}+"
+
+
 class Units(dict):
     """Ids of the units met lately, by their whole text. A full table becomes the one before and frequent units move over."""
 
@@ -179,7 +200,7 @@ class Units(dict):
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        return list(chain.from_iterable(map(self.__getitem__, _UNIT.findall(self.model.prefix + text.replace(" ", BLANK)))))
+        return list(chain.from_iterable(map(self.__getitem__, self.model.unit.findall(self.model.prefix + text.replace(" ", BLANK)))))
 
 
 @lru_cache(maxsize=2)
