@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from fleetwright.llm.common import Batches, one_string_column
+from fleetwright.llm.common import Batches, lean, one_string_column
 
 BLANK = "▁"
 KEPT_UNITS = 300_000
@@ -243,7 +243,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
     rows = docs.select(docs[doc_id].alias("doc_id"), one_string_column(docs, text))
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, ids array<int>")
 
 
 def _lists(column: pa.ListArray) -> list[list[int]]:
@@ -269,7 +269,7 @@ def _decoded(encoded: DataFrame, model: str, columns: dict[str, str], row) -> Da
                 yield pa.RecordBatch.from_arrays([part.column(0), *values], names=["doc_id", *columns])
 
     schema = ", ".join([f"doc_id {kind}", *[f"{name} {kind_}" for name, kind_ in columns.items()]])
-    return encoded.select("doc_id", "ids").mapInArrow(run, schema)
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:

@@ -23,13 +23,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetwright.llm.common import Batches, one_string_column, store
+from fleetwright.llm.common import Batches, lean, one_string_column, store
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 LETTERS_LEAST, OCCURRENCES_LEAST, RATIO, DAMAGE = 6, 5, 5, 199
@@ -143,7 +144,7 @@ def vocabulary(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lett
         yield counts.rows(letters)
 
     rows = docs.select(docs[doc_id].alias("doc_id"), one_string_column(docs, text))
-    counted = rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counted.filter(F.col("n") >= occurrences)
 
 
@@ -184,29 +185,29 @@ def _opened(rows: DataFrame, depth: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept.columns[:3], pa.array([k for f in found for k in f], pa.string())],
                                              names=["word", "n", "vec", "node"])
 
-    return rows.select("word", "n", "vec", "node").mapInArrow(run, "word string, n long, vec string, node string")
+    return rows.select("word", "n", "vec", "node").mapInArrow(lean(run), "word string, n long, vec string, node string")
 
 
 def _sharded(words: DataFrame, shard_words: int) -> tuple[DataFrame, DataFrame]:
-    """The words with the node that is their shard, and the searches with the nodes they go to."""
+    """The words with the node that is their shard, and the searches with the nodes they go to.
+
+    Searches are stored at each depth: both those that stay there and those that go deeper read them.
+    """
     placed, searches, left, open_ = [], [], words, words.withColumn("node", F.lit(""))
+    columns = ["node", "word", "n", "vec"]
     for depth in DEPTHS:
         left = left.withColumn("node", F.substring("vec", 1, depth))
-        open_ = _opened(open_, depth)
-        if depth < LEVELS:
-            full = left.groupBy("node").count().filter(F.col("count") > shard_words).select("node", F.lit(True).alias("cut"))
-            left, open_ = left.join(full, "node", "left"), open_.join(full, "node", "left")
-            placed.append(left.filter("cut IS NULL").drop("cut"))
-            searches.append(open_.filter("cut IS NULL").drop("cut"))
-            left, open_ = left.filter("cut").drop("cut"), open_.filter("cut").drop("cut")
-    columns = ["node", "word", "n", "vec"]
-    out = []
-    for parts, last in ((placed, left), (searches, open_)):
-        whole = last.select(*columns)
-        for part in parts:
-            whole = whole.unionByName(part.select(*columns))
-        out.append(whole)
-    return out[0], out[1]
+        most = shard_words if depth < LEVELS else None
+        nodes = left.groupBy("node").agg((F.count("*") > most if most else F.lit(False)).alias("cut"))
+        nodes = store(nodes, "trie-nodes")
+        open_ = store(_opened(open_, depth).join(nodes, "node"), "trie-searches")
+        here = left.join(nodes, "node")
+        placed.append(here.filter("NOT cut").select(*columns))
+        searches.append(open_.filter("NOT cut").select(*columns))
+        if nodes.filter("cut").isEmpty():
+            break
+        left, open_ = here.filter("cut").drop("cut"), open_.filter("cut").drop("cut")
+    return reduce(DataFrame.unionByName, placed), reduce(DataFrame.unionByName, searches)
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -312,9 +313,9 @@ def _search(group: pa.Table) -> pa.Table:
 
 def near_pairs(words: DataFrame, shard_words: int = SHARD_WORDS, shard_searches: int = SHARD_SEARCHES) -> DataFrame:
     """(a, n_a, b, n_b): all pairs of words one edit apart, each once. `words` has distinct (word, n)."""
-    words = with_vectors(words.select("word", "n"))
+    words = store(with_vectors(words.select("word", "n")), "word-vectors")
     placed, searches = _sharded(words, shard_words)
-    placed, searches = store(placed, "trie-words"), store(searches, "trie-searches")
+    placed = store(placed, "trie-words")
     blocks = placed.groupBy("node").agg(F.ceil(F.count("*") / shard_words).alias("word_blocks"))
     asked = searches.groupBy("node").agg(F.ceil(F.count("*") / shard_searches).alias("ask_blocks"))
     shape = blocks.join(asked, "node")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwright.llm.common import Batches, partitions, store
+from fleetwright.llm.common import Batches, lean, partitions, store
 
 WIDTH = 16
 RANGE_BYTES = 1 << 22
@@ -276,7 +276,7 @@ def ordered_turns(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn"
                         *[F.coalesce(turns[c].cast("string"), F.lit("")).alias(n) for c, n in ((role, "role"), (text, "text"))])
     order = ("conv_id", "turn", "role", "text")
     rows = rows.filter("conv_id IS NOT NULL").repartitionByRange("conv_id", "turn", "role", "text").sortWithinPartitions(*order)
-    placed = store(rows.mapInArrow(run, "conv_id long, place long, part long, id binary, words long"), "turns")
+    placed = store(rows.mapInArrow(lean(run), "conv_id long, place long, part long, id binary, words long"), "turns")
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
     starts = counts.select("conv_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
@@ -340,7 +340,7 @@ def _keys(turns: DataFrame, chunk_turns: int) -> DataFrame:
         "conv_id", "chunk", F.unhex(F.array_join(F.transform("kept", lambda t: F.hex(t["id"])), "")).alias("ids"),
         F.col("kept.words").alias("words"))
     dealt = chunks.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "chunk")
-    return dealt.mapInArrow(run, "conv_id long, digest binary, key binary, words binary")
+    return dealt.mapInArrow(lean(run), "conv_id long, digest binary, key binary, words binary")
 
 
 def _ends(convs: DataFrame, bucket_ids: int) -> DataFrame:
@@ -372,7 +372,7 @@ def _ends(convs: DataFrame, bucket_ids: int) -> DataFrame:
     listed = F.array_join(F.transform(F.array_sort(F.collect_list("conv_id")), lambda c: c.cast("string")), ",")
     parts = convs.groupBy("digest", F.floor(F.col("conv_id") / bucket_ids).alias("bucket")).agg(listed.alias("ids"))
     rows = parts.repartition(partitions(convs.sparkSession), "digest").sortWithinPartitions("digest", "bucket")
-    return rows.mapInArrow(run, "digest binary, ends_sha256 string")
+    return rows.mapInArrow(lean(run), "digest binary, ends_sha256 string")
 
 
 def _ranges(keys: DataFrame, range_bytes: int, range_keys: int) -> DataFrame:
@@ -391,7 +391,7 @@ def _ranges(keys: DataFrame, range_bytes: int, range_keys: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(given, pa.int64())], names=names)
 
     rows = keys.select(*names[:-1]).repartitionByRange("key").sortWithinPartitions("key")
-    return store(rows.mapInArrow(run, "key binary, words binary, n long, least long, ends_sha256 string, range long"), "ranges")
+    return store(rows.mapInArrow(lean(run), "key binary, words binary, n long, least long, ends_sha256 string, range long"), "ranges")
 
 
 def _borders(ranged: DataFrame) -> DataFrame:
@@ -410,7 +410,7 @@ def _borders(ranged: DataFrame) -> DataFrame:
                 [pa.array(number, pa.int64()), pa.array([depth(a, b) for a, b in zip(before, first, strict=True)], pa.int64()),
                  pa.array([depth(a, b) for a, b in zip(last, after, strict=True)], pa.int64())], names=["range", "left", "right"])
 
-    return edges.mapInArrow(run, "range long, left long, right long")
+    return edges.mapInArrow(lean(run), "range long, left long, right long")
 
 
 def trie(turns: DataFrame, range_bytes: int = RANGE_BYTES, range_keys: int = RANGE_KEYS, chunk_turns: int = CHUNK_TURNS,
