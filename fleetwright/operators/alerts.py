@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetwright.operators.slices import BUCKET_SECONDS, ordered_scan
+from fleetwright.operators.slices import BUCKET_SECONDS, ordered_scan, spans_at
 
 HOT_LIMIT = 95.0
 
@@ -76,3 +76,15 @@ def muted_alerts(samples: DataFrame, mute_log: DataFrame, condition: Column | No
     """
     heard = _unmuted(samples, "sample_id", ["metric", "value"], mute_log, bucket_seconds)
     return edge_alerts(heard, condition, ("cluster_id", "metric", "span"), bucket_seconds)
+
+
+def span_alerts(samples: DataFrame, spans: DataFrame, condition: Column | None = None,
+                bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """R6 over rows of mute spans (cluster_id, ts, until) instead of switches.
+
+    Spans may overlap and stay open. A sample is muted while any span of its cluster is open; every span that
+    begins forgets what was shown.
+    """
+    seen = spans_at(samples, spans, ["cluster_id"], "sample_id", bucket_seconds=bucket_seconds)
+    heard = seen.filter("open_spans <= 0").drop("open_spans").withColumnRenamed("begun_spans", "span")
+    return edge_alerts(heard, condition, ("cluster_id", "metric", "span"), bucket_seconds)

@@ -139,6 +139,26 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], *,
     return joined.select(*df.columns, *lag, *total, *last)
 
 
+def spans_at(rows: DataFrame, spans: DataFrame, keys: list[str], seq: str, begin: str = "ts", end: str = "until",
+             bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """Adds to each row how many spans [begin, end) of its key are open at its `ts`, and how many have begun by then.
+
+    Spans may overlap and be of any length; a span without an end stays open, one without a beginning always
+    was, one that ends before it begins is empty but counts as begun. A span is two marks on the time line, and
+    what is open enters each slice of time as one sum, so no span is repeated and no key is in one task.
+    """
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in (*keys, "ts")]
+    begins = spans.select(*keys, F.col(begin).alias("ts"), *rest, F.lit(1).alias("_open"), F.lit(1).alias("_begun"))
+    ends = spans.filter(F.col(end).isNotNull()).select(
+        *keys, F.greatest(begin, end).alias("ts"), *rest, F.lit(-1).alias("_open"), F.lit(0).alias("_begun"))
+    marks = begins.unionByName(ends).withColumn("_kind", F.lit(0))
+    own = rows.withColumns({"_open": F.lit(0), "_begun": F.lit(0), "_kind": F.lit(1)})
+    line = marks.unionByName(own).withColumns({c: F.col(c).cast("bigint") for c in ("_open", "_begun")})
+    seen = ordered_scan(line, keys, ["ts", "_kind", seq], total={"open_spans": "_open", "begun_spans": "_begun"},
+                        bucket_seconds=bucket_seconds)
+    return seen.filter("_kind = 1").select(*rows.columns, "open_spans", "begun_spans")
+
+
 def _window_scan(df, keys, order, spec):
     lag, total, last = spec
     ordered = Window.partitionBy(*keys).orderBy(*order)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwright.operators import accounting, alerts, jobs, lookups, plan, reservations, rules, sizing
+from fleetwright.operators import accounting, alerts, jobs, lookups, plan, reservations, rules, sizing, weights
 from fleetwright.plans import conf, documents, report, trace
 from fleetwright.session import new_path, stored
 from fleetwright.sources import fixtures, sinks, specs
@@ -349,6 +349,12 @@ def r6_muted_alerts(spark, d):
     return alerts.muted_alerts(samples, fixtures.mute_log(spark, d), alerts.too_hot(20.0))
 
 
+@query
+def r6_span_alerts(spark, d):
+    samples = fixtures.usage_samples(spark, d).filter("metric <> 'evictions'")
+    return alerts.span_alerts(samples, fixtures.mute_spans(spark, d), alerts.too_hot(20.0))
+
+
 @query
 def r7_tuning_hints(spark, d):
     return rules.tuning_hints(fixtures.task_metrics(spark, d))
@@ -417,6 +423,13 @@ def n3_apportion_floor(spark, d):
     return _apportioned(spark, d, "export", FLOORS)
 
 
+@query
+def n3_apportion_weights(spark, d):
+    whole = stored(pool(spark, d), "pool").select("cluster_id", "rem_exec")
+    return weights.apportion_weights(fixtures.weighted_jobs(spark, d), whole).withColumnsRenamed(
+        {"base": "base_exec", "assigned": "assigned_exec"})
+
+
 @query
 def n4_finalise_allocs(spark, d):
     return allocs(spark, d).select(*ALLOC_OUT)
@@ -569,10 +582,44 @@ def v2_latest_spec_stream(spark, d):
     return flows.run_updates(stream, ["cluster_id"], new_path(spark, "specs"))
 
 
+def _in_steps(spark, d, name, build):
+    """The events of five arrivals, out of order, through a stream that goes on where it stopped."""
+    def streams(arrived):
+        return build(lambda columns, where="true": fixtures._project(arrived().filter(where), columns))
+
+    found = flows.run_in_steps(fixtures.arrivals(spark, d), streams, new_path(spark, name))
+    return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query
 def v3_edge_alerts_stream(spark, d):
-    stream = fixtures.event_stream(spark, d, fixtures.USAGE_SAMPLES)
-    return flows.run_edge_alerts(stream, new_path(spark, "edges"))
+    return _in_steps(spark, d, "edges", lambda read: flows.edge_alerts_stream(
+        read(fixtures.USAGE_SAMPLES), alerts.too_hot(40.0)))
+
+
+@query
+def r5_change_alerts_stream(spark, d):
+    return _in_steps(spark, d, "changes", lambda read: flows.change_alerts_stream(
+        read(fixtures.ALERT_KEYS, "coalesce(event_type, '') <> 'error'"), read(fixtures.MUTE_LOG, "event_type = 'error'")))
+
+
+@query
+def r6_muted_alerts_stream(spark, d):
+    return _in_steps(spark, d, "muted", lambda read: flows.muted_alerts_stream(
+        read(fixtures.USAGE_SAMPLES, "event_type IN ('click', 'view', 'signup', 'purchase')"), read(fixtures.MUTE_LOG, "event_type = 'error'"),
+        alerts.too_hot(20.0)))
+
+
+@query
+def v2_overridden_spec(spark, d):
+    return flows.overridden_spec(fixtures.spec_changes(spark, d), fixtures.override_log(spark, d)).select(*SIZED_OUT)
+
+
+@query
+def v2_overridden_spec_stream(spark, d):
+    stream = flows.overridden_spec(fixtures.event_stream(spark, d, fixtures.SPEC_CHANGES),
+                                   fixtures.event_stream(spark, d, fixtures.OVERRIDE_LOG)).select(*SIZED_OUT)
+    return flows.run_updates(stream, ["cluster_id"], new_path(spark, "overridden"))
 
 
 @query

@@ -132,6 +132,19 @@ SPEC_CHANGES = {
     "deploy_mode": "CASE WHEN event_id % 2 = 0 THEN 'client' ELSE 'cluster' END",
 }
 
+# Spans in which a cluster is muted: they overlap, and some stay open.
+MUTE_SPANS = {
+    "cluster_id": "user_id", "ts": "ts",
+    "until": "CASE WHEN event_id % 17 > 0 THEN ts + INTERVAL '1' HOUR * CAST(event_id % 50 AS INT) END",
+}
+
+# Weights that are no whole percents, many of them equal, and more jobs than a small pool has executors.
+REAL_WEIGHT = "CASE WHEN o_orderkey % 4 = 0 THEN 12.5 WHEN o_orderkey % 11 = 0 THEN 0.0" \
+              " ELSE CAST(o_orderkey % 9973 AS DOUBLE) / 413 END"
+
+# How late an event of the stream may arrive.
+ARRIVAL_LAG_SECONDS = 1800
+
 # Four properties per cluster: usable, without value, without key, and with a very long key.
 CUSTOM_PROPS = [
     ("0", "'spark.app.team'", "concat('team-', CAST(c_nationkey AS VARCHAR(9)))"),
@@ -213,6 +226,16 @@ def mute_log(spark, sf_dir) -> DataFrame:
     return _project(table(spark, sf_dir, "events").filter("event_type = 'error'"), MUTE_LOG)
 
 
+def mute_spans(spark, sf_dir) -> DataFrame:
+    return _project(table(spark, sf_dir, "events").filter("event_type = 'error'"), MUTE_SPANS)
+
+
+def weighted_jobs(spark, sf_dir) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey AS cluster_id", "o_orderkey AS job_id", f"CAST({REAL_WEIGHT} AS DOUBLE) AS weight")
+    return positions(orders, ["cluster_id"], "job_id", ["job_id"], "job_idx", id_bits=ORDER_KEY_BITS)
+
+
 def alert_keys(spark, sf_dir) -> DataFrame:
     return _project(table(spark, sf_dir, "events"), ALERT_KEYS)
 
@@ -237,3 +260,12 @@ def event_stream(spark, sf_dir, columns: dict[str, str]) -> DataFrame:
     """
     source = spark.readStream.schema(SCHEMAS["events"])
     return _project(source.parquet(f"{sf_dir}/events.parque[t]"), columns)
+
+
+def arrivals(spark, sf_dir, slices: int = 5) -> list[DataFrame]:
+    """The events in slices of the time they arrive, up to half an hour after their own time and out of order."""
+    events = table(spark, sf_dir, "events")
+    first, last = events.selectExpr("unix_seconds(CAST(min(ts) AS TIMESTAMP))", "unix_seconds(CAST(max(ts) AS TIMESTAMP))").first()
+    width = max(1, -(-((last or 0) - (first or 0) + ARRIVAL_LAG_SECONDS + 1) // slices))
+    due = f"unix_seconds(CAST(ts AS TIMESTAMP)) + pmod(event_id * 37L, {ARRIVAL_LAG_SECONDS}L) - {first or 0}L"
+    return [events.filter(f"({due}) DIV {width} = {i}") for i in range(slices)]

@@ -1,16 +1,17 @@
-"""Streams of edits, specs and usage samples (V1-V4) and their batch forms."""
+"""Streams of edits, specs, alerts and usage samples (V1-V4, R5, R6) and their batch forms."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
 
 from fleetwright.functions.bands import band
-from fleetwright.operators.alerts import edge_alerts, too_hot
+from fleetwright.operators.alerts import raises_alert, too_hot
 from fleetwright.operators.sizing import size_fleet
+from fleetwright.schema import OVERRIDE_FIELDS
 from fleetwright.operators.slices import BUCKET_SECONDS, ordered_scan
+from fleetwright.streaming.reorder import changes_unmuted, in_event_order, turns_on, turns_on_unmuted
 
 # Fixed value: pause after the last edit before results are recomputed.
 DEBOUNCE_GAP = "55 milliseconds"
@@ -64,48 +65,75 @@ def latest_spec(changes: DataFrame, fields: list[str] | None = None) -> DataFram
     return size_fleet(newest.select("cluster_id", "_spec.*"))
 
 
+def overridden_spec(changes: DataFrame, overrides: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """V2 under P5: the newest spec per cluster with its overrides in force, sized.
+
+    Both change logs are merged into one state per cluster, the last entry by (ts, seq) of the spec and of each
+    field; a reset is kept as such, so that an older value that comes late does not return. Works on tables and,
+    in update mode, on streams: a micro-batch gives the clusters it touches. Clusters without a spec wait for one.
+    """
+    fields = fields or SPEC_FIELDS
+    at = F.struct("ts", "seq")
+    nothing = F.lit(None)
+    types = {**dict(changes.dtypes), **dict(overrides.dtypes)}
+    specs = changes.select("cluster_id", "ts", "seq", F.struct(*fields).alias("spec"),
+                           nothing.cast("string").alias("field"), nothing.cast("boolean").alias("is_reset"),
+                           nothing.cast(types["value"]).alias("value"))
+    entries = overrides.select("cluster_id", "ts", "seq", nothing.cast(specs.schema["spec"].dataType).alias("spec"),
+                               "field", "is_reset", "value")
+    newest = specs.unionByName(entries).groupBy("cluster_id").agg(
+        F.max_by("spec", F.when(F.col("spec").isNotNull(), at)).alias("spec"),
+        *[F.max_by(F.struct("is_reset", F.coalesce("value", F.lit(0.0)).alias("value")),
+                   F.when(F.col("field") == field, at)).alias(f"set_{column}")
+          for field, column in OVERRIDE_FIELDS.items()])
+    settled = newest.filter("spec IS NOT NULL").select("cluster_id", "spec.*", *[
+        F.expr(f"IF(set_{c}.is_reset, NULL, set_{c}.value) AS set_{c}") for c in OVERRIDE_FIELDS.values()])
+    return size_fleet(settled)
+
+
 EDGE_COLUMNS = ["cluster_id", "metric", "sample_id", "ts", "value"]
+LATE = "1 hour"
 
 
-def start_edge_alerts(stream: DataFrame, root: str, condition: Column | None = None,
-                      keys: tuple[str, ...] = ("cluster_id", "metric"), **trigger) -> StreamingQuery:
-    """V3: edge alerts across micro-batches, written to `root`/alerts by batch.
+def edge_alerts_stream(stream: DataFrame, condition: Column | None = None, keys: tuple[str, ...] = ("cluster_id", "metric"),
+                       late: str = LATE, forget_ms: int | None = None) -> DataFrame:
+    """V3: R4 on a stream, in the order of event time.
 
-    One flag per key is remembered between batches: the key's last sample and whether the
-    condition held there. A batch is read as a table together with the flags, so its alerts
-    are those of R4, ordered work included. A sample that comes after a later one of its key
-    has been judged is late and is left out. Batches are rewritten whole when they are
-    repeated after a failure, so every alert is kept once.
+    A sample is judged when the watermark has passed it, so those late within the allowance count. Only keys
+    whose condition holds, or that have samples waiting, have state.
     """
     condition = condition if condition is not None else too_hot()
-    at = F.struct("ts", "sample_id")
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        marked = batch.select(*EDGE_COLUMNS, F.coalesce(condition, F.lit(False)).alias("is_on"))
-        if number > 0:
-            flags = spark.read.parquet(f"{root}/flags/{number - 1}")
-            seen = flags.select(*keys, at.alias("_seen"))
-            marked = marked.join(seen, list(keys), "left").filter(
-                F.col("_seen").isNull() | (at > F.col("_seen"))).drop("_seen")
-            marked = marked.withColumn("_new", F.lit(True)).unionByName(flags.withColumn("_new", F.lit(False)))
-        else:
-            marked = marked.withColumn("_new", F.lit(True))
-        fired = edge_alerts(marked, F.col("is_on"), keys).filter("_new").select(*EDGE_COLUMNS)
-        fired.write.mode("overwrite").parquet(f"{root}/alerts/batch={number}")
-        rest = [c for c in EDGE_COLUMNS if c not in keys] + ["is_on"]
-        newest = marked.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("_last"))
-        newest.select(*keys, "_last.*").write.mode("overwrite").parquet(f"{root}/flags/{number}")
-
-    return (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint")
-            .trigger(**(trigger or {"availableNow": True})).start())
-
-
-def run_edge_alerts(stream: DataFrame, root: str, condition: Column | None = None) -> DataFrame:
-    """Run V3 over what the source holds now and return its alerts."""
-    start_edge_alerts(stream, root, condition).awaitTermination()
-    fields = T.StructType([stream.schema[c] for c in EDGE_COLUMNS])
-    return stream.sparkSession.read.schema(fields).parquet(f"{root}/alerts").select(*EDGE_COLUMNS)
+    marked = with_event_time(stream).withColumn("is_on", F.coalesce(condition, F.lit(False)))
+    columns = [c for c in ("metric", "value", "is_on") if c not in keys]
+    return in_event_order(marked, list(keys), ["sample_id"], columns, turns_on, EDGE_COLUMNS, late=late, forget_ms=forget_ms)
+
+
+def _with_switches(rows: DataFrame, seq: str, values: list[str], mutes: DataFrame) -> DataFrame:
+    """Rows and mute switches of one time line; a switch comes before rows of the same time."""
+    types = dict(rows.dtypes)
+    switches = with_event_time(mutes).select(
+        "cluster_id", "ts", F.lit(0).alias("kind"), F.col("seq").alias(seq), "muted",
+        *[F.lit(None).cast(types[v]).alias(v) for v in values])
+    return switches.unionByName(with_event_time(rows).select(
+        "cluster_id", "ts", F.lit(1).alias("kind"), seq, F.lit(None).cast("boolean").alias("muted"), *values))
+
+
+def muted_alerts_stream(samples: DataFrame, mutes: DataFrame, condition: Column | None = None, late: str = LATE) -> DataFrame:
+    """R6 on a stream of samples and a control stream of mute switches, joined in event time."""
+    condition = condition if condition is not None else too_hot()
+    marked = samples.withColumn("is_on", F.coalesce(condition, F.lit(False)))
+    line = _with_switches(marked, "sample_id", ["metric", "value", "is_on"], mutes)
+    return in_event_order(line, ["cluster_id"], ["kind", "sample_id"], ["muted", "metric", "value", "is_on"],
+                          turns_on_unmuted, EDGE_COLUMNS, {"span": "long"}, late)
+
+
+def change_alerts_stream(alert_keys: DataFrame, mutes: DataFrame, late: str = LATE) -> DataFrame:
+    """R5 on a stream of alert keys and a control stream of mute switches, joined in event time."""
+    key = F.col("alert_key")
+    marked = alert_keys.withColumn("shown", F.when(raises_alert(key), key).otherwise(F.lit("")))
+    line = _with_switches(marked, "seq", ["alert_key", "shown"], mutes)
+    return in_event_order(line, ["cluster_id"], ["kind", "seq"], ["muted", "alert_key", "shown"], changes_unmuted,
+                          ["cluster_id", "seq", "ts", "alert_key"], late=late)
 
 
 def run_to_table(stream: DataFrame, root: str) -> DataFrame:
@@ -116,6 +144,23 @@ def run_to_table(stream: DataFrame, root: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
+def run_in_steps(arrivals: list[DataFrame], streams, root: str) -> DataFrame:
+    """Run a stream that is stopped after each part of its input has arrived, and started again from its checkpoint.
+
+    `streams` builds the stream from a function that reads the arrived rows as one; append mode.
+    """
+    spark = arrivals[0].sparkSession
+
+    def arrived() -> DataFrame:
+        return spark.readStream.schema(arrivals[0].schema).parquet(f"{root}/arrived")
+
+    out = None
+    for part in arrivals:
+        part.write.mode("append").parquet(f"{root}/arrived")
+        out = run_to_table(streams(arrived), root)
+    return out
+
+
 def run_updates(stream: DataFrame, keys: list[str], root: str) -> DataFrame:
     """Run a stream in update mode over what its source holds now; the last update of each key."""
     def keep(batch: DataFrame, number: int) -> None:

@@ -185,6 +185,31 @@ LATEST = "WITH changes AS (" + b.select(fx.SPEC_CHANGES, "events") + f"""),
  specs AS (SELECT *, false AS pyspark, false AS enf_c, false AS enf_m, true AS aqe, {b.SPEC_TAIL} FROM newest),
  {b.sizing('specs')} SELECT {SIZED_OUT} FROM sized"""
 
+OVERRIDDEN = "WITH changes AS (" + b.select(fx.SPEC_CHANGES, "events") + f"""), {b.LOG}, {b.OVERRIDES},
+ newest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ts DESC, seq DESC) AS rn FROM changes) WHERE rn = 1),
+ specs AS (SELECT *, false AS pyspark, false AS enf_c, false AS enf_m, true AS aqe, {b.SPEC_TAIL} FROM newest),
+ {b.sizing('specs', overrides=True)} SELECT {SIZED_OUT} FROM sized"""
+
+CHANGES_MUTED = f"""WITH {b.ALERT_KEYS}, {b.MUTES},
+ u AS (SELECT k.* FROM (SELECT * FROM keys WHERE seq NOT IN (SELECT seq FROM mutes)) k ASOF LEFT JOIN mutes m ON k.cluster_id = m.cluster_id AND k.ts >= m.ts
+ WHERE NOT coalesce(m.muted, false)),
+ s AS (SELECT *, CASE WHEN alert_key IN ('', 'OC') THEN '' ELSE alert_key END AS shown FROM u),
+ l AS (SELECT *, lag(shown, 1, '') OVER (PARTITION BY cluster_id ORDER BY ts, seq) AS before FROM s)
+ SELECT cluster_id, seq, ts, alert_key FROM l WHERE shown <> '' AND shown <> before"""
+
+MUTED = f"""WITH {b.SAMPLES}, {b.MUTES},
+ spans AS (SELECT *, sum(CASE WHEN muted THEN 1 ELSE 0 END) OVER (PARTITION BY cluster_id ORDER BY ts, seq) AS n FROM mutes),
+ j AS (SELECT s.*, coalesce(m.muted, false) AS muted, CAST(coalesce(m.n, 0) AS BIGINT) AS span
+ FROM (SELECT * FROM samples WHERE metric <> 'evictions') s ASOF LEFT JOIN spans m ON s.cluster_id = m.cluster_id AND s.ts >= m.ts),
+ heard AS (SELECT * EXCLUDE (muted) FROM j WHERE NOT muted)
+ {edges('heard', 'value > 20', 'cluster_id, metric, span')}"""
+
+
+def passed(sql: str) -> str:
+    """What a stream has judged: everything before its last watermark."""
+    return f"SELECT * FROM ({sql}) WHERE ts < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)"
+
+
 SQL = {
     "s1_read_specs": f"WITH {RAW}, {READ_SPECS} SELECT * FROM specs",
     "s2_decode_share_links": f"""WITH {b.CLUSTERS}, links AS (
@@ -270,21 +295,18 @@ SQL = {
  SELECT cluster_id, 99, 'W22', 'ok', 0.0, 0.0, NULL, NULL FROM sized WHERE cluster_id NOT IN (SELECT cluster_id FROM hits))
  SELECT cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY ord) - 1 AS INT) AS pos, * EXCLUDE (cluster_id, ord) FROM every""",
     "r4_edge_alerts": f"WITH {b.SAMPLES} {edges('samples', 'value > 40')}",
-    "v3_edge_alerts_stream": f"WITH {b.SAMPLES} {edges('samples', 'value > 95')}",
-    "r5_change_alerts_muted": f"""WITH {b.ALERT_KEYS}, {b.MUTES},
- u AS (SELECT k.* FROM (SELECT * FROM keys WHERE seq NOT IN (SELECT seq FROM mutes)) k ASOF LEFT JOIN mutes m ON k.cluster_id = m.cluster_id AND k.ts >= m.ts
- WHERE NOT coalesce(m.muted, false)),
- s AS (SELECT *, CASE WHEN alert_key IN ('', 'OC') THEN '' ELSE alert_key END AS shown FROM u),
- l AS (SELECT *, lag(shown, 1, '') OVER (PARTITION BY cluster_id ORDER BY ts, seq) AS before FROM s)
- SELECT cluster_id, seq, ts, alert_key FROM l WHERE shown <> '' AND shown <> before""",
+    "v3_edge_alerts_stream": passed(f"WITH {b.SAMPLES} {edges('samples', 'value > 40')}"),
+    "r5_change_alerts_muted": CHANGES_MUTED,
+    "r5_change_alerts_stream": passed(CHANGES_MUTED),
     "r5_change_alerts": f"""WITH {b.ALERT_KEYS}, s AS (SELECT *, CASE WHEN alert_key IN ('', 'OC') THEN '' ELSE alert_key END AS shown FROM keys),
  l AS (SELECT *, lag(shown, 1, '') OVER (PARTITION BY cluster_id ORDER BY ts, seq) AS before FROM s)
  SELECT cluster_id, seq, ts, alert_key FROM l WHERE shown <> '' AND shown <> before""",
-    "r6_muted_alerts": f"""WITH {b.SAMPLES}, {b.MUTES},
- spans AS (SELECT *, sum(CASE WHEN muted THEN 1 ELSE 0 END) OVER (PARTITION BY cluster_id ORDER BY ts, seq) AS n FROM mutes),
- j AS (SELECT s.*, coalesce(m.muted, false) AS muted, CAST(coalesce(m.n, 0) AS BIGINT) AS span
- FROM (SELECT * FROM samples WHERE metric <> 'evictions') s ASOF LEFT JOIN spans m ON s.cluster_id = m.cluster_id AND s.ts >= m.ts),
- heard AS (SELECT * EXCLUDE (muted) FROM j WHERE NOT muted)
+    "r6_muted_alerts": MUTED,
+    "r6_muted_alerts_stream": passed(MUTED),
+    "r6_span_alerts": f"""WITH {b.SAMPLES}, spans AS ({b.select(fx.MUTE_SPANS, 'events')} WHERE event_type = 'error'),
+ heard AS (SELECT s.*, (SELECT count(*) FROM spans p WHERE p.cluster_id = s.cluster_id AND p.ts <= s.ts) AS span
+ FROM samples s WHERE metric <> 'evictions' AND NOT EXISTS (SELECT 1 FROM spans p WHERE p.cluster_id = s.cluster_id
+ AND p.ts <= s.ts AND (p.until IS NULL OR s.ts < p.until)))
  {edges('heard', 'value > 20', 'cluster_id, metric, span')}""",
     "r7_tuning_hints": f"""WITH {b.TASK_METRICS}, t AS (SELECT cluster_id, value, row_number() OVER (PARTITION BY cluster_id ORDER BY value) AS rn,
  count(*) OVER (PARTITION BY cluster_id) AS n FROM task_metrics WHERE metric = 'task_ms'),
@@ -304,5 +326,7 @@ SQL = {
     "v4_usage_windows_stream": "SELECT * FROM (" + WINDOWS + ") WHERE window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
     "v2_latest_spec": LATEST,
     "v2_latest_spec_stream": LATEST,
+    "v2_overridden_spec": OVERRIDDEN,
+    "v2_overridden_spec_stream": OVERRIDDEN,
     "v4_usage_windows": WINDOWS,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fleetwright.sources import fixtures as fx
 from oracle import base as b
 from oracle.core import band, fixed, lines, union
 
@@ -327,7 +328,17 @@ JP = f"WITH {b.ALLOCS}{PROFILE},\n{b.PROPS}\n"
 COUNTED = "(SELECT cluster_id, count(*)::DOUBLE AS jobs, sum(job_cores) AS jc, sum(job_mem) AS jm FROM allocs GROUP BY cluster_id)"
 RES_OH = f"round((coalesce(mbs, 0.0) + CASE WHEN pyspark THEN res_exec * 1024 ELSE 0.0 END) / 1024 * 10) / 10"
 
+WEIGHTED = f"""WITH {b.POOL}, listed AS (SELECT o_custkey AS cluster_id, o_orderkey AS job_id, CAST({fx.REAL_WEIGHT} AS DOUBLE) AS weight,
+ row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS job_idx FROM orders),
+ shared AS (SELECT listed.*, rem_exec, rem_exec * weight / 100 AS share FROM listed JOIN pool USING (cluster_id)),
+ based AS (SELECT *, greatest(1.0, floor(share))::DOUBLE AS base, share - floor(share) AS frac FROM shared),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY frac DESC, job_idx) - 1 AS turn,
+ greatest(0.0, rem_exec - sum(base) OVER (PARTITION BY cluster_id)) AS leftover FROM based)
+ SELECT cluster_id, job_id, job_idx, weight, base AS base_exec, CASE WHEN turn < leftover THEN 1.0 ELSE 0.0 END::DOUBLE AS extra,
+ base + CASE WHEN turn < leftover THEN 1 ELSE 0 END AS assigned_exec FROM ranked"""
+
 SQL = {
+    "n3_apportion_weights": WEIGHTED,
     "a1_reservation_totals": f"""{R}, {b.RES_TOTALS} SELECT cluster_id, res_n, res_exec, res_cores, res_mem,
  {pct('res_exec', 'total_exec')} AS res_pct FROM rt JOIN sized USING (cluster_id)""",
     "a2_reservation_profile": f"""{R}{PROFILE} SELECT cluster_id, job_id, res_idx, res_name, exec_count, exec_cores, exec_mem_gb, res_cores, res_mem,
