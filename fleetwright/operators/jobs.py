@@ -14,8 +14,10 @@ from fleetwright.functions.numbers import (
 from fleetwright.functions.text import job_name
 from fleetwright.operators.slices import OPEN_BITS, SLICE_BITS, open_positions, slice_of
 
-# Share key of jobs that split what the manual shares leave.
+# A share set by hand, held to 0..100, and the key of jobs that split what these leave.
+MANUAL = "least(100, greatest(0, manual_pct))"
 AUTO = -1
+SHARE = f"IF(manual_pct IS NULL, {AUTO}, {MANUAL})"
 
 
 @dataclass(frozen=True)
@@ -77,7 +79,7 @@ def _pieces(cut: DataFrame) -> DataFrame:
     Shares are whole percents, so a block has at most 102 pieces and every window over a
     cluster below works on pieces, never on jobs.
     """
-    pieces = cut.selectExpr("cluster_id", "slice", f"coalesce(manual_pct, {AUTO}) AS share") \
+    pieces = cut.selectExpr("cluster_id", "slice", f"{SHARE} AS share") \
         .groupBy("cluster_id", "slice", "share").count().withColumnRenamed("count", "n")
     over = "OVER (PARTITION BY cluster_id)"
     totals = pieces.selectExpr(
@@ -91,13 +93,13 @@ def _pieces(cut: DataFrame) -> DataFrame:
     }).drop("_manual", "_autos")
 
 
-PCT = "coalesce(CAST(manual_pct AS DOUBLE), auto_pct)"
+PCT = f"IF(manual_pct IS NULL, auto_pct, CAST({MANUAL} AS DOUBLE))"
 
 
 def balance_shares(jobs: DataFrame, bits: int = SLICE_BITS) -> DataFrame:
     """Percent of the pool per job; automatic jobs split what manual ones leave.
 
-    The rounded shares need not add up to 100.
+    Manual shares are held to 0..100, and the rounded shares need not add up to 100.
     """
     cut = _cut(jobs, bits)
     totals = _pieces(cut).groupBy("cluster_id", "slice").agg(
@@ -115,7 +117,7 @@ def _base(basis: str) -> str:
 FRACTION = "rem_exec * pct / 100 - floor(rem_exec * pct / 100)"
 
 
-def _apportion(jobs: DataFrame, pool: DataFrame, bases: dict[str, str], bits: int) -> DataFrame:
+def _apportion(jobs: DataFrame, pool: DataFrame, bases: dict[str, str], bits: int, carry: list[str] | None) -> DataFrame:
     """Largest-remainder split under one or more base formulas in a single pass.
 
     The order of the leftovers is resolved on pieces (see `_pieces`): `ahead` is the number
@@ -144,28 +146,31 @@ def _apportion(jobs: DataFrame, pool: DataFrame, bases: dict[str, str], bits: in
                     {"pct": PCT, "frac": FRACTION})
     ranked = joined.selectExpr(
         "*", "row_number() OVER (PARTITION BY cluster_id, slice, frac ORDER BY job_idx) - 1"
-        f" + _ahead[coalesce(manual_pct, {AUTO})] AS _turn",
+        f" + _ahead[{SHARE}] AS _turn",
         *[f"{expr} AS base_{b}" for b, expr in bases.items()])
     split = ranked.selectExpr(
         "* EXCEPT (frac, auto_pct, _ahead, _turn, _enf_je, _min_je" + "".join(f", _left_{b}" for b in bases) + ")",
         *[f"IF(_turn < _left_{b}, 1D, 0D) AS extra_{b}" for b in bases])
     # One pool row for each block of its jobs, so this join meets no key above a block either.
-    wide = cut.groupBy("cluster_id", "slice").count().select("cluster_id", "slice").join(
-        pool.drop("rem_exec"), "cluster_id")
+    more = [c for c in pool.columns if c not in ("cluster_id", "rem_exec")] if carry is None else carry
+    if not more:
+        return split.drop("slice")
+    wide = blocks.select("cluster_id", "slice").join(pool.select("cluster_id", *more), "cluster_id")
     return split.join(wide.hint("merge"), ["cluster_id", "slice"]).drop("slice")
 
 
-def apportion(jobs: DataFrame, pool: DataFrame, basis: str = "export",
-              options: JobOptions = JobOptions(), bits: int = SLICE_BITS) -> DataFrame:
+def apportion(jobs: DataFrame, pool: DataFrame, basis: str = "export", options: JobOptions = JobOptions(),
+              bits: int = SLICE_BITS, carry: list[str] | None = None) -> DataFrame:
     """Split each cluster's remaining executors by largest remainder.
 
     Every job gets its floored share, at least one. Executors left over go one each to
     jobs by descending fraction, ties by position; a job gets at most one extra, so a
-    surplus may stay unassigned and floors may exceed the pool.
+    surplus may stay unassigned and floors may exceed the pool. `carry` names the columns of the pool
+    that jobs get beside `rem_exec`, all by default.
     """
     if basis not in ("screen", "export"):
         raise ValueError("basis is 'screen' or 'export'")
-    split = _apportion(jobs, with_settings(pool, options), {"exec": _base(basis)}, bits)
+    split = _apportion(jobs, with_settings(pool, options), {"exec": _base(basis)}, bits, carry)
     return split.selectExpr("* EXCEPT (extra_exec)", "extra_exec AS extra",
                             "base_exec + extra_exec AS assigned_exec")
 
@@ -193,17 +198,22 @@ def finalise_allocs(apportioned: DataFrame, options: JobOptions = JobOptions())
     })
 
 
-def allocate(jobs: DataFrame, pool: DataFrame, basis: str = "export",
-             options: JobOptions = JobOptions(), bits: int = SLICE_BITS) -> DataFrame:
-    """N2-N4 in one go: jobs with their final allocation and all pool columns."""
-    return finalise_allocs(apportion(jobs, pool, basis, options, bits), options)
+# What the final allocation of a job reads of its pool.
+SETTINGS = ["exec_c", "exec_m", "pyspark", "_ec", "_gb", "_enf_je", "_min_je", "_enf_jc", "_min_jc"]
+
+
+def allocate(jobs: DataFrame, pool: DataFrame, basis: str = "export", options: JobOptions = JobOptions(),
+             bits: int = SLICE_BITS, carry: list[str] | None = None) -> DataFrame:
+    """N2-N4 in one go: jobs with their final allocation and the pool's columns, or those in `carry`."""
+    needed = None if carry is None else [*SETTINGS, *(c for c in carry if c not in (*SETTINGS, "rem_exec"))]
+    return finalise_allocs(apportion(jobs, pool, basis, options, bits, needed), options)
 
 
 def allocation_diff(jobs: DataFrame, pool: DataFrame, options: JobOptions = JobOptions(),
                     bits: int = SLICE_BITS) -> DataFrame:
     """Jobs whose executors differ between the screen and the export basis."""
     bases = {basis: _base(basis) for basis in ("screen", "export")}
-    return _apportion(jobs, with_settings(pool, options), bases, bits).selectExpr(
+    return _apportion(jobs, with_settings(pool, options), bases, bits, []).selectExpr(
         "cluster_id", "job_idx", "job_id", "pct", "rem_exec",
         "base_screen + extra_screen AS screen_exec", "base_export + extra_export AS export_exec",
     ).filter("screen_exec <> export_exec")

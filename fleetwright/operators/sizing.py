@@ -11,6 +11,7 @@ from fleetwright.functions.numbers import (
 )
 from fleetwright.functions.text import quote
 from fleetwright.operators.lookups import resolve_rm_reserve
+from fleetwright.operators.slices import open_positions
 
 # Spec values as the formulas accept them.
 CLEAN_SPEC = {
@@ -92,12 +93,12 @@ def size_columns(df: DataFrame) -> DataFrame:
 def scaling_curve(sized: DataFrame, max_n: int | None = None) -> DataFrame:
     """Executors, tasks and parallelism for 1..n nodes with per-node sizing held fixed.
 
-    All nodes of the cluster, or at most `max_n` (a chart shows 20).
+    All nodes of the cluster, or at most `max_n` (a chart shows 20). Points open in blocks, so that a number
+    of nodes mistyped by some zeros makes rows, not one long array.
     """
     end = "floor(nodes)" if max_n is None else f"least({max_n}, floor(nodes))"
-    points = sized.selectExpr(
-        "cluster_id", "deploy_mode", "exec_pn", "exec_c",
-        f"explode(sequence(1, CAST({end} AS INT))) AS n")
+    ends = sized.selectExpr("cluster_id", "deploy_mode", "exec_pn", "exec_c", f"CAST({end} AS BIGINT) AS _end")
+    points = open_positions(ends, "1L", "_end", "n").drop("_end")
     points = derive(points, {"executors": f"IF({ON_CLUSTER}, greatest(1, n - 1), n) * exec_pn"})
     return points.selectExpr(
         "cluster_id", "n", "executors", "executors * exec_c AS tasks",

@@ -13,10 +13,12 @@ from fleetwright.functions.text import (
 )
 from fleetwright.operators.lookups import merge_custom_props, scheduler_label
 from fleetwright.operators.sizing import DYNAMIC
+from fleetwright.operators.slices import open_positions, positions
 
 CUSTOM_POS = 100
 
-# Fixed value.
+# Fixed values.
+QUEUE_CAPACITY = "yarn.scheduler.capacity.root.default.capacity"
 KRYO = "org.apache.spark.serializer.KryoSerializer"
 
 # Property lists: (section, key, value expression); a null value leaves the property out.
@@ -167,9 +169,20 @@ def job_texts(allocs: DataFrame, props: DataFrame | None = None) -> DataFrame:
     return render_text(allocs, ["cluster_id", "job_idx"], JOB_CONF, JOB_KEY_WIDTH, name, props)
 
 
+def distinct_names(profile: DataFrame) -> DataFrame:
+    """Adds `file_slug`: the slug of a reservation's name, which those that share it tell apart by a number.
+
+    The first by position keeps the plain slug. The others add a blank and their number, which no slug holds, so no
+    two reservations of a cluster share a file, whatever they are called. Equal slugs are numbered in slices.
+    """
+    slugs = derive(profile, {"_slug": slug("res_name")})
+    ranked = positions(slugs, ["cluster_id", "_slug"], "res_idx", ["res_idx"], "_same")
+    return derive(ranked, {"file_slug": "IF(_same = 0, _slug, concat(_slug, ' ', _same + 1))"}).drop("_slug", "_same")
+
+
 def reservation_texts(profile: DataFrame, props: DataFrame | None = None) -> DataFrame:
-    name = f"concat('cluster-', cluster_id, '-', {slug('res_name')}, '-prealloc.conf')"
-    return render_text(profile, ["cluster_id", "res_idx"], RESERVATION_CONF, JOB_KEY_WIDTH, name, props)
+    name = "concat('cluster-', cluster_id, '-', file_slug, '-prealloc.conf')"
+    return render_text(distinct_names(profile), ["cluster_id", "res_idx"], RESERVATION_CONF, JOB_KEY_WIDTH, name, props)
 
 
 def _command(*parts: str, **texts: str) -> str:
@@ -210,20 +223,23 @@ def reservation_submit_commands(profile: DataFrame) -> DataFrame:
 
 
 def scheduler_properties(clusters: DataFrame) -> DataFrame:
-    """Scheduler properties; an unknown scheduler behaves as fair."""
-    df = derive(clusters, {"_label": scheduler_label(),
-                           "_n": job_count(),
-                           "_share": f"greatest(10D, {half_up('100D / _n')})"})
-    queues = "array_join(transform(sequence(1L, CAST(_n AS BIGINT)), i -> concat('q', i)), ',')"
+    """Scheduler properties; an unknown scheduler behaves as fair.
+
+    The capacity scheduler's list of queues is given as rows, one for each queue, numbered by `part`: the property's
+    value is the parts in order, joined by commas. So a plan of very many jobs makes rows and no long text.
+    """
+    df = derive(clusters, {"_label": scheduler_label(), "_n": job_count(), "_share": f"greatest(10D, {half_up('100D / _n')})"})
 
     def only(label, value):
         return f"IF(_label = '{label}', {value}, NULL)"
 
-    return _long(df, ["cluster_id"], [
+    plain = _long(df, ["cluster_id"], [
         ("scheduler", "spark.scheduler.mode", "IF(_label = 'FIFO', 'FIFO', 'FAIR')"),
         ("scheduler", "spark.scheduler.allocation.file", only("FAIR", "'fairscheduler.xml'")),
-        ("scheduler", "yarn.scheduler.capacity.root.queues",
-         only("CAPACITY", f"concat('default,', {queues})")),
-        ("scheduler", "yarn.scheduler.capacity.root.default.capacity",
-         only("CAPACITY", f"concat({num_text('_share')}, '%')")),
-    ]).drop("section")
+        ("scheduler", QUEUE_CAPACITY, only("CAPACITY", f"concat({num_text('_share')}, '%')")),
+    ]).selectExpr("cluster_id", f"IF(key = '{QUEUE_CAPACITY}', 2, pos) AS pos", "key", "CAST(NULL AS BIGINT) AS part", "value")
+    listed = df.filter("_label = 'CAPACITY'").selectExpr("cluster_id", "CAST(_n AS BIGINT) + 1 AS _parts")
+    queues = open_positions(listed, "0L", "_parts", "part").selectExpr(
+        "cluster_id", "1 AS pos", "'yarn.scheduler.capacity.root.queues' AS key", "part",
+        "IF(part = 0, 'default', concat('q', part)) AS value")
+    return plain.unionByName(queues)

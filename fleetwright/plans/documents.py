@@ -59,18 +59,23 @@ def _entries(df: DataFrame, kind: str, idx: str, fields: dict[str, str]) -> Data
                          f"to_json({record(fields)}) AS entry")
 
 
-def plan_documents(pool: DataFrame, allocs: DataFrame, profile: DataFrame, props: DataFrame | None = None,
-                   jobs: DataFrame | None = None, generated_at: str | None = None) -> DataFrame:
-    """(cluster_id, kind, idx, entry) with one `cluster` row per cluster and one row per
-    `reservation`, `job`, `property` and, if the plain job table is given, `input` job."""
+def cluster_documents(pool: DataFrame, generated_at: str | None = None) -> DataFrame:
+    """The `cluster` rows of the plan documents."""
     stamp = "CAST(NULL AS STRING)" if generated_at is None else quote(generated_at)
-    rows = _entries(pool, "cluster", "0", {
+    return _entries(pool, "cluster", "0", {
         "generatedAt": stamp, "clusterMode": "deploy_mode",
         "totalCluster": "struct(nodes, cpn AS coresPerNode, rpn AS ramPerNode, total_cores AS totalCores,"
                         " total_ram AS totalRAM)",
         "globalExecutorConfig": "struct(exec_c AS execCores, exec_m AS execMemGB, exec_oh AS execOverheadMB,"
                                 " total_exec AS totalExecutors, total_ec AS totalConcurrentTasks)",
         "config": f"struct({', '.join(CONFIG)})"})
+
+
+def plan_documents(pool: DataFrame, allocs: DataFrame, profile: DataFrame, props: DataFrame | None = None,
+                   jobs: DataFrame | None = None, generated_at: str | None = None) -> DataFrame:
+    """(cluster_id, kind, idx, entry) with one `cluster` row per cluster and one row per
+    `reservation`, `job`, `property` and, if the plain job table is given, `input` job."""
+    rows = cluster_documents(pool, generated_at)
     job_conf = _spark_conf("job_exec", "job_exec_c", "job_heap", "job_oh", "job_para")
     rows = rows.unionByName(_entries(allocs, "job", "job_idx", {**JOB_FIELDS, "sparkConf": job_conf}))
     held = derive(profile, {"_oh": overhead_mb("exec_mem_gb")})

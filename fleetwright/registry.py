@@ -49,24 +49,48 @@ def sized(spark, d):
     return sizing.size_fleet(fixtures.clusters(spark, d))
 
 
-def pool(spark, d):
-    return reservations.remaining_pool(sized(spark, d), fixtures.reservations(spark, d))
+# Columns of stored job plans: what the job got, and the few figures of its pool that are shown beside it.
+PLAN = [
+    "cluster_id", "job_id", "job_idx", "job_name", "pct", "raw_exec", "job_exec", "job_exec_c", "job_heap", "job_cores",
+    "job_mem", "job_oh", "job_jvm_gb", "job_oh_gb", "job_total_gb", "job_para", "rem_exec", "pool_cores", "pool_mem",
+    "pyspark", "_ec", "_gb", "_enf_je", "_min_je",
+]
+# Cluster settings that a job's property file repeats.
+INHERITED = ["drv_m", "drv_c", "drv_oh", "mf", "sf", "aqe"]
+
+
+def pool(spark, d, res=None):
+    return reservations.remaining_pool(sized(spark, d), fixtures.reservations(spark, d) if res is None else res)
+
 
+def stored_jobs(spark, d, *args):
+    # The split reads the numbered jobs twice.
+    return stored(fixtures.jobs(spark, d, *args), "jobs")
 
-def allocs(spark, d, options=jobs.JobOptions()):
-    # The split reads the pool twice, narrow and wide.
-    return jobs.allocate(fixtures.jobs(spark, d), stored(pool(spark, d), "pool"), options=options)
 
+def allocs(spark, d, options=jobs.JobOptions(), carry=None):
+    # The split reads the pool twice, and only the columns it needs and those carried along.
+    return jobs.allocate(stored_jobs(spark, d), stored(pool(spark, d), "pool"), options=options, carry=carry)
 
-def planned(spark, d, options=jobs.JobOptions()):
+
+def planned(spark, d, options=jobs.JobOptions(), res=None):
     """Allocation and pool, each computed once and stored, for queries that read them several times."""
-    whole = stored(pool(spark, d), "pool")
-    return stored(jobs.allocate(fixtures.jobs(spark, d), whole, options=options), "allocs"), whole
+    whole = stored(pool(spark, d, res), "pool")
+    made = jobs.allocate(stored_jobs(spark, d), whole, options=options, carry=["pool_cores", "pool_mem"])
+    return stored(made.select(*PLAN), "allocs"), whole
+
+
+def reserved(spark, d):
+    """The numbered reservations, stored for the pool and the profile."""
+    return stored(fixtures.numbered_reservations(spark, d), "reservations")
+
+
+def profile_of(res, clusters):
+    return reservations.reservation_profile(res, clusters.select("cluster_id", "total_exec", "pyspark"))
 
 
 def profile(spark, d):
-    return reservations.reservation_profile(
-        fixtures.numbered_reservations(spark, d), sized(spark, d))
+    return profile_of(fixtures.numbered_reservations(spark, d), sized(spark, d))
 
 
 # Sources and sinks
@@ -109,9 +133,20 @@ def s4_write_conf_texts(spark, d):
     return _written(spark, conf.cluster_texts(sized(spark, d), fixtures.custom_props(spark, d)))
 
 
+@query
+def s4_look_up_texts(spark, d):
+    """The texts of the ETL reservations, cut out of containers that hold those of all."""
+    texts = conf.reservation_texts(profile(spark, d), fixtures.custom_props(spark, d))
+    path = new_path(spark, "containers")
+    sinks.write_containers(texts, path)
+    names = sinks.read_index(spark, path).filter("file_name LIKE '%etl%'").select("file_name")
+    unknown = names.sparkSession.sql("SELECT 'no such file' AS file_name")
+    return sinks.look_up(spark, path, names.unionByName(unknown))
+
+
 @query
 def s4_write_job_texts(spark, d):
-    return _written(spark, conf.job_texts(allocs(spark, d), fixtures.custom_props(spark, d)))
+    return _written(spark, conf.job_texts(allocs(spark, d, carry=INHERITED), fixtures.custom_props(spark, d)))
 
 
 @query
@@ -139,8 +174,9 @@ DOC_OUT = ("name", "executors", "share", "tasks", "cores", "heap", "total_gb", "
 
 
 def _documents(spark, d):
-    allocated, whole = planned(spark, d)
-    return documents.plan_documents(whole, allocated, profile(spark, d), fixtures.custom_props(spark, d),
+    res = reserved(spark, d)
+    allocated, whole = planned(spark, d, res=res)
+    return documents.plan_documents(whole, allocated, profile_of(res, whole), fixtures.custom_props(spark, d),
                                     fixtures.jobs(spark, d))
 
 
@@ -166,17 +202,16 @@ def s5_plan_configs(spark, d):
     fields = ", ".join(f"{c} {types[c]}" for c in documents.CONFIG)
     head = ("clusterMode string, totalCluster struct<totalCores: double, totalRAM: double>,"
             f" globalExecutorConfig struct<execMemGB: double, totalExecutors: double>, config struct<{fields}>")
-    empty = allocs(spark, d).limit(0), profile(spark, d).limit(0)
-    docs = documents.plan_documents(whole, *empty).filter("kind = 'cluster'")
-    return docs.select("cluster_id", F.from_json("entry", head).alias("e")).selectExpr(
+    return documents.cluster_documents(whole).select("cluster_id", F.from_json("entry", head).alias("e")).selectExpr(
         "cluster_id", "e.clusterMode AS mode", "e.totalCluster.totalCores AS cores", "e.totalCluster.totalRAM AS ram",
         "e.globalExecutorConfig.execMemGB AS heap", "e.globalExecutorConfig.totalExecutors AS executors", "e.config.*")
 
 
 @query
 def s6_report_tables(spark, d):
-    allocated, whole = planned(spark, d)
-    return report.report_tables(whole, allocated, profile(spark, d))
+    res = reserved(spark, d)
+    allocated, whole = planned(spark, d, res=res)
+    return report.report_tables(whole, allocated, profile_of(res, whole))
 
 
 @query
@@ -186,7 +221,7 @@ def s6_report_reservations(spark, d):
 
 @query
 def s6_report_jobs(spark, d):
-    return report.report_jobs(allocs(spark, d))
+    return report.report_jobs(allocs(spark, d, carry=[]))
 
 
 # Lookups
@@ -322,7 +357,7 @@ def r2_job_plan_status(spark, d):
 
 @query
 def r3_job_floor_alerts(spark, d):
-    return plan.job_floor_alerts(allocs(spark, d, FLOORS), FLOORS)
+    return plan.job_floor_alerts(allocs(spark, d, FLOORS, ["rem_cores"]), FLOORS)
 
 
 @query
@@ -404,7 +439,7 @@ def n2_balance_shares(spark, d):
 
 
 def _apportioned(spark, d, basis, options=jobs.JobOptions()):
-    return jobs.apportion(fixtures.jobs(spark, d), stored(pool(spark, d), "pool"), basis, options).select(
+    return jobs.apportion(stored_jobs(spark, d), stored(pool(spark, d), "pool"), basis, options, carry=[]).select(
         "cluster_id", "job_id", "job_idx", "pct", "base_exec", "extra", "assigned_exec")
 
 
@@ -432,12 +467,12 @@ def n3_apportion_weights(spark, d):
 
 @query
 def n4_finalise_allocs(spark, d):
-    return allocs(spark, d).select(*ALLOC_OUT)
+    return allocs(spark, d, carry=[]).select(*ALLOC_OUT)
 
 
 @query
 def n4_finalise_allocs_ratio(spark, d):
-    return allocs(spark, d, RATIO).select(*ALLOC_OUT)
+    return allocs(spark, d, RATIO, []).select(*ALLOC_OUT)
 
 
 @query
@@ -450,14 +485,14 @@ def n5_floors_applied(spark, d):
     whole = stored(pool(spark, d), "pool")
     floors = reservations.suggest_floors(whole).selectExpr(
         "cluster_id", "min_executors AS min_je", "min_tasks AS min_jc", "true AS enf_je", "true AS enf_jc")
-    return jobs.allocate(fixtures.jobs(spark, d), whole.join(floors, "cluster_id")).select(*ALLOC_OUT)
+    return jobs.allocate(stored_jobs(spark, d), whole.join(floors, "cluster_id"), carry=[]).select(*ALLOC_OUT)
 
 
 @query
 def n_plan_end_to_end(spark, d):
     listed = jobs.materialise_jobs(fixtures.clusters(spark, d), fixtures.jobs(spark, d))
-    listed = listed.select("cluster_id", "job_id", "job_idx", "manual_pct")
-    return jobs.allocate(listed, stored(pool(spark, d), "pool")).select(*ALLOC_OUT)
+    listed = stored(listed.select("cluster_id", "job_id", "job_idx", "manual_pct"), "jobs")
+    return jobs.allocate(listed, stored(pool(spark, d), "pool"), carry=[]).select(*ALLOC_OUT)
 
 
 @query
@@ -468,12 +503,12 @@ def n6_default_reservation(spark, d):
 @query
 def n7_allocation_diff(spark, d):
     return jobs.allocation_diff(
-        fixtures.jobs(spark, d, fixtures.WIDE_MANUAL_PCT), stored(pool(spark, d), "pool"))
+        stored_jobs(spark, d, fixtures.WIDE_MANUAL_PCT), stored(pool(spark, d), "pool"))
 
 
 @query
 def n8_job_share(spark, d):
-    return jobs.job_share(allocs(spark, d))
+    return jobs.job_share(allocs(spark, d, carry=["rem_cores", "rem_mem"]))
 
 
 # Reshaping
@@ -495,7 +530,9 @@ def x3_derivation_trace(spark, d):
 
 @query
 def x4_job_trace(spark, d):
-    return trace.job_trace(*planned(spark, d), profile(spark, d))
+    res = reserved(spark, d)
+    allocated, whole = planned(spark, d, res=res)
+    return trace.job_trace(allocated, whole, profile_of(res, whole))
 
 
 # Texts
@@ -507,7 +544,7 @@ def t1_conf_properties(spark, d):
 
 @query
 def t2_job_conf_properties(spark, d):
-    return conf.job_conf_properties(allocs(spark, d), fixtures.custom_props(spark, d))
+    return conf.job_conf_properties(allocs(spark, d, carry=INHERITED), fixtures.custom_props(spark, d))
 
 
 @query
@@ -522,7 +559,7 @@ def t4_render_text(spark, d):
 
 @query
 def t4_render_job_text(spark, d):
-    return conf.job_texts(allocs(spark, d), fixtures.custom_props(spark, d))
+    return conf.job_texts(allocs(spark, d, carry=INHERITED), fixtures.custom_props(spark, d))
 
 
 @query
@@ -537,7 +574,7 @@ def t5_submit_commands(spark, d):
 
 @query
 def t5_job_submit_commands(spark, d):
-    return conf.job_submit_commands(allocs(spark, d))
+    return conf.job_submit_commands(allocs(spark, d, carry=[]))
 
 
 @query

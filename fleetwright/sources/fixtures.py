@@ -77,7 +77,9 @@ RAW_SPECS = {
 RESERVATIONS = {
     "cluster_id": "o_custkey",
     "job_id": "l_orderkey",
-    "name": "CASE WHEN l_orderkey % 5 = 0 THEN concat('Nightly  ETL ', CAST(l_orderkey AS VARCHAR(19))) END",
+    # Some names repeat, also under another spelling of the same slug.
+    "name": "CASE WHEN l_orderkey % 10 = 0 THEN concat('Nightly  ETL ', CAST(l_orderkey AS VARCHAR(19)))"
+            " WHEN l_orderkey % 10 = 5 THEN 'nightly etl' WHEN l_orderkey % 10 = 3 THEN 'Nightly ETL' END",
     "exec_count": "CAST(1 + n_lines % 2 AS DOUBLE)",
     "exec_cores": "CAST(2 + parts % 4 AS DOUBLE)",
     "exec_mem_gb": "CAST(4 + supps % 12 AS DOUBLE)",
@@ -88,7 +90,9 @@ ORDER_LINES = {"n_lines": "count(*)", "parts": "sum(l_partkey)", "supps": "sum(l
 # Order keys are numbered from 1 and stay below 2**40 at any scale of the tables.
 ORDER_KEY_BITS = 40
 
-JOB_MANUAL_PCT = "CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(5 + o_orderkey % 20 AS INT) END"
+# Some shares are typed out of range.
+JOB_MANUAL_PCT = "CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(CASE o_orderkey % 41 WHEN 0 THEN -1 WHEN 1 THEN 150" \
+                 " ELSE 5 + o_orderkey % 20 END AS INT) END"
 
 # Shares over a wide range, which bring out where the two rounding bases part.
 WIDE_MANUAL_PCT = "CASE WHEN o_orderkey % 3 < 2 THEN CAST(1 + o_orderkey % 60 AS INT) END"

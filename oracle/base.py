@@ -112,9 +112,10 @@ pool AS (SELECT *, pool_mem + pool_oh AS pool_total, round(res_exec * exec_oh /
  greatest(0.0, pool_exec - res_exec)::DOUBLE AS rem_exec, greatest(0.0, pool_cores - res_cores)::DOUBLE AS rem_cores,
  greatest(0.0, pool_mem - res_mem)::DOUBLE AS rem_mem FROM pool_0)"""
 
-SHARES = """shares_0 AS (SELECT *, count(*) OVER w AS n_jobs, coalesce(sum(manual_pct) OVER w, 0) AS manual_sum,
- count(*) FILTER (manual_pct IS NULL) OVER w AS auto_n FROM jobs WINDOW w AS (PARTITION BY cluster_id)),
-shares AS (SELECT *, CASE WHEN manual_pct IS NOT NULL THEN manual_pct::DOUBLE
+SHARES = """held AS (SELECT *, CASE WHEN manual_pct > 100 THEN 100 WHEN manual_pct < 0 THEN 0 ELSE manual_pct END AS by_hand FROM jobs),
+shares_0 AS (SELECT * EXCLUDE (by_hand), by_hand, count(*) OVER w AS n_jobs, coalesce(sum(by_hand) OVER w, 0) AS manual_sum,
+ count(*) FILTER (manual_pct IS NULL) OVER w AS auto_n FROM held WINDOW w AS (PARTITION BY cluster_id)),
+shares AS (SELECT *, CASE WHEN by_hand IS NOT NULL THEN by_hand::DOUBLE
  ELSE round(greatest(0, 100 - manual_sum)::DOUBLE / auto_n) END AS pct FROM shares_0)"""
 
 

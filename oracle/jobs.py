@@ -314,16 +314,17 @@ SCHED = "CASE WHEN scheduler IN ('fair', 'fifo', 'capacity') THEN scheduler ELSE
 SCHED_ROWS = [
     ("spark.scheduler.mode", "CASE WHEN sc = 'fifo' THEN 'FIFO' ELSE 'FAIR' END"),
     ("spark.scheduler.allocation.file", "CASE WHEN sc = 'fair' THEN 'fairscheduler.xml' END"),
-    ("yarn.scheduler.capacity.root.queues",
-     "CASE WHEN sc = 'capacity' THEN concat('default,', list_aggregate(list_transform(range(1, CAST(nj AS BIGINT) + 1), lambda i: concat('q', i)), 'string_agg', ',')) END"),
     ("yarn.scheduler.capacity.root.default.capacity",
      f"CASE WHEN sc = 'capacity' THEN concat({n('greatest(10.0, round(100.0::DOUBLE / nj))::DOUBLE')}, '%') END"),
 ]
 CLUSTER_TEXTS = texts(CLUSTER_CONF, "cluster_id", "sized", 45, "cluster", "concat('cluster-', cluster_id, '-spark-defaults.conf')")
 JOB_TEXTS = texts(JOB_CONF, "cluster_id, job_idx", "allocs", 42, "job",
                   f"concat('cluster-', cluster_id, '-', {slug('job_name')}, '-spark-defaults.conf')", "job_name")
-RES_TEXTS = texts(RES_CONF, "cluster_id, res_idx", "prof", 42, "job",
-                  f"concat('cluster-', cluster_id, '-', {slug('res_name')}, '-prealloc.conf')", "res_name")
+# Reservations of a cluster whose names have the same slug are told apart by a number.
+SAME = f"row_number() OVER (PARTITION BY cluster_id, {slug('res_name')} ORDER BY res_idx)"
+RES_TEXTS = texts(RES_CONF, "cluster_id, res_idx", f"(SELECT *, {SAME} AS same FROM prof)", 42, "job",
+                  f"concat('cluster-', cluster_id, '-', {slug('res_name')}, CASE WHEN same > 1 THEN concat(' ', CAST(same AS VARCHAR)) ELSE '' END,"
+                  " '-prealloc.conf')", "res_name, same")
 JP = f"WITH {b.ALLOCS}{PROFILE},\n{b.PROPS}\n"
 COUNTED = "(SELECT cluster_id, count(*)::DOUBLE AS jobs, sum(job_cores) AS jc, sum(job_mem) AS jm FROM allocs GROUP BY cluster_id)"
 RES_OH = f"round((coalesce(mbs, 0.0) + CASE WHEN pyspark THEN res_exec * 1024 ELSE 0.0 END) / 1024 * 10) / 10"
@@ -423,6 +424,8 @@ SQL = {
     "t4_render_job_text": JP + JOB_TEXTS,
     "s4_write_job_texts": "SELECT file_name, pos, line FROM (" + JP + JOB_TEXTS + ")",
     "t4_render_reservation_text": JP + RES_TEXTS,
+    "s4_look_up_texts": "SELECT file_name, concat(string_agg(line, chr(10) ORDER BY pos), chr(10)) AS text,"
+    " CAST(sum(strlen(line) + 1) AS BIGINT) AS length FROM (" + JP + RES_TEXTS + ") WHERE file_name LIKE '%etl%' GROUP BY file_name",
     "s4_write_reservation_texts": "SELECT file_name, pos, line FROM (" + JP + RES_TEXTS + ")",
     "t5_submit_commands": f"{W} SELECT cluster_id, {CLUSTER_COMMAND} AS command FROM sized",
     "t5_job_submit_commands": f"{A} SELECT cluster_id, job_idx, " + command(
@@ -433,8 +436,10 @@ SQL = {
         say("'--num-executors '", n("exec_count")), say("'--executor-cores '", n("exec_cores")), say("'--executor-memory '", n("exec_mem_gb"), "'g'"),
         f"concat('your-', {slug('res_name')}, '-app.jar')") + " AS command FROM prof",
     "t6_scheduler_properties": f"""WITH {b.CLUSTERS}, c AS (SELECT cluster_id, {SCHED} AS sc, greatest(1.0, coalesce(nullif(trunc(num_jobs), 0.0), 2.0))::DOUBLE AS nj FROM clusters),
- r AS ({union([f"SELECT cluster_id, {i} AS ord, '{k}' AS key, {v} AS value FROM c" for i, (k, v) in enumerate(SCHED_ROWS)])})
- SELECT cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY ord) - 1 AS INT) AS pos, key, value FROM r WHERE value IS NOT NULL""",
+ r AS ({union([f"SELECT cluster_id, {i} AS pos, '{k}' AS key, NULL::BIGINT AS part, {v} AS value FROM c" for i, (k, v) in zip((0, 1, 2), SCHED_ROWS, strict=True)])}
+ UNION ALL SELECT cluster_id, 1, 'yarn.scheduler.capacity.root.queues', part, CASE WHEN part = 0 THEN 'default' ELSE concat('q', part) END
+ FROM (SELECT cluster_id, unnest(range(0, CAST(nj AS BIGINT) + 1)) AS part FROM c WHERE sc = 'capacity'))
+ SELECT cluster_id, CAST(pos AS INT) AS pos, key, part, value FROM r WHERE value IS NOT NULL""",
     "s5_plan_documents": f"""{JP} SELECT cluster_id, 'job' AS kind, CAST(job_idx AS BIGINT) AS idx, job_name AS name, job_exec AS executors, pct AS share,
  job_cores AS tasks, job_exec_c AS cores, job_heap AS heap, {WHOLE} AS total_gb, round(job_heap / job_exec_c * 10) / 10 AS per_core, NULL::VARCHAR AS text,
  {gb('job_heap')} AS memory, {mb('job_oh')} AS overhead, {n('job_para')} AS parallelism FROM allocs

@@ -8,6 +8,7 @@ from conftest import rows
 from fleetwright import registry
 from fleetwright.operators.lookups import apply_overrides
 from fleetwright.operators.reservations import reservation_profile
+from fleetwright.operators import sizing
 from fleetwright.operators.sizing import size_fleet
 from fleetwright.plans import conf, documents
 from fleetwright.schema import INPUTS, read_input, read_input_stream
@@ -126,3 +127,54 @@ def test_shared_dir_follows_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_containers_hold_every_text_once(spark, sf_dir, tmp_path):
+    """Many small containers; every file is found at its place, byte by byte."""
+    texts = conf.reservation_texts(registry.profile(spark, sf_dir), fixtures.custom_props(spark, sf_dir))
+    texts = texts.unionByName(spark.createDataFrame([("ünï ço de", 0, "é🙂"), ("ünï ço de", 1, ""), ("ünï ço de", 2, "z")],
+                                                    "file_name string, pos int, line string"), allowMissingColumns=True)
+    path = str(tmp_path / "containers")
+    sinks.write_containers(texts, path, container_bytes=100_000)
+    want = {}
+    for r in texts.select("file_name", "pos", "line").collect():
+        want.setdefault(r["file_name"], []).append((r["pos"], r["line"]))
+    want = {name: "".join(line + "\n" for _, line in sorted(held)) for name, held in want.items()}
+    index = sinks.read_index(spark, path)
+    assert index.count() == len(want) and index.select("container").distinct().count() > 5
+    assert len(list((tmp_path / "containers" / "texts").glob("*/*.txt"))) <= index.select("container").distinct().count()
+    got = sinks.look_up(spark, path, index.select("file_name")).collect()
+    assert {r["file_name"]: r["text"] for r in got} == want and len(got) == len(want)
+    assert all(r["length"] == len(r["text"].encode()) for r in got)
+    assert sinks.look_up(spark, path, index.select("file_name").limit(0)).collect() == []
+
+
+def test_a_failed_write_has_no_index(spark, tmp_path):
+    texts = spark.createDataFrame([("a", 0, "x")], "file_name string, pos int, line string")
+    sinks.write_containers(texts, str(tmp_path / "c"))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sinks.write_containers(texts.selectExpr("'b' AS file_name", "pos", "line"), str(tmp_path / "c"))
+    assert [r["file_name"] for r in sinks.read_index(spark, str(tmp_path / "c")).collect()] == ["a"]
+
+
+def test_equal_names_get_files_of_their_own(spark):
+    named = [(1, 0, "Nightly ETL"), (1, 1, "nightly  etl"), (1, 2, "nightly-etl 2"), (1, 3, "Nightly\tetl"), (2, 0, "nightly etl"),
+             (1, 1 << 40, "nightly etl")]
+    profile = spark.createDataFrame(named, "cluster_id long, res_idx long, res_name string")
+    got = {(r["cluster_id"], r["res_idx"]): r["file_slug"] for r in conf.distinct_names(profile).collect()}
+    assert got == {(1, 0): "nightly-etl", (1, 1): "nightly-etl 2", (1, 2): "nightly-etl-2", (1, 3): "nightly-etl 3",
+                   (2, 0): "nightly-etl", (1, 1 << 40): "nightly-etl 4"}
+
+
+def test_very_large_numbers_make_rows_not_arrays(spark):
+    """Nodes and jobs mistyped by some zeros: points and queues open in blocks, and the rest of the fleet is not lost."""
+    sized = spark.createDataFrame([(1, "client", 2.0, 4.0, 3e9), (2, "client", 2.0, 4.0, 3.0)],
+                                  "cluster_id long, deploy_mode string, exec_pn double, exec_c double, nodes double")
+    curve = sizing.scaling_curve(sized)
+    assert curve.filter("cluster_id = 2").count() == 3
+    assert curve.limit(100_000).count() == 100_000
+    plans = spark.createDataFrame([(1, "capacity", 5e8), (2, "capacity", 2.0)], "cluster_id long, scheduler string, num_jobs double")
+    rows_ = conf.scheduler_properties(plans)
+    assert [(r["part"], r["value"]) for r in rows_.filter("cluster_id = 2 AND part IS NOT NULL").orderBy("part").collect()] == [
+        (0, "default"), (1, "q1"), (2, "q2")]
+    assert rows_.filter("part IS NOT NULL").limit(200_000).count() == 200_000
