@@ -19,3 +19,13 @@ def band(policy: str, *percents: str) -> str:
     low = f" WHEN {worst} < {under} THEN 'under'" if under is not None else ""
     return (f"CASE WHEN {worst} > {critical} THEN 'critical' WHEN {worst} > {warning}"
             f" THEN 'warning'{low} ELSE 'optimal' END")
+
+
+def policy_rows() -> list[tuple[str, float | None, bool, str]]:
+    """The policies as rows (policy, low, above, band): a band begins at `low`, or above it; null is the lowest."""
+    out = []
+    for policy, (critical, warning, under) in POLICIES.items():
+        out += [(policy, None, False, "optimal" if under is None else "under"),
+                *([] if under is None else [(policy, float(under), False, "optimal")]),
+                (policy, float(warning), True, "warning"), (policy, float(critical), True, "critical")]
+    return out

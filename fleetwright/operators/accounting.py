@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetwright.functions.bands import POLICIES, band
@@ -49,6 +49,42 @@ def classify_all(sized: DataFrame) -> DataFrame:
     return sized.selectExpr("cluster_id", f"inline({rows})")
 
 
+# A policy's range of bounds is cut into so many cells.
+CELLS = 1024
+
+
+def classify_by(values: DataFrame, policies: DataFrame, value: str = "percent", cells: int = CELLS) -> DataFrame:
+    """U2 with policies as rows: adds `band` to rows of (policy, value), any number of policies and of bands.
+
+    `policies` has (policy, low, above, band): a band holds from `low` on, or above it, up to the next one of its
+    policy; a null `low` is the lowest. Values meet bands by cells of the policy's range, an equi-join in which a
+    value meets the bands of its own cell only. Values below all bands, null values and unknown policies get no
+    band.
+    """
+    in_policy = Window.partitionBy("policy").orderBy(F.col("low").asc_nulls_first(), "above")
+    whole = Window.partitionBy("policy")
+    bands = policies.select("policy", F.col("low").cast("double").alias("low"), "above", "band").withColumns({
+        "next_low": F.lead("low").over(in_policy), "next_above": F.lead("above").over(in_policy),
+        "least": F.coalesce(F.min("low").over(whole), F.lit(0.0)), "most": F.coalesce(F.max("low").over(whole), F.lit(0.0))})
+    bands = derive(bands, {"width": f"IF(most > least, (most - least) / {cells}, 1D)"})
+
+    def cell(x):
+        return f"IF(isnan({x}), {cells + 1}L, greatest(-1L, least({cells + 1}L, CAST(floor(({x} - least) / width) AS BIGINT))))"
+
+    # Rounding may put a value beside a bound into the cell next to the bound's: bands reach one cell further.
+    first = f"IF(low IS NULL, -1L, greatest(-1L, {cell('low')} - 1))"
+    last = f"IF(next_low IS NULL, {cells + 1}L, least({cells + 1}L, {cell('next_low')} + 1))"
+    opened = bands.selectExpr("policy AS _policy", "low", "above", "next_low", "next_above", "band",
+                              f"explode(sequence({first}, greatest({first}, {last}))) AS _cell")
+    ranges = bands.select(F.col("policy").alias("_of"), "least", "width").distinct()
+    keyed = values.withColumn("_row", F.struct("*")).select("_row", "policy", F.col(value).cast("double").alias("_value"))
+    placed = derive(keyed.join(ranges, F.col("policy") == F.col("_of"), "left"), {"_at": cell("_value")})
+    holds = ("(low IS NULL OR _value > low OR (_value = low AND NOT above))"
+             " AND (next_low IS NULL OR _value < next_low OR (_value = next_low AND next_above))")
+    found = placed.join(opened, (F.col("policy") == F.col("_policy")) & (F.col("_at") == F.col("_cell")) & F.expr(holds), "left")
+    return found.select("_row.*", "band")
+
+
 # GB of each part of the fleet's memory, rounded as the reference plots them.
 LEDGER = {
     "executor_heap": half_up("total_exec * exec_m"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fleetwright import schema
 from fleetwright.functions.columns import derive, records
@@ -128,6 +129,29 @@ def what_if(clusters: DataFrame, variants: list[dict]) -> DataFrame:
     return size_columns(resolve_rm_reserve(exploded.drop(*[f"new_{f}" for f in fields])))
 
 
+# Clusters and candidates that meet in one block of the product.
+GRID_BLOCK = 1000
+
+
+def what_if_grid(clusters: DataFrame, grid: DataFrame, block: int = GRID_BLOCK) -> DataFrame:
+    """Z3 for a table of candidates: every cluster under every row of `grid`, of any size.
+
+    `grid` has a `variant` and columns of the spec to change; a null keeps the cluster's own value. Both sides are
+    cut into blocks, each row is repeated for the blocks of the other side, and blocks meet by an equi-join, so
+    that a task holds one block of each: no broadcast, and no list of candidates in the plan.
+    """
+    df = schema.with_defaults(clusters)
+    types, fields = dict(df.dtypes), [c for c in grid.columns if c != "variant"]
+    high, wide = (max(1, -(-side.count() // block)) for side in (clusters, grid))
+    rows = df.selectExpr("*", f"pmod(xxhash64(cluster_id), {high}) AS _high", f"explode(sequence(0, {wide - 1})) AS _wide")
+    options = grid.selectExpr("variant", *[f"CAST({f} AS {types[f]}) AS new_{f}" for f in fields],
+                              f"pmod(xxhash64(variant), {wide}) AS _wide", f"explode(sequence(0, {high - 1})) AS _high")
+    met = rows.withColumns({c: F.col(c).cast("int") for c in ("_high", "_wide")}).join(
+        options.withColumns({c: F.col(c).cast("int") for c in ("_high", "_wide")}), ["_high", "_wide"]).drop("_high", "_wide")
+    changed = derive(met, {f: f"coalesce(new_{f}, {f})" for f in fields})
+    return size_columns(resolve_rm_reserve(changed.drop(*[f"new_{f}" for f in fields])))
+
+
 def driver_profile(sized: DataFrame) -> DataFrame:
     """Where the driver runs and how heavy it is there."""
     return sized.selectExpr(

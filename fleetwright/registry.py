@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetwright import schema
 from fleetwright.operators import accounting, alerts, jobs, lookups, plan, reservations, rules, sizing, weights
 from fleetwright.plans import conf, documents, report, trace
 from fleetwright.session import new_path, stored
@@ -285,6 +286,15 @@ def z3_what_if(spark, d):
         "total_exec", "total_ec", "para", "core_util", "mem_util")
 
 
+@query
+def z3_what_if_grid(spark, d):
+    """Every cluster under every candidate of a table, summed up for each candidate."""
+    tried = sizing.what_if_grid(fixtures.clusters(spark, d), fixtures.candidate_grid(spark, d))
+    return tried.groupBy("variant").agg(*[F.expr(e) for e in (
+        "count(1) AS clusters", "sum(total_exec) AS total_exec", "sum(total_ec) AS total_ec", "sum(exec_m) AS heaps",
+        "max(mem_util) AS most_mem", "min(core_util) AS least_core", "count_if(mem_util > 95) AS over_full")])
+
+
 @query
 def z4_driver_profile(spark, d):
     return sizing.driver_profile(sized(spark, d))
@@ -307,6 +317,15 @@ def u2_classify(spark, d):
     return accounting.classify_all(sized(spark, d))
 
 
+@query
+def u2_classify_by_policies(spark, d):
+    """The reference's policies and one of many bands, all read from a table."""
+    judged = accounting.classify_all(sized(spark, d)).drop("band")
+    ladder = judged.filter("policy = 'standard'").withColumn("policy", F.lit("ladder"))
+    policies = schema.policy_dim(spark).unionByName(fixtures.band_ladder(spark, d))
+    return accounting.classify_by(judged.unionByName(ladder), policies)
+
+
 @query
 def u3_memory_ledger(spark, d):
     return accounting.memory_ledger(sized(spark, d))

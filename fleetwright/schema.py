@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from fleetwright.functions.bands import policy_rows
 from fleetwright.functions.columns import derive
 
 # Reset defaults of a cluster spec.
@@ -118,7 +119,7 @@ def read_input_stream(spark: SparkSession, name: str, path: str, fmt: str = "par
 def _values(spark: SparkSession, rows, columns: str) -> DataFrame:
     # A VALUES list is a local relation of known size, so the planner broadcasts it by itself.
     def literal(v):
-        return f"'{v}'" if isinstance(v, str) else str(v).lower()
+        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower()
 
     body = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({columns})")
@@ -136,6 +137,12 @@ def workload_dim(spark: SparkSession) -> DataFrame:
     return _values(spark, WORKLOAD_LABELS, "workload, label")
 
 
+def policy_dim(spark: SparkSession) -> DataFrame:
+    """The reference's band policies as rows that a caller may extend by others."""
+    return _values(spark, policy_rows(), "policy, low, above, band").selectExpr(
+        "policy", "CAST(low AS DOUBLE) AS low", "above", "band")
+
+
 def with_defaults(clusters: DataFrame) -> DataFrame:
     """Add the optional spec columns that are missing and type the ones present."""
     have = set(clusters.columns)

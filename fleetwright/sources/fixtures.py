@@ -146,6 +146,21 @@ MUTE_SPANS = {
 REAL_WEIGHT = "CASE WHEN o_orderkey % 4 = 0 THEN 12.5 WHEN o_orderkey % 11 = 0 THEN 0.0" \
               " ELSE CAST(o_orderkey % 9973 AS DOUBLE) / 413 END"
 
+# Candidate specs; a null keeps the cluster's own value.
+CANDIDATES = {
+    "variant": "s_suppkey",
+    "nodes": "CAST(CASE WHEN s_suppkey % 3 > 0 THEN 1 + s_suppkey % 97 END AS DOUBLE)",
+    "rpn": "CAST(CASE WHEN s_suppkey % 4 = 0 THEN 32 + s_suppkey % 200 END AS DOUBLE)",
+    "workload": "CASE s_nationkey % 4 WHEN 0 THEN 'ml' WHEN 1 THEN 'streaming' END",
+    "deploy_mode": "CASE WHEN s_nationkey % 5 = 0 THEN 'cluster' END",
+}
+
+# A policy of many bands, beside the reference's five: bounds are met exactly, from below and from above.
+BAND_LADDER = {
+    "policy": "'ladder'", "low": "CAST(CASE WHEN n_nationkey > 0 THEN n_nationkey * 4 END AS DOUBLE)",
+    "above": "n_nationkey % 2 = 1", "band": "concat('step ', CAST(n_nationkey AS VARCHAR(9)))",
+}
+
 # How late an event of the stream may arrive.
 ARRIVAL_LAG_SECONDS = 1800
 
@@ -176,6 +191,8 @@ SCHEMAS = {
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
     "pages": "page_id bigint, url string",
+    "nation": "n_nationkey int, n_name string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
 }
 
 
@@ -240,6 +257,14 @@ def weighted_jobs(spark, sf_dir) -> DataFrame:
     return positions(orders, ["cluster_id"], "job_id", ["job_id"], "job_idx", id_bits=ORDER_KEY_BITS)
 
 
+def candidate_grid(spark, sf_dir) -> DataFrame:
+    return _project(table(spark, sf_dir, "supplier"), CANDIDATES)
+
+
+def band_ladder(spark, sf_dir) -> DataFrame:
+    return _project(table(spark, sf_dir, "nation"), BAND_LADDER)
+
+
 def alert_keys(spark, sf_dir) -> DataFrame:
     return _project(table(spark, sf_dir, "events"), ALERT_KEYS)
 

@@ -210,6 +210,13 @@ def passed(sql: str) -> str:
     return f"SELECT * FROM ({sql}) WHERE ts < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)"
 
 
+CLASSIFIED = W + union(
+        [f"SELECT cluster_id, '{p}' AS policy, '{m}' AS metric, {x} AS percent, {band(p, x)} AS band FROM sized"
+         for p in ("standard", "report", "capacity") for m, x in (("core", "core_util"), ("mem", "mem_util"))]
+        + [f"SELECT cluster_id, 'fleet', 'worst', greatest(core_util, mem_util), {FLEET} FROM sized"]
+        + [f"SELECT cluster_id, 'master', '{m}', {x}, {band('master', x)} FROM sized WHERE deploy_mode = 'client'"
+           for m, x in (("core", "master_core_util"), ("mem", "master_ram_util"))])
+
 SQL = {
     "s1_read_specs": f"WITH {RAW}, {READ_SPECS} SELECT * FROM specs",
     "s2_decode_share_links": f"""WITH {b.CLUSTERS}, links AS (
@@ -243,6 +250,11 @@ SQL = {
  e AS (SELECT cluster_id, CAST(n AS INT) AS n, exec_c, CASE WHEN deploy_mode = 'cluster' THEN greatest(1, n - 1) ELSE n END * exec_pn AS executors FROM p)
  SELECT cluster_id, n, executors, executors * exec_c AS tasks, executors * exec_c * 2 AS parallelism,
  round(executors * exec_c * 2 / 10) AS parallelism_tenth FROM e""",
+    "z3_what_if_grid": f"""WITH {b.SPECS}, grid AS ({b.select(fx.CANDIDATES, 'supplier')}),
+ v AS (SELECT specs.* REPLACE (coalesce(g.nodes, specs.nodes) AS nodes, coalesce(g.rpn, specs.rpn) AS rpn, coalesce(g.workload, specs.workload) AS workload,
+ coalesce(g.deploy_mode, specs.deploy_mode) AS deploy_mode), g.variant FROM specs CROSS JOIN grid g), {b.sizing('v')}
+ SELECT variant, count(*) AS clusters, sum(total_exec) AS total_exec, sum(total_ec) AS total_ec, sum(exec_m) AS heaps, max(mem_util) AS most_mem,
+ min(core_util) AS least_core, count(*) FILTER (mem_util > 95) AS over_full FROM sized GROUP BY variant""",
     "z3_what_if": f"""WITH {b.SPECS}, v AS ({union([variant(0), variant(1, nodes='20.0::DOUBLE'), variant(2, workload="'ml'"),
         variant(3, deploy_mode="'cluster'", rpn='128.0::DOUBLE'), variant(4, rm="'local'", cpn='9.0::DOUBLE')])}), {b.sizing('v')}
  SELECT cluster_id, variant, nodes, cpn, rpn, exec_c, exec_pn, exec_m, exec_oh, total_exec, total_ec, para, core_util, mem_util FROM sized""",
@@ -255,12 +267,12 @@ SQL = {
     "u1_utilisation": f"""{W} SELECT cluster_id, used_cores, total_cores, core_util, unused_cores, used_ram, total_ram, mem_util, unused_ram,
  usable_total_cores, usable_total_ram, {band('standard', 'core_util')} AS core_band, {band('standard', 'mem_util')} AS mem_band,
  {FLEET} AS status FROM sized""",
-    "u2_classify": W + union(
-        [f"SELECT cluster_id, '{p}' AS policy, '{m}' AS metric, {x} AS percent, {band(p, x)} AS band FROM sized"
-         for p in ("standard", "report", "capacity") for m, x in (("core", "core_util"), ("mem", "mem_util"))]
-        + [f"SELECT cluster_id, 'fleet', 'worst', greatest(core_util, mem_util), {FLEET} FROM sized"]
-        + [f"SELECT cluster_id, 'master', '{m}', {x}, {band('master', x)} FROM sized WHERE deploy_mode = 'client'"
-           for m, x in (("core", "master_core_util"), ("mem", "master_ram_util"))]),
+    "u2_classify": CLASSIFIED,
+    "u2_classify_by_policies": f"""WITH judged AS ({CLASSIFIED}),
+ steps AS ({b.select(fx.BAND_LADDER, 'nation')}),
+ ladder AS (SELECT j.cluster_id, 'ladder' AS policy, j.metric, j.percent, arg_max(s.band, coalesce(s.low, -1)) AS band FROM judged j JOIN steps s
+ ON s.low IS NULL OR j.percent > s.low OR (j.percent = s.low AND NOT s.above) WHERE j.policy = 'standard' GROUP BY ALL)
+ SELECT * FROM judged UNION ALL SELECT * FROM ladder""",
     "u3_memory_ledger": W + lines([
         (f"'{n}' AS segment, ({x})::DOUBLE AS gb, round(({x}) / total_ram * 100) AS pct", "true") for n, x in LEDGER.items()]),
     "u4_core_ledger": W + lines([
