@@ -1,8 +1,11 @@
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 
 from fleetwright.llm import language_id, toxicity
+from fleetwright.llm.queries import QUERIES
 from llm.helpers import awkward_rows, docs_of
 
 
@@ -30,6 +33,37 @@ def test_out_of_place_distance():
     assert profiles.nearest("ccc bb a") == (min(plain, key=plain.get), (second - best) / second)
 
 
+def plain_grams(text):
+    words = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower()).split()
+    line = f" {' '.join(words)} " if words else ""
+    return Counter(g for n in (1, 2, 3) for i in range(len(line) - n + 1)
+                   if (g := line[i:i + n]).strip() and (n < 3 or g[1] != " "))
+
+
+def plain_profile(counts, top=400):
+    order = sorted(counts, key=lambda g: (-counts[g], [ord(c) for c in reversed(g.ljust(3, "\0"))]))
+    return {g: rank for rank, g in enumerate(order[:top])}
+
+
+def test_query_equals_a_plain_version(spark, sf_dir):
+    """Profiles counted, cut and compared gram by gram over all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    counts = {}
+    for r in docs:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["lang"] is not None:
+            counts.setdefault(r["lang"], Counter()).update(plain_grams(r["text"]))
+    learned = {lang: plain_profile(c) for lang, c in sorted(counts.items())}
+    most, want = max(map(len, learned.values())), []
+    for r in docs:
+        own = plain_profile(plain_grams(r["text"]))
+        apart = {lang: sum(abs(listed[g] - rank) if g in listed else most for g, rank in own.items()) for lang, listed in learned.items()}
+        best, second = sorted(apart.values())[:2]
+        said = (min(apart, key=apart.get), (second - best) / second) if own else ("und", 0.0)
+        want.append((r["doc_id"], zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0, *said))
+    got = QUERIES["op1_language_id"](spark, sf_dir).select("doc_id", "held_out", "lang_pred", "score").collect()
+    assert len(learned) > 2 and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_languages_awkward(spark):
     rows = awkward_rows()
     got = language_id.languages(docs_of(spark, rows)).collect()
