@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 from collections.abc import Iterator
 from functools import wraps
 
@@ -14,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwright.session import shared_dir
+from fleetwright.session import new_path
 
 
 #: Row groups of stored texts: a writer and a reader hold one of them in memory.
@@ -24,7 +23,7 @@ ROWS_TOGETHER = 1024
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own under the folder that the driver and all executors share."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return new_path(spark, name)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
