@@ -11,7 +11,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from fleetwright.registry import QUERIES  # noqa: E402
-from fleetwright.session import build_session  # noqa: E402
+from fleetwright.session import build_session, remove_stored  # noqa: E402
 
 HEADLINE = [
     "z1_size_fleet", "z1_size_fleet_overridden", "z3_what_if", "p5_apply_overrides", "u8_fleet_rollup",
@@ -54,6 +54,7 @@ def main() -> None:
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(timings.values()), 3), "unit": "sec",
         "queries": timings, "total_with_default_partition_size": round(by_default, 3), "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    remove_stored(spark)
     spark.stop()
 
 

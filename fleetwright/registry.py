@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetwright import schema
-from fleetwright.operators import accounting, alerts, jobs, lookups, plan, reservations, rules, sizing, weights
+from fleetwright.operators import accounting, alerts, edits, jobs, lookups, plan, reservations, rules, sizing, weights
 from fleetwright.plans import conf, documents, report, trace
 from fleetwright.session import new_path, stored
 from fleetwright.sources import fixtures, sinks, specs
@@ -428,6 +428,15 @@ def a2_reservation_profile(spark, d):
         "res_cores", "res_mem", "res_pct", "res_para", "res_oh", "res_oh_gb")
 
 
+@query
+def a2_profile_of_edits(spark, d):
+    """Reservations as a log of edits, folded and then profiled."""
+    res = stored(edits.reservations_from(fixtures.reservation_edits(spark, d)), "reservations")
+    return profile_of(res, sized(spark, d)).select(
+        "cluster_id", "entry", "res_no", "res_idx", "res_name", "exec_count", "exec_cores", "exec_mem_gb", "res_cores",
+        "res_mem", "res_pct", "res_oh")
+
+
 @query
 def a3_remaining_pool(spark, d):
     return pool(spark, d).select(
@@ -457,6 +466,13 @@ def n2_balance_shares(spark, d):
     return jobs.balance_shares(fixtures.jobs(spark, d))
 
 
+@query
+def n2_shares_of_edits(spark, d):
+    """Jobs as a log of edits, folded and then given their shares."""
+    listed = stored(edits.jobs_from(fixtures.job_edits(spark, d)), "jobs")
+    return jobs.balance_shares(listed.select("cluster_id", "job_id", "job_idx", "manual_pct"))
+
+
 def _apportioned(spark, d, basis, options=jobs.JobOptions()):
     return jobs.apportion(stored_jobs(spark, d), stored(pool(spark, d), "pool"), basis, options, carry=[]).select(
         "cluster_id", "job_id", "job_idx", "pct", "base_exec", "extra", "assigned_exec")

@@ -27,18 +27,35 @@ def build_session(app: str = "fleetwright", master: str | None = None, **conf) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, else one under the session's warehouse."""
+    """The folder all executors share: `spark.checkpoint.dir`, else one under the session's warehouse.
+
+    On a cluster a warehouse on a machine's own disk is refused.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+        own_disk = "://" not in named.replace("file:///", "") or named.startswith("file:")
+        if own_disk and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"executors do not share {named}: set spark.checkpoint.dir to a folder that they share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's stored stages."""
+    return f"{shared_dir(spark).rstrip('/')}/stages-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path of its own among the application's stored stages."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """Remove all stages that this application has stored, once their results have been written or read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -146,6 +146,23 @@ MUTE_SPANS = {
 REAL_WEIGHT = "CASE WHEN o_orderkey % 4 = 0 THEN 12.5 WHEN o_orderkey % 11 = 0 THEN 0.0" \
               " ELSE CAST(o_orderkey % 9973 AS DOUBLE) / 413 END"
 
+# Edits of reservations and jobs: of every eight events two add an entry, and the others edit these.
+EDIT_ENTRY = "event_id - event_id % 4"
+EDIT_CLUSTER = "1 + CAST((event_id - event_id % 4) / 4 AS BIGINT) % 60"
+RESERVATION_EDITS = {
+    "cluster_id": EDIT_CLUSTER, "ts": "ts", "seq": "event_id", "entry": EDIT_ENTRY,
+    "op": "CASE WHEN event_id % 4 = 0 THEN 'add' WHEN event_id % 8 = 7 THEN 'remove' ELSE 'update' END",
+    "name": "CASE WHEN event_id % 12 = 0 THEN 'Nightly ETL' WHEN event_id % 4 = 2 THEN concat('Load ', CAST(event_id % 5 AS VARCHAR(9))) END",
+    "exec_count": "CAST(CASE WHEN event_id % 4 IN (0, 1) THEN 1 + event_id % 3 END AS DOUBLE)",
+    "exec_cores": "CAST(CASE WHEN event_id % 4 IN (0, 3) THEN 2 + event_id % 5 END AS DOUBLE)",
+    "exec_mem_gb": "CAST(CASE WHEN event_id % 4 = 0 THEN 4 + event_id % 12 END AS DOUBLE)",
+}
+JOB_EDITS = {
+    "cluster_id": EDIT_CLUSTER, "ts": "ts", "seq": "event_id", "entry": EDIT_ENTRY,
+    "op": "CASE WHEN event_id % 4 = 0 THEN 'add' WHEN event_id % 16 = 7 THEN 'remove' WHEN event_id % 4 = 3 THEN 'reset' ELSE 'update' END",
+    "manual_pct": "CAST(CASE WHEN event_id % 4 IN (1, 2) THEN event_id % 23 END AS INT)",
+}
+
 # Candidate specs; a null keeps the cluster's own value.
 CANDIDATES = {
     "variant": "s_suppkey",
@@ -257,6 +274,14 @@ def weighted_jobs(spark, sf_dir) -> DataFrame:
     return positions(orders, ["cluster_id"], "job_id", ["job_id"], "job_idx", id_bits=ORDER_KEY_BITS)
 
 
+def reservation_edits(spark, sf_dir) -> DataFrame:
+    return _project(table(spark, sf_dir, "events"), RESERVATION_EDITS)
+
+
+def job_edits(spark, sf_dir) -> DataFrame:
+    return _project(table(spark, sf_dir, "events"), JOB_EDITS)
+
+
 def candidate_grid(spark, sf_dir) -> DataFrame:
     return _project(table(spark, sf_dir, "supplier"), CANDIDATES)
 

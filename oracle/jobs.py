@@ -329,6 +329,29 @@ JP = f"WITH {b.ALLOCS}{PROFILE},\n{b.PROPS}\n"
 COUNTED = "(SELECT cluster_id, count(*)::DOUBLE AS jobs, sum(job_cores) AS jc, sum(job_mem) AS jm FROM allocs GROUP BY cluster_id)"
 RES_OH = f"round((coalesce(mbs, 0.0) + CASE WHEN pyspark THEN res_exec * 1024 ELSE 0.0 END) / 1024 * 10) / 10"
 
+
+
+def folded(columns: dict[str, str], fields: list[str], number: str, index: str, reset: str = "") -> str:
+    """Current entries of a log of edits, as table `folded`: numbers over all adds, fields by their last edit."""
+    at = "{'ts': e.ts, 'seq': e.seq}"
+
+    def last(field):
+        sets = f"e.{field} IS NOT NULL" + (" OR e.op = 'reset'" if field == reset else "")
+        value = f"CASE WHEN e.op = 'reset' THEN NULL ELSE e.{field} END" if field == reset else f"e.{field}"
+        return f"first({value} ORDER BY e.ts DESC, e.seq DESC) FILTER ({sets}) AS {field}"
+
+    return f"""edits AS ({b.select(columns, 'events')}),
+ adds AS (SELECT cluster_id, entry, min({{'ts': ts, 'seq': seq}}) AS added FROM edits WHERE op = 'add' GROUP BY ALL),
+ born AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY added) AS {number} FROM adds),
+ current AS (SELECT e.cluster_id, e.entry, any_value(a.{number}) AS {number}, {', '.join(map(last, fields))}
+ FROM edits e JOIN born a ON e.cluster_id = a.cluster_id AND e.entry = a.entry AND {at} >= a.added
+ GROUP BY e.cluster_id, e.entry HAVING count(*) FILTER (e.op = 'remove') = 0),
+ folded AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY {number}) - 1 AS {index} FROM current)"""
+
+
+RES_EDITS = folded(fx.RESERVATION_EDITS, ["name", "exec_count", "exec_cores", "exec_mem_gb"], "res_no", "res_idx")
+JOB_EDITS = folded(fx.JOB_EDITS, ["manual_pct"], "job_no", "job_idx", "manual_pct")
+
 WEIGHTED = f"""WITH {b.POOL}, listed AS (SELECT o_custkey AS cluster_id, o_orderkey AS job_id, CAST({fx.REAL_WEIGHT} AS DOUBLE) AS weight,
  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS job_idx FROM orders),
  shared AS (SELECT listed.*, rem_exec, rem_exec * weight / 100 AS share FROM listed JOIN pool USING (cluster_id)),
@@ -340,6 +363,12 @@ WEIGHTED = f"""WITH {b.POOL}, listed AS (SELECT o_custkey AS cluster_id, o_order
 
 SQL = {
     "n3_apportion_weights": WEIGHTED,
+    "a2_profile_of_edits": f"""WITH {b.SIZED}, {RES_EDITS},
+ res AS (SELECT cluster_id, entry, res_no, res_idx, coalesce(name, concat('Reserved Job ', CAST(res_no AS VARCHAR))) AS name, exec_count, exec_cores,
+ exec_mem_gb FROM folded){PROFILE}
+ SELECT cluster_id, entry, res_no, res_idx, res_name, exec_count, exec_cores, exec_mem_gb, res_cores, res_mem, res_pct, res_oh FROM prof""",
+    "n2_shares_of_edits": f"""WITH {JOB_EDITS}, jobs AS (SELECT cluster_id, entry AS job_id, job_idx, manual_pct FROM folded), {b.SHARES}
+ SELECT cluster_id, job_id, job_idx, manual_pct, n_jobs, pct FROM shares""",
     "a1_reservation_totals": f"""{R}, {b.RES_TOTALS} SELECT cluster_id, res_n, res_exec, res_cores, res_mem,
  {pct('res_exec', 'total_exec')} AS res_pct FROM rt JOIN sized USING (cluster_id)""",
     "a2_reservation_profile": f"""{R}{PROFILE} SELECT cluster_id, job_id, res_idx, res_name, exec_count, exec_cores, exec_mem_gb, res_cores, res_mem,

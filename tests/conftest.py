@@ -11,7 +11,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from fleetwright.session import build_session
+    from fleetwright.session import build_session, remove_stored
 
     session = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
@@ -19,6 +19,7 @@ def spark():
         "spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_stored(session)
     session.stop()
 
 
