@@ -74,10 +74,10 @@ def allocs(spark, d, options=jobs.JobOptions(), carry=None):
     return jobs.allocate(stored_jobs(spark, d), stored(pool(spark, d), "pool"), options=options, carry=carry)
 
 
-def planned(spark, d, options=jobs.JobOptions(), res=None):
+def planned(spark, d, options=jobs.JobOptions(), res=None, listed=None):
     """Allocation and pool, each computed once and stored, for queries that read them several times."""
     whole = stored(pool(spark, d, res), "pool")
-    made = jobs.allocate(stored_jobs(spark, d), whole, options=options, carry=["pool_cores", "pool_mem"])
+    made = jobs.allocate(listed or stored_jobs(spark, d), whole, options=options, carry=["pool_cores", "pool_mem"])
     return stored(made.select(*PLAN), "allocs"), whole
 
 
@@ -175,10 +175,9 @@ DOC_OUT = ("name", "executors", "share", "tasks", "cores", "heap", "total_gb", "
 
 
 def _documents(spark, d):
-    res = reserved(spark, d)
-    allocated, whole = planned(spark, d, res=res)
-    return documents.plan_documents(whole, allocated, profile_of(res, whole), fixtures.custom_props(spark, d),
-                                    fixtures.jobs(spark, d))
+    res, listed = reserved(spark, d), stored_jobs(spark, d)
+    allocated, whole = planned(spark, d, res=res, listed=listed)
+    return documents.plan_documents(whole, allocated, profile_of(res, whole), fixtures.custom_props(spark, d), listed)
 
 
 @query

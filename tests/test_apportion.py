@@ -13,6 +13,7 @@ def round_up(x):
 
 
 def shares(manual):
+    manual = [None if p is None else min(100, max(0, p)) for p in manual]
     given = [p for p in manual if p is not None]
     autos = len(manual) - len(given)
     even = round_up(max(0, 100 - sum(given)) / autos) if autos else 0
@@ -40,7 +41,7 @@ def plans():
     cases = []
     for i in range(300):
         n = rng.choice([1, 2, 3, 5, 9, 17, 40])
-        manual = [rng.choice([None, None, rng.randint(0, 60)]) for _ in range(n)]
+        manual = [rng.choice([None, None, rng.randint(0, 60), rng.randint(0, 60), rng.choice([-1, -7, 150])]) for _ in range(n)]
         cases.append((i, float(rng.randint(0, 400)) + rng.choice([0, 0, 0.5]), manual))
     # One plan far larger than the rest, spread over many blocks.
     cases.append((999, 12345.0, [rng.choice([None, 0, 1, 2]) for _ in range(3000)]))

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from fleetwright import registry
 from fleetwright.registry import QUERIES
 
 NO_SHUFFLE = ["s1_read_specs", "z1_size_fleet", "z2_scaling_curve", "z3_what_if", "u1_utilisation",
@@ -70,3 +71,23 @@ def test_one_allocation_per_query(spark, sf_dir, name):
 def test_the_pool_is_stored_once(spark, sf_dir, name):
     text = plan(QUERIES[name](spark, sf_dir))
     assert "l_orderkey" not in text and "c_custkey" not in text
+
+
+def test_stored_plans_are_narrow(spark, sf_dir):
+    allocated, _ = registry.planned(spark, sf_dir)
+    assert len(allocated.columns) <= 25
+
+
+@pytest.mark.parametrize("name", ["n3_apportion_export", "n4_finalise_allocs", "t4_render_job_text", "n8_job_share", "n7_allocation_diff"])
+def test_jobs_are_numbered_once(spark, sf_dir, name):
+    """The split reads the stored, numbered jobs: twice, and not a third time for the pool's columns."""
+    text = plan(QUERIES[name](spark, sf_dir))
+    scans = [s for s in re.findall(r"ReadSchema: struct<([^>]*)>", text) if "job_idx" in s]
+    assert "o_orderkey" not in text and 1 <= len(scans) <= 3, scans
+
+
+@pytest.mark.parametrize("name", ["x4_job_trace", "s5_plan_documents", "s6_report_tables"])
+def test_reservations_and_clusters_are_read_once(spark, sf_dir, name):
+    text = final_plan(QUERIES[name](spark, sf_dir))
+    assert "l_orderkey" not in text and "o_orderkey" not in text
+    assert text.count("c_custkey") == 0 or name == "s5_plan_documents"  # which lists each cluster's additions
