@@ -37,6 +37,8 @@ BLOCKS = WHOLE | set("""p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tb
  br hr head title""".split())
 VOID = {"br", "hr"}
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "select", "button", "title"}
+#: Of these, whose content is never markup: left open they reach to the end of the page.
+TEXT_ONLY = {"script", "style", "textarea", "title"}
 #: Inside an article these count as its own text, however often they recur.
 CONTENT = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr caption blockquote pre figcaption summary address br hr".split())
 DROPPED = set("head nav header footer aside form menu dialog fieldset".split())
@@ -50,8 +52,10 @@ ENDED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt",
             "th": {"td", "th", "tr"}, "tr": {"tr"}, "head": {"body"}} | {
             f"h{i}": {"p", "div", "article", "section", *(f"h{j}" for j in range(1, 7))} for i in range(1, 7)}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-                     re.DOTALL)
+# Possessive, so that a broken tag is read once. A tag whose quote is left open ends at the next angle bracket.
+_MARKUP = re.compile(r"<!--(?:-?>|.*?(?:-->|\Z))|<[!?][^>]*(?:>|\Z)"
+                     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z|(?=<))"
+                     r"|<(/?)([a-zA-Z][^\s/>]*+)([^<>]*+)(?:>|\Z|(?=<))", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAMING = re.compile(r"\b(?:class|id|role|hidden)\b", re.IGNORECASE)
 
@@ -68,7 +72,7 @@ class Node:
 
 def read_tree(page: str) -> Node:
     root = here = Node("#page", "", None)
-    at, end = 0, len(page)
+    at, end, never_closed = 0, len(page), set()
     while at < end:
         found = _MARKUP.search(page, at)
         text = page[at:found.start() if found else end]
@@ -77,17 +81,22 @@ def read_tree(page: str) -> Node:
         if not found:
             break
         at = found.end()
-        if not found[2]:
+        closing, name, rest = found[1] or found[4], found[2] or found[5], found[3] or found[6] or ""
+        if not name:
             continue
-        tag = found[2].lower()
+        tag = name.lower()
         if tag in RAW:
-            if not found[1]:
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                at = close.end() if close else end
             here.children.append(" ")
+            if closing or rest.endswith("/") and tag not in TEXT_ONLY or tag in never_closed:
+                continue
+            close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+            if close or tag in TEXT_ONLY:
+                at = close.end() if close else end
+            else:
+                never_closed.add(tag)  # what follows an element that stays open is read as usual
         elif tag not in BLOCKS:
             continue
-        elif found[1]:
+        elif closing:
             seek = here
             while seek is not None and seek.tag != tag:
                 seek = seek.parent
@@ -98,7 +107,7 @@ def read_tree(page: str) -> Node:
         else:
             while tag in ENDED_BY.get(here.tag, ()):
                 here = here.parent
-            marks = found[3] if found[3] and _NAMING.search(found[3]) else ""
+            marks = rest if _NAMING.search(rest) else ""
             node = Node(tag, marks, here)
             if tag in ROOTS:
                 up = here

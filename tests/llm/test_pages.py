@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -78,6 +79,24 @@ def test_main_text_by_marks():
     assert html_extract.main_text(deep, set()) == "deep"
 
 
+@pytest.mark.parametrize("page,text", [
+    ("one <svg/> two", "one two"), ("one <iframe src='x'/> two", "one two"), ("one <object> two", "one two"),
+    ("one <svg><path/></svg> two <svg> three", "one two three"), ("one <!--> two", "one two"), ("one <!---> two", "one two"),
+    ("one <!-- x --> two <!-- open", "one two"), ("<p title=\"x>link</p> two", "link two"), ("<div <p>one</p> two", "one two"),
+    ("one <script>x < y</script> two <script> open", "one two"), ("a <b title='>'>c</b> d", "a c d"), ("one </svg> two", "one two"),
+    ("<button>no</button> yes <button> open", "yes open"), ("1 < 2 and <3 >", "1 < 2 and <3 >")])
+def test_broken_markup(page, text):
+    assert html_extract.main_text(page, set()) == text
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a '", "<svg>", "<!--", "<a " + "n" * 200, "</", "<div ", '<p "">', "<p><div>", "<a b='c\"d' "])
+def test_long_broken_pages_are_read_in_time(part):
+    started = time.perf_counter()
+    html_extract.read_tree(part * (1_000_000 // len(part)))
+    html_extract.read_tree("<" + "x" * 1_000_000 + ' "')
+    assert time.perf_counter() - started < 10
+
+
 def test_templates_are_found_per_host(spark):
     rng = random.Random(9)
     word = lambda: "w%d" % rng.randrange(10**6)
