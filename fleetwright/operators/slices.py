@@ -97,6 +97,11 @@ def _starts(counts: DataFrame, group: list[str], at: str, bits: int, left: int)
         upper, "_local", "_higher")
 
 
+def time_slice(time: str, bucket_seconds: int = BUCKET_SECONDS) -> str:
+    """The number of a row's time bucket; rows without a time come before all."""
+    return f"coalesce(floor(unix_micros(CAST({time} AS TIMESTAMP)) / {bucket_seconds * 1_000_000}L), -9223372036854775808L)"
+
+
 def ordered_scan(df: DataFrame, keys: list[str], order: list[str], *,
                  lag: dict[str, str] | None = None, total: dict[str, str] | None = None,
                  last: dict[str, str] | None = None, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
@@ -108,8 +113,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], *,
     """
     lag, total, last = lag or {}, total or {}, last or {}
     spec, time = (lag, total, last), order[0]
-    bucket = f"coalesce(floor(unix_micros(CAST({time} AS TIMESTAMP)) / {bucket_seconds * 1_000_000}L), -9223372036854775808L)"
-    cut = df.selectExpr("*", f"{bucket} AS _slice")
+    cut = df.selectExpr("*", f"{time_slice(time, bucket_seconds)} AS _slice")
     at = F.struct(*order)
     ends = cut.groupBy(*keys, "_slice").agg(
         F.count(F.lit(1)).alias("_rows"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,7 +10,7 @@ from fleetwright.functions.bands import band
 from fleetwright.operators.alerts import raises_alert, too_hot
 from fleetwright.operators.sizing import size_fleet
 from fleetwright.schema import OVERRIDE_FIELDS
-from fleetwright.operators.slices import BUCKET_SECONDS, ordered_scan
+from fleetwright.operators.slices import BUCKET_SECONDS, time_slice
 from fleetwright.streaming.reorder import changes_unmuted, in_event_order, turns_on, turns_on_unmuted
 
 # Fixed value: pause after the last edit before results are recomputed.
@@ -41,14 +41,32 @@ def debounce(stream: DataFrame, key: str, value: list[str], seq: str, gap: str =
 
 def debounce_batch(df: DataFrame, key: str, value: list[str], seq: str, gap: str = DEBOUNCE_GAP,
                    bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
-    """V1 over a finished table; a burst ends when the next edit comes later than the gap."""
-    order = ["ts", seq]
-    seen = ordered_scan(df, [key], order, lag={"_before": "ts"}, bucket_seconds=bucket_seconds)
-    new = F.coalesce(F.col("ts") - F.col("_before") > F.expr(f"INTERVAL {gap}"), F.lit(True))
-    marked = seen.withColumn("_new", new.cast("bigint"))
-    bursts = ordered_scan(marked, [key], order, total={"_burst": "_new"},
-                          bucket_seconds=bucket_seconds)
-    return bursts.groupBy(key, "_burst").agg(*_burst(value, seq)).drop("_burst")
+    """V1 over a finished table; a burst ends when the next edit comes later than the gap.
+
+    Edits move once, to their slice of time, and become parts of bursts there; what goes on over the edges of
+    slices is settled on these parts.
+    """
+    longer, at = F.expr(f"INTERVAL {gap}"), F.struct("ts", seq)
+    inside = Window.partitionBy(key, "_slice").orderBy("ts", seq)
+    cut = df.select(key, "ts", seq, *[v for v in value if v not in (key, "ts", seq)], F.expr(time_slice("ts", bucket_seconds)).alias("_slice"))
+    begins = F.coalesce(F.col("ts") - F.lag("ts").over(inside) > longer, F.row_number().over(inside) > 1)
+    marked = cut.withColumn("_begins", begins.cast("bigint"))
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = marked.withColumn("_part", F.sum("_begins").over(so_far)).groupBy(key, "_slice", "_part").agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("edits"),
+        F.max(at).alias("_at"), F.max_by(F.struct(*value), at).alias("_last"))
+    slices = parts.groupBy(key, "_slice").agg(
+        F.min("first_ts").alias("_first"), F.max("last_ts").alias("_end"), F.max("_part").alias("_more"))
+    by_slice = Window.partitionBy(key).orderBy("_slice")
+    opens = F.coalesce(F.col("_first") - F.lag("_end").over(by_slice) > longer, F.lit(True)).cast("bigint")
+    opened = slices.withColumn("_opens", opens)
+    before = by_slice.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = opened.select(key, "_slice", (
+        F.sum("_opens").over(by_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        + F.coalesce(F.sum("_more").over(before), F.lit(0))).alias("_start"))
+    whole = parts.join(numbered, [key, "_slice"]).groupBy(key, (F.col("_start") + F.col("_part")).alias("_burst"))
+    return whole.agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("edits").alias("edits"),
+                     F.max_by("_last", "_at").alias("_last")).select(key, "first_ts", "last_ts", "edits", "_last.*")
 
 
 SPEC_FIELDS = ["nodes", "cpn", "rpn", "workload", "rm", "deploy_mode"]
