@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,10 +66,24 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("file_name string, container long, offset long, length long").parquet(f"{path}/index")
 
 
+def _cut_out(found: pa.Table, held: pa.Table) -> pa.Table:
+    """The files of one container, cut out of its bytes."""
+    names, starts, lengths = (found[c].to_pylist() for c in ("file_name", "offset", "length"))
+    content = held["content"][0].as_buffer() if held.num_rows else None
+    if content is None:
+        names, starts, lengths = [], [], []
+    texts = [content.slice(start, length).to_pybytes().decode("utf-8", "replace") for start, length in zip(starts, lengths, strict=True)]
+    return pa.table([names, texts, lengths], schema=pa.schema([("file_name", pa.string()), ("text", pa.string()), ("length", pa.int64())]))
+
+
 def look_up(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
-    """(file_name, text, length) of the named files; only their containers are read. Unknown names give no row."""
+    """(file_name, text, length) of the named files; only their containers are read. Unknown names give no row.
+
+    The bytes of a container move once, to the names found in it, however many these are.
+    """
     found = read_index(spark, path).join(names.select("file_name").distinct(), "file_name")
     held = spark.read.format("binaryFile").load(f"{path}/texts").select(
         F.col("container").cast("long").alias("container"), "content")
-    return found.join(held, "container").select(
-        "file_name", F.expr("CAST(substring(content, CAST(offset + 1 AS INT), CAST(length AS INT)) AS STRING)").alias("text"), "length")
+    wanted = held.join(found.select("container").distinct(), "container", "left_semi")
+    return found.groupBy("container").cogroup(wanted.groupBy("container")).applyInArrow(
+        _cut_out, "file_name string, text string, length long")

@@ -14,6 +14,7 @@ from fleetwright.plans import conf, documents
 from fleetwright.schema import INPUTS, read_input, read_input_stream
 from fleetwright.session import shared_dir
 from fleetwright.sources import fixtures, sinks, specs
+from test_plans import plan
 
 
 def test_specs_from_csv(spark, sf_dir, tmp_path):
@@ -149,6 +150,19 @@ def test_containers_hold_every_text_once(spark, sf_dir, tmp_path):
     assert sinks.look_up(spark, path, index.select("file_name").limit(0)).collect() == []
 
 
+def test_a_container_moves_once_for_all_its_files(spark, tmp_path):
+    """Thousands of files of one container: no row of theirs holds the container's bytes."""
+    texts = spark.range(20_000).selectExpr("concat('file ', id, ' é') AS file_name", "explode(sequence(0, 2)) AS pos", "id").selectExpr(
+        "file_name", "pos", "concat('é', pos, repeat('x', CAST(id % 50 AS INT)), id) AS line")
+    path = str(tmp_path / "c")
+    sinks.write_containers(texts, path)
+    found = sinks.look_up(spark, path, sinks.read_index(spark, path).select("file_name").filter("file_name <> 'file 7 é'"))
+    assert "FlatMapCoGroupsInArrow" in plan(found) and "substring(content" not in plan(found)
+    want = {f"file {i} é": "".join(f"é{p}{'x' * (i % 50)}{i}\n" for p in range(3)) for i in range(20_000) if i != 7}
+    assert sinks.read_index(spark, path).select("container").distinct().count() == 1
+    assert {r["file_name"]: r["text"] for r in found.collect()} == want
+
+
 def test_a_failed_write_has_no_index(spark, tmp_path):
     texts = spark.createDataFrame([("a", 0, "x")], "file_name string, pos int, line string")
     sinks.write_containers(texts, str(tmp_path / "c"))
