@@ -19,12 +19,13 @@ def write_conf_texts(texts: DataFrame, path: str, layout: str = "lines",
     """Store property files given as rows (file_name, pos, line).
 
     `lines` writes one JSON record per line, as the tasks come, without a shuffle and with
-    as many owners as there are. `files` writes one text file per owner into a folder
+    as many owners as there are; names and keys repeat in all of them, so the files are compressed
+    (`gzip`), each small enough to be read by one task. `files` writes one text file per owner into a folder
     named after it, its lines in order, and suits small selections, e.g. one cluster's jobs.
     """
     rows = texts.select("file_name", "pos", "line")
     if layout == "lines":
-        rows.write.option("maxRecordsPerFile", FILE_RECORDS).mode(mode).json(path)
+        rows.write.option("maxRecordsPerFile", FILE_RECORDS).mode(mode).json(path, compression="gzip")
     elif layout == "files":
         ordered = rows.repartition("file_name").sortWithinPartitions("file_name", "pos")
         ordered.select("file_name", "line").write.partitionBy("file_name").mode(mode).text(path)

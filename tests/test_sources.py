@@ -163,6 +163,14 @@ def test_a_container_moves_once_for_all_its_files(spark, tmp_path):
     assert {r["file_name"]: r["text"] for r in found.collect()} == want
 
 
+def test_lines_are_stored_compressed(spark, sf_dir, tmp_path):
+    texts = conf.cluster_texts(size_fleet(fixtures.clusters(spark, sf_dir)), fixtures.custom_props(spark, sf_dir))
+    sinks.write_conf_texts(texts, str(tmp_path / "lines"))
+    size = sum(p.stat().st_size for p in (tmp_path / "lines").glob("part-*"))
+    assert 0 < size * 5 < texts.selectExpr("sum(octet_length(line) + octet_length(file_name))").first()[0]
+    assert rows(sinks.read_conf_texts(spark, str(tmp_path / "lines"))) == rows(texts, "file_name", "line", "pos")
+
+
 def test_a_failed_write_has_no_index(spark, tmp_path):
     texts = spark.createDataFrame([("a", 0, "x")], "file_name string, pos int, line string")
     sinks.write_containers(texts, str(tmp_path / "c"))
