@@ -1,13 +1,17 @@
 """Streams against their batch forms, fed file by file."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from conftest import rows
 from fleetwright import registry
 from fleetwright.operators import alerts, lookups, sizing
 from fleetwright.sources import fixtures
 from fleetwright.streaming import flows
+from fleetwright.streaming.reorder import in_event_order, turns_on
 
 
 @pytest.fixture(scope="module")
@@ -138,6 +142,41 @@ def test_remembered_keys_expire(spark, tmp_path):
     assert sorted(r["sample_id"] for r in expired.collect()) == [0, 4]
 
 
+@pytest.mark.parametrize("forget_ms", [None, 5_000_000])
+def test_keys_of_a_share_take_one_call_and_keep_their_own_memory(spark, tmp_path, forget_ms):
+    """Hundreds of keys, three shares: three state rows at most, and the alerts of one share for each key."""
+    inf = float("inf")
+    parts = [[(c if c else None, 1000 * i + c, 1000 * i + 7 * (c % 5) + s, [1.0, 99.0, inf, float("nan"), None, -inf, 96.5][(c + i + s) % 7])
+              for c in range(300) for s in (900, 100)] for i in (1, 2, 4, 9, 14)]
+    parts.append([(400, 90_000, 90_000, 1.0)])
+    made = [spark.createDataFrame(p, "cluster_id long, sample_id long, s long, value double").selectExpr(
+        "cluster_id", "sample_id", "value", "value > 95 AS is_on", "CAST(timestamp_seconds(s) AS TIMESTAMP) AS ts") for p in parts]
+    got = []
+    for shares in (3, 65_537):
+        totals = []
+
+        class Seen(StreamingQueryListener):
+            def onQueryStarted(self, event): pass
+            def onQueryIdle(self, event): pass
+            def onQueryTerminated(self, event): pass
+            def onQueryProgress(self, event): totals.append(event.progress.stateOperators[0].numRowsTotal)
+
+        spark.streams.addListener(seen := Seen())
+        try:
+            found = flows.run_in_steps(made, lambda arrived: in_event_order(
+                arrived(), ["cluster_id"], ["sample_id"], ["value", "is_on"], turns_on, ["cluster_id", "sample_id", "ts", "value"],
+                late="20 minutes", forget_ms=forget_ms, shares=shares), str(tmp_path / str(shares)))
+            got.append(rows(found))
+            deadline = time.monotonic() + 20
+            while not totals and time.monotonic() < deadline:
+                time.sleep(0.1)
+        finally:
+            spark.streams.removeListener(seen)
+        assert totals and (max(totals) <= 3) == (shares == 3)
+    assert len(got[0]) > 300 and got[0] == got[1]
+    assert {r[0] for r in got[0]} >= {None, 1, 299} and any(inf in r for r in got[0])
+
+
 @pytest.mark.parametrize("name", ["r5_change_alerts", "r6_muted_alerts"])
 def test_muted_streams_equal_the_batch(spark, sf_dir, name):
     mark = fixtures.usage_samples(spark, sf_dir).selectExpr(
