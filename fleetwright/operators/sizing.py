@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,10 +87,25 @@ def size_fleet(clusters: DataFrame, overrides: DataFrame | None = None) -> DataF
 def size_columns(df: DataFrame) -> DataFrame:
     """The sizing formulas over a complete spec."""
     df = derive(df.drop(*FORMULAS), CLEAN_SPEC)
-    set_fields = {c for c in schema.OVERRIDE_FIELDS.values() if f"set_{c}" in df.columns}
-    formulas = {name: f"coalesce(set_{name}, {expr})" if name in set_fields else expr
-                for name, expr in FORMULAS.items()}
-    return derive(df, formulas).drop("_cores", "_heap", *[f"set_{f}" for f in set_fields])
+    return derive(df, _formulas(df)).drop("_cores", "_heap", *SET_COLUMNS)
+
+
+SET_COLUMNS = [f"set_{c}" for c in schema.OVERRIDE_FIELDS.values()]
+
+
+def _formulas(df: DataFrame) -> dict[str, str]:
+    """The formulas, with the values set by hand that `df` has."""
+    return {name: f"coalesce(set_{name}, {expr})" if f"set_{name}" in SET_COLUMNS and f"set_{name}" in df.columns else expr
+            for name, expr in FORMULAS.items()}
+
+
+def _depending(fields: set[str], formulas: dict[str, str]) -> set[str]:
+    """`fields` and the names whose formulas read them, directly or through others."""
+    found = set(fields)
+    for name, expr in formulas.items():
+        if found & set(re.findall(r"\w+", expr)):
+            found.add(name)
+    return found
 
 
 def scaling_curve(sized: DataFrame, max_n: int | None = None) -> DataFrame:
@@ -130,26 +147,49 @@ def what_if(clusters: DataFrame, variants: list[dict]) -> DataFrame:
 
 
 # Clusters and candidates that meet in one block of the product.
-GRID_BLOCK = 1000
+GRID_BLOCK = 4000
 
 
 def what_if_grid(clusters: DataFrame, grid: DataFrame, block: int = GRID_BLOCK) -> DataFrame:
     """Z3 for a table of candidates: every cluster under every row of `grid`, of any size.
 
     `grid` has a `variant` and columns of the spec to change; a null keeps the cluster's own value. Both sides are
-    cut into blocks, each row is repeated for the blocks of the other side, and blocks meet by an equi-join, so
-    that a task holds one block of each: no broadcast, and no list of candidates in the plan.
+    cut into blocks, each row is repeated for the blocks of the other side, and blocks meet by a sort-merge join, so
+    that a task holds one block of candidates: no broadcast, and no list of candidates in the plan. What follows from
+    the cluster alone is computed before rows are repeated.
     """
     df = schema.with_defaults(clusters)
     types, fields = dict(df.dtypes), [c for c in grid.columns if c != "variant"]
     high, wide = (max(1, -(-side.count() // block)) for side in (clusters, grid))
-    rows = df.selectExpr("*", f"pmod(xxhash64(cluster_id), {high}) AS _high", f"explode(sequence(0, {wide - 1})) AS _wide")
-    options = grid.selectExpr("variant", *[f"CAST({f} AS {types[f]}) AS new_{f}" for f in fields],
-                              f"pmod(xxhash64(variant), {wide}) AS _wide", f"explode(sequence(0, {high - 1})) AS _high")
-    met = rows.withColumns({c: F.col(c).cast("int") for c in ("_high", "_wide")}).join(
-        options.withColumns({c: F.col(c).cast("int") for c in ("_high", "_wide")}), ["_high", "_wide"]).drop("_high", "_wide")
-    changed = derive(met, {f: f"coalesce(new_{f}, {f})" for f in fields})
-    return size_columns(resolve_rm_reserve(changed.drop(*[f"new_{f}" for f in fields])))
+    options = grid.selectExpr("variant", *[f"CAST({f} AS {types[f]}) AS new_{f}" for f in fields])
+    fields = [f for f in fields if f not in FORMULAS]
+    df, reserve = df.drop(*FORMULAS), {"rm", "rm_r"} & set(fields)
+    df = df if reserve else resolve_rm_reserve(df)
+    formulas = _formulas(df)
+    changed = _depending({*fields, *(("rm", "rm_r") if reserve else ())}, CLEAN_SPEC)
+    late = _depending(changed, formulas)
+    df = derive(derive(df, {n: e for n, e in CLEAN_SPEC.items() if n not in changed}),
+                {n: e for n, e in formulas.items() if n not in late})
+    met = _blockwise(df, "cluster_id", high, options, "variant", wide)
+    met = derive(met, {f: f"coalesce(new_{f}, {f})" for f in fields}).drop(*[c for c in options.columns if c != "variant"])
+    met = derive(resolve_rm_reserve(met) if reserve else met, {n: e for n, e in CLEAN_SPEC.items() if n in changed})
+    return derive(met, {n: e for n, e in formulas.items() if n in late}).drop("_cores", "_heap", *SET_COLUMNS)
+
+
+def _blockwise(rows: DataFrame, key: str, high: int, others: DataFrame, other_key: str, wide: int) -> DataFrame:
+    """Every row with every other row, as an equi-join of `high` by `wide` blocks.
+
+    Rows are dealt out by key before they are repeated, as a small file is one task. The planner takes repeated rows
+    for no more than the table they come from, so it would broadcast them, and it judges a task by the bytes it reads
+    and not by the pairs it makes: the join and its number of tasks, at most 20,000, are given.
+    """
+    left = rows.repartition(key).selectExpr(
+        "*", f"CAST(pmod(xxhash64({key}), {high}) AS INT) AS _high", f"explode(sequence(0, {wide - 1})) AS _wide")
+    right = others.repartition(other_key).selectExpr(
+        "*", f"CAST(pmod(xxhash64({other_key}), {wide}) AS INT) AS _wide", f"explode(sequence(0, {high - 1})) AS _high")
+    tasks = min(high * wide, 20_000)
+    left, right = (side.repartition(tasks, "_high", "_wide") for side in (left, right))
+    return left.join(right.hint("merge"), ["_high", "_wide"]).drop("_high", "_wide")
 
 
 def driver_profile(sized: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Candidate grids and band policies given as tables."""
 
 import random
+import re
 
 import pytest
 
@@ -32,6 +33,31 @@ def test_a_large_grid_is_a_product_of_blocks(spark, sf_dir):
     assert tuple(pairs) == (150_000, 150_000)
 
 
+def test_repeated_candidates_are_not_broadcast(spark, sf_dir):
+    """The planner takes repeated rows for a small table; blocks meet in as many tasks as there are blocks."""
+    grid = spark.range(1000).selectExpr("id AS variant", "CAST(1 + id % 40 AS DOUBLE) AS nodes")
+    text = plan(sizing.what_if_grid(fixtures.clusters(spark, sf_dir), grid, 100))
+    assert re.search(r"SortMergeJoin \[_high#\d+, _wide#\d+\]", text)
+    assert len(re.findall(r"hashpartitioning\(_high#\d+, _wide#\d+, 20\)", text)) >= 2
+
+
+@pytest.mark.parametrize("variants", [
+    [{}, {"rm": "k8s"}, {"rm": "local", "cpn": 9.0}, {"rm": ""}], [{"rm_r": 7.5}, {"deploy_mode": "cluster", "rm_r": 0.0}],
+    [{"master_ram": 3.0, "enf_m": True, "min_em": 50.0}, {"set_exec_c": 3.0}], [{"set_exec_m": 0.0}, {}], [{}]])
+def test_whatever_candidates_change(spark, sf_dir, variants):
+    """What does not depend on the changed columns is computed before the product, with the same figures."""
+    clusters = fixtures.clusters(spark, sf_dir).selectExpr(
+        "*", "IF(cluster_id % 3 = 0, 2D, NULL) AS set_exec_c", "IF(cluster_id % 5 = 0, 11D, NULL) AS set_exec_m", "5D AS total_exec",
+        "IF(cluster_id % 4 = 0, 3D, 0D) AS rm_r")
+    fields = sorted({f for v in variants for f in v})
+    kinds = {"rm": "string", "deploy_mode": "string", "enf_m": "boolean"}
+    grid = spark.createDataFrame([(i, *[v.get(f) for f in fields]) for i, v in enumerate(variants)],
+                                 ", ".join(["variant long", *[f"{f} {kinds.get(f, 'double')}" for f in fields]]))
+    got, want = sizing.what_if_grid(clusters, grid, 40), sizing.what_if(clusters, variants)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want.select(*got.columns))
+
+
 def test_empty_grid_and_fleet(spark, sf_dir):
     clusters = fixtures.clusters(spark, sf_dir)
     grid = spark.createDataFrame([], "variant long, nodes double")
