@@ -40,7 +40,8 @@ def reservation_profile(res: DataFrame, sized: DataFrame, pyspark_overhead: bool
     owners = spread(counts.join(sized, "cluster_id"), "_top", bits).drop("_top")
     rows = derive(res, {"slice": slice_of("res_idx", bits)})
     overhead = overhead_mb("exec_mem_gb")
-    joined = rows.join(owners, ["cluster_id", "slice"]).drop("slice")
+    # Left to the planner, the reservations of a middling fleet are broadcast to the few tasks that hold the owners.
+    joined = rows.join(owners.hint("merge"), ["cluster_id", "slice"]).drop("slice")
     return derive(joined, {
         "res_name": reservation_name(res.columns),
         "res_cores": "exec_count * exec_cores",

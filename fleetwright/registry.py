@@ -61,7 +61,9 @@ INHERITED = ["drv_m", "drv_c", "drv_oh", "mf", "sf", "aqe"]
 
 
 def pool(spark, d, res=None):
-    return reservations.remaining_pool(sized(spark, d), fixtures.reservations(spark, d) if res is None else res)
+    # The narrow specs are shuffled for the join with the reservations before they are sized: a small file is one task.
+    clusters = fixtures.clusters(spark, d).repartition("cluster_id")
+    return reservations.remaining_pool(sizing.size_fleet(clusters), fixtures.reservations(spark, d) if res is None else res)
 
 
 def stored_jobs(spark, d, *args):
@@ -82,8 +84,11 @@ def planned(spark, d, options=jobs.JobOptions(), res=None, listed=None):
 
 
 def reserved(spark, d):
-    """The numbered reservations, stored for the pool and the profile."""
-    return stored(fixtures.numbered_reservations(spark, d), "reservations")
+    """The numbered reservations, stored for the pool and the profile.
+
+    Numbering reads its rows twice, so these are stored as well and the lines are summed up once.
+    """
+    return stored(fixtures.number_reservations(stored(fixtures.reservations(spark, d), "orders")), "reservations")
 
 
 def profile_of(res, clusters):
@@ -177,15 +182,19 @@ DOC_OUT = ("name", "executors", "share", "tasks", "cores", "heap", "total_gb", "
 def _documents(spark, d):
     res, listed = reserved(spark, d), stored_jobs(spark, d)
     allocated, whole = planned(spark, d, res=res, listed=listed)
-    return documents.plan_documents(whole, allocated, profile_of(res, whole), fixtures.custom_props(spark, d), listed)
+    props = fixtures.custom_props(spark, d, dealt=True)
+    return documents.plan_documents(whole, allocated, profile_of(res, whole), props, listed)
 
 
 @query
 def s5_plan_documents(spark, d):
     docs, parts = _documents(spark, d), []
     for kind, fields in DOC_KINDS.items():
-        read = docs.filter(F.col("kind") == kind).select(
-            "cluster_id", "kind", "idx", F.from_json("entry", fields).alias("e")).select("cluster_id", "kind", "idx", "e.*")
+        # Reading JSON has no generated code. The entry is named twice so that the planner keeps it a column, written by
+        # generated code, and does not evaluate all its fields inside the reading.
+        entry = F.when(F.col("entry").isNotNull(), F.from_json("entry", fields))
+        read = docs.filter(F.col("kind") == kind).select("cluster_id", "kind", "idx", entry.alias("e")).select(
+            "cluster_id", "kind", "idx", "e.*")
         own = [f"CAST({x} AS {'STRING' if out in ('name', 'text') else 'DOUBLE'}) AS {out}"
                for x, out in zip(DOC_ROW[kind], DOC_OUT, strict=True)]
         settings = [f"{'sparkConf' if 'sparkConf' in fields else 'CAST(NULL AS MAP<STRING, STRING>)'}['{key}'] AS {out}"

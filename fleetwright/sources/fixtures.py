@@ -244,8 +244,11 @@ def reservations(spark, sf_dir) -> DataFrame:
 
 def numbered_reservations(spark, sf_dir) -> DataFrame:
     """Reservations with their position in the cluster."""
-    return positions(reservations(spark, sf_dir), ["cluster_id"], "job_id", ["job_id"], "res_idx",
-                     id_bits=ORDER_KEY_BITS)
+    return number_reservations(reservations(spark, sf_dir))
+
+
+def number_reservations(rows: DataFrame) -> DataFrame:
+    return positions(rows, ["cluster_id"], "job_id", ["job_id"], "res_idx", id_bits=ORDER_KEY_BITS)
 
 
 def usage_samples(spark, sf_dir) -> DataFrame:
@@ -298,10 +301,12 @@ def spec_changes(spark, sf_dir) -> DataFrame:
     return _project(table(spark, sf_dir, "events"), SPEC_CHANGES)
 
 
-def custom_props(spark, sf_dir) -> DataFrame:
+def custom_props(spark, sf_dir, dealt: bool = False) -> DataFrame:
+    """The properties of each cluster; `dealt` spreads the clusters over tasks first, as a small file is one task."""
     rows = ", ".join(f"struct({pos} AS pos, {key} AS key, {val} AS val)"
                      for pos, key, val in CUSTOM_PROPS)
-    exploded = table(spark, sf_dir, "customer").selectExpr(
+    owners = table(spark, sf_dir, "customer")
+    exploded = (owners.repartition("c_custkey") if dealt else owners).selectExpr(
         "c_custkey AS cluster_id", f"explode(array({rows})) AS p")
     return exploded.select("cluster_id", "p.pos", "p.key", "p.val")
 

@@ -91,3 +91,34 @@ def test_reservations_and_clusters_are_read_once(spark, sf_dir, name):
     text = final_plan(QUERIES[name](spark, sf_dir))
     assert "l_orderkey" not in text and "o_orderkey" not in text
     assert text.count("c_custkey") == 0 or name == "s5_plan_documents"  # which lists each cluster's additions
+
+
+def test_entries_are_written_by_generated_code(spark, sf_dir):
+    """Reading JSON is not generated code: what it reads must be a column, not all fields of the entry."""
+    text = plan(QUERIES["s5_plan_documents"](spark, sf_dir))
+    reads = [line for line in text.splitlines() if "from_json(" in line]
+    assert len(reads) >= 4 and not any("StructsToJsonEvaluator" in line for line in reads)
+
+
+def test_reservations_are_not_broadcast(spark, sf_dir):
+    """Neither to their owners nor the owners to them, whichever side looks small."""
+    text = plan(registry.profile_of(registry.reserved(spark, sf_dir), registry.sized(spark, sf_dir)))
+    assert re.search(r"SortMergeJoin \[cluster_id#\d+L, slice#\d+L\]", text)
+
+
+def test_lines_are_summed_up_before_numbering(spark, sf_dir, monkeypatch):
+    """Numbering reads its rows twice: it must find them stored."""
+    seen = []
+    number = registry.fixtures.number_reservations
+    monkeypatch.setattr(registry.fixtures, "number_reservations", lambda rows: seen.append(plan(rows)) or number(rows))
+    registry.reserved(spark, sf_dir)
+    assert len(seen) == 1 and "l_orderkey" not in seen[0]
+
+
+def test_clusters_are_dealt_before_they_are_sized(spark, sf_dir):
+    """The pool shuffles specs, not sized rows, and properties come from dealt clusters."""
+    lines = plan(QUERIES["a3_remaining_pool"](spark, sf_dir)).splitlines()
+    dealt = next(i for i, line in enumerate(lines) if "REPARTITION_BY_COL" in line)
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "c_custkey" in line)
+    assert dealt < scan and not any("FLOOR" in line for line in lines[dealt:scan])
+    assert "REPARTITION_BY_COL" in plan(registry.fixtures.custom_props(spark, sf_dir, dealt=True))
