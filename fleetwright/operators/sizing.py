@@ -173,7 +173,10 @@ def what_if_grid(clusters: DataFrame, grid: DataFrame, block: int = GRID_BLOCK)
     met = _blockwise(df, "cluster_id", high, options, "variant", wide)
     met = derive(met, {f: f"coalesce(new_{f}, {f})" for f in fields}).drop(*[c for c in options.columns if c != "variant"])
     met = derive(resolve_rm_reserve(met) if reserve else met, {n: e for n, e in CLEAN_SPEC.items() if n in changed})
-    return derive(met, {n: e for n, e in formulas.items() if n in late}).drop("_cores", "_heap", *SET_COLUMNS)
+    # The mode is compared once a pair, not in each of the formulas that ask for it.
+    met = derive(met, {"_on_cluster": ON_CLUSTER})
+    return derive(met, {n: e.replace(ON_CLUSTER, "_on_cluster") for n, e in formulas.items() if n in late}).drop(
+        "_on_cluster", "_cores", "_heap", *SET_COLUMNS)
 
 
 def _blockwise(rows: DataFrame, key: str, high: int, others: DataFrame, other_key: str, wide: int) -> DataFrame:
