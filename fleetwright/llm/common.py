@@ -146,6 +146,26 @@ def give_back() -> None:
         trim(0)
 
 
+_kept: dict[tuple, object] = {}
+_asked: set[tuple] = set()
+
+
+def keep(make, *args):
+    """What a worker makes once and keeps for as long as its tasks ask for it."""
+    key = (make, *args)
+    _asked.add(key)
+    if key not in _kept:
+        _kept[key] = make(*args)
+    return _kept[key]
+
+
+def drop_unasked() -> None:
+    """Forget what the tasks of an earlier stage kept and this one did not ask for."""
+    for key in _kept.keys() - _asked:
+        del _kept[key]
+    _asked.clear()
+
+
 def lean(run):
     """A task's function over Arrow batches, given some rows at a time, that returns its memory when it ends."""
     @wraps(run)
@@ -154,6 +174,7 @@ def lean(run):
             yield from run(batch.slice(i, ROWS_TOGETHER) for batch in batches
                            for i in range(0, max(1, batch.num_rows), ROWS_TOGETHER))
         finally:
+            drop_unasked()
             give_back()
 
     return wrapped

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetwright.llm.common import Batches, lean, offsets_of, one_string_column, ranges, store, texts_of
+from fleetwright.llm.common import Batches, give_back, lean, offsets_of, one_string_column, ranges, store, texts_of
 
 WINDOW = 10
 SEGMENT_WORDS = 1 << 19
@@ -140,7 +140,7 @@ def term_counts(index: DataFrame, terms: frozenset[bytes]) -> dict[bytes, int]:
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.binary()), pa.array(total.values(), pa.int64())],
                                          names=["term", "n"])
 
-    rows = index.filter(F.col("bucket").isin(buckets)).select("terms", "counts").mapInArrow(run, "term binary, n long")
+    rows = index.filter(F.col("bucket").isin(buckets)).select("terms", "counts").mapInArrow(lean(run), "term binary, n long")
     return {bytes(r["term"]): r["n"] for r in rows.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
 
 
@@ -208,7 +208,7 @@ def _needed(index: DataFrame, terms: frozenset[bytes]) -> DataFrame:
                 names=["segment", "terms", "counts", "positions"])
 
     return index.filter(F.col("bucket").isin(buckets)).select("segment", "terms", "counts", "positions").mapInArrow(
-        run, "segment long, terms binary, counts binary, positions binary")
+        lean(run), "segment long, terms binary, counts binary, positions binary")
 
 
 def _postings(table: pa.Table) -> dict[bytes, np.ndarray]:
@@ -229,7 +229,10 @@ def _per_segment(index: DataFrame, phrases, answer, schema: str) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         first = np.frombuffer(left["positions"][0].as_py(), "<u4").astype(np.int64)
         lengths = np.frombuffer(left["counts"][0].as_py(), "<u4").astype(np.int64)
-        return answer(left["doc_ids"].chunk(0).flatten(), first, lengths, _postings(right), counts)
+        try:
+            return answer(left["doc_ids"].chunk(0).flatten(), first, lengths, _postings(right), counts)
+        finally:
+            give_back()
 
     docs = index.filter("bucket = -1").select("segment", "doc_ids", "counts", "positions")
     return docs.groupBy("segment").cogroup(_needed(index, terms).groupBy("segment")).applyInArrow(run, schema)

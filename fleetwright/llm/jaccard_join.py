@@ -214,6 +214,7 @@ def live_classes(homes: DataFrame, members: DataFrame, counted: DataFrame, size:
             prefix = tokens[order[:base + matches]][excess[:base + matches] > 0]
             rows.append((class_id, len(tokens), int((counts == 1).sum()), matches, prefix.view(np.int64).tolist(),
                          tokens.tobytes()))
+        give_back()
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
                         names=["class_id", "n", "own", "matches", "prefix", "tokens"])

@@ -18,16 +18,17 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwright.llm.common import Batches, set_aside
+from fleetwright.llm.common import ROWS_TOGETHER, Batches, drop_unasked, give_back, lean, set_aside
 
 TEXT_TOP, LANGUAGE_TOP = 400, 400
 MAX_LANGUAGES = 2000
 COUNT_CHARS = 1 << 21
+GRAM_CHARS = 1 << 17
+ROWS_COUNTED = 10_000
 UNKNOWN = "und"
 
 
@@ -63,8 +64,22 @@ def pieces(text: str, size: int = COUNT_CHARS):
     yield text[begin:]
 
 
+def whole_words(text: str, size: int = GRAM_CHARS):
+    """A text in slices that end at blanks, longer ones only where there is none: together they have its n-grams."""
+    begin = 0
+    while len(text) - begin > size:
+        end = text.rfind(" ", begin, begin + size) + 1 or text.find(" ", begin + size) + 1 or len(text)
+        yield text[begin:end]
+        begin = end
+    yield text[begin:]
+
+
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.unique(grams(p), return_counts=True) for p in pieces(text)]
+    """The n-grams and their counts. Those of some slice are held at a time, eight bytes for each."""
+    return added([np.unique(grams(w), return_counts=True) for p in pieces(text) for w in whole_words(p)])
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if len(parts) == 1:
         return parts[0]
     names, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -85,18 +100,31 @@ def learn(rows: DataFrame, top: int = LANGUAGE_TOP) -> dict[str, np.ndarray]:
     """Profiles of the languages in rows (lang, text)."""
 
     def run(batches: Batches) -> Batches:
+        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        rows = 0
+
+        def out() -> Batches:
+            for lang, parts in found.items():
+                names, counts = added(parts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(names), pa.string()), pa.array(names), pa.array(counts)],
+                    names=["lang", "gram", "n"])
+            found.clear()
+
         for batch in batches:
             texts: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 texts.setdefault(lang, []).append(text)
             for lang, held in texts.items():
-                names, counts = counted(" ".join(held))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(names), pa.string()), pa.array(names), pa.array(counts)],
-                    names=["lang", "gram", "n"])
+                found.setdefault(lang, []).append(counted(" ".join(held)))
+            rows += batch.num_rows
+            if rows >= ROWS_COUNTED:
+                yield from out()
+                rows = 0
+        yield from out()
 
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    found = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = rows.mapInArrow(lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
     out: dict[str, list] = {}
@@ -137,10 +165,15 @@ class Profiles:
 def predicted(text: Column, learned: dict[str, np.ndarray]) -> Column:
     """(lang_pred, score) of a text; only the texts go to Python and only the answers come back."""
     profiles = Profiles(learned)
-
-    @F.pandas_udf("lang_pred string, score double")
-    def said(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([profiles.nearest(t) for t in texts], columns=["lang_pred", "score"])
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+
+    @F.arrow_udf("lang_pred string, score double")
+    def said(texts: pa.Array) -> pa.Array:
+        answers = [profiles.nearest(t) for i in range(0, len(texts), ROWS_TOGETHER)
+                   for t in texts.slice(i, ROWS_TOGETHER).to_pylist()]
+        drop_unasked()
+        give_back()
+        return pa.array([{"lang_pred": name, "score": score} for name, score in answers], kind)
 
     return said(text.cast("string"))
 

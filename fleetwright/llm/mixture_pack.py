@@ -227,5 +227,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, targets: dict[str, float]
     placed = rows.join(carried, ["queue", "part"]).select(
         "doc_id", "queue", "line", "n_tokens", "ids", (F.col("first") + F.col("carried")).alias("first"))
     key = docs.schema[doc_id].dataType.simpleString()
-    return placed.mapInArrow(run, f"doc_id {key}, start long, length long, ids_crc32 long, doc_tokens long, "
-                                  "sequence_id long, offset long, source string")
+    return placed.mapInArrow(lean(run), f"doc_id {key}, start long, length long, ids_crc32 long, doc_tokens long, "
+                                        "sequence_id long, offset long, source string")

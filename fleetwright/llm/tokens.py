@@ -12,11 +12,10 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
-from fleetwright.llm.common import offsets_of, ranges, slices, span_hashes, spans_equal, word_spans
+from fleetwright.llm.common import keep, offsets_of, ranges, slices, span_hashes, spans_equal, word_spans
 
 KEPT_PIECES = 1_000_000
 KEPT_WORDS = 200_000
@@ -202,7 +201,6 @@ def _pieces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, last, hashes
 
 
-@lru_cache(maxsize=2)
 def word_pieces(path: str) -> WordPieces:
-    """One encoder for each worker process and file."""
-    return WordPieces(path)
+    """One encoder for each worker process and file, which goes when the worker's tasks no longer encode."""
+    return keep(WordPieces, path)

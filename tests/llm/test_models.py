@@ -1,3 +1,4 @@
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
@@ -20,6 +21,19 @@ def test_grams():
     assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
 
 
+def test_counting_holds_the_grams_of_a_slice_at_a_time():
+    text = " ".join(f"word{'abcdefghij'[i % 10]}ß{'klmnopqrst'[i // 10 % 10]} x" for i in range(150_000)) + "z" * 300_000
+    assert len(text) < language_id.COUNT_CHARS
+    assert "".join(language_id.whole_words(text)) == text
+    names, counts = np.unique(language_id.grams(text), return_counts=True)
+    tracemalloc.start()
+    got = language_id.counted(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got[0] == names).all() and (got[1] == counts).all()
+    assert peak < 40 << 20
+
+
 def test_out_of_place_distance():
     a, b = (np.array([ord(c) for c in s], np.int64) for s in ("abc", "cba"))
     profiles = language_id.Profiles({"x": a, "y": b})

@@ -2,9 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from fleetwright.llm import mixture_pack, token_index
+from fleetwright.llm import common, mixture_pack, token_index
 from fleetwright.llm.common import new_folder, span_hashes, spans_equal
 from fleetwright.llm.tokens import public_path, word_pieces
 from llm.helpers import awkward_rows, docs_of, twin_words
@@ -45,6 +46,22 @@ def test_pieces_of_equal_hash_keep_their_own_ids(monkeypatch, values):
         assert [i.tolist() for i in encoder.encode([t.encode() for t in part])] == [whole(t) for t in part]
 
 
+def test_an_encoder_goes_with_its_stage():
+    def task(batches):
+        for batch in batches:
+            word_pieces(PATH).encode([b"some words"])
+            yield batch
+
+    rows = [pa.RecordBatch.from_pydict({"a": [1]})]
+    list(common.lean(task)(rows))
+    first = word_pieces(PATH)
+    list(common.lean(task)(rows))
+    assert word_pieces(PATH) is first  # the next task of a stage that encodes finds it
+    list(common.lean(lambda batches: batches)(rows))
+    list(common.lean(lambda batches: batches)(rows))
+    assert not common._kept
+
+
 def test_span_hashes_depend_on_every_byte():
     raw = np.random.default_rng(1).integers(0, 256, 400, dtype=np.uint8)
     first = np.array([0, 3, 10, 100, 399, 400])
