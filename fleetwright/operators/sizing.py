@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from fleetwright import schema
@@ -148,51 +149,70 @@ def what_if(clusters: DataFrame, variants: list[dict]) -> DataFrame:
 
 # Clusters and candidates that meet in one block of the product.
 GRID_BLOCK = 4000
+# Kinds of candidates told apart; in a grid of more kinds, all candidates count as one.
+GRID_KINDS = 32
 
 
-def what_if_grid(clusters: DataFrame, grid: DataFrame, block: int = GRID_BLOCK) -> DataFrame:
+def what_if_grid(clusters: DataFrame, grid: DataFrame, block: int = GRID_BLOCK, most_kinds: int = GRID_KINDS) -> DataFrame:
     """Z3 for a table of candidates: every cluster under every row of `grid`, of any size.
 
     `grid` has a `variant` and columns of the spec to change; a null keeps the cluster's own value. Both sides are
     cut into blocks, each row is repeated for the blocks of the other side, and blocks meet by a sort-merge join, so
-    that a task holds one block of candidates: no broadcast, and no list of candidates in the plan. What follows from
-    the cluster alone is computed before rows are repeated.
+    that a task holds one block of candidates: no broadcast, and no list of candidates in the plan. A block holds
+    candidates of one kind, those with the same texts and flags. What follows from the cluster and the kind is
+    computed before rows are repeated for blocks, so that a pair compares no texts.
     """
     df = schema.with_defaults(clusters)
     types, fields = dict(df.dtypes), [c for c in grid.columns if c != "variant"]
-    high, wide = (max(1, -(-side.count() // block)) for side in (clusters, grid))
     options = grid.selectExpr("variant", *[f"CAST({f} AS {types[f]}) AS new_{f}" for f in fields])
-    fields = [f for f in fields if f not in FORMULAS]
-    df, reserve = df.drop(*FORMULAS), {"rm", "rm_r"} & set(fields)
-    df = df if reserve else resolve_rm_reserve(df)
-    formulas = _formulas(df)
+    fields, df = [f for f in fields if f not in FORMULAS], df.drop(*FORMULAS)
+    high = max(1, -(-clusters.count() // block))
+    shared, kinds = _kinds(options, [f for f in fields if types[f] in ("string", "boolean")], most_kinds)
+    wide = [max(1, -(-kind["_count"] // block)) for kind in kinds]
+    first = [sum(wide[:i]) for i in range(len(kinds))]
+    fields = [f for f in fields if f not in shared]
+    reserve = {"rm", "rm_r"} & set(fields)
+    # The mode is compared once a row, not in each of the formulas that ask for it.
+    formulas = {"_on_cluster": ON_CLUSTER, **{n: e.replace(ON_CLUSTER, "_on_cluster") for n, e in _formulas(df).items()}}
     changed = _depending({*fields, *(("rm", "rm_r") if reserve else ())}, CLEAN_SPEC)
     late = _depending(changed, formulas)
-    df = derive(derive(df, {n: e for n, e in CLEAN_SPEC.items() if n not in changed}),
-                {n: e for n, e in formulas.items() if n not in late})
-    met = _blockwise(df, "cluster_id", high, options, "variant", wide)
-    met = derive(met, {f: f"coalesce(new_{f}, {f})" for f in fields}).drop(*[c for c in options.columns if c != "variant"])
+    # Rows are dealt out before they are repeated, as a small file is one task.
+    rows = df.repartition("cluster_id").select("*", F.inline(F.array(*[
+        F.struct(F.lit(a).alias("_first"), F.lit(a + n - 1).alias("_last"), *[F.lit(kind[f]).cast(types[f]).alias(f"new_{f}") for f in shared])
+        for kind, a, n in zip(kinds, first, wide)])))
+    rows = derive(rows, {f: f"coalesce(new_{f}, {f})" for f in shared}).drop(*[f"new_{f}" for f in shared])
+    rows = rows if reserve else resolve_rm_reserve(rows)
+    rows = derive(derive(rows, {n: e for n, e in CLEAN_SPEC.items() if n not in changed}),
+                  {n: e for n, e in formulas.items() if n not in late})
+    rows = rows.selectExpr("* EXCEPT (_first, _last)", f"CAST(pmod(xxhash64(cluster_id), {high}) AS INT) AS _high",
+                           "explode(sequence(_first, _last)) AS _wide")
+    dealt = F.coalesce(*[F.when(_alike(kind, shared), F.expr(f"CAST({a} + pmod(xxhash64(variant), {n}) AS INT)"))
+                         for kind, a, n in zip(kinds, first, wide)])
+    others = options.repartition("variant").select("variant", *[f"new_{f}" for f in fields], dealt.alias("_wide"))
+    met = _blockwise(rows, others.selectExpr("*", f"explode(sequence(0, {high - 1})) AS _high"), high * sum(wide))
+    met = derive(met, {f: f"coalesce(new_{f}, {f})" for f in fields}).drop(*[f"new_{f}" for f in fields])
     met = derive(resolve_rm_reserve(met) if reserve else met, {n: e for n, e in CLEAN_SPEC.items() if n in changed})
-    # The mode is compared once a pair, not in each of the formulas that ask for it.
-    met = derive(met, {"_on_cluster": ON_CLUSTER})
-    return derive(met, {n: e.replace(ON_CLUSTER, "_on_cluster") for n, e in formulas.items() if n in late}).drop(
-        "_on_cluster", "_cores", "_heap", *SET_COLUMNS)
+    return derive(met, {n: e for n, e in formulas.items() if n in late}).drop("_on_cluster", "_cores", "_heap", *SET_COLUMNS)
 
 
-def _blockwise(rows: DataFrame, key: str, high: int, others: DataFrame, other_key: str, wide: int) -> DataFrame:
-    """Every row with every other row, as an equi-join of `high` by `wide` blocks.
+def _kinds(options: DataFrame, fields: list[str], most: int) -> tuple[list[str], list[Row]]:
+    """The fields that candidates of a kind share, and the kinds with their sizes; no field and one kind if there are too many."""
+    found = options.groupBy(*[F.col(f"new_{f}").alias(f) for f in fields]).agg(F.count("*").alias("_count")).limit(most + 1).collect()
+    return (fields, found) if 0 < len(found) <= most else ([], options.agg(F.count("*").alias("_count")).collect())
 
-    Rows are dealt out by key before they are repeated, as a small file is one task. The planner takes repeated rows
-    for no more than the table they come from, so it would broadcast them, and it judges a task by the bytes it reads
-    and not by the pairs it makes: the join and its number of tasks, at most 20,000, are given.
+
+def _alike(kind: Row, fields: list[str]) -> Column:
+    return reduce(Column.__and__, [F.col(f"new_{f}").eqNullSafe(F.lit(kind[f])) for f in fields], F.lit(True))
+
+
+def _blockwise(rows: DataFrame, others: DataFrame, blocks: int) -> DataFrame:
+    """Every row with every other row of its block, named by `_high` and `_wide`.
+
+    The planner takes repeated rows for no more than the table they come from, so it would broadcast them, and it judges
+    a task by the bytes it reads and not by the pairs it makes: the join and its number of tasks, at most 20,000, are given.
     """
-    left = rows.repartition(key).selectExpr(
-        "*", f"CAST(pmod(xxhash64({key}), {high}) AS INT) AS _high", f"explode(sequence(0, {wide - 1})) AS _wide")
-    right = others.repartition(other_key).selectExpr(
-        "*", f"CAST(pmod(xxhash64({other_key}), {wide}) AS INT) AS _wide", f"explode(sequence(0, {high - 1})) AS _high")
-    tasks = min(high * wide, 20_000)
-    left, right = (side.repartition(tasks, "_high", "_wide") for side in (left, right))
-    return left.join(right.hint("merge"), ["_high", "_wide"]).drop("_high", "_wide")
+    rows, others = (side.repartition(min(blocks, 20_000), "_high", "_wide") for side in (rows, others))
+    return rows.join(others.hint("merge"), ["_high", "_wide"]).drop("_high", "_wide")
 
 
 def driver_profile(sized: DataFrame) -> DataFrame:

@@ -58,6 +58,32 @@ def test_whatever_candidates_change(spark, sf_dir, variants):
     assert rows(got) == rows(want.select(*got.columns))
 
 
+def test_pairs_compare_no_texts(spark, sf_dir):
+    """Texts that candidates set are compared once for each cluster and kind of candidates, before the product."""
+    grid = spark.range(300).selectExpr("id AS variant", "CAST(1 + id % 40 AS DOUBLE) AS nodes", "IF(id % 3 = 0, 'ml', NULL) AS workload",
+                                       "IF(id % 2 = 0, 'cluster', NULL) AS deploy_mode")
+    after = plan(sizing.what_if_grid(fixtures.clusters(spark, sf_dir), grid, 100).groupBy("variant").agg({"mem_util": "max"}))
+    after = after[:after.index("SortMergeJoin")]
+    assert "Project" in after and not re.search(r"= (cluster|client|ml|streaming)\b|workload|deploy_mode", after)
+
+
+@pytest.mark.parametrize("most_kinds", [sizing.GRID_KINDS, 4])
+def test_kinds_of_candidates(spark, sf_dir, most_kinds):
+    """Texts with any signs, flags and nulls; the same rows when there are too many kinds to tell them apart."""
+    clusters = fixtures.clusters(spark, sf_dir).limit(20)
+    texts = [None, "ml", "it's \\ odd", "", "streaming"]
+    variants = [(i, texts[i % 5], [None, "client", "cluster"][i % 3], [None, True, False][i % 4 % 3], [None, 7.0][i % 2], ["local", None][i % 2])
+                for i in range(24)] + [(3, "ml", None, None, 2.0, None), (None, None, None, None, 3.0, "k8s")]
+    grid = spark.createDataFrame(variants, "variant long, workload string, deploy_mode string, enf_c boolean, nodes double, rm string")
+    columns = ("cluster_id", "workload", "deploy_mode", "rm", "rm_r", "nodes", "exec_c", "exec_m", "drv_m", "core_util", "mem_util", "master_ram")
+    assert 4 < grid.select("workload", "deploy_mode", "enf_c", "rm").distinct().count() <= sizing.GRID_KINDS
+    got = sizing.what_if_grid(clusters, grid, 15, most_kinds)
+    want = sizing.what_if(clusters, [dict(zip(grid.columns[1:], v[1:])) for v in variants])
+    assert rows(got, *columns) == rows(want, *columns)
+    ids = [v[0] for v in variants for _ in range(20)]
+    assert sorted(repr(r["variant"]) for r in got.select("variant").collect()) == sorted(map(repr, ids))
+
+
 def test_empty_grid_and_fleet(spark, sf_dir):
     clusters = fixtures.clusters(spark, sf_dir)
     grid = spark.createDataFrame([], "variant long, nodes double")
